@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import simhash
+from lectern.llm import packing, simhash
 from lectern.sources.tables import table
 
 
@@ -15,5 +15,15 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), text.alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_simhash": op1_simhash}
+def word_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), word_vocabulary()).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op3_packing": op3_packing}
 ORACLE_SQL: dict[str, str] = {}
