@@ -59,18 +59,12 @@ def _windows(items: DataFrame, item_id: str, item_text: str, window: int, gram:
     return words.withColumn("start", F.explode(starts)).select("item_id", "length", F.slice("words", F.col("start"), F.col("length")).alias("words"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(id, n_words, n_hit, hits, items) for every row of docs.
-
-    n_words, n_hit: words and hit words (long); hits: array<struct<start, end>>, the windows that occur, in order, by word, end
-    exclusive; items: the ids of the items with windows that occur, as sorted strings.
-    """
+def _hits(docs: DataFrame, items: DataFrame, text_col: str, item_id: str, item_text: str, window: int, gram: int) -> DataFrame:
+    """(key, n_hit, hits, items) of every distinct text with hits, by its SHA-256; a stored table."""
     windows = settle(_windows(items, item_id, item_text, window, gram).distinct(), "windows")
     lengths = sorted(r[0] for r in windows.select("length").distinct().collect())  # at most `window` numbers
-    base = docs.select(F.col(id_col).alias("id"), F.sha2(F.col(text_col), 256).alias("key"), F.size(words_of(F.col(text_col))).cast("long").alias("n_words"))
     if not lengths:
-        none = F.array().cast("array<struct<start:int,end:int>>"), F.array().cast("array<string>")
-        return base.select("id", "n_words", F.lit(0).cast("long").alias("n_hit"), none[0].alias("hits"), none[1].alias("items"))
+        return docs.sparkSession.createDataFrame([], "key string, n_hit long, hits array<struct<start:int,end:int>>, items array<string>")
 
     texts = settle(windows.select("length", "words").distinct().withColumn("window_id", F.monotonically_increasing_id()), "texts")
     marked = reduce(lambda c, n: c.when(F.col("length") == n, F.get(fingerprints_of(F.col("words"), n, gram), 0)), lengths, F.when(F.lit(False), F.lit(0)))
@@ -92,6 +86,29 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     items = found.select("key", "window_id").distinct().join(owners, "window_id").groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
     step = lambda acc, x: F.struct((acc["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(x["start"], acc["end"]))).alias("n"), F.greatest(acc["end"], x["end"]).alias("end"))
-    hit = settle(hits.join(items, "key", "left").withColumn("n_hit", F.aggregate("hits", zero, step)["n"].cast("long")), "hit")
+    return settle(hits.join(items, "key", "left").select("key", F.aggregate("hits", zero, step)["n"].cast("long").alias("n_hit"), "hits", "items"), "hits")
+
+
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(id, n_words, n_hit, hits, items) for every row of docs.
+
+    n_words, n_hit: words and hit words (long); hits: array<struct<start, end>>, the windows that occur, in order, by word, end
+    exclusive; items: the ids of the items with windows that occur, as sorted strings.
+    """
+    hit = _hits(docs, items, text_col, item_id, item_text, window, gram)
+    base = docs.select(F.col(id_col).alias("id"), F.sha2(F.col(text_col), 256).alias("key"), F.size(words_of(F.col(text_col))).cast("long").alias("n_words"))
     full = base.join(hit, "key", "left")
     return full.select("id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("hits", F.array()).alias("hits"), F.coalesce("items", F.array()).alias("items"))
+
+
+def is_contaminated(n_hit: Column, n_words: Column) -> Column:
+    """Whether a twentieth of the words or more are hit."""
+    return (n_hit > 0) & (20 * n_hit >= n_words)
+
+
+def uncontaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """The rows of docs that are not contaminated, as they are."""
+    hit = _hits(docs, items, text_col, item_id, item_text, window, gram).select(F.col("key").alias("hit text"), F.col("n_hit").alias("hit words"))
+    rows = docs.join(hit, F.sha2(F.col(text_col), 256) == F.col("hit text"), "left")
+    bad = F.when(F.col("hit words").isNotNull(), is_contaminated(F.col("hit words"), F.size(words_of(F.col(text_col))))).otherwise(False)
+    return rows.where(~bad).select(*docs.columns)

@@ -106,3 +106,139 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     names = settle(member.groupBy("root").agg(F.min("least").alias("component_id")), "names")
     named = settle(member.join(names, "root").select("fingerprint", "component_id"), "named")
     return found.join(named, "fingerprint", "left").select("id", "fingerprint", "component_id")
+
+
+#: For near duplicates by similarity: independent fingerprints of a text, words of a shingle, and the least Jaccard similarity.
+SKETCHES, SHINGLE, SIMILAR = 16, 5, 0.8
+#: Texts further apart than this mean number of bits a fingerprint are not compared; texts of 0.8 are ten apart at most on average.
+FAR_BITS = 14
+#: Members of smaller buckets are compared with each other, those of larger ones with two of them.
+SMALL = 8
+
+
+def word_sketches(text: bytes | None, count: int = SKETCHES):
+    """Fingerprints of the set of a text's words, each under a hash function of its own."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    words = set(text.lower().split()) if text else ()
+    h = np.array([xxh64_intdigest(x) for x in words], dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        out = []
+        for k in range(1, count + 1):
+            x = h ^ np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            out.append(_signed(majority(x ^ (x >> np.uint64(31)))))
+    return out
+
+
+def jaccard(a, b) -> float:
+    """Of two sorted arrays without repeats; empty ones are like nothing."""
+    import numpy as np
+
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [word_sketches(x) for x in batch.column(2).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], ["key", "id", "sketches"])
+
+    schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("id", docs.schema[id_col].dataType), T.StructField("sketches", T.ArrayType(T.LongType()))])
+    return docs.select(text_key(F.col(text_col)).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+
+
+def text_key(text):
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
+def _candidates(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that share a bucket in some table of some sketch."""
+    masks = [_signed(m) for m in covering_masks(RADIUS)]
+    rows = classes.select("node", F.posexplode("sketches").alias("k", "sketch"))
+    keys = F.array(*[F.xxhash64(F.col("k") * len(masks) + i, F.col("sketch").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])
+    rows = rows.select("node", F.explode(keys).alias("bucket"))
+    met = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select(F.bitwise_not("bucket").alias("other"), "n")
+    rows = settle(rows.withColumn("other", F.bitwise_not("bucket")).join(met, "other").select("bucket", "node", "n"), "members")
+    few = rows.where(F.col("n") <= SMALL).groupBy("bucket").agg(F.sort_array(F.collect_list("node")).alias("nodes")).select("nodes").distinct()
+    pairs = few.select(F.posexplode("nodes").alias("i", "a"), "nodes").select("a", F.explode(F.expr("slice(nodes, i + 2, size(nodes))")).alias("b"))
+
+    many = rows.where(F.col("n") > SMALL)
+    ranks = settle(many.groupBy("node").agg(F.sum("n").alias("rank")), "ranks")  # a text that its copies vary meets most others
+    many = settle(many.join(ranks, "node"), "ranked")
+    hubs = many.groupBy("bucket").agg(F.max(F.struct("rank", F.bitwise_not("node").alias("node"))).alias("hub"), F.max(F.struct(F.xxhash64("node", "bucket").alias("h"), "node")).alias("any"))
+    hubs = hubs.select(F.bitwise_not("bucket").alias("other"), F.array(F.bitwise_not("hub.node"), "any.node").alias("hubs"))
+    stars = many.withColumn("other", F.bitwise_not("bucket")).join(hubs, "other").select("node", F.explode("hubs").alias("hub")).where("node <> hub")
+    stars = stars.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    return pairs.unionByName(stars).distinct()
+
+
+def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text_col: str, least: float) -> DataFrame:
+    """The pairs (a, b) whose texts have a Jaccard similarity of shingles of at least `least`."""
+    near = pairs.join(classes.select(F.col("node").alias("a"), F.col("sketches").alias("x")), "a").join(classes.select(F.col("node").alias("b"), F.col("sketches").alias("y")), "b")
+    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    near = settle(near.where(apart <= FAR_BITS * SKETCHES).select("a", "b"), "near")
+    nodes = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    wanted = settle(nodes.join(classes.select("node", "key"), "node"), "wanted")
+    texts = docs.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text")).join(wanted, "key").select("node", "text")
+
+    def sets(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [np.unique(shingle_hashes(x, SHINGLE)).view(np.int64) for x in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in found], pa.binary())], ["node", "shingles"])
+
+    shingles = settle(texts.mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"]), "shingles")
+    full = near.join(shingles.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(shingles.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+
+    def compare(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            x, y = ([np.sort(np.frombuffer(s.as_py(), np.uint64)) for s in batch.column(i)] for i in (2, 3))
+            kept = pa.array([jaccard(p, q) >= least for p, q in zip(x, y)], pa.bool_())
+            yield batch.select([0, 1]).filter(kept)
+
+    return full.mapInArrow(compare, "a long, b long")
+
+
+def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR) -> DataFrame:
+    """(key, least_id, group) for every distinct text: its text_key, the smallest id that has it, and its group's number (long).
+
+    Groups join texts whose sets of SHINGLE-word shingles have a Jaccard similarity of at least `least`. SimHash fingerprints are
+    taken of the set of words, as an edit changes one word and SHINGLE shingles: copies then stay within the radius of the masks in
+    some of the SKETCHES fingerprints. Buckets of more than SMALL texts compare each member with the one that meets most others, from
+    which copies have been varied, and with one at random. Null texts count as empty; texts without words are alike only if equal.
+    """
+    sketched = settle(_sketched(docs, id_col, text_col), "sketched")
+    classes = sketched.groupBy("key").agg(F.min("id").alias("least_id"), F.first("sketches").alias("sketches"))
+    classes = settle(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    pairs = _candidates(classes.where(F.exists("sketches", lambda x: x != 0)))
+    links = _similar(pairs, classes, docs, text_col, least).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    roots = settle(connected_components(links), "roots")
+    return settle(classes.select("key", "least_id", "node").join(roots, "node", "left").select("key", "least_id", F.coalesce("root", "node").alias("group")), "groups")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR) -> DataFrame:
+    """(id, group) for every row of docs."""
+    classes = near_duplicate_classes(docs, id_col, text_col, least).select("key", "group")
+    return docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key")).join(classes, "key", "left").select("id", "group")
+
+
+def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR) -> DataFrame:
+    """One row of docs for each group of near duplicates: one with the group's smallest id; nulls come last."""
+    classes = near_duplicate_classes(docs, id_col, text_col, least)
+    order = F.struct(F.col("least_id").isNull().alias("no_id"), "least_id", "key")
+    kept = settle(classes.groupBy("group").agg(F.min(order).alias("kept")).select("kept.least_id", "kept.key"), "kept")
+    row = lambda key, name: F.sha2(F.concat_ws(" ", key, F.coalesce(name.cast("string"), F.lit("none"))), 256)
+    names = row(text_key(F.col(text_col)), F.col(id_col))
+    rows = docs.withColumn("row to keep", names).join(kept.select(row(F.col("key"), F.col("least_id")).alias("row to keep")), "row to keep", "left_semi")
+    return rows.dropDuplicates(["row to keep"]).drop("row to keep").select(*docs.columns)

@@ -70,3 +70,61 @@ def test_one_large_group_of_near_fingerprints(spark):
 
 def test_empty(spark):
     assert run(spark, []) == []
+
+
+def similarity(a, b, n=5):
+    x, y = ({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if (w := (t or "").lower().split()) else set() for t in (a, b))
+    return len(x & y) / max(1, len(x | y))
+
+
+def copies(seed=3, hub_copies=60):
+    r = random.Random(seed)
+    word = lambda: "".join(r.choices("abcdefghij", k=r.randint(2, 7)))
+    rows = [(i, " ".join(word() for _ in range(r.randint(20, 300)))) for i in range(150)]
+    for i in range(60):
+        w = rows[r.randrange(150)][1].split()
+        for _ in range(r.randint(0, max(1, len(w) // 60))):
+            w[r.randrange(len(w))] = word()
+        rows.append((1000 + i, " ".join(w)))
+    hub = [word() for _ in range(200)]
+    rows.append((5, " ".join(hub)))
+    for i in range(hub_copies):
+        w = list(hub)
+        for _ in range(3):
+            w[r.randrange(200)] = word()
+        rows.append((2000 + i, " ".join(w)))
+    return rows + [(3000, None), (3001, ""), (3002, rows[0][1]), (0, rows[0][1]), (None, rows[1][1]), (None, "alone"), (3003, "one two"), (3004, "ONE  two\n")]
+
+
+def test_near_duplicates_like_brute_force(spark):
+    rows = copies()
+    docs = spark.createDataFrame([(*x, 1, "g") for x in rows], "doc_id long, text string, node int, group string")
+    root = list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if similarity(rows[i][1], rows[j][1]) >= 0.8 or (rows[i][1] or "") == (rows[j][1] or ""):
+            root[max(top(i), top(j))] = min(top(i), top(j))
+    sizes = len({top(i) for i in range(len(rows))})
+    kept = simhash.first_of_groups(docs)
+    assert kept.columns == docs.columns
+    kept = kept.collect()
+    assert sizes <= len(kept) <= sizes + 2
+    assert {(r.doc_id, r.text) for r in kept} <= set(rows)
+    assert sum(r.doc_id is not None and 2000 <= r.doc_id < 3000 for r in kept) <= 1
+    assert len([r for r in kept if r.doc_id == 5]) >= 1
+    groups = simhash.near_duplicates(docs).collect()
+    assert len(groups) == len(rows)
+    for a, b in itertools.combinations([(r.id, r.group) for r in groups if r.id is not None and r.id < 150], 2):
+        if a[1] == b[1] and a[0] != b[0]:
+            x, y = ([t for k, t in rows if k == q[0]] for q in (a, b))
+            assert any(similarity(s, t) > 0.5 for s in x for t in y)
+
+
+def test_no_documents(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert simhash.first_of_groups(docs).count() == 0 and simhash.near_duplicates(docs).count() == 0
