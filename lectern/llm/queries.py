@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontamination, packing, pii, quality, simhash, topk, toxicity, urls, warc
+from lectern.llm import decontamination, packing, pii, quality, repeats, simhash, topk, toxicity, urls, warc
 from lectern.llm.learning import held_out
 from lectern.sources.tables import table
 
@@ -63,6 +63,12 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select(F.col("id").alias("doc_id"), "expected_grade", "chance", "keep")
@@ -76,7 +82,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_url_filter": op2_url_filter, "op3_packing": op3_packing, "op4_toxicity": op4_toxicity, "op5_warc": op5_warc, "op6_pii": op6_pii, "op7_top_k": op7_top_k, "op9_quality": op9_quality, "op10_decontamination": op10_decontamination}
+QUERIES = {"op1_simhash": op1_simhash, "op2_url_filter": op2_url_filter, "op3_packing": op3_packing, "op4_toxicity": op4_toxicity, "op5_warc": op5_warc, "op6_pii": op6_pii, "op7_top_k": op7_top_k, "op8_repeats": op8_repeats, "op9_quality": op9_quality, "op10_decontamination": op10_decontamination}
 OP10_SQL = r"""
 WITH
 d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents),
