@@ -24,7 +24,7 @@ END_ID = 2
 #: A group holds about so many windows, and about so many pieces.
 GROUP_WINDOWS, GROUP_PIECES = 2048, 50_000
 #: Words whose ids a Python worker remembers; beyond it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 
 
 class WordTokenizer:

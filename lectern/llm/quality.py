@@ -27,7 +27,7 @@ STEPS, RATE, SHRINK = 150, 0.1, 1e-5
 #: Texts are kept at this probability of the selection grade or better.
 KEEP = 0.5
 #: Tokens that a Python worker remembers; beyond it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 
 
 def shape(token: str) -> str:
@@ -73,12 +73,12 @@ class Tokens:
         numbers = self.numbers(text or "")
         n = len(numbers)
         if not n:
-            return np.zeros(0, np.int64), np.zeros(0)
+            return np.zeros(0, np.int32), np.zeros(0, np.float32)
         shapes = self.shapes[numbers]
         buckets = [shapes % BUCKETS, (shapes[:-1] * 31 + shapes[1:] + 7) % BUCKETS, self.words[numbers] % BUCKETS]
         found, values = np.unique(np.concatenate(buckets), return_counts=True)
         lags = np.array([np.count_nonzero(numbers[d:] == numbers[:-d]) if n > d else 0 for d in range(1, LAGS + 1)] + [n - len(np.unique(numbers))])
-        return np.concatenate((found, BUCKETS + np.arange(LAGS + 1))), np.concatenate((values, lags)) / n
+        return np.concatenate((found, BUCKETS + np.arange(LAGS + 1))).astype(np.int32), (np.concatenate((values, lags)) / n).astype(np.float32)
 
 
 def _link(x):
@@ -140,9 +140,11 @@ def grade_texts(docs: DataFrame, model: dict, columns: list[str], text_col: str
         grader = Grader(**model)
         kind = pa.struct([("expected_grade", pa.float64()), ("tail", pa.list_(pa.float64()))])
         for batch in batches:
-            found = [grader.grade(x) for x in batch.column(len(columns)).to_pylist()]
-            graded = pa.array([{"expected_grade": a, "tail": b} for a, b in found], kind)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], graded], [*columns, "graded"])
+            for low in range(0, batch.num_rows, 1000):
+                part = batch.slice(low, 1000)
+                found = [grader.grade(x) for x in part.column(len(columns)).to_pylist()]
+                graded = pa.array([{"expected_grade": a, "tail": b} for a, b in found], kind)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], graded], [*columns, "graded"])
 
     schema = T.StructType([*(docs.schema[c] for c in columns), T.StructField("graded", GRADE)])
     return docs.select(*columns, F.col(text_col).alias("text to grade")).mapInArrow(run, schema)
