@@ -179,7 +179,7 @@ def _each(df: DataFrame, schema: str, columns: int, work) -> DataFrame:
 def _often(rows: DataFrame, *key: str) -> DataFrame:
     """rows whose key occurs twice or more; the join can split hot keys, as it doesn't reuse the aggregate's distribution."""
     other = F.xxhash64(*key)
-    many = rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(other.alias("other")).distinct()
+    many = rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(other.alias("other"))
     return rows.withColumn("other", other).join(many, "other", "left_semi").drop("other")
 
 
