@@ -43,7 +43,7 @@ def _positions(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     f"""WITH {SPANS_SQL}, r AS (SELECT conv_id, turn, t * 2 AS a, t * 2 + 10 AS b FROM positions)
     SELECT r.conv_id, r.turn, a AS norm_start, b AS norm_end, coalesce(min(s), a) AS orig_start, coalesce(max(e), b) AS orig_end
-    FROM r LEFT JOIN words w ON r.conv_id = w.conv_id AND r.turn = w.turn AND 2 * e > a AND 2 * s < b GROUP BY ALL"""
+    FROM r LEFT JOIN words w ON r.conv_id = w.conv_id AND r.turn = w.turn AND 2 * e > a AND 2 * s < b GROUP BY r.conv_id, r.turn, a, b"""
 )
 def map_via_spans(spark: SparkSession, sf: str) -> DataFrame:
     spans = _words(spark, sf).select(*KEYS, (F.col("start") * 2).alias("norm_start"), (F.col("end_pos") * 2).alias("norm_end"), F.col("start").alias("orig_start"), F.col("end_pos").alias("orig_end"))
