@@ -27,11 +27,17 @@ def local_session(cpus: int | str = 8, partitions: int = 8, memory: str = "20g")
     )
 
 
+#: Rows of an Arrow batch unless the session says otherwise than Spark's default: texts may be long, and a worker holds a batch or two.
+BATCH_KEY, BATCH_DEFAULT, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package wherever the driver started."""
+    """Let Python workers import this package wherever the driver started, and hand them texts in batches that fit."""
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+    if spark.conf.get(BATCH_KEY) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_KEY, BATCH_ROWS)
     return spark
 
 
