@@ -24,7 +24,7 @@ END_ID = 2
 #: A group holds about so many windows, and about so many pieces.
 GROUP_WINDOWS, GROUP_PIECES = 2048, 50_000
 #: Words whose ids a Python worker remembers; beyond it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 class WordTokenizer:
@@ -177,17 +177,25 @@ def pack_pieces(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     group = F.pmod(F.xxhash64("start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups))
     dealt = pieces.withColumn("group", group).repartition(groups, "group").sortWithinPartitions("group", F.desc("length"), "ids_crc32", "start", "id")
 
-    def run(frames: Iterator) -> Iterator:
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
         group, windows, used = None, None, 0
-        for frame in frames:
-            for now, part in frame.groupby("group", sort=False):
-                if now != group:
-                    group, windows, used = now, OpenWindows(window), 0
-                numbers, offsets, used = best_fit(part["length"].tolist(), window, windows, used)
-                yield part[names].assign(sequence_id=[(int(now) << 40) + x for x in numbers], offset=offsets)
+        for batch in batches:
+            groups, lengths = batch.column("group").to_numpy(), batch.column("length").to_numpy()
+            edges = [0, *(np.flatnonzero(groups[1:] != groups[:-1]) + 1).tolist(), len(groups)]
+            numbers, offsets = [], []
+            for low, high in zip(edges, edges[1:]):
+                if low < high and groups[low] != group:
+                    group, windows, used = groups[low], OpenWindows(window), 0
+                found, at, used = best_fit(lengths[low:high].tolist(), window, windows, used)
+                numbers += [(int(group) << 40) + x for x in found]
+                offsets += at
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(numbers, pa.int64()), pa.array(offsets, pa.int64())], [*names, "sequence_id", "offset"])
 
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return dealt.mapInPandas(run, schema)
+    return dealt.mapInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:

@@ -27,7 +27,7 @@ STEPS, RATE, SHRINK = 150, 0.1, 1e-5
 #: Texts are kept at this probability of the selection grade or better.
 KEEP = 0.5
 #: Tokens that a Python worker remembers; beyond it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 def shape(token: str) -> str:
@@ -133,6 +133,8 @@ GRADE = T.StructType([T.StructField("expected_grade", T.DoubleType()), T.StructF
 
 def grade_texts(docs: DataFrame, model: dict, columns: list[str], text_col: str = "text") -> DataFrame:
     """docs' columns with graded: struct<expected_grade, tail>."""
+    read = docs.select(*columns) if text_col in columns else docs.select(*columns, F.col(text_col).alias("text to grade"))
+    at = columns.index(text_col) if text_col in columns else len(columns)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -142,12 +144,12 @@ def grade_texts(docs: DataFrame, model: dict, columns: list[str], text_col: str
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
                 part = batch.slice(low, 1000)
-                found = [grader.grade(x) for x in part.column(len(columns)).to_pylist()]
+                found = [grader.grade(x) for x in part.column(at).to_pylist()]
                 graded = pa.array([{"expected_grade": a, "tail": b} for a, b in found], kind)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], graded], [*columns, "graded"])
 
     schema = T.StructType([*(docs.schema[c] for c in columns), T.StructField("graded", GRADE)])
-    return docs.select(*columns, F.col(text_col).alias("text to grade")).mapInArrow(run, schema)
+    return read.mapInArrow(run, schema)
 
 
 def selected(graded: Column, model: dict, grade: int | None = None, keep: float = KEEP) -> tuple[Column, Column]:
