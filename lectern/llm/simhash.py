@@ -173,7 +173,9 @@ def _candidates(classes: DataFrame) -> DataFrame:
     many = settle(many.join(ranks, "node"), "ranked")
     hubs = many.groupBy("bucket").agg(F.max(F.struct("rank", F.bitwise_not("node").alias("node"))).alias("hub"), F.max(F.struct(F.xxhash64("node", "bucket").alias("h"), "node")).alias("any"))
     hubs = hubs.select(F.bitwise_not("bucket").alias("other"), F.array(F.bitwise_not("hub.node"), "any.node").alias("hubs"))
-    stars = many.withColumn("other", F.bitwise_not("bucket")).join(hubs, "other").select("node", F.explode("hubs").alias("hub")).where("node <> hub")
+    stars = many.withColumn("other", F.bitwise_not("bucket")).join(hubs, "other")
+    stars = stars.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_set("hubs"))).alias("hubs"))  # two for each of its buckets at most
+    stars = stars.select("node", F.explode("hubs").alias("hub")).where("node <> hub")
     stars = stars.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
     return pairs.unionByName(stars).distinct()
 
