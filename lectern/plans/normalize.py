@@ -130,7 +130,7 @@ def phases(terms: dict[str, str] | None = None, code_terms: dict[str, str] | Non
         ("quotes", "[«»“”‘’]", lambda m: F.when(m.isin("‘", "’"), "'").otherwise('"')),
         ("dash", "[—–]", said("-")),
         ("newlines", r"\n{3,}", said("\n\n")),
-        ("spaces", r"[ \t]+", changed(lambda m: F.lit(" "))),
+        ("spaces", r"\t[ \t]*| [ \t]+", said(" ")),
         ("url", r"""(?:https?|ftp|ssh|git)://[^\s<>"')]*[^\s<>"').,;:!?]""", lambda m: url_words(m, known)),
         ("email", r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}", email),
         ("bare url", rf"""(?<![\p{{L}}\p{{N}}_/\\])(?:[a-zA-Z0-9-]+\.)+[a-zA-Z0-9-]+(?:/(?:[^\s<>"')]*[^\s<>"').,;:!?])?)?""", schemeless),
