@@ -45,8 +45,10 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
 def corrupt_files(spark: SparkSession, path: str) -> DataFrame:
     """(file, content) of history documents that can't be read, to be set aside by whoever owns them."""
     found = _documents(spark, path, HISTORY)
-    bad = F.col("_corrupt_record").isNotNull()
-    return found.select(F.col("_corrupt_record").alias("content"), "entries").where(F.col("entries").isNull() & F.col("content").isNotNull()).select("content") if not found.inputFiles() else found.where(bad).select(F.col("_metadata.file_path").alias("file"), F.col("_corrupt_record").alias("content"))
+    if not found.inputFiles():
+        return spark.createDataFrame([], "file string, content string")
+    bad = F.col("entries").isNull() & F.col("_corrupt_record").isNotNull()
+    return found.where(bad).select(F.col("_metadata.file_path").alias("file"), F.col("_corrupt_record").alias("content"))
 
 
 def write_history(entries: DataFrame, path: str) -> None:
