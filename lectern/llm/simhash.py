@@ -157,8 +157,8 @@ def text_key(text):
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
-def _candidates(classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes that share a bucket in some table of some sketch."""
+def _candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of nodes that share a bucket in some table of some sketch, and more for those that these leave in separate groups."""
     masks = [_signed(m) for m in covering_masks(RADIUS)]
     rows = classes.select("node", F.posexplode("sketches").alias("k", "sketch"))
     keys = F.array(*[F.xxhash64(F.col("k") * len(masks) + i, F.col("sketch").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])
@@ -172,12 +172,15 @@ def _candidates(classes: DataFrame) -> DataFrame:
     ranks = settle(many.groupBy("node").agg(F.sum("n").alias("rank")), "ranks")  # a text that its copies vary meets most others
     many = settle(many.join(ranks, "node"), "ranked")
     hubs = many.groupBy("bucket").agg(F.max(F.struct("rank", F.bitwise_not("node").alias("node"))).alias("hub"), F.max(F.struct(F.xxhash64("node", "bucket").alias("h"), "node")).alias("any"))
-    hubs = hubs.select(F.bitwise_not("bucket").alias("other"), F.array(F.bitwise_not("hub.node"), "any.node").alias("hubs"))
+    hubs = hubs.select(F.bitwise_not("bucket").alias("other"), F.bitwise_not("hub.node").alias("first"), F.col("any.node").alias("second"))
     stars = many.withColumn("other", F.bitwise_not("bucket")).join(hubs, "other")
-    stars = stars.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_set("hubs"))).alias("hubs"))  # two for each of its buckets at most
-    stars = stars.select("node", F.explode("hubs").alias("hub")).where("node <> hub")
-    stars = stars.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-    return pairs.unionByName(stars).distinct()
+    stars = settle(stars.groupBy("node").agg(F.collect_set("first").alias("first"), F.collect_set("second").alias("second")), "stars")  # one of its buckets at most
+
+    def spread(which: str) -> DataFrame:
+        each = stars.select("node", F.explode(which).alias("hub")).where("node <> hub")
+        return each.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+
+    return pairs.unionByName(spread("first")).distinct(), spread("second").distinct()
 
 
 def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text_col: str, least: float) -> DataFrame:
@@ -218,14 +221,21 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     Groups join texts whose sets of SHINGLE-word shingles have a Jaccard similarity of at least `least`. SimHash fingerprints are
     taken of the set of words, as an edit changes one word and SHINGLE shingles: copies then stay within the radius of the masks in
     some of the SKETCHES fingerprints. Buckets of more than SMALL texts compare each member with the one that meets most others, from
-    which copies have been varied, and with one at random. Null texts count as empty; texts without words are alike only if equal.
+    which copies have been varied, and, where that leaves the two in separate groups, with one at random. Null texts count as empty; texts without words are alike only if equal.
     """
     sketched = settle(_sketched(docs, id_col, text_col), "sketched")
     classes = sketched.groupBy("key").agg(F.min("id").alias("least_id"), F.first("sketches").alias("sketches"))
     classes = settle(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    pairs = _candidates(classes.where(F.exists("sketches", lambda x: x != 0)))
-    links = _similar(pairs, classes, docs, text_col, least).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    pairs, more = _candidates(classes.where(F.exists("sketches", lambda x: x != 0)))
+    ends = F.col("a").alias("u"), F.col("b").alias("v")
+    links = settle(_similar(pairs, classes, docs, text_col, least).select(*ends), "links")
     roots = settle(connected_components(links), "roots")
+    root = lambda k: roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))
+    apart = more.join(root("a"), "a", "left").join(root("b"), "b", "left").where("coalesce(root_a, a) <> coalesce(root_b, b)")
+    apart = settle(apart.select("a", "b"), "apart")
+    if not apart.isEmpty():
+        links = links.unionByName(_similar(apart, classes, docs, text_col, least).select(*ends))
+        roots = settle(connected_components(links), "roots")
     return settle(classes.select("key", "least_id", "node").join(roots, "node", "left").select("key", "least_id", F.coalesce("root", "node").alias("group")), "groups")
 
 
