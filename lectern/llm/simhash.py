@@ -166,7 +166,9 @@ def _candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     met = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select(F.bitwise_not("bucket").alias("other"), "n")
     rows = settle(rows.withColumn("other", F.bitwise_not("bucket")).join(met, "other").select("bucket", "node", "n"), "members")
     few = rows.where(F.col("n") <= SMALL).groupBy("bucket").agg(F.sort_array(F.collect_list("node")).alias("nodes")).select("nodes").distinct()
-    pairs = few.select(F.posexplode("nodes").alias("i", "a"), "nodes").select("a", F.explode(F.expr("slice(nodes, i + 2, size(nodes))")).alias("b"))
+    near = few.select(F.get("nodes", 0).alias("a"), F.explode(F.expr("slice(nodes, 2, size(nodes))")).alias("b"))
+    rest = few.where("size(nodes) > 2").select(F.posexplode(F.expr("slice(nodes, 2, size(nodes))")).alias("i", "a"), "nodes")
+    rest = rest.select("a", F.explode(F.expr("slice(nodes, i + 3, size(nodes))")).alias("b"))
 
     many = rows.where(F.col("n") > SMALL)
     ranks = settle(many.groupBy("node").agg(F.sum("n").alias("rank")), "ranks")  # a text that its copies vary meets most others
@@ -180,7 +182,7 @@ def _candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
         each = stars.select("node", F.explode(which).alias("hub")).where("node <> hub")
         return each.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
 
-    return pairs.unionByName(spread("first")).distinct(), spread("second").distinct()
+    return near.unionByName(spread("first")).distinct(), rest.unionByName(spread("second")).distinct()
 
 
 def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text_col: str, least: float) -> DataFrame:
