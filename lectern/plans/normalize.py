@@ -73,7 +73,7 @@ def url_words(url: Column, terms: dict[str, str]) -> Column:
     query = F.transform(pairs, lambda x: F.concat_ws(" равно ", _say(decoded(F.substring_index(x, "=", 1)), PART, terms), _say(decoded(F.regexp_extract(x, "=(.*)$", 1)), PART, terms)))
     scheme = F.when(part(1) != "", F.concat(F.coalesce(N.lookup(L.PROTOCOLS, part(1)), part(1)), F.lit(" двоеточие слэш слэш")))
     return F.concat_ws(
-        " ", scheme, host_words(part(2), terms), F.when(part(3) != "", F.concat(F.lit("двоеточие "), N.number_words(part(3)))), F.array_join(F.transform(steps, lambda x: F.concat(F.lit("слэш "), x)), " "),
+        " ", scheme, host_words(part(2), terms), F.when(part(3) != "", F.concat(F.lit("двоеточие "), N.number_words(part(3)))), F.nullif(F.array_join(F.transform(steps, lambda x: F.concat(F.lit("слэш "), x)), " "), F.lit("")),
         F.when(part(5) != "", F.concat(F.lit("вопросительный знак "), F.array_join(query, " "))), F.when(part(6) != "", F.concat(F.lit("решётка "), _say(decoded(part(6)), PART, terms))),
     )
 
@@ -133,7 +133,7 @@ def phases(terms: dict[str, str] | None = None, code_terms: dict[str, str] | Non
         ("spaces", r"\t[ \t]*| [ \t]+", said(" ")),
         ("url", r"""(?:https?|ftp|ssh|git)://[^\s<>"')]*[^\s<>"').,;:!?]""", lambda m: url_words(m, known)),
         ("email", r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}", email),
-        ("bare url", rf"""(?<![\p{{L}}\p{{N}}_/\\])(?:[a-zA-Z0-9-]+\.)+[a-zA-Z0-9-]+(?:/(?:[^\s<>"')]*[^\s<>"').,;:!?])?)?""", schemeless),
+        ("bare url", rf"""(?i)(?<![\p{{L}}\p{{N}}_/\\])(?:www\.(?:[a-z0-9-]+\.)*[a-z0-9-]+|(?:[a-z0-9-]+\.)+(?:{"|".join(L.TLDS)})(?![a-z0-9-]|\.[a-z0-9]))(?:/(?:[^\s<>"')]*[^\s<>"').,;:!?])?)?""", schemeless),
         ("ip", _NO + r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}" + _YES, N.ip_words),
         ("path", r"[~/][a-zA-Z0-9_./ \-]+\.[a-zA-Z0-9]+|[~/][a-zA-Z0-9_./\-]+", lambda m: F.when(m.contains("/"), _say(m, PATH, known))),
         ("size", rf"(?iu){_NO}\d+(?:\.\d+)?\s*(?:KB|MB|GB|TB|ms|sec|min|hr|px|em|rem|vh|vw|кб|мб|гб|тб){_YES}", changed(N.size_words)),
@@ -146,7 +146,7 @@ def phases(terms: dict[str, str] | None = None, code_terms: dict[str, str] | Non
         ("fraction", r"(?<![\p{L}\p{N}_./\\])\.\d+", lambda m: N.float_words(F.concat(F.lit("0"), m))),
         ("operator", either(L.OPERATORS), named(L.OPERATORS)),
         ("symbol", "[" + "".join(L.SYMBOLS) + "]", named(L.SYMBOLS)),
-        ("about", r"~\s*\d", lambda m: F.concat(F.lit("около "), F.right(m, F.lit(1)))),
+        ("about", r"~\s*\d+", lambda m: F.concat(F.lit("около "), F.regexp_extract(m, r"\d+$", 0))),
         ("camel", rf"{_NO}[a-z]+(?:[A-Z][a-z]*)+{_YES}|{_NO}[A-Z][a-z]+(?:[A-Z][a-z]+)+{_YES}", camel),
         ("snake", rf"{_NO}[a-zA-Z_][a-zA-Z0-9]*(?:_[a-zA-Z0-9]+)+{_YES}", lambda m: S.read_parts(S.split_snake_case(m), code)),
         ("kebab", rf"{_NO}[a-zA-Z][a-zA-Z0-9]*(?:-[a-zA-Z0-9]+)+{_YES}", lambda m: S.read_parts(S.split_kebab_case(m), code)),

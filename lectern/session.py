@@ -21,6 +21,7 @@ def local_session(cpus: int | str = 8, partitions: int = 8, memory: str = "20g")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.maxPlanStringLength", "100000")  # the normaliser's plan is large, and described before it runs
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
