@@ -108,29 +108,47 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return found.join(named, "fingerprint", "left").select("id", "fingerprint", "component_id")
 
 
-#: For near duplicates by similarity: independent fingerprints of a text, words of a shingle, and the least Jaccard similarity.
-SKETCHES, SHINGLE, SIMILAR = 16, 5, 0.8
-#: Texts further apart than this mean number of bits a fingerprint are not compared; texts of 0.8 are ten apart at most on average.
-FAR_BITS = 14
-#: Members of smaller buckets are compared with each other, those of larger ones with two of them.
-SMALL = 8
+#: For near duplicates by similarity: words of a shingle, and the least Jaccard similarity.
+SHINGLE, SIMILAR = 5, 0.8
+#: Bits of a parity: they differ in no more places than two sets of shingles do.
+PARITY_BITS = 1024
+#: Texts, and shingles of them, that decide which shingles are common and come last in prefixes; any order gives the same links.
+ORDER_TEXTS, ORDER_SHINGLES = 4000, 50_000
+#: Texts of a bucket among which a nearest forest is sought at once.
+CHUNK = 1024
+
+
+def shingle_set(text: bytes | None):
+    """Sorted XXH64 of a text's different shingles."""
+    import numpy as np
+
+    return np.unique(shingle_hashes(text, SHINGLE))
+
 
+def prefix_length(n: int, least: float) -> int:
+    """Of two sets of a similarity of `least` or more, the first so many members of each, under one order for all, share one."""
+    import math
 
-def word_sketches(text: bytes | None, count: int = SKETCHES):
-    """Fingerprints of the set of a text's words, each under a hash function of its own."""
+    return n - math.ceil(least * n - 1e-6) + 1 if n else 0
+
+
+def prefix(hashes, least: float, common, counts):
+    """The first members of a sorted set: those not in `common` (sorted) first, then by count, then by value."""
     import numpy as np
-    from xxhash import xxh64_intdigest
 
-    words = set(text.lower().split()) if text else ()
-    h = np.array([xxh64_intdigest(x) for x in words], dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        out = []
-        for k in range(1, count + 1):
-            x = h ^ np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            out.append(_signed(majority(x ^ (x >> np.uint64(31)))))
-    return out
+    k = prefix_length(len(hashes), least)
+    if not len(common):
+        return hashes[:k]
+    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+    return hashes[np.lexsort((hashes, np.where(common[at] == hashes, counts[at], 0)))[:k]]
+
+
+def parity(hashes) -> bytes:
+    """Whether the number of members that fall on each of PARITY_BITS places is odd."""
+    import numpy as np
+
+    places = (hashes % np.uint64(PARITY_BITS)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=PARITY_BITS) & 1).astype(np.uint8)).tobytes()
 
 
 def jaccard(a, b) -> float:
@@ -141,15 +159,38 @@ def jaccard(a, b) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _common_shingles(docs: DataFrame, text_col: str):
+    """(sorted hashes, counts) of shingles that several of about ORDER_TEXTS texts have."""
+    import numpy as np
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            found = [word_sketches(x) for x in batch.column(2).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], ["key", "id", "sketches"])
+            for x in batch.column(0).cast(pa.binary()).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(x).view(np.int64))], ["shingle"])
+
+    some = docs.where(F.pmod(F.xxhash64(text_col), F.lit(max(1, docs.count() // ORDER_TEXTS))) == 0)
+    counts = some.select(F.col(text_col).alias("text")).mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
+    found = sorted((r.shingle % 2**64, r.n) for r in counts.where("n > 2").orderBy(F.desc("n"), "shingle").limit(ORDER_SHINGLES).collect())
+    return np.array([x for x, _ in found], np.uint64), np.array([n for _, n in found], np.int64)
+
+
+def _prefixed(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
+    """(key, id, n, parity, prefix) of every row of docs; n is the number of its different shingles."""
+    common, counts = _common_shingles(docs, text_col)
 
-    schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("id", docs.schema[id_col].dataType), T.StructField("sketches", T.ArrayType(T.LongType()))])
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            sets = [shingle_set(x) for x in batch.column(2).cast(pa.binary()).to_pylist()]
+            first = pa.array([prefix(x, least, common, counts).view(np.int64) for x in sets], pa.list_(pa.int64()))
+            columns = [batch.column(0), batch.column(1), pa.array(map(len, sets), pa.int64()), pa.array(map(parity, sets), pa.binary()), first]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "id", "n", "parity", "prefix"])
+
+    schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("id", docs.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("parity", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
     return docs.select(text_key(F.col(text_col)).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
@@ -157,49 +198,108 @@ def text_key(text):
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
-def _candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of nodes that share a bucket in some table of some sketch, and more for those that these leave in separate groups."""
-    masks = [_signed(m) for m in covering_masks(RADIUS)]
-    rows = classes.select("node", F.posexplode("sketches").alias("k", "sketch"))
-    keys = F.array(*[F.xxhash64(F.col("k") * len(masks) + i, F.col("sketch").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])
-    rows = rows.select("node", F.explode(keys).alias("bucket"))
-    met = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select(F.bitwise_not("bucket").alias("other"), "n")
-    rows = settle(rows.withColumn("other", F.bitwise_not("bucket")).join(met, "other").select("bucket", "node", "n"), "members")
-    few = rows.where(F.col("n") <= SMALL).groupBy("bucket").agg(F.sort_array(F.collect_list("node")).alias("nodes")).select("nodes").distinct()
-    near = few.select(F.get("nodes", 0).alias("a"), F.explode(F.expr("slice(nodes, 2, size(nodes))")).alias("b"))
-    rest = few.where("size(nodes) > 2").select(F.posexplode(F.expr("slice(nodes, 2, size(nodes))")).alias("i", "a"), "nodes")
-    rest = rest.select("a", F.explode(F.expr("slice(nodes, i + 3, size(nodes))")).alias("b"))
+def _apart(i: int, others, n, bits):
+    """Share of the members of text i and each other one that are in one of them alone, at least; 1 where sizes alone forbid links."""
+    import numpy as np
+
+    return np.maximum(np.bitwise_count(bits[others] ^ bits[i]).sum(1, dtype=np.int64), np.abs(n[others] - n[i])) / (n[others] + n[i])
+
+
+def nearest_forest(n, bits, bound: float) -> list[tuple[int, int]]:
+    """Pairs that may be similar, of a least spanning tree of each CHUNK texts and of their first ones."""
+    import numpy as np
+
+    out = []
+    for low in range(0, len(n), CHUNK):
+        left = np.arange(low + 1, min(low + CHUNK, len(n)))
+        near, by = _apart(low, left, n, bits), np.full(len(left), low)
+        if low:
+            out += [(0, low)] * bool(_apart(0, np.array([low]), n, bits)[0] <= bound)
+        while len(left):
+            k = int(near.argmin())
+            i, at, distance = int(left[k]), int(by[k]), near[k]
+            if distance <= bound:
+                out.append((at, i))
+            left, near, by = np.delete(left, k), np.delete(near, k), np.delete(by, k)
+            if len(left):
+                new = _apart(i, left, n, bits)
+                by = np.where(new < near, i, by)
+                near = np.minimum(near, new)
+    return out
+
+
+def pairs_across(n, bits, roots, bound: float) -> list[tuple[int, int]]:
+    """All pairs of different roots that may be similar."""
+    import numpy as np
+
+    out = []
+    for i in range(len(n) - 1):
+        others = i + 1 + np.flatnonzero(roots[i + 1 :] != roots[i])
+        if len(others):
+            out += [(i, int(x)) for x in others[_apart(i, others, n, bits) <= bound]]
+    return out
+
+
+def _bucket_pairs(members: DataFrame, least: float, across: bool) -> DataFrame:
+    """Pairs (a, b) of nodes of a bucket of members (node, n, parity, buckets, root) that may have a similarity of `least`."""
+    rows = members.select(F.explode("buckets").alias("bucket"), "node", "n", "parity", "root")
+    if across:
+        sizes = members.select(F.explode("buckets").alias("bucket"), "root").groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size"))
+        rows = rows.join(sizes.where("x <> y AND size > 2").select("bucket"), "bucket", "left_semi")
+    bound = (1 - least) / (1 + least) + 1e-9
 
-    many = rows.where(F.col("n") > SMALL)
-    ranks = settle(many.groupBy("node").agg(F.sum("n").alias("rank")), "ranks")  # a text that its copies vary meets most others
-    many = settle(many.join(ranks, "node"), "ranked")
-    hubs = many.groupBy("bucket").agg(F.max(F.struct("rank", F.bitwise_not("node").alias("node"))).alias("hub"), F.max(F.struct(F.xxhash64("node", "bucket").alias("h"), "node")).alias("any"))
-    hubs = hubs.select(F.bitwise_not("bucket").alias("other"), F.bitwise_not("hub.node").alias("first"), F.col("any.node").alias("second"))
-    stars = many.withColumn("other", F.bitwise_not("bucket")).join(hubs, "other")
-    stars = settle(stars.groupBy("node").agg(F.collect_set("first").alias("first"), F.collect_set("second").alias("second")), "stars")  # one of its buckets at most
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
 
-    def spread(which: str) -> DataFrame:
-        each = stars.select("node", F.explode(which).alias("hub")).where("node <> hub")
-        return each.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+        def compared(parts):
+            node, n, root = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 3))
+            bits = np.frombuffer(b"".join(x for p in parts for x in p[2]), np.uint64).reshape(len(node), -1)
+            pairs = np.array(pairs_across(n, bits, root, bound) if across else nearest_forest(n, bits, bound), np.int64).reshape(-1, 2)
+            a, b = node[pairs[:, 0]], node[pairs[:, 1]]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    return near.unionByName(spread("first")).distinct(), rest.unionByName(spread("second")).distinct()
+        open_bucket, parts = None, []
+        for batch in batches:
+            buckets, node, n, root = (batch.column(k).to_numpy() for k in (0, 1, 2, 4))
+            bits = batch.column(3).to_pylist()
+            edges = [0, *(np.flatnonzero(buckets[1:] != buckets[:-1]) + 1).tolist(), len(buckets)]
+            for low, high in zip(edges, edges[1:]):
+                if low == high:
+                    continue
+                if buckets[low] != open_bucket and parts:
+                    yield compared(parts)
+                    parts = []
+                open_bucket = buckets[low]
+                parts.append((node[low:high], n[low:high], bits[low:high], root[low:high]))
+        if parts:
+            yield compared(parts)
+
+    dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "node")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _members(classes: DataFrame) -> DataFrame:
+    """(node, n, parity, buckets) of the texts that share a member of their prefixes with another; a bucket is a set of such texts."""
+    tokens = classes.select("node", F.explode("prefix").alias("token"))
+    buckets = tokens.groupBy("token").agg(F.sort_array(F.collect_list("node")).alias("nodes")).where("size(nodes) > 1").select("nodes").distinct()
+    buckets = settle(buckets.withColumn("bucket", F.monotonically_increasing_id()), "buckets")
+    held = buckets.select("bucket", F.explode("nodes").alias("node")).groupBy("node").agg(F.collect_list("bucket").alias("buckets"))
+    return settle(held.join(classes.select("node", "n", "parity"), "node"), "members")
 
 
 def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text_col: str, least: float) -> DataFrame:
     """The pairs (a, b) whose texts have a Jaccard similarity of shingles of at least `least`."""
-    near = pairs.join(classes.select(F.col("node").alias("a"), F.col("sketches").alias("x")), "a").join(classes.select(F.col("node").alias("b"), F.col("sketches").alias("y")), "b")
-    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = settle(near.where(apart <= FAR_BITS * SKETCHES).select("a", "b"), "near")
+    near = settle(pairs, "near")
     nodes = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
     wanted = settle(nodes.join(classes.select("node", "key"), "node"), "wanted")
     texts = docs.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text")).join(wanted, "key").select("node", "text")
 
     def sets(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            found = [np.unique(shingle_hashes(x, SHINGLE)).view(np.int64) for x in batch.column(1).cast(pa.binary()).to_pylist()]
+            found = [shingle_set(x) for x in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in found], pa.binary())], ["node", "shingles"])
 
     shingles = settle(texts.mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"]), "shingles")
@@ -210,7 +310,7 @@ def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text_col: st
         import pyarrow as pa
 
         for batch in batches:
-            x, y = ([np.sort(np.frombuffer(s.as_py(), np.uint64)) for s in batch.column(i)] for i in (2, 3))
+            x, y = ([np.frombuffer(s.as_py(), np.uint64) for s in batch.column(i)] for i in (2, 3))
             kept = pa.array([jaccard(p, q) >= least for p, q in zip(x, y)], pa.bool_())
             yield batch.select([0, 1]).filter(kept)
 
@@ -220,21 +320,20 @@ def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text_col: st
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR) -> DataFrame:
     """(key, least_id, group) for every distinct text: its text_key, the smallest id that has it, and its group's number (long).
 
-    Groups join texts whose sets of SHINGLE-word shingles have a Jaccard similarity of at least `least`. SimHash fingerprints are
-    taken of the set of words, as an edit changes one word and SHINGLE shingles: copies then stay within the radius of the masks in
-    some of the SKETCHES fingerprints. Buckets of more than SMALL texts compare each member with the one that meets most others, from
-    which copies have been varied, and, where that leaves the two in separate groups, with one at random. Null texts count as empty; texts without words are alike only if equal.
+    Groups join texts whose sets of SHINGLE-word shingles have a Jaccard similarity of at least `least`, all of them: such texts share
+    one of the first shingles (prefix_length) under an order common to all, rare ones first. Of the texts that share one, those of a
+    nearest forest are compared first, then all pairs that this leaves in separate groups. Parities of the sets are compared before the
+    sets; they drop only pairs that can't be similar. Null texts count as empty; texts without words are alike only if equal.
     """
-    sketched = settle(_sketched(docs, id_col, text_col), "sketched")
-    classes = sketched.groupBy("key").agg(F.min("id").alias("least_id"), F.first("sketches").alias("sketches"))
+    prefixed = settle(_prefixed(docs, id_col, text_col, least), "prefixed")
+    classes = prefixed.groupBy("key").agg(F.min("id").alias("least_id"), *(F.first(x).alias(x) for x in ("n", "parity", "prefix")))
     classes = settle(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    pairs, more = _candidates(classes.where(F.exists("sketches", lambda x: x != 0)))
+    members = _members(classes)
     ends = F.col("a").alias("u"), F.col("b").alias("v")
-    links = settle(_similar(pairs, classes, docs, text_col, least).select(*ends), "links")
+    links = settle(_similar(_bucket_pairs(members.withColumn("root", F.col("node")), least, False), classes, docs, text_col, least).select(*ends), "links")
     roots = settle(connected_components(links), "roots")
-    root = lambda k: roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))
-    apart = more.join(root("a"), "a", "left").join(root("b"), "b", "left").where("coalesce(root_a, a) <> coalesce(root_b, b)")
-    apart = settle(apart.select("a", "b"), "apart")
+    rooted = settle(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    apart = settle(_bucket_pairs(rooted, least, True), "apart")
     if not apart.isEmpty():
         links = links.unionByName(_similar(apart, classes, docs, text_col, least).select(*ends))
         roots = settle(connected_components(links), "roots")

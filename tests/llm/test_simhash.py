@@ -128,3 +128,65 @@ def test_near_duplicates_like_brute_force(spark):
 def test_no_documents(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.first_of_groups(docs).count() == 0 and simhash.near_duplicates(docs).count() == 0
+
+
+def groups_by_brute_force(rows):
+    root = list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for _, t in rows]
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) > 0 or (rows[i][1] or "") == (rows[j][1] or ""):
+            root[max(top(i), top(j))] = min(top(i), top(j))
+    found = {}
+    for i, (k, _) in enumerate(rows):
+        found.setdefault(top(i), set()).add(k)
+    return sorted(map(sorted, found.values()))
+
+
+def groups(spark, rows):
+    found = {}
+    for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found.setdefault(r.group, set()).add(r.id)
+    return sorted(map(sorted, found.values()))
+
+
+def invented(r, n):
+    return ["".join(r.choices("abcdefghij", k=r.randint(3, 8))) for _ in range(n)]
+
+
+def test_block_edits_like_brute_force(spark):
+    """Copies with a block more, less or replaced, at similarities about 0.8 to 0.9."""
+    r, rows = random.Random(11), []
+    for i in range(60):
+        w = invented(r, r.randint(60, 400))
+        n = len(w)
+        part = lambda x: int(n * x)
+        rows.append((10 * i, " ".join(w)))
+        rows.append((10 * i + 1, " ".join(w + invented(r, part(r.uniform(0.11, 0.26))))))
+        rows.append((10 * i + 2, " ".join(w[: part(r.uniform(0.78, 0.9))])))
+        at = r.randint(0, n // 2)
+        rows.append((10 * i + 3, " ".join(w[:at] + invented(r, k := part(r.uniform(0.05, 0.12))) + w[at + k :])))
+    expected = groups_by_brute_force(rows)
+    assert 60 < len(expected) < 240
+    assert groups(spark, rows) == expected
+
+
+def test_prefixes_of_similar_sets_meet():
+    import numpy as np
+
+    r = random.Random(14)
+    for _ in range(300):
+        n = r.randint(1, 60)
+        base = r.sample(range(1000), n + 20)
+        a, b = (np.array(sorted(x), np.uint64) for x in (base[:n], base[r.randint(0, n // 8) : n + r.randint(0, n // 8)]))
+        common = np.array(sorted(r.sample(range(1000), 200)), np.uint64)
+        counts = np.array(r.choices(range(3, 9), k=200))
+        if simhash.jaccard(a, b) >= 0.8:
+            assert set(simhash.prefix(a, 0.8, common, counts)) & set(simhash.prefix(b, 0.8, common, counts))
+        x, y = (np.frombuffer(simhash.parity(z), np.uint64) for z in (a, b))
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
