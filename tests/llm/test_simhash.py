@@ -176,6 +176,21 @@ def test_block_edits_like_brute_force(spark):
     assert groups(spark, rows) == expected
 
 
+def test_variants_without_their_template(spark):
+    """Large buckets without a text that is near the others: few pairs link, and each of them counts."""
+    r, rows = random.Random(12), []
+    for words, edits, count in ((300, 5, 250), (300, 4, 60)):
+        template = invented(r, words)
+        for _ in range(count):
+            w = list(template)
+            for k in r.sample(range(words), edits):
+                w[k] = invented(r, 1)[0]
+            rows.append((len(rows), " ".join(w)))
+    expected = groups_by_brute_force(rows)
+    assert any(len(x) > 1 for x in expected) and len(expected) > 100
+    assert groups(spark, rows) == expected
+
+
 def test_prefixes_of_similar_sets_meet():
     import numpy as np
 
