@@ -191,6 +191,18 @@ def test_variants_without_their_template(spark):
     assert groups(spark, rows) == expected
 
 
+def test_texts_of_few_words_with_a_tail_of_new_ones(spark):
+    """Sets of words that differ much more than those of shingles."""
+    r, rows = random.Random(13), []
+    for i in range(8):
+        few = invented(r, 100)
+        w = r.choices(few, k=2000)
+        rows += [(10 * i, " ".join(w)), (10 * i + 1, " ".join(w + invented(r, 400))), (10 * i + 2, " ".join(w + invented(r, 700)))]
+    expected = groups_by_brute_force(rows)
+    assert sorted(map(len, expected)) == [1] * 8 + [2] * 8
+    assert groups(spark, rows) == expected
+
+
 def test_prefixes_of_similar_sets_meet():
     import numpy as np
 
