@@ -62,9 +62,6 @@ class WordTokenizer:
     def _learn(self, new: set[str]) -> None:
         from array import array
 
-        if len(self.known) > REMEMBERED:
-            self.known = {"": b""}
-            self.words = {}
         stems = {w: (w[:-1] if w[-1] in ".," and w[:-1].isalpha() else w) for w in new}
         stems = {w: x.lower() if x.isascii() and x.isalpha() else x for w, x in stems.items()}
         rest, merge, words = [], self.full.model.tokenize, self.words
@@ -78,10 +75,12 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts]
-        if new := set().union(*parts).difference(self.known):
+        words = set().union(*parts)
+        if new := words.difference(self.known):
+            if len(self.known) > REMEMBERED:  # before all words of these texts are learned: they are looked up below, however many they are
+                self.known, self.words = {"": b""}, {}
+                new = words.difference(self.known)
             self._learn(new)
-            if missing := set().union(*parts).difference(self.known):
-                self._learn(missing)
         return [b"".join(map(self.known.__getitem__, x)) for x in parts]
 
 
