@@ -5,7 +5,8 @@ score minus threshold k, fitted by the sum of the logistic losses of all thresho
 expected grade and the probability of the selection grade or better.
 
 A text's features are shares: of its token shapes (letters, digits and other signs, runs cut short) and pairs of them, of hashed words,
-and of tokens that repeat the token 1 to 8 places before them or have been seen before.
+and of tokens that repeat the token 1 to 8 places before them or have been seen before. A run without white space is cut into tokens of
+LONGEST characters: texts of scripts that set no spaces are read as a whole.
 
 Edge cases (tests/llm/test_quality.py): null and empty texts have no features, are scored by the thresholds alone and are rejected
 only if the share of low grades says so; without ratings, or with one grade alone, every text is kept; repeated rows and null ids keep
@@ -26,6 +27,8 @@ BUCKETS, LAGS = 1 << 16, 8
 STEPS, RATE, SHRINK = 150, 0.1, 1e-5
 #: Texts are kept at this probability of the selection grade or better.
 KEEP = 0.5
+#: Longer runs without white space are cut into tokens of so many characters.
+LONGEST = 200
 #: Tokens that a Python worker remembers; beyond it starts anew.
 REMEMBERED = 150_000
 
@@ -33,7 +36,7 @@ REMEMBERED = 150_000
 def shape(token: str) -> str:
     """Classes of a token's characters, runs of one class as one or, if longer, two signs."""
     out, last, run = [], "", 0
-    for c in token[:200]:
+    for c in token:
         k = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
         run = run + 1 if k == last else 1
         if run <= 2:
@@ -42,6 +45,14 @@ def shape(token: str) -> str:
     return "".join(out)
 
 
+def pieces(text: str) -> list[str]:
+    """A text's tokens: what stands between white space, in pieces of LONGEST characters, so that all of it is read."""
+    found = text.split()
+    if len(text) <= LONGEST or max(map(len, found), default=0) <= LONGEST:
+        return found
+    return [x[k : k + LONGEST] for x in found for k in range(0, len(x), LONGEST)]
+
+
 class Tokens:
     """Tokens by number, with the buckets of their shape and their word."""
 
@@ -57,7 +68,7 @@ class Tokens:
 
         if len(self.number) > REMEMBERED:
             self.__init__()
-        parts, known = text.split(), self.number
+        parts, known = pieces(text), self.number
         for x in set(parts).difference(known):
             n = known[x] = len(known)
             if n >= len(self.shapes):

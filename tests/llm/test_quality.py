@@ -81,3 +81,14 @@ def test_odd_texts():
     grader = quality.Grader(np.zeros(quality.BUCKETS + quality.LAGS + 1), np.array([0.0]), np.array([0, 1]))
     for text in ("x" * 10**6, "x " * 200_000, "　 \n", "😀" * 1000):
         assert grader.grade(text)[1] == [0.5]
+
+
+def test_all_of_a_text_without_white_space_is_read():
+    tokens = quality.Tokens()
+    plain, spoilt = tokens.features("ab" * 500), tokens.features("ab" * 400 + "A!?9" * 50)
+    rare = set(spoilt[0].tolist()) - set(plain[0].tolist())
+    assert len(rare) >= 3
+    assert "".join(quality.pieces("x" * 1001 + " y\n" + "z" * 200)) == "x" * 1001 + "y" + "z" * 200
+    model = quality.fit(["ab" * 500, "ab" * 400 + "A!?9" * 50] * 20, np.array([1, 0] * 20), np.ones(40))
+    good, bad = (quality.Grader(**model).grade("ab" * 100 + "cd" * 400 + end)[0] for end in ("ef" * 100, "A!?9" * 50))
+    assert good > bad + 0.2
