@@ -23,30 +23,47 @@ WINDOW = 4096
 END_ID = 2
 #: A group holds about so many windows, and about so many pieces.
 GROUP_WINDOWS, GROUP_PIECES = 2048, 50_000
-#: Words whose ids a Python worker remembers; beyond it starts anew.
-REMEMBERED = 200_000
+#: Words whose ids a Python worker remembers, about.
+REMEMBERED = 800_000
+
+
+#: What WordTokenizer relies on: white space splits before anything else, letters are lower-cased, a word's last token has a suffix.
+SPLITS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Letters that normalisation leaves alone, and signs that never join a letter before them.
+LETTERS, SIGNS = "a-zß-öø-ÿ", "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def goes_by_words(spec: dict) -> bool:
+    """Whether a tokenizer's file says that the ids of a text are those of its words, lower-cased."""
+    normal, split = spec.get("normalizer") or {}, (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    kinds = [x.get("type") for x in normal.get("normalizers") or []]
+    pattern = split[0].get("pattern") or {}
+    return kinds == ["NFC", "Replace", "Lowercase"] and split[0].get("behavior") == "Removed" and pattern.get("Regex") == SPLITS and spec["model"].get("end_of_word_suffix") == "</w>"
 
 
 class WordTokenizer:
-    """Ids of whole texts as little-endian unsigned 32-bit values, word by word.
+    """Ids of whole texts as little-endian unsigned 32-bit values.
 
-    For tokenizers that split at white space before anything else and lower-case their input, so that the ids of a text are those
-    of its words; vocabularies of that kind reuse most words, which are looked up here instead of merged again.
+    Where the tokenizer goes by words, they are looked up instead of merged again: vocabularies of text reuse most words. Those of the
+    last REMEMBERED or so are kept, in two generations, so that frequent words stay. Other tokenizers read every text in full.
     """
 
     _at: dict[str, WordTokenizer] = {}
 
     def __init__(self, path: str):
+        import json
         import re
 
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
         self.full.no_padding(), self.full.no_truncation()
-        self.plain = re.compile("[a-z]+").fullmatch
+        self.by_words = goes_by_words(json.loads(self.full.to_str()))
+        self.plain = re.compile(f"[{LETTERS}]+").fullmatch
         self.known: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
-        self.marks = {x: self._slow([x])[0] for x in ".,"}
+        self.former: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
+        self.last = {i for x, i in self.full.get_vocab().items() if x.endswith("</w>")} if self.by_words else set()
 
     @classmethod
     def at(cls, path: str) -> WordTokenizer:
@@ -54,46 +71,91 @@ class WordTokenizer:
             cls._at[path] = cls(path)
         return cls._at[path]
 
-    def _slow(self, words: list[str]) -> list[bytes]:
+    def _slow(self, texts: list[str]) -> list[bytes]:
         from array import array
 
-        return [array("I", x.ids).tobytes() for x in self.full.encode_batch_fast(words, add_special_tokens=False)]
+        return [array("I", x.ids).tobytes() for x in self.full.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: set[str]) -> None:
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, which end with a token of `last` each."""
         from array import array
 
-        stems = {w: (w[:-1] if w[-1] in ".," and w[:-1].isalpha() else w) for w in new}
-        stems = {w: x.lower() if x.isascii() and x.isalpha() else x for w, x in stems.items()}
-        rest, merge, words = [], self.full.model.tokenize, self.words
-        for x in set(stems.values()).difference(words):
-            if self.plain(x):
-                words[x] = array("I", [t.id for t in merge(x)]).tobytes()
+        out, last = [], self.last
+        for low in range(0, len(words), 2000):
+            part = words[low : low + 2000]
+            ids = array("I", self.full.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids)
+            ends = [i for i, x in enumerate(ids, 1) if x in last]
+            if len(ends) != len(part):
+                return out + self._slow(words[low:])
+            flat = ids.tobytes()
+            out += [flat[4 * a : 4 * z] for a, z in zip([0, *ends], ends)]
+        return out
+
+    def _learn(self, new: set[str]) -> None:
+        known, former, marks, plain = self.known, self.former, self.marks, self.plain
+        stems: dict[str, str] = {}
+        rest, found = [], {}
+        for w in new:
+            if w in former:
+                known[w] = former[w]
+                continue
+            x = w.rstrip(SIGNS).lower()
+            if plain(x):
+                stems[w] = x
+                found[x] = known.get(x) or former.get(x)
             else:
-                rest.append(x)
-        words.update(zip(rest, self._slow(rest)))
-        self.known.update((w, words[x] if len(w) == len(x) else words[x] + self.marks[w[-1]]) for w, x in stems.items())
+                rest.append(w)
+        known.update(zip(rest, self._slow(rest)))
+        words = [x for x, ids in found.items() if not ids]
+        found.update(zip(words, self._letters(words)))
+        for w, x in stems.items():
+            mark = w[len(x) :]
+            if mark not in marks:
+                if len(marks) > REMEMBERED // 10:
+                    marks.clear()
+                marks[mark] = self._slow([mark])[0]
+            known[w] = found[x] + marks[mark] if mark else found[x]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_words:
+            return self._slow(texts)
         parts = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts]
         words = set().union(*parts)
         if new := words.difference(self.known):
-            if len(self.known) > REMEMBERED:  # before all words of these texts are learned: they are looked up below, however many they are
-                self.known, self.words = {"": b""}, {}
+            if len(self.known) > REMEMBERED // 2:  # before all words of these texts are learned: they are looked up below, however many they are
+                self.known, self.former = {"": b""}, self.known
                 new = words.difference(self.known)
             self._learn(new)
         return [b"".join(map(self.known.__getitem__, x)) for x in parts]
 
 
+def narrow(ids: bytes) -> bytes:
+    """32-bit ids as 16-bit ones where all fit, which halves what is stored and shuffled; the number of ids tells which."""
+    import numpy as np
+
+    wide = np.frombuffer(ids, "<u4")
+    return wide.astype("<u2").tobytes() if not len(wide) or wide.max() < 1 << 16 else ids
+
+
+def widened(column, lengths):
+    """array<int> of narrow() bytes."""
+    import numpy as np
+    import pyarrow as pa
+
+    cuts = [np.frombuffer(x, "<u2" if len(x) == 2 * n else "<u4").astype(np.int32) for x, n in zip(column.to_pylist(), lengths.tolist())]
+    ends = np.cumsum([0] + [len(x) for x in cuts]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(cuts) if cuts else np.zeros(0, np.int32)))
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """(id, start, length, ids_crc32, doc_tokens[, ids]): full windows of each document and what is left; ids as array<int>."""
+    """(id, start, length, ids_crc32, doc_tokens[, ids]): full windows of each document and what is left; ids in narrow() bytes."""
     fields = [T.StructField("id", docs.schema[id_col].dataType)] + [T.StructField(x, T.LongType()) for x in ("start", "length", "ids_crc32", "doc_tokens")]
     if with_ids:
-        fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
+        fields.append(T.StructField("ids", T.BinaryType()))
 
     def run(batches: Iterator) -> Iterator:
         import zlib
 
-        import numpy as np
         import pyarrow as pa
 
         known, step, end = WordTokenizer.at(tokenizer), 4 * window, int(end_id).to_bytes(4, "little")
@@ -110,8 +172,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                         totals.append(len(ids) // 4)
                 columns = [part.column(0).take(pa.array(rows, pa.int32())), pa.array(starts, pa.int64()), pa.array([len(x) // 4 for x in cuts], pa.int64()), pa.array(map(zlib.crc32, cuts), pa.int64()), pa.array(totals, pa.int64())]
                 if with_ids:
-                    ends = np.cumsum([0] + [len(x) // 4 for x in cuts]).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(cuts), "<i4"))))
+                    columns.append(pa.array(map(narrow, cuts), pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, [x.name for x in fields])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, T.StructType(fields))
@@ -169,7 +230,7 @@ def best_fit(lengths: list[int], window: int, windows: OpenWindows, used: int) -
 
 
 def pack_pieces(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
-    """pieces with sequence_id and offset (long); pieces must be a stored table, which is read twice."""
+    """pieces with sequence_id and offset (long), ids as array<int>; pieces must be a stored table, which is read twice."""
     total = pieces.agg(F.sum("length"), F.count("*")).first()
     groups = max(1, -(-(total[0] or 0) // (window * GROUP_WINDOWS)), -(-total[1] // GROUP_PIECES))
     names = pieces.columns
@@ -191,9 +252,11 @@ def pack_pieces(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
                 found, at, used = best_fit(lengths[low:high].tolist(), window, windows, used)
                 numbers += [(int(group) << 40) + x for x in found]
                 offsets += at
-            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(numbers, pa.int64()), pa.array(offsets, pa.int64())], [*names, "sequence_id", "offset"])
+            columns = [widened(batch.column(x), lengths) if x == "ids" else batch.column(x) for x in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(numbers, pa.int64()), pa.array(offsets, pa.int64())], [*names, "sequence_id", "offset"])
 
-    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    kept = [T.StructField("ids", T.ArrayType(T.IntegerType())) if x.name == "ids" else x for x in pieces.schema.fields]
+    schema = T.StructType([*kept, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return dealt.mapInArrow(run, schema)
 
 

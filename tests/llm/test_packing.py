@@ -17,7 +17,7 @@ def tokenizer():
 
 TEXTS = [
     None, "", " \n\t ", "Hello, World. It's don't Été naïve ΣΣΣ. été", "<|endoftext|> and <|ENDOFTEXT|>, x<|startoftext|>.", "a.b,c.. d,, ,. . 12,5 1999.",
-    "tab\tcr\rff\x0cnbsp em us\x1fx", "你好，世界. \U0001f600, word́.", "word " * 9000, "unbroken" * 2000, "'s 'T 'll, we'll.", "İstanbul ß ẞ, ǅ.",
+    "tab\tcr\rff\x0cnbsp em us\x1fx", "你好，世界. \U0001f600, word́.", "word " * 9000, "unbroken" * 2000, "'s 'T 'll, we'll.", "İstanbul ß ẞ, ǅ.", "— —, 12, e\u0301, e\u0301\u0301,, \u0301, x_y_ _, d'été*** ÀÉ; \u212bm, \u212a&&&.",
 ]
 
 
@@ -89,3 +89,33 @@ def test_more_new_words_than_are_remembered(monkeypatch, tokenizer):
     for low in (0, 30, 15, 0):
         texts = [f"old word w{i}x{i}, {i * 7919}" for i in range(low, low + 40)]
         assert words.encode(texts) == [b"".join(x.to_bytes(4, "little") for x in tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_other_tokenizers_read_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    other = Tokenizer(models.WordLevel({"a b": 3, "a": 4, "?": 5}, unk_token="?"))
+    other.pre_tokenizer = pre_tokenizers.Split(",", "removed")
+    other.save(str(tmp_path / "other.json"))
+    read = packing.WordTokenizer(str(tmp_path / "other.json"))
+    assert not read.by_words
+    assert read.encode(["a b,a", "b", ""]) == [b"\3\0\0\0\4\0\0\0", b"\5\0\0\0", b""]
+
+
+def test_ids_keep_their_width():
+    import numpy as np
+    import pyarrow as pa
+
+    pieces = [np.array(x, "<u4").tobytes() for x in ([1, 65535], [65536], [2])]
+    stored = [packing.narrow(x) for x in pieces]
+    assert [len(x) for x in stored] == [4, 4, 2]
+    assert packing.widened(pa.array(stored), np.array([2, 1, 1])).to_pylist() == [[1, 65535], [65536], [2]]
+
+
+def test_words_equal_the_full_tokenizer(tokenizer):
+    r = random.Random(5)
+    words = packing.WordTokenizer(word_vocabulary())
+    assert words.by_words
+    parts = ["the", "Été", "naïve", "ß", "12", "—", "'s", "'T", ",", "***", "_", "`", "\u0301", "Σ", "x", "\u212a", "İ", "&&", "<|endoftext|>", "你", "ﬁ", "\xad", "\x0c", "\u2003"]
+    texts = [" ".join("".join(r.choices(parts, k=r.randint(1, 4))) for _ in range(30)) for _ in range(400)]
+    assert words.encode(texts) == [b"".join(x.to_bytes(4, "little") for x in tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
