@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
 import uuid
+import weakref
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,9 +45,11 @@ def ready(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset and all run on one machine, one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="lectern-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(named)
@@ -60,4 +64,22 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: later steps neither recompute it nor lose it with an executor."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _SETTLED[table] = path
+    return table
+
+
+#: Folders of the tables that settle() returned.
+_SETTLED: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing will read again, and let Spark drop shuffles that no plan holds any more."""
+    for table in tables:
+        if path := _SETTLED.pop(table, None):
+            spark = table.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    gc.collect()
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
