@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm.graph import connected_components
-from lectern.session import settle
+from lectern.session import forget, settle
 
 BLOCK = 1 << 16
 #: Fingerprints link at this many differing bits or fewer; covering_links() relies on two.
@@ -110,8 +110,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 #: For near duplicates by similarity: words of a shingle, and the least Jaccard similarity.
 SHINGLE, SIMILAR = 5, 0.8
-#: Bits of a parity: they differ in no more places than two sets of shingles do.
-PARITY_BITS = 1024
+#: Bits of a parity for each member of a set, at least; parities differ in no more places than their sets do.
+PARITY_SHARE = 2
 #: Texts, and shingles of them, that decide which shingles are common and come last in prefixes; any order gives the same links.
 ORDER_TEXTS, ORDER_SHINGLES = 4000, 50_000
 #: Texts of a bucket among which a nearest forest is sought at once.
@@ -144,11 +144,42 @@ def prefix(hashes, least: float, common, counts):
 
 
 def parity(hashes) -> bytes:
-    """Whether the number of members that fall on each of PARITY_BITS places is odd."""
+    """Whether the number of members that fall on each place is odd, for a power of two of places: PARITY_SHARE a member, 64 at least."""
     import numpy as np
 
-    places = (hashes % np.uint64(PARITY_BITS)).astype(np.int64)
-    return np.packbits((np.bincount(places, minlength=PARITY_BITS) & 1).astype(np.uint8)).tobytes()
+    places = 1 << max(6, (PARITY_SHARE * len(hashes) - 1).bit_length())
+    at = (hashes & np.uint64(places - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=places) & 1).astype(np.uint8)).tobytes()
+
+
+class Parities:
+    """Parities of different sizes; halves of one, laid over each other, are the parity of half as many places."""
+
+    def __init__(self, n, parities: list[bytes]):
+        import numpy as np
+
+        self.n = n
+        self.words = np.array([len(x) // 8 for x in parities], np.int64)
+        self.at = np.zeros(len(parities), np.int64)
+        self.full, self.half = {}, {}
+        for size in np.unique(self.words).tolist():
+            which = np.flatnonzero(self.words == size)
+            self.at[which] = np.arange(len(which))
+            table = self.full[size] = np.frombuffer(b"".join([parities[i] for i in which.tolist()]), np.uint64).reshape(len(which), size)
+            if size > 1:
+                self.half[size] = table[:, : size // 2] ^ table[:, size // 2 :]
+
+    def apart(self, i: int, others):
+        """Share of the members of set i and each other one that are in one of them alone, at least."""
+        import numpy as np
+
+        least, size, sizes = np.abs(self.n[others] - self.n[i]), int(self.words[i]), self.words[others]
+        mine = self.full[size][self.at[i]]
+        for theirs, tables, own in ((size, self.full, mine), (2 * size, self.half, mine), (size // 2, self.full, mine[: size // 2] ^ mine[size // 2 :] if size > 1 else None)):
+            if theirs in tables and own is not None and len(which := np.flatnonzero(sizes == theirs)):
+                found = np.bitwise_count(tables[theirs][self.at[others[which]]] ^ own).sum(1, dtype=np.int64)
+                least[which] = np.maximum(least[which], found)
+        return least / np.maximum(1, self.n[others] + self.n[i])
 
 
 def jaccard(a, b) -> float:
@@ -198,23 +229,16 @@ def text_key(text):
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
-def _apart(i: int, others, n, bits):
-    """Share of the members of text i and each other one that are in one of them alone, at least; 1 where sizes alone forbid links."""
-    import numpy as np
-
-    return np.maximum(np.bitwise_count(bits[others] ^ bits[i]).sum(1, dtype=np.int64), np.abs(n[others] - n[i])) / (n[others] + n[i])
-
-
-def nearest_forest(n, bits, bound: float) -> list[tuple[int, int]]:
+def nearest_forest(sets: Parities, bound: float) -> list[tuple[int, int]]:
     """Pairs that may be similar, of a least spanning tree of each CHUNK texts and of their first ones."""
     import numpy as np
 
     out = []
-    for low in range(0, len(n), CHUNK):
-        left = np.arange(low + 1, min(low + CHUNK, len(n)))
-        near, by = _apart(low, left, n, bits), np.full(len(left), low)
+    for low in range(0, len(sets.n), CHUNK):
+        left = np.arange(low + 1, min(low + CHUNK, len(sets.n)))
+        near, by = sets.apart(low, left), np.full(len(left), low)
         if low:
-            out += [(0, low)] * bool(_apart(0, np.array([low]), n, bits)[0] <= bound)
+            out += [(0, low)] * bool(sets.apart(0, np.array([low]))[0] <= bound)
         while len(left):
             k = int(near.argmin())
             i, at, distance = int(left[k]), int(by[k]), near[k]
@@ -222,21 +246,21 @@ def nearest_forest(n, bits, bound: float) -> list[tuple[int, int]]:
                 out.append((at, i))
             left, near, by = np.delete(left, k), np.delete(near, k), np.delete(by, k)
             if len(left):
-                new = _apart(i, left, n, bits)
+                new = sets.apart(i, left)
                 by = np.where(new < near, i, by)
                 near = np.minimum(near, new)
     return out
 
 
-def pairs_across(n, bits, roots, bound: float) -> list[tuple[int, int]]:
+def pairs_across(sets: Parities, roots, bound: float) -> list[tuple[int, int]]:
     """All pairs of different roots that may be similar."""
     import numpy as np
 
     out = []
-    for i in range(len(n) - 1):
+    for i in range(len(roots) - 1):
         others = i + 1 + np.flatnonzero(roots[i + 1 :] != roots[i])
         if len(others):
-            out += [(i, int(x)) for x in others[_apart(i, others, n, bits) <= bound]]
+            out += [(i, int(x)) for x in others[sets.apart(i, others) <= bound]]
     return out
 
 
@@ -254,8 +278,8 @@ def _bucket_pairs(members: DataFrame, least: float, across: bool) -> DataFrame:
 
         def compared(parts):
             node, n, root = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 3))
-            bits = np.frombuffer(b"".join(x for p in parts for x in p[2]), np.uint64).reshape(len(node), -1)
-            pairs = np.array(pairs_across(n, bits, root, bound) if across else nearest_forest(n, bits, bound), np.int64).reshape(-1, 2)
+            sets = Parities(n, [x for p in parts for x in p[2]])
+            pairs = np.array(pairs_across(sets, root, bound) if across else nearest_forest(sets, bound), np.int64).reshape(-1, 2)
             a, b = node[pairs[:, 0]], node[pairs[:, 1]]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
@@ -285,36 +309,34 @@ def _members(classes: DataFrame) -> DataFrame:
     buckets = tokens.groupBy("token").agg(F.sort_array(F.collect_list("node")).alias("nodes")).where("size(nodes) > 1").select("nodes").distinct()
     buckets = settle(buckets.withColumn("bucket", F.monotonically_increasing_id()), "buckets")
     held = buckets.select("bucket", F.explode("nodes").alias("node")).groupBy("node").agg(F.collect_list("bucket").alias("buckets"))
-    return settle(held.join(classes.select("node", "n", "parity"), "node"), "members")
+    members = settle(held.join(classes.select("node", "n", "parity"), "node"), "members")
+    forget(buckets)
+    return members
 
 
 def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text_col: str, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts have a Jaccard similarity of shingles of at least `least`."""
+    """The pairs, as (u, v) in a stored table, whose texts have a Jaccard similarity of shingles of at least `least`.
+
+    Texts travel with the pairs, as they compress, and their sets are taken again where they meet; parities leave few other pairs.
+    """
     near = settle(pairs, "near")
     nodes = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
     wanted = settle(nodes.join(classes.select("node", "key"), "node"), "wanted")
     texts = docs.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text")).join(wanted, "key").select("node", "text")
-
-    def sets(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            found = [shingle_set(x) for x in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in found], pa.binary())], ["node", "shingles"])
-
-    shingles = settle(texts.mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"]), "shingles")
-    full = near.join(shingles.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(shingles.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+    texts = settle(texts.dropDuplicates(["node"]), "texts")
+    full = near.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
 
     def compare(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            x, y = ([np.frombuffer(s.as_py(), np.uint64) for s in batch.column(i)] for i in (2, 3))
-            kept = pa.array([jaccard(p, q) >= least for p, q in zip(x, y)], pa.bool_())
-            yield batch.select([0, 1]).filter(kept)
+            x, y = (batch.column(i).cast(pa.binary()) for i in (2, 3))
+            kept = [jaccard(shingle_set(p.as_py()), shingle_set(q.as_py())) >= least for p, q in zip(x, y)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["u", "v"]).filter(pa.array(kept, pa.bool_()))
 
-    return full.mapInArrow(compare, "a long, b long")
+    links = settle(full.mapInArrow(compare, "u long, v long"), "links")
+    forget(near, wanted, texts)
+    return links
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR) -> DataFrame:
@@ -325,19 +347,21 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     nearest forest are compared first, then all pairs that this leaves in separate groups. Parities of the sets are compared before the
     sets; they drop only pairs that can't be similar. Null texts count as empty; texts without words are alike only if equal.
     """
-    prefixed = settle(_prefixed(docs, id_col, text_col, least), "prefixed")
+    prefixed = _prefixed(docs, id_col, text_col, least)
     classes = prefixed.groupBy("key").agg(F.min("id").alias("least_id"), *(F.first(x).alias(x) for x in ("n", "parity", "prefix")))
     classes = settle(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     members = _members(classes)
-    ends = F.col("a").alias("u"), F.col("b").alias("v")
-    links = settle(_similar(_bucket_pairs(members.withColumn("root", F.col("node")), least, False), classes, docs, text_col, least).select(*ends), "links")
+    links = _similar(_bucket_pairs(members.withColumn("root", F.col("node")), least, False), classes, docs, text_col, least)
     roots = settle(connected_components(links), "roots")
     rooted = settle(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    forget(members)
     apart = settle(_bucket_pairs(rooted, least, True), "apart")
     if not apart.isEmpty():
-        links = links.unionByName(_similar(apart, classes, docs, text_col, least).select(*ends))
+        links = links.unionByName(_similar(apart, classes, docs, text_col, least))
         roots = settle(connected_components(links), "roots")
-    return settle(classes.select("key", "least_id", "node").join(roots, "node", "left").select("key", "least_id", F.coalesce("root", "node").alias("group")), "groups")
+    groups = settle(classes.select("key", "least_id", "node").join(roots, "node", "left").select("key", "least_id", F.coalesce("root", "node").alias("group")), "groups")
+    forget(classes, rooted, apart)
+    return groups
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR) -> DataFrame:
@@ -351,6 +375,7 @@ def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = near_duplicate_classes(docs, id_col, text_col, least)
     order = F.struct(F.col("least_id").isNull().alias("no_id"), "least_id", "key")
     kept = settle(classes.groupBy("group").agg(F.min(order).alias("kept")).select("kept.least_id", "kept.key"), "kept")
+    forget(classes)
     row = lambda key, name: F.sha2(F.concat_ws(" ", key, F.coalesce(name.cast("string"), F.lit("none"))), 256)
     names = row(text_key(F.col(text_col)), F.col(id_col))
     rows = docs.withColumn("row to keep", names).join(kept.select(row(F.col("key"), F.col("least_id")).alias("row to keep")), "row to keep", "left_semi")

@@ -215,5 +215,19 @@ def test_prefixes_of_similar_sets_meet():
         counts = np.array(r.choices(range(3, 9), k=200))
         if simhash.jaccard(a, b) >= 0.8:
             assert set(simhash.prefix(a, 0.8, common, counts)) & set(simhash.prefix(b, 0.8, common, counts))
-        x, y = (np.frombuffer(simhash.parity(z), np.uint64) for z in (a, b))
-        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
+def test_parities_differ_no_more_than_their_sets():
+    import numpy as np
+
+    r = random.Random(15)
+    sets = [np.array(sorted(r.sample(range(1 << 40), r.choice([0, 1, 5, 31, 32, 33, 40, 300]))), np.uint64) for _ in range(40)]
+    sets += [np.array(sorted(r.sample(x.tolist(), len(x) * 9 // 10)), np.uint64) for x in sets]
+    n = np.array(list(map(len, sets)))
+    found = simhash.Parities(n, list(map(simhash.parity, sets)))
+    for i in range(len(sets)):
+        apart = np.array([len(np.setxor1d(sets[i], x)) for x in sets])
+        least = found.apart(i, np.arange(len(sets))) * np.maximum(1, n + n[i])
+        assert (least <= apart + 1e-6).all() and (least >= np.abs(n - n[i]) - 1e-6).all()
+        near = apart <= n[i] // 8
+        assert (least[near] >= apart[near] * 0.6).all()
