@@ -2,7 +2,8 @@
 
 Words are runs of letters and digits (any character beyond ASCII counts as a letter) after A-Z are lower-cased. A window is `window`
 consecutive words of a benchmark item, or the whole item if it has fewer. Of the k-gram hashes of each window the least is its
-fingerprint, so any span of `window` words that a document shares with an item gives both the same fingerprint. Documents without a
+fingerprint, so any span of `window` words that a document shares with an item gives both the same fingerprint. Consecutive windows
+often share theirs, which is kept once for all of them. Documents without a
 benchmark fingerprint are left alone; in the others, the windows that carry one are extended to whole windows and compared word by
 word. A document word inside any occurrence of a window is hit.
 
@@ -21,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.session import settle
+from lectern.session import forget, settle
 
 WINDOW, GRAM = 13, 5
 #: Distinct windows of the benchmark are broadcast up to so many (a few hundred bytes each); beyond, the joins are shuffled.
@@ -36,8 +37,16 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.filter(F.split(lowered, BETWEEN), lambda w: w != ""), F.array().cast("array<string>"))
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def fingerprints_of(words: Column, length: int, gram: int) -> Column:
-    """The fingerprint of every window of `length` words: the least of the hashes of its grams."""
+    """array<struct<fingerprint, start, stop>>: the least gram hash of each window of `length` words, once for a run of windows.
+
+    A run is of consecutive windows (start to stop, exclusive) with the same fingerprint; null for texts of fewer words.
+    """
     gram = min(gram, length)
     span = length - gram + 1
 
@@ -45,10 +54,14 @@ def fingerprints_of(words: Column, length: int, gram: int) -> Column:
         least = lambda i: F.least(*[F.get(hashes, i + j) for j in range(span)]) if span > 1 else F.get(hashes, i)
         return F.transform(F.sequence(F.lit(0), F.size(hashes) - span), least)
 
+    def runs(found: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(found) - 1), lambda i: (i == 0) | (F.get(found, i) != F.get(found, i - 1)))
+        run = lambda starts: F.transform(starts, lambda s, k: F.struct(F.get(found, s).alias("fingerprint"), s.alias("start"), F.coalesce(F.get(starts, k + 1), F.size(found)).alias("stop")))
+        return _bound(first, run)
+
     starts = F.sequence(F.lit(0), F.size(words) - gram)
     hashes = F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(gram)]))
-    found = F.element_at(F.transform(F.array(hashes), windows), 1)
-    return F.when(F.size(words) >= length, found)
+    return F.when(F.size(words) >= length, _bound(_bound(hashes, windows), runs))
 
 
 def _windows(items: DataFrame, item_id: str, item_text: str, window: int, gram: int) -> DataFrame:
@@ -60,14 +73,14 @@ def _windows(items: DataFrame, item_id: str, item_text: str, window: int, gram:
 
 
 def _hits(docs: DataFrame, items: DataFrame, text_col: str, item_id: str, item_text: str, window: int, gram: int) -> DataFrame:
-    """(key, n_hit, hits, items) of every distinct text with hits, by its SHA-256; a stored table."""
+    """(key, n_words, n_hit, hits, items) of every distinct text with hits, by its SHA-256; a stored table."""
     windows = settle(_windows(items, item_id, item_text, window, gram).distinct(), "windows")
     lengths = sorted(r[0] for r in windows.select("length").distinct().collect())  # at most `window` numbers
     if not lengths:
-        return docs.sparkSession.createDataFrame([], "key string, n_hit long, hits array<struct<start:int,end:int>>, items array<string>")
+        return docs.sparkSession.createDataFrame([], "key string, n_words long, n_hit long, hits array<struct<start:int,end:int>>, items array<string>")
 
     texts = settle(windows.select("length", "words").distinct().withColumn("window_id", F.monotonically_increasing_id()), "texts")
-    marked = reduce(lambda c, n: c.when(F.col("length") == n, F.get(fingerprints_of(F.col("words"), n, gram), 0)), lengths, F.when(F.lit(False), F.lit(0)))
+    marked = reduce(lambda c, n: c.when(F.col("length") == n, F.get(fingerprints_of(F.col("words"), n, gram), 0)["fingerprint"]), lengths, F.when(F.lit(False), F.lit(0)))
     texts = settle(texts.withColumn("fingerprint", marked.cast("long")), "marked")
     owners = windows.join(texts, ["length", "words"]).select("window_id", F.col("item_id").cast("string").alias("item"))
     prints = texts.select("fingerprint").distinct()
@@ -78,15 +91,19 @@ def _hits(docs: DataFrame, items: DataFrame, text_col: str, item_id: str, item_t
 
     words = docs.select(F.sha2(F.col(text_col), 256).alias("key"), words_of(F.col(text_col)).alias("words"))
     packed = F.array(*[F.struct(F.lit(n).alias("length"), fingerprints_of(F.col("words"), n, gram).alias("found")) for n in lengths])
-    each = words.select("key", "words", F.explode(packed).alias("at")).select("key", "words", "at.length", F.posexplode("at.found").alias("start", "fingerprint"))
-    each = each.join(prints, "fingerprint", "left_semi").select("key", "length", "fingerprint", "start", F.slice("words", F.col("start") + 1, F.col("length")).alias("words"))
-    found = settle(each.join(texts, ["length", "fingerprint", "words"]).select("key", "start", (F.col("start") + F.col("length")).alias("end"), "window_id"), "found")
+    each = words.select("key", "words", F.explode(packed).alias("at")).select("key", "words", "at.length", F.explode("at.found").alias("run"))
+    each = each.select("key", "words", "length", "run.*").join(prints, "fingerprint", "left_semi")
+    each = each.select("key", "words", "length", "fingerprint", F.explode(F.sequence("start", F.col("stop") - 1)).alias("start"))
+    each = each.select("key", F.size("words").alias("n_words"), "length", "fingerprint", "start", F.slice("words", F.col("start") + 1, F.col("length")).alias("words"))
+    found = settle(each.join(texts, ["length", "fingerprint", "words"]).select("key", "n_words", "start", (F.col("start") + F.col("length")).alias("end"), "window_id"), "found")
 
-    hits = found.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("hits"))
+    hits = found.groupBy("key").agg(F.first("n_words").cast("long").alias("n_words"), F.array_sort(F.collect_set(F.struct("start", "end"))).alias("hits"))
     items = found.select("key", "window_id").distinct().join(owners, "window_id").groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
     step = lambda acc, x: F.struct((acc["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(x["start"], acc["end"]))).alias("n"), F.greatest(acc["end"], x["end"]).alias("end"))
-    return settle(hits.join(items, "key", "left").select("key", F.aggregate("hits", zero, step)["n"].cast("long").alias("n_hit"), "hits", "items"), "hits")
+    hit = settle(hits.join(items, "key", "left").select("key", "n_words", F.aggregate("hits", zero, step)["n"].cast("long").alias("n_hit"), "hits", "items"), "hits")
+    forget(found)
+    return hit
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -97,7 +114,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """
     hit = _hits(docs, items, text_col, item_id, item_text, window, gram)
     base = docs.select(F.col(id_col).alias("id"), F.sha2(F.col(text_col), 256).alias("key"), F.size(words_of(F.col(text_col))).cast("long").alias("n_words"))
-    full = base.join(hit, "key", "left")
+    full = base.join(hit.drop("n_words"), "key", "left")
     return full.select("id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("hits", F.array()).alias("hits"), F.coalesce("items", F.array()).alias("items"))
 
 
@@ -108,7 +125,7 @@ def is_contaminated(n_hit: Column, n_words: Column) -> Column:
 
 def uncontaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """The rows of docs that are not contaminated, as they are."""
-    hit = _hits(docs, items, text_col, item_id, item_text, window, gram).select(F.col("key").alias("hit text"), F.col("n_hit").alias("hit words"))
-    rows = docs.join(hit, F.sha2(F.col(text_col), 256) == F.col("hit text"), "left")
-    bad = F.when(F.col("hit words").isNotNull(), is_contaminated(F.col("hit words"), F.size(words_of(F.col(text_col))))).otherwise(False)
-    return rows.where(~bad).select(*docs.columns)
+    hit = _hits(docs, items, text_col, item_id, item_text, window, gram)
+    bad = settle(hit.where(is_contaminated(F.col("n_hit"), F.col("n_words"))).select(F.unhex("key").alias("contaminated text")), "contaminated")
+    forget(hit)
+    return docs.join(bad, F.unhex(F.sha2(F.col(text_col), 256)) == F.col("contaminated text"), "left_anti").select(*docs.columns)

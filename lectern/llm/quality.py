@@ -142,7 +142,16 @@ class Grader:
 GRADE = T.StructType([T.StructField("expected_grade", T.DoubleType()), T.StructField("tail", T.ArrayType(T.DoubleType()))])
 
 
-def grade_texts(docs: DataFrame, model: dict, columns: list[str], text_col: str = "text") -> DataFrame:
+def keep_texts(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
+    """The rows of docs, as they are, whose chance of the highest grade suffices."""
+    name = "graded"
+    while name.lower() in {x.lower() for x in docs.columns}:
+        name += "_"
+    _, keep = selected(F.col(name), model)
+    return grade_texts(docs, model, docs.columns, text_col, name).where(keep).select(*docs.columns)
+
+
+def grade_texts(docs: DataFrame, model: dict, columns: list[str], text_col: str = "text", name: str = "graded") -> DataFrame:
     """docs' columns with graded: struct<expected_grade, tail>."""
     read = docs.select(*columns) if text_col in columns else docs.select(*columns, F.col(text_col).alias("text to grade"))
     at = columns.index(text_col) if text_col in columns else len(columns)
@@ -157,9 +166,9 @@ def grade_texts(docs: DataFrame, model: dict, columns: list[str], text_col: str
                 part = batch.slice(low, 1000)
                 found = [grader.grade(x) for x in part.column(at).to_pylist()]
                 graded = pa.array([{"expected_grade": a, "tail": b} for a, b in found], kind)
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], graded], [*columns, "graded"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], graded], [*columns, name])
 
-    schema = T.StructType([*(docs.schema[c] for c in columns), T.StructField("graded", GRADE)])
+    schema = T.StructType([*(docs.schema[c] for c in columns), T.StructField(name, GRADE)])
     return read.mapInArrow(run, schema)
 
 
