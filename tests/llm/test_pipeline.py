@@ -31,7 +31,7 @@ def test_stages_like_plain_versions(spark):
     assert set(after) <= set(before) and len(set(after)) == len(after)
     for r in before:
         if r not in after:
-            assert any((r[1] or "") == (x[1] or "") or similarity(r[1], x[1]) > 0.3 for x in after)
+            assert any((r[1] or "") == (x[1] or "") or similarity(r[1], x[1]) > 0.3 for x in after)  # groups are chains of 0.8
     pairs = [(a[0], b[0]) for i, a in enumerate(after) for b in after[:i] if similarity(a[1], b[1]) >= 0.8]
     assert not pairs
 
@@ -66,3 +66,24 @@ def test_empty_tables(spark, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_columns_long_texts_and_repeated_rows(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    long = " ".join(f"clean word{i % 9000} of {i % 77} the text." for i in range(40_000))
+    extra = spark.createDataFrame([(9001, long, "en", "s", len(long)), (9002, "a" * 500_000, "en", "s", 500_000), (9003, long, None, None, None), (9003, long, None, None, None), (None, None, None, None, None)], docs.schema)
+    clashing = ("graded", "Graded_", "key", "node", "group", "id", "n_hit", "bucket", "ids", "length", "sequence_id", "item_id", "quality", "spans")
+    docs = docs.unionByName(extra)
+    docs = docs.select("*", *[docs.doc_id.cast("string").alias(x) for x in clashing])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    before = docs
+    for name, stage in P.STAGES[:-1]:
+        after = spark.createDataFrame(stage(spark, before, str(tmp_path)).collect(), docs.schema)
+        assert after.columns == docs.columns and after.count() <= before.count(), name
+        before = after
+    found = {(r.doc_id, r.start, r.sequence_id, r.offset) for r in P.run(spark, str(tmp_path)).collect()}
+    assert len({x[2:] for x in found}) == len(found)
+    assert {x[0] for x in found} == {r.doc_id for r in before.collect()}
+    assert sum(x[0] == 9003 for x in found) == 0  # a copy of 9001
