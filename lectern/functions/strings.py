@@ -66,10 +66,10 @@ def split_kebab_case(identifier: Column) -> Column:
     return F.filter(F.split(identifier, "-"), lambda p: p != "")
 
 
-def code_number(digits: Column) -> Column:
+def code_number(digits: Column, named: list[int] = L.CODE_NUMBERS) -> Column:
     """Small and round numbers as words, others digit by digit."""
-    named = [*range(31), 32, 40, 42, 50, 56, 60, 64, 70, 80, 90, 100, 128, 200, 256, 512]
-    return let(digits.try_cast("long"), lambda n: F.when(n == 1000, "тысяча").when(n.isin(named), int_words(n)).otherwise(digit_words(n.cast("string"))))
+    thousand = F.when(F.lit(named is L.CODE_NUMBERS), "тысяча")
+    return let(digits.try_cast("long"), lambda n: F.when(n == 1000, F.coalesce(thousand, digit_words(n.cast("string")))).when(n.isin(named), int_words(n)).otherwise(digit_words(n.cast("string"))))
 
 
 def read_parts(parts: Column, terms: dict[str, str] | None = None) -> Column:
@@ -125,17 +125,25 @@ def symbol_sequence(text: Column, symbols: str, first: int, last: int) -> Column
     return F.concat(F.array(F.lit(first)), found, F.array(F.lit(last)))
 
 
-def scheme_words(url: Column) -> Column:
-    """The scheme and host of a URL as words."""
-    scheme, host = F.regexp_extract(url, "^([a-z]+)://", 1), F.regexp_extract(url, "^[a-z]+://([^/?#:]*)", 1)
-    labels = F.split(host, r"\.")
-    last = F.element_at(labels, -1)
-    words = F.transform(F.slice(labels, 1, F.size(labels) - 1), host_label)
-    return F.concat(F.coalesce(lookup(L.PROTOCOLS, scheme), scheme), F.lit(" двоеточие слэш слэш "), F.array_join(F.concat(words, F.array(F.coalesce(lookup(L.TLDS, F.lower(last)), host_label(last)))), " точка "))
+def english_phrase(text: Column, terms: dict[str, str] | None = None) -> Column:
+    """A phrase of several words, a term of one's own, a known term, else transliterated."""
+    return let(F.lower(text), lambda low: F.coalesce(lookup(L.PHRASES | (terms or {}), low), lookup(L.TERMS, low), transliterate(low)))
 
 
-def host_label(label: Column) -> Column:
-    """Runs of digits as numbers, words as terms or transliterated; other signs part them."""
-    runs = F.regexp_extract_all(label, F.lit("[0-9]+|[A-Za-z]+"), F.lit(0))
-    say = lambda r: F.when(r.rlike("^[0-9]"), number_words(r)).otherwise(F.coalesce(lookup(L.TERMS, F.lower(r)), transliterate(r)))
-    return F.array_join(F.transform(runs, say), " ")
+def code_block_words(code: Column, terms: dict[str, str] | None = None) -> Column:
+    """Names, numbers, strings and signs of a block of code in turn; signs without a name are left out."""
+    greek = "".join(x for x in L.SYMBOLS if x.isalpha())
+    tokens = F.regexp_extract_all(code, F.lit(rf"""[{greek}{L.ARROWS}{L.BLOCK_MATH}]|[a-zA-Z_][a-zA-Z0-9_]*|\d+|'[^']*'|"[^"]*"|[()\[\]{{}}]|[+\-*/=<>!&|]{{1,3}}|[.,;:]"""), F.lit(0))
+    quoted = lambda t: F.substring(t, F.lit(2), F.length(t) - 2)
+
+    def say(t: Column) -> Column:
+        parts = F.when(t.rlike("^['\"]"), split_snake_case(F.lower(quoted(t)))).when(t.contains("_"), split_snake_case(t)).when(t.rlike("^.+[A-Z]"), split_camel_case(t)).otherwise(F.array(F.lower(t)))
+        return F.when(t.rlike("^[0-9]"), code_number(t, L.BLOCK_NUMBERS)).when(t.rlike("^(?:[A-Za-z_]|['\"].)"), read_parts(parts, terms)).otherwise(F.coalesce(lookup(L.SYMBOLS, t), lookup(L.SIGNS, t), F.lit("")))
+
+    return F.array_join(F.filter(F.transform(tokens, lambda t: let(t, say)), lambda x: x != ""), " ")
+
+
+def code_words(text: Column, terms: dict[str, str] | None = None) -> Column:
+    """White-space separated words of inline code, each by its parts."""
+    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+    return F.array_join(F.transform(words, lambda w: read_parts(split_snake_case(w), terms)), " ")

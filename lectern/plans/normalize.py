@@ -1,183 +1,295 @@
-"""Speakable text with provenance, as an ordered chain of rewrites over segments.
+"""Speakable text with provenance.
 
-A document is an array of segments struct<text, out, phase>: the texts in turn are the source, and out is what a segment has become,
-null while it is still as written. A phase cuts the segments that are free by its pattern and reads the matches; what a phase has
-rewritten no later phase touches. So a source region is rewritten once at most and every output character keeps the range it came
-from. All of it is Column expressions in the row: no shuffle, no Python worker. Phases whose pattern a text doesn't hold skip it.
+1. An Arrow function cuts each document: an ordered list of patterns finds what is to be read, and each part of the source is taken by
+   one pattern at most (lectern/operators/tracked.py). A part is a literal change or a question: a kind and a text to be read.
+2. The different questions of all documents are read once, by Column expressions of each kind, and joined to the documents that ask
+   them; only these short rows are shuffled by what they ask, and adaptive execution splits what everyone asks.
+3. Each document is put together in its row from its free text, its literals and the readings.
 
-Known limits: patterns see one segment, so a word boundary holds at an edge between segments; headings and list numbers are read
-before white space is collapsed, as they need line starts; a fenced block is always read in full.
+Edge cases (tests/test_normalize.py): null and empty texts, and texts of white space, give an empty text without parts; rows are told
+apart even if ids are null or repeat; texts of several megabytes are cut in time linear in their length; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql import types as T
 
 from lectern.functions import lexicon as L
 from lectern.functions import numbers as N
 from lectern.functions import strings as S
-
-SEGMENTS = "array<struct<text:string,out:string,phase:string>>"
-_NO, _YES = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
-
-
-def _rewrite(segments: Column, phase: str, pattern: str, reading: Callable[[Column], Column]) -> Column:
-    segment = lambda text, out: F.struct(text.alias("text"), out.alias("out"), F.when(out.isNotNull(), F.lit(phase)).alias("phase"))
-
-    def pair(gap: Column, hit: Column) -> Column:
-        return F.array(segment(gap, F.lit(None).cast("string")), segment(hit, reading(hit)))
-
-    def cut(x: Column) -> Column:
-        parts = F.flatten(F.zip_with(F.split(x["text"], pattern, -1), F.regexp_extract_all(x["text"], F.lit(pattern), F.lit(0)), pair))
-        return F.when(x["out"].isNull() & x["text"].rlike(pattern), F.filter(parts, lambda p: p["text"] != "")).otherwise(F.array(x))
-
-    return F.flatten(F.transform(segments, cut))
-
-
-def _say(text: Column, marks: dict[str, str], terms: dict[str, str]) -> Column:
-    """Letters, digits and marks of a technical text in turn; Cyrillic stays, other signs part words."""
-    signs = "|".join("\\" + x for x in marks)
-    tokens = F.regexp_extract_all(text, F.lit(f"[A-Za-z]+|[0-9]+|[А-Яа-яЁё]+|{signs}"), F.lit(0))
-    word = lambda t: F.when(t.rlike("^[0-9]"), N.number_words(t)).when(t.rlike("^[A-Za-z]"), F.coalesce(N.lookup(terms, F.lower(t)), S.transliterate(t))).otherwise(F.coalesce(N.lookup(marks, t), t))
-    return F.array_join(F.transform(tokens, word), " ")
-
-
-DOT = {".": "точка"}
-LOCAL = {".": "точка", "_": "андерскор", "-": "дефис", "+": "плюс", "%": "процент"}
-PATH = {"/": "слэш", "~": "тильда", ".": "точка", "-": "дефис"}
-PART = {".": "точка", "%": "процент"}
-CODE = {
-    "(": "открывающая скобка", ")": "закрывающая скобка", "[": "открывающая квадратная скобка", "]": "закрывающая квадратная скобка",
-    "{": "открывающая фигурная скобка", "}": "закрывающая фигурная скобка", ":": "двоеточие", ";": "точка с запятой", ",": "запятая",
-    ".": "точка", "=": "равно", "+": "плюс", "-": "минус", "*": "умножить", "/": "делить", "<": "меньше", ">": "больше",
-}
-
-
-def host_words(host: Column, terms: dict[str, str]) -> Column:
-    labels = F.split(host, r"\.")
-    last = F.size(labels) - 1
-    say = lambda x, i: F.when(i == last, F.coalesce(N.lookup(L.TLDS, F.lower(x)), _say(x, {"%": "процент"}, terms))).otherwise(_say(x, {"%": "процент"}, terms))
-    return F.array_join(F.transform(labels, say), " точка ")
-
-
-def url_words(url: Column, terms: dict[str, str]) -> Column:
-    """Scheme, host with its top-level name, port, path, query and fragment."""
-    part = lambda k: F.regexp_extract(url, r"^(?:([a-z]+)://)?([^/?#:]*)(?::(\d+))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$", k)
-    decoded = lambda x: F.coalesce(F.try_url_decode(x), x)
-    steps = F.filter(F.transform(F.split(part(4), "/"), lambda x: _say(decoded(F.replace(x, F.lit("+"), F.lit("%2B"))), PART, terms)), lambda x: x != "")
-    pairs = F.filter(F.split(part(5), "&"), lambda x: F.contains(x, F.lit("=")))
-    query = F.transform(pairs, lambda x: F.concat_ws(" равно ", _say(decoded(F.substring_index(x, "=", 1)), PART, terms), _say(decoded(F.regexp_extract(x, "=(.*)$", 1)), PART, terms)))
-    scheme = F.when(part(1) != "", F.concat(F.coalesce(N.lookup(L.PROTOCOLS, part(1)), part(1)), F.lit(" двоеточие слэш слэш")))
-    return F.concat_ws(
-        " ", scheme, host_words(part(2), terms), F.when(part(3) != "", F.concat(F.lit("двоеточие "), N.number_words(part(3)))), F.nullif(F.array_join(F.transform(steps, lambda x: F.concat(F.lit("слэш "), x)), " "), F.lit("")),
-        F.when(part(5) != "", F.concat(F.lit("вопросительный знак "), F.array_join(query, " "))), F.when(part(6) != "", F.concat(F.lit("решётка "), _say(decoded(part(6)), PART, terms))),
-    )
-
-
-def _code_words(code: Column, terms: dict[str, str]) -> Column:
-    signs = "|".join("\\" + x for x in CODE)
-    tokens = F.regexp_extract_all(code, F.lit(rf"[A-Za-z_][A-Za-z0-9_]*|\d+|{signs}"), F.lit(0))
-    word = lambda t: F.coalesce(N.lookup(CODE, t), S.read_parts(F.when(t.contains("_"), S.split_snake_case(t)).otherwise(S.split_camel_case(t)), terms))
-    return F.array_join(F.transform(tokens, word), " ")
-
-
-def phases(terms: dict[str, str] | None = None, code_terms: dict[str, str] | None = None) -> list[tuple[str, str, Callable[[Column], Column]]]:
-    """(name, pattern, reading) in order; a null reading leaves a match as it is, for later phases."""
-    known, code = L.TERMS | (terms or {}), code_terms or {}
-    said = lambda words: lambda m: F.lit(words)
-    changed = lambda f: lambda m: F.nullif(f(m), m)  # noqa: E731  readers return what they can't read unchanged
-    inside = lambda m: F.regexp_extract(m, "^`(.*)`$", 1)
-
-    def fenced(m: Column) -> Column:
-        language, body = F.regexp_extract(m, r"(?s)^```(\w*)\n(.*)```$", 1), F.regexp_extract(m, r"(?s)^```(\w*)\n(.*)```$", 2)
-        return F.when(F.lower(language) == "mermaid", "Тут мермэйд диаграмма").otherwise(_code_words(body, code))
-
-    def inline(m: Column) -> Column:
-        parts = F.when(inside(m).contains("_"), S.split_snake_case(inside(m))).when(inside(m).rlike("^[^-].*-"), S.split_kebab_case(inside(m)))
-        parts = parts.when(inside(m).rlike("^.+[A-Z]") & inside(m).rlike("[a-z]"), S.split_camel_case(inside(m))).otherwise(F.split(F.lower(inside(m)), r"\s+"))
-        return S.read_parts(parts, code)
-
-    def numbered(m: Column) -> Column:
-        n = F.coalesce(F.regexp_extract(m, r"^(\d+)", 1).try_cast("int"), F.lit(0))
-        return F.concat(F.coalesce(F.when(n.between(1, 10), N.pick(L.LIST_ORDINALS, n)), N.int_words(n)), F.lit(":"))
-
-    def schemeless(m: Column) -> Column:
-        host = F.regexp_extract(m, "^[^/?#]*", 0)
-        known_host = F.lower(F.substring_index(host, ".", 1)).eqNullSafe(F.lit("www")) | F.lower(F.substring_index(host, ".", -1)).isin(*L.TLDS)
-        return F.when(known_host, url_words(m, known))
-
-    def email(m: Column) -> Column:
-        return F.concat(_say(F.regexp_extract(m, "^(.*)@", 1), LOCAL, known), F.lit(" собака "), host_words(F.regexp_extract(m, "@([^@]*)$", 1), known))
-
-    def percents(m: Column) -> Column:
-        span = F.concat(F.regexp_extract(m, r"^(\d+)", 1), F.lit("-"), F.regexp_extract(m, r"(\d+)\s*%$", 1))
-        return F.concat(F.nullif(N.range_words(span), span), F.lit(" процентов"))
-
-    either = lambda table: "|".join("\\Q" + k + "\\E" for k in sorted(table, key=lambda k: -len(k)))
-    named = lambda table: lambda m: F.concat(F.lit(" "), N.lookup(table, m), F.lit(" "))
-    languages = {"C++": "си плюс плюс", "c++": "си плюс плюс", "C#": "си шарп", "c#": "си шарп", "F#": "эф шарп", "f#": "эф шарп"}
-    camel = lambda m: S.read_parts(S.split_camel_case(m), code)
-    return [
-        ("fenced code", r"(?s)```\w*\n.*?```", fenced),
-        ("heading", r"(?md)^#{1,6}\s+", said("")),
-        ("list number", r"(?md)^\d+\.\s+", numbered),
-        ("link", r"\[(?=[^\]]+\]\([^)]+\))|(?<=\[[^\]\[]{1,500})\]\([^)]+\)", said("")),
-        ("inline code", r"`[^`\n]+`", inline),
-        ("quotes", "[«»“”‘’]", lambda m: F.when(m.isin("‘", "’"), "'").otherwise('"')),
-        ("dash", "[—–]", said("-")),
-        ("newlines", r"\n{3,}", said("\n\n")),
-        ("spaces", r"\t[ \t]*| [ \t]+", said(" ")),
-        ("url", r"""(?:https?|ftp|ssh|git)://[^\s<>"')]*[^\s<>"').,;:!?]""", lambda m: url_words(m, known)),
-        ("email", r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}", email),
-        ("bare url", rf"""(?i)(?<![\p{{L}}\p{{N}}_/\\])(?:www\.(?:[a-z0-9-]+\.)*[a-z0-9-]+|(?:[a-z0-9-]+\.)+(?:{"|".join(L.TLDS)})(?![a-z0-9-]|\.[a-z0-9]))(?:/(?:[^\s<>"')]*[^\s<>"').,;:!?])?)?""", schemeless),
-        ("ip", _NO + r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}" + _YES, N.ip_words),
-        ("path", r"[~/][a-zA-Z0-9_./ \-]+\.[a-zA-Z0-9]+|[~/][a-zA-Z0-9_./\-]+", lambda m: F.when(m.contains("/"), _say(m, PATH, known))),
-        ("size", rf"(?iu){_NO}\d+(?:\.\d+)?\s*(?:KB|MB|GB|TB|ms|sec|min|hr|px|em|rem|vh|vw|кб|мб|гб|тб){_YES}", changed(N.size_words)),
-        ("date", rf"{_NO}\d{{4}}-\d{{2}}-\d{{2}}{_YES}|{_NO}\d{{1,2}}\.\d{{1,2}}\.\d{{4}}{_YES}", changed(N.date_words)),
-        ("time", rf"{_NO}\d{{1,2}}:\d{{2}}(?::\d{{2}})?{_YES}", changed(N.time_words)),
-        ("percent range", rf"{_NO}\d+\s*-\s*\d+\s*%", percents),
-        ("percent", rf"{_NO}\d+(?:\.\d+)?\s*%", changed(N.percent_words)),
-        ("range", rf"{_NO}\d+\s*-\s*\d+{_YES}", changed(N.range_words)),
-        ("version", rf"(?i){_NO}v?\d+\.\d+(?:\.\d+)?(?:-(?:alpha|beta|rc|dev|stable|release)\d*)?{_YES}", N.version_words),
-        ("fraction", r"(?<![\p{L}\p{N}_./\\])\.\d+", lambda m: N.float_words(F.concat(F.lit("0"), m))),
-        ("operator", either(L.OPERATORS), named(L.OPERATORS)),
-        ("symbol", "[" + "".join(L.SYMBOLS) + "]", named(L.SYMBOLS)),
-        ("about", r"~\s*\d+", lambda m: F.concat(F.lit("около "), F.regexp_extract(m, r"\d+$", 0))),
-        ("camel", rf"{_NO}[a-z]+(?:[A-Z][a-z]*)+{_YES}|{_NO}[A-Z][a-z]+(?:[A-Z][a-z]+)+{_YES}", camel),
-        ("snake", rf"{_NO}[a-zA-Z_][a-zA-Z0-9]*(?:_[a-zA-Z0-9]+)+{_YES}", lambda m: S.read_parts(S.split_snake_case(m), code)),
-        ("kebab", rf"{_NO}[a-zA-Z][a-zA-Z0-9]*(?:-[a-zA-Z0-9]+)+{_YES}", lambda m: S.read_parts(S.split_kebab_case(m), code)),
-        ("language", either(languages), lambda m: N.lookup(languages, m)),
-        ("word", rf"{_NO}[A-Za-z]+{_YES}", lambda m: S.english_word(m, known)),
-        ("number", rf"(?<!\.){_NO}\d+{_YES}(?!\.\d)", changed(N.number_words)),
-        ("tidy", r" +(?=[.,!?;:])|(?<=\n) +| +(?=\n)", said("")),
-    ]
-
-
-def normalize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", terms: dict[str, str] | None = None, code_terms: dict[str, str] | None = None) -> DataFrame:
-    """(id, normalized, segments) for every row of docs; terms add to, or replace, the readings of prose and of identifiers."""
-    text = F.when(F.startswith(F.col(text_col), F.lit("﻿")), F.replace(text_col, F.lit("﻿"), F.lit(""))).otherwise(F.col(text_col))
-    rows = docs.select(F.col(id_col), F.coalesce(text, F.lit("")).alias("source"))
-    rows = rows.withColumn("segments", F.array(F.struct(F.col("source").alias("text"), F.lit(None).cast("string").alias("out"), F.lit(None).cast("string").alias("phase"))))
-    for name, pattern, reading in phases(terms, code_terms):
-        rows = rows.withColumn("segments", F.when(F.col("source").rlike(pattern), _rewrite(F.col("segments"), name, pattern, reading)).otherwise(F.col("segments")))
-    full = F.array_join(F.transform("segments", lambda x: F.coalesce(x["out"], x["text"])), "")
-    return rows.select(id_col, F.regexp_replace(full, r"(?U)\A\s+|\s+\z", "").alias("normalized"), "segments")
+from lectern.functions import urls as U
+from lectern.operators.tracked import Tracked
+from lectern.session import forget, settle
+
+# The patterns, which decide what is read as what.
+FENCED = re.compile(r"(?s)```(\w*)\n(.*?)```")
+DIRECTIVE = re.compile(r"<!--\s*[a-z]+-code:\s*(full|brief)\s*-->")
+INLINE = re.compile(r"`([^`\n]+)`")
+HEADING = re.compile(r"(?m)^#{1,6}\s+")
+LIST_NUMBER = re.compile(r"(?m)^(\d+)\.\s+")
+URL = re.compile(r"""(?:https?|ftp|ssh|git)://[^\s<>"')]+""")
+EMAIL = re.compile(r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}")
+BARE_URL = re.compile(r"""\b(?:[a-zA-Z0-9-]++\.)+[a-zA-Z0-9-]++(?:/[^\s<>"')]*)?""")
+IP = re.compile(r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b")
+PATH = re.compile(r"[~/][a-zA-Z0-9_./ \-]+\.[a-zA-Z0-9]+|[~/][a-zA-Z0-9_./\-]+")
+SIZE = re.compile(r"(?i)\b(\d+(?:\.\d+)?)\s*(KB|MB|GB|TB|ms|sec|min|hr|px|em|rem|vh|vw|кб|мб|гб|тб)\b")
+DATES = re.compile(r"\b(\d{4})-(\d{2})-(\d{2})\b"), re.compile(r"\b(\d{1,2})\.(\d{1,2})\.(\d{4})\b")
+TIME = re.compile(r"\b(\d{1,2}):(\d{2})(?::(\d{2}))?\b")
+PERCENT_RANGE, PERCENT = re.compile(r"\b(\d+)\s*-\s*(\d+)\s*%"), re.compile(r"\b(\d+(?:\.\d+)?)\s*%")
+RANGE = re.compile(r"\b(\d+)\s*-\s*(\d+)\b")
+VERSION = re.compile(r"(?i)\bv?\d+\.\d+(?:\.\d+)?(?:-(?:alpha|beta|rc|dev|stable|release)\d*)?\b")
+FRACTION = re.compile(r"(^|[^\w./\\])\.(\d+)")
+SIGNS = re.compile("|".join(re.escape(x) for x in sorted(L.OPERATORS, key=len, reverse=True)) + "|[" + "".join(L.SYMBOLS) + "]")
+ABOUT = re.compile(r"~\s*(\d)")
+CAMEL = re.compile(r"\b[a-z]+(?:[A-Z][a-z]*)+\b"), re.compile(r"\b[A-Z][a-z]+(?:[A-Z][a-z]+)+\b")
+SNAKE, KEBAB = re.compile(r"\b[a-zA-Z_][a-zA-Z0-9]*(?:_[a-zA-Z0-9]+)+\b"), re.compile(r"\b[a-zA-Z][a-zA-Z0-9]*(?:-[a-zA-Z0-9]+)+\b")
+LANGUAGES = {"C++": "си плюс плюс", "c++": "си плюс плюс", "C#": "си шарп", "c#": "си шарп", "F#": "эф шарп", "f#": "эф шарп"}
+LANGUAGE = re.compile(r"[Cc]\+\+|[CcFf]#")
+WORD, NUMBER = re.compile(r"\b[A-Za-z]+\b"), re.compile(r"\b\d+\b")
+QUOTES = {"«": '"', "»": '"', "“": '"', "”": '"', "‘": "'", "’": "'", "—": "-", "–": "-"}
+QUOTE, NEWLINES, BLANKS = re.compile("[" + "".join(QUOTES) + "]"), re.compile(r"\n{3,}"), re.compile(r"[ \t]+")
+SPACES, BEFORE_SIGN, AFTER_LINE, BEFORE_LINE = re.compile(" +"), re.compile(" +([.,!?;:])"), re.compile("\n +"), re.compile(" +\n")
+DIAGRAM, NO_LANGUAGE, SOME_LANGUAGE = "Тут мермэйд диаграмма", "далее следует блок кода", "далее следует пример кода на "
+# End of fixed values
+
+#: What stands in the text for a reading while patterns run: a word, as readings begin and end with letters.
+STAND = "жж"
+MAX_LONG = 2**63 - 1
+
+
+def _whole(digits: str) -> bool:
+    return digits.isascii() and len(digits.lstrip("0")) < 20 and int(digits) <= MAX_LONG
+
+
+def asked(kind: str, text: str, before: str = "", after: str = "") -> tuple[str, tuple[str, str, str, str]]:
+    return before + STAND + after, (kind, text, before, after)
+
+
+def _block(m: re.Match, brief: bool):
+    language, code = m[1], m[2].strip()
+    if language.lower() == "mermaid":
+        return DIAGRAM
+    if brief:
+        return SOME_LANGUAGE + L.LANGUAGES.get(language.lower(), language) if language else NO_LANGUAGE
+    return asked("code", code)
+
+
+def _inline(m: re.Match):
+    text = m[1]
+    special = any(c in L.SYMBOLS for c in text)
+    if special:
+        text = "".join(f" {L.SYMBOLS[c]} " if c in L.SYMBOLS and (c.isalpha() or c in L.ARROWS) else c for c in text)
+        special = text != m[1]
+    text = " ".join(text.split())
+    if not special:
+        if "_" in text:
+            return asked("snake", text)
+        if "-" in text and not text.startswith("-"):
+            return asked("kebab", text)
+        if any(c.isupper() for c in text[1:]) and any(c.islower() for c in text):
+            return asked("camel", text)
+    return asked("words", text)
+
+
+def _links(text: str) -> Iterator[tuple[int, int, str, None]]:
+    """The bracket before a link's text, and what follows the text; the text itself stays as it is."""
+    done, at = 0, text.find("](")
+    while at >= 0:
+        start = text.find("[", max(done, text.rfind("]", done, at) + 1), at)
+        stop = text.find(")", at + 2)
+        if stop < 0:
+            return
+        if 0 <= start < at - 1 and stop > at + 2:
+            yield start, start + 1, "", None
+            yield at, stop + 1, "", None
+            done = stop + 1
+        at = text.find("](", max(done, at + 2))
+
+
+def _url(kind: str, url: str):
+    core = url.rstrip(".,;:!?")
+    return asked(kind, core, "", url[len(core) :])
+
+
+def _bare_url(m: re.Match):
+    core = m[0].rstrip(".,;:!?")
+    labels = re.split("[/?#]", core, maxsplit=1)[0].lower().split(".")
+    after_slash = m.start() and m.string[m.start() - 1] in "/\\"
+    return None if after_slash or not (labels[0] == "www" or labels[-1] in L.TLDS) else _url("host", m[0])
+
+
+def _date(year: str, month: str, day: str, text: str):
+    return asked("date", text) if text.isascii() and int(year) > 0 and 1 <= int(month) <= 12 and 1 <= int(day) <= 31 else None
+
+
+def _time(m: re.Match):
+    return asked("time", m[0]) if m[0].isascii() and int(m[1]) < 24 and int(m[2]) < 60 and int(m[3] or 0) < 60 else None
+
+
+def _numbered(m: re.Match):
+    n = int(m[1]) if m[1].isascii() and len(m[1]) <= 10 and int(m[1]) < 2**32 else 0
+    return L.LIST_ORDINALS[n] + ":" if 1 <= n <= 10 else asked("number", str(n), "", ":")
+
+
+def _number(m: re.Match):
+    text, a, z = m.string, m.start(), m.end()
+    apart = (not a or text[a - 1] != ".") and not (text[z : z + 1] == "." and text[z + 1 : z + 2].isdigit() and text[z + 1].isascii())
+    return asked("number", m[0]) if apart and _whole(m[0]) else None
+
+
+def cut(source: str, brief: bool = False) -> Tracked:
+    """A text cut by all patterns; notes of its parts are new texts, or (kind, text, before, after) for what is to be read."""
+    t = Tracked(source)
+    if source.startswith("﻿"):
+        t.replace("﻿", "")
+    modes = [(m.start(), m[1] == "brief") for m in DIRECTIVE.finditer(t.text)]
+    blocks = []
+    for m in FENCED.finditer(t.text):
+        mode = next((x for at, x in reversed(modes) if at < m.start()), brief)
+        new = _block(m, mode)
+        blocks.append((m.start(), m.end(), *((new, None) if isinstance(new, str) else new)))
+    t.rewrite(blocks)
+    t.sub(DIRECTIVE, lambda m: "")
+    t.sub(QUOTE, lambda m: QUOTES[m[0]])
+    t.sub(NEWLINES, lambda m: "\n\n")
+    t.sub(BLANKS, lambda m: " ")
+    t.sub(INLINE, _inline)
+    t.sub(HEADING, lambda m: "")
+    t.rewrite(_links(t.text))
+    t.sub(LIST_NUMBER, _numbered)
+    t.sub(URL, lambda m: _url("url", m[0]))
+    t.sub(EMAIL, lambda m: asked("email", m[0]))
+    t.sub(BARE_URL, _bare_url)
+    t.sub(IP, lambda m: asked("ip", m[0]))
+    t.sub(PATH, lambda m: asked("path", m[0]) if "/" in m[0] else None)
+    t.sub(SIZE, lambda m: asked("size", m[0]) if m[1].isascii() and ("." in m[1] or _whole(m[1])) else None)
+    t.sub(DATES[0], lambda m: _date(m[1], m[2], m[3], m[0]))
+    t.sub(DATES[1], lambda m: _date(m[3], m[2], m[1], m[0]))
+    t.sub(TIME, _time)
+    t.sub(PERCENT_RANGE, lambda m: asked("range", f"{m[1]}-{m[2]}", "", " процентов") if _whole(m[1]) and _whole(m[2]) else None)
+    t.sub(PERCENT, lambda m: asked("percent", m[0]) if "." in m[1] or _whole(m[1]) else None)
+    t.sub(RANGE, lambda m: asked("range", m[0]) if _whole(m[1]) and _whole(m[2]) else None)
+    t.sub(VERSION, lambda m: asked("version", m[0]))
+    t.sub(FRACTION, lambda m: asked("float", "0." + m[2], m[1]))
+    t.sub(SIGNS, lambda m: f" {L.OPERATORS.get(m[0]) or L.SYMBOLS[m[0]]} ")
+    t.sub(ABOUT, lambda m: "около " + m[1])
+    for pattern in CAMEL:
+        t.sub(pattern, lambda m: asked("camel", m[0]))
+    t.sub(SNAKE, lambda m: asked("snake", m[0]))
+    t.sub(KEBAB, lambda m: asked("kebab", m[0]))
+    t.sub(LANGUAGE, lambda m: LANGUAGES[m[0]])
+    t.sub(WORD, lambda m: asked("word", m[0]))
+    t.sub(NUMBER, _number)
+    t.sub(SPACES, lambda m: " ")
+    t.sub(BEFORE_SIGN, lambda m: m[1])
+    t.sub(AFTER_LINE, lambda m: "\n")
+    t.sub(BEFORE_LINE, lambda m: "\n")
+    return t
+
+
+Terms = dict[str, str] | None
+
+
+def readings(terms: Terms = None, code_terms: Terms = None) -> dict[str, Callable[[Column], Column]]:
+    """What is said for a text of each kind."""
+    return {
+        "code": lambda x: S.code_block_words(x, code_terms), "words": lambda x: S.code_words(x, code_terms),
+        "snake": lambda x: S.read_parts(S.split_snake_case(x), code_terms), "kebab": lambda x: S.read_parts(S.split_kebab_case(x), code_terms),
+        "camel": lambda x: S.read_parts(S.split_camel_case(x), code_terms), "url": lambda x: U.url_reading(x, terms),
+        "host": lambda x: U.host_and_tail(x, terms), "email": lambda x: U.email_reading(x, terms), "ip": N.ip_words,
+        "path": lambda x: U.path_reading(x, terms), "size": N.size_words, "date": N.date_words, "time": N.time_words,
+        "percent": N.percent_words, "range": N.range_words, "version": N.version_words, "float": N.float_words, "number": N.number_words,
+        "word": lambda x: S.english_word(x, terms),
+    }
+
+
+@lru_cache(1)
+def _part_type() -> T.ArrayType:
+    fields = [("free", "string"), ("start", "int"), ("stop", "int"), ("before", "string"), ("asks", "int"), ("after", "string")]
+    return T.ArrayType(T.StructType([T.StructField(x, T.StringType() if y == "string" else T.IntegerType()) for x, y in fields]))
+
+
+def cut_documents(docs: DataFrame, id_col: str, text_col: str, brief: bool = False) -> DataFrame:
+    """(row, id, parts, tail, kinds, texts): parts array<struct<free, start, stop, before, asks, after>> of every row of docs.
+
+    free is the source before a part, and asks the number of what it asks in kinds and texts; null for a literal, which is `before`.
+    """
+    fields = [docs.schema[id_col].dataType, _part_type(), T.StringType(), T.ArrayType(T.StringType()), T.ArrayType(T.StringType())]
+    schema = T.StructType([T.StructField("row", T.LongType()), *[T.StructField(x, y) for x, y in zip(("id", "parts", "tail", "kinds", "texts"), fields)]])
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        kind = pa.list_(pa.struct([("free", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("before", pa.string()), ("asks", pa.int32()), ("after", pa.string())]))
+        for batch in batches:
+            columns: tuple[list, ...] = ([], [], [], [])
+            for source in batch.column(2).to_pylist():
+                source, done, parts, asks = source or "", 0, [], {}
+                for a, z, note in cut(source, brief).parts():
+                    before, number, after = note, None, ""
+                    if not isinstance(note, str):
+                        number = asks.setdefault(note[:2], len(asks))
+                        before, after = note[2:]
+                    parts.append({"free": source[done:a], "start": a, "stop": z, "before": before, "asks": number, "after": after})
+                    done = z
+                for column, value in zip(columns, (parts, source[done:], [k for k, _ in asks], [x for _, x in asks])):
+                    column.append(value)
+            strings = pa.list_(pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, columns, (kind, pa.string(), strings, strings))], schema.names)
+
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+
+
+def read_all(questions: DataFrame, terms: Terms = None, code_terms: Terms = None) -> DataFrame:
+    """(kind, text, said) of a stored table of different questions (kind, text)."""
+    known = readings(terms, code_terms)
+    kinds = sorted(r.kind for r in questions.select("kind").distinct().collect())  # at most as many as there are readings
+    each = [questions.where(F.col("kind") == k).select("kind", "text", known[k](F.col("text")).alias("said")) for k in kinds]
+    return reduce(DataFrame.unionByName, each) if each else questions.withColumn("said", F.lit(None).cast("string"))
+
+
+def normalize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", terms: Terms = None, code_terms: Terms = None, brief: bool = False) -> DataFrame:
+    """(id, normalized, parts) for every row of docs; id has id_col's name.
+
+    parts: array<struct<free, start, stop, out>>, the source before a part, the part's range in the source, and what it has become.
+    terms add to, or replace, the readings of prose and URLs, code_terms those of identifiers; brief names blocks of code instead of
+    reading them, where no directive in the text says otherwise.
+    """
+    documents = settle(cut_documents(docs, id_col, text_col, brief), "cut")
+    asks = documents.select("row", F.posexplode(F.arrays_zip("kinds", "texts")).alias("number", "ask")).select("row", "number", F.col("ask.kinds").alias("kind"), F.col("ask.texts").alias("text"))
+    questions = settle(asks.select("kind", "text").distinct(), "questions")
+    said = settle(read_all(questions, terms, code_terms), "said")
+    forget(questions)
+    answers = asks.join(said, ["kind", "text"]).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("number", "said"))).alias("answers"))
+    full = documents.join(answers.select("row", F.transform("answers", lambda a: a["said"]).alias("said")), "row", "left")
+    out = lambda p: F.concat(p["before"], F.when(p["asks"].isNull(), "").otherwise(F.coalesce(F.get(F.col("said"), p["asks"]), F.lit(""))), p["after"])
+    full = full.select("id", F.transform("parts", lambda p: F.struct(p["free"].alias("free"), p["start"].alias("start"), p["stop"].alias("stop"), out(p).alias("out"))).alias("parts"), "tail")
+    text = F.concat(F.array_join(F.transform("parts", lambda p: F.concat(p["free"], p["out"])), ""), F.col("tail"))
+    return full.select(F.col("id").alias(id_col), F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "").alias("normalized"), "parts", "tail")
+
+
+def char_map(normalized: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, normalized, char_map array<struct<start, end>>): the source range of every character of the normalized text."""
+    place = lambda a, z: F.struct(a.cast("int").alias("start"), z.cast("int").alias("end"))
+    own = lambda start, text: F.when(F.length(text) > 0, F.transform(F.sequence(start, start + F.length(text) - 1), lambda i: place(i, i + 1))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+    of_part = lambda p: F.concat(own(p["start"] - F.length(p["free"]), p["free"]), F.array_repeat(place(p["start"], p["stop"]), F.length(p["out"])))
+    last = F.when(F.size("parts") > 0, F.element_at("parts", -1)["stop"]).otherwise(F.lit(0))
+    full = F.concat(F.flatten(F.transform("parts", of_part)), own(last, F.col("tail")))
+    text = F.concat(F.array_join(F.transform("parts", lambda p: F.concat(p["free"], p["out"])), ""), F.col("tail"))
+    lead = F.length(text) - F.length(F.regexp_replace(text, r"(?U)\A\s+", ""))
+    return normalized.select(id_col, "normalized", F.slice(full, lead + 1, F.length("normalized")).alias("char_map"))
 
 
 def provenance(normalized: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, segment, phase, orig_start, orig_end, norm_start, norm_end): where each segment comes from and lies, before trimming."""
-    each = normalized.select(id_col, F.posexplode("segments").alias("segment", "x"))
-    each = each.select(id_col, "segment", "x.phase", F.length("x.text").alias("a"), F.length(F.coalesce("x.out", "x.text")).alias("b"))
-    order = Window.partitionBy(id_col).orderBy("segment")
-    both = each.withColumns({"orig_end": F.sum("a").over(order), "norm_end": F.sum("b").over(order)})
-    return both.select(id_col, "segment", "phase", (F.col("orig_end") - F.col("a")).alias("orig_start"), "orig_end", (F.col("norm_end") - F.col("b")).alias("norm_start"), "norm_end")
-
-
-def edits_by_phase(normalized: DataFrame) -> DataFrame:
-    """(phase, edits, characters): what each phase has rewritten; free text has no phase."""
-    each = normalized.select(F.explode("segments").alias("x"))
-    return each.groupBy(F.col("x.phase").alias("phase")).agg(F.count("*").alias("edits"), F.sum(F.length("x.text")).alias("characters"))
+    """(id, part, orig_start, orig_end, norm_start, norm_end): where each rewritten part comes from and lies, before trimming."""
+    each = normalized.select(id_col, F.posexplode("parts").alias("part", "p")).select(id_col, "part", "p.start", "p.stop", F.length("p.free").alias("free"), F.length("p.out").alias("size"))
+    run = F.sum(F.col("free") + F.col("size")).over(Window.partitionBy(id_col).orderBy("part"))
+    return each.withColumn("norm_end", run).select(id_col, "part", F.col("start").alias("orig_start"), F.col("stop").alias("orig_end"), (F.col("norm_end") - F.col("size")).alias("norm_start"), "norm_end")

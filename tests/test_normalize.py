@@ -1,90 +1,84 @@
+import time
+
 import pytest
-from pyspark.sql import functions as F
-
-from lectern.plans.normalize import normalize, provenance
-
-GOLDEN = [
-    ("Запрос через HTTP и HTTPS.", "Запрос через эйч ти ти пи и эйч ти ти пи эс."),
-    ("Использую JSON и XML.", "Использую джейсон и икс эм эль."),
-    ("Переход A → B.", "Переход эй  стрелка  би."),
-    ("Функция getUserData принимает value.", "Функция гет юзер дата принимает валуе."),
-    ("Встреча 12.05.2024 в календаре.", "Встреча двенадцатое мая две тысячи двадцать четвёртого года в календаре."),
-    ("Релиз 2024-05-12 состоялся.", "Релиз двенадцатое мая две тысячи двадцать четвёртого года состоялся."),
-    ("Задержка 300ms.", "Задержка триста миллисекунд."),
-    ("Пишите на user@example.com .", "Пишите на юзер собака экзампл точка ком."),
-    ("Переменная x равна 5.\n", "Переменная икс равна пять."),
-    ("Нужно сделать download и install.", "Нужно сделать даунлоад и инсталл."),
-    ("user use\n", "юзер юз"),
-    ("Это API и HTTP-протокол.", "Это эй пи ай и эйч ти ти пи-протокол."),
-    ("Файл /home/user/docs/file.pdf.", "Файл слэш хоум слэш юзер слэш докс слэш файл точка пэ дэ эф."),
-    ("Формула α + β = γ.", "Формула  альфа  +  бета  =  гамма ."),
-    ("Сервер 192.168.1.1 доступен.", "Сервер сто девяносто два точка сто шестьдесят восемь точка один точка один доступен."),
-    ("Вес .5 кг\n", "Вес ноль точка пять кг"),
-    ("```python\ndef hello():\n    print('hi')\n```", "деф хелло открывающая скобка закрывающая скобка двоеточие принт открывающая скобка хи закрывающая скобка"),
-    ("# Заголовок\nТекст.", "Заголовок\nТекст."),
-    ("Переменная `count` больше 10.", "Переменная каунт больше десять."),
-    ("1. Первое\n2. Второе\n3. Третье.", "первое:Первое\nвторое:Второе\nтретье:Третье."),
-    ("```mermaid\ngraph TD\nA-->B\n```", "Тут мермэйд диаграмма"),
-    ("Условие x <= y.", "Условие икс  меньше или равно  вай."),
-    ("Скорость 3.14 метра в секунду.", "Скорость три точка четырнадцать метра в секунду."),
-    ("Счёт 10:1 в нашу пользу.\n", "Счёт десять:один в нашу пользу."),
-    ("Население 100500 человек.", "Население сто тысяч пятьсот человек."),
-    ("Встреча в 5.\n", "Встреча в пять."),
-    ("Код a != b && c == d.", "Код эй  не равно  би  и  си  равно равно  ди."),
-    ("a === b", "эй  строго равно  би"),
-    ("Точность 99.5%.", "Точность девяносто девять точка пять процентов."),
-    ("Скидка 50%.", "Скидка пятьдесят процентов."),
-    ("Слово — «кавычки»\nОдин – два, “три” и ‘четыре’", "Слово - \"кавычки\"\nОдин - два, \"три\" и 'четыре'"),
-    ("Рост на 10-20% за квартал\n", "Рост на от десяти до двадцати процентов за квартал"),
-    ("Диапазон 10-20 страниц.", "Диапазон от десяти до двадцати страниц."),
-    ("С 1990 по 2020 годы.", "С одна тысяча девятьсот девяносто по две тысячи двадцать годы."),
-    ("Диск на 5GB.", "Диск на пять гигабайт."),
-    ("Переменная user_id теперь nullable.", "Переменная юзер ай ди теперь нуллабле."),
-    ("~46 секунд", "около 46 секунд"),
-    ("~ 5 минут", "около 5 минут"),
-    ("Начало в 14:30 по расписанию.", "Начало в четырнадцать часов тридцать минут по расписанию."),
-    ("Таймер 14:30:05 истёк.", "Таймер четырнадцать часов тридцать минут пять секунд истёк."),
-    ("Репозиторий https://github.com/snakers4/silero-models .", "Репозиторий эйч ти ти пи эс двоеточие слэш слэш гитхаб точка ком слэш снакерс четыре слэш силеро моделс."),
-    ("Документ https://example.com/docs/%D0%BE%D1%82%D1%87%D1%91%D1%82%20%D1%84%D0%B8%D0%BD%D0%B0%D0%BB.pdf?q=hello+world готов.", "Документ эйч ти ти пи эс двоеточие слэш слэш экзампл точка ком слэш докс слэш отчёт финал точка пэ дэ эф вопросительный знак к равно хеллоу ворлд готов."),
-    ("Открой https://example.com/search?q=test&lang=ru#section-2.", "Открой эйч ти ти пи эс двоеточие слэш слэш экзампл точка ком слэш сирч вопросительный знак к равно тест ланг равно ру решётка секшн два."),
-    ("Сайт www.example.com лёг, документация на docs.python.org/3/tutorial, а файл file.txt и версия 1.2.3 не ссылки.", "Сайт ввв точка экзампл точка ком лёг, документация на докс точка пайтон точка орг слэш три слэш тьюториал, а файл файл.тэкст и версия один точка два точка три не ссылки."),
-    ("Сборка 1.0.0-alpha.", "Сборка один точка ноль точка ноль альфа."),
-    ("     ", ""),
-    ("\n\n   Текст здесь", "Текст здесь"),
-    ("Привет     мир", "Привет мир"),
-    ("Первый абзац.\n\n\n\nВторой абзац.", "Первый абзац.\n\nВторой абзац."),
-    ("Всего   5   штук", "Всего пять штук"),
-    ("Привет\t\tмир\t", "Привет мир"),
-    ("Параметр max-width установлен.", "Параметр макс видтх установлен."),
-    ("Ссылка [GitHub](https://github.com).", "Ссылка гит хуб."),
+
+from lectern.plans.normalize import char_map, cut, normalize, provenance
+from tests.golden_texts import CHAR_MAPS, GOLDEN
+
+MORE = [
+    ("a === b", "эй  строго равно  би"), ("x =>= y", "икс  толстая стрелка = вай"), ("﻿Привет﻿ мир", "Привет мир"), ("`α_x → b`", "альфа икс стрелка би"),
+    ("```python\nx\n```\n<!-- my-code: brief -->\n```\ny\n```", "икс\n\nдалее следует блок кода"), ("40.13.2024", "сорок точка тринадцать точка две тысячи двадцать четыре"),
+    ("99999999999999999999 и 7", "99999999999999999999 и семь"), ("[a](b) [c] (d) [](e)", "эй [си] (ди) [](и)"), ("C++ и c#", "си плюс плюс и си шарп"), ("~/x/../y", "тильда слэш кс слэш точка точка слэш и"),
 ]
 
 
 @pytest.fixture(scope="module")
 def read(spark):
-    docs = spark.createDataFrame(list(enumerate([a for a, _ in GOLDEN] + [None, ""])), "doc_id long, text string")
+    texts = [x for _, x, _ in GOLDEN] + [x for x, _ in MORE] + [None, "", " \n\t "]
+    docs = spark.createDataFrame([(i, x, "c", 1) for i, x in enumerate(texts)], "doc_id long, text string, kind string, row int")
     return normalize(docs).cache()
 
 
 def test_golden(read):
     got = {r.doc_id: r.normalized for r in read.select("doc_id", "normalized").collect()}
-    wrong = [(a, b, got[i]) for i, (a, b) in enumerate(GOLDEN) if got[i] != b]
+    wanted = [y for _, _, y in GOLDEN] + [y for _, y in MORE] + ["", "", ""]
+    wrong = [(i, y, got[i]) for i, y in enumerate(wanted) if got[i] != y]
     assert not wrong
-    assert got[len(GOLDEN)] == got[len(GOLDEN) + 1] == ""
 
 
-def test_segments_hold_the_source(read):
-    rows = read.select("doc_id", F.array_join(F.transform("segments", lambda x: x["text"]), "").alias("source")).collect()
-    assert {r.doc_id: r.source for r in rows if r.doc_id < len(GOLDEN)} == {i: a for i, (a, _) in enumerate(GOLDEN)}
+def test_char_maps(read):
+    names = {name: i for i, (name, _, _) in enumerate(GOLDEN)}
+    rows = {r.doc_id: [tuple(x) for x in r.char_map] for r in char_map(read).collect()}
+    for name, wanted in CHAR_MAPS.items():
+        assert rows[names[name]] == wanted, name
+    for r in read.select("doc_id", "normalized").collect():
+        assert len(rows[r.doc_id]) == len(r.normalized)
+
+
+def test_parts_and_free_text_are_the_source(read):
+    texts = [x for _, x, _ in GOLDEN] + [x for x, _ in MORE]
+    for r in read.where(f"doc_id < {len(texts)}").collect():
+        source, done = texts[r.doc_id], 0
+        for p in r.parts:
+            assert source[done : p.start] == p.free
+            done = p.stop
+        assert source[done:] == r.tail
 
 
 def test_provenance(read):
-    spans = [r for r in provenance(read).where("doc_id = 6").collect()]
-    assert [(r.orig_start, r.orig_end) for r in spans if r.phase == "size"] == [(9, 14)]
-    for a, b in zip(spans, spans[1:]):
-        assert a.orig_end == b.orig_start and a.norm_end == b.norm_start
+    size = next(i for i, (name, _, _) in enumerate(GOLDEN) if name == "size_gb")
+    source = GOLDEN[size][1]
+    spans = provenance(read).where(f"doc_id = {size}").collect()
+    assert [source[r.orig_start : r.orig_end] for r in spans] == ["5GB"]
+    assert all(a.norm_end <= b.norm_start for a, b in zip(spans, spans[1:]))
 
 
 def test_terms_are_a_parameter(spark):
-    docs = spark.createDataFrame([(1, "zork")], "doc_id long, text string")
-    assert normalize(docs, terms={"zork": "зорк!"}).first().normalized == "зорк!"
+    docs = spark.createDataFrame([(1, "zork and `zork_id`"), (None, "zork"), (None, "zork")], "doc_id long, text string")
+    rows = sorted(r.normalized for r in normalize(docs, terms={"zork": "зорк!"}, code_terms={"zork": "код"}).collect())
+    assert rows == ["зорк!", "зорк!", "зорк! анд код ай ди"]
+    assert normalize(docs.limit(0)).count() == 0
+
+
+def test_brief_mode(spark):
+    docs = spark.createDataFrame([(1, "```rust\nfn x\n```"), (2, "<!-- any-code: full -->\n```\ny\n```")], "doc_id long, text string")
+    assert {r.doc_id: r.normalized for r in normalize(docs, brief=True).collect()} == {1: "далее следует пример кода на раст", 2: "игрек"}
+
+
+def test_cutting_takes_linear_time():
+    line = "Раздел про getUserData, user_id и API v1.2.3 на https://example.com/path?q=1.\n- пункт 100MB, 50%, 10-20, α → β, `code_x` и [ссылка](http://a.ru) 12.05.2024 14:30\n"
+
+    def seconds(size):
+        text = line * (size // len(line))
+        best = []
+        for _ in range(3):
+            began = time.process_time()
+            cut(text)
+            best.append(time.process_time() - began)
+        return min(best)
+
+    assert seconds(256_000) < 4 * seconds(128_000)
+    for hard in ("[" * 200_000, "](" * 100_000, "`" * 200_000, "```x" * 50_000, "a-" * 20_000, "[[a](" * 50_000):
+        began = time.process_time()
+        cut(hard)
+        assert time.process_time() - began < 20
