@@ -9,8 +9,10 @@ from lectern.functions import lexicon as L
 from lectern.functions.numbers import digit_words, int_words, let, lookup, number_words
 
 TRAILING = r"[.,;:!?]*$"
-#: A word with its codepoints' class spelled out, the same in every regex dialect.
-WORD = "[0-9A-Za-zÀ-ÿ_]+"
+#: A word of any script: letters, digits and underscores.
+WORD = r"[\p{L}\p{N}_]+"
+#: White space of any script, as a class of every regex dialect.
+WHITE = r"\t-\r \x{85}\p{Z}"
 
 
 def characters(text: Column) -> Column:
@@ -83,9 +85,59 @@ def read_parts(parts: Column, terms: dict[str, str] | None = None) -> Column:
     return F.array_join(F.transform(parts, say), " ")
 
 
+def strip_white(text: Column) -> Column:
+    return F.regexp_replace(text, rf"\A[{WHITE}]+|(?<![{WHITE}])[{WHITE}]+\z", "")
+
+
 def sanitize(text: Column) -> Column:
-    """Line breaks to spaces, runs of white space to one, none at the ends."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[\r\n]+", " "), r"[ \t]+", " "))
+    """Line breaks with the white space around them to one space, runs of spaces to one, none at the ends; tabs within a line stay."""
+    blank = r"\t\x0B-\r \x{85}\p{Z}"
+    joined = F.regexp_replace(text, rf"(?<![{blank}])[{blank}]*+\n[{WHITE}]*+", " ")
+    return strip_white(F.regexp_replace(joined, " +", " "))
+
+
+def clean_carets(text: Column) -> Column:
+    """Caret marks that skip a stress: one space before, none after, runs as one, none at the end."""
+    spaced = strip_white(F.regexp_replace(F.replace(text, F.lit("^"), F.lit(" ^")), rf"[{WHITE}]+", " "))
+    return strip_white(F.regexp_replace(strip_white(F.regexp_replace(F.replace(spaced, F.lit("^ "), F.lit("^")), r"\^+", "^")), r"\^\z", ""))
+
+
+#: Signs that a voice knows, besides carets.
+VOICE_SYMBOLS = "!+,-.:;?абвгдежзийклмнопрстуфхцчшщъыьэюяё–… "
+
+
+def voice_input(text: Column, symbols: str = VOICE_SYMBOLS) -> Column:
+    """struct<sentence, clean_sentence, has_text>: lower-cased, known signs alone, carets cleaned; then Cyrillic letters alone."""
+    kept = "".join("\\" + c if c in "\\^[]-&" else c for c in symbols)
+    dashed = F.translate(F.lower(text), "—\u2011", "–-")
+    sentence = clean_carets(F.regexp_replace(dashed, rf"[^{kept}\^]", ""))
+
+    def parts(x: Column) -> Column:
+        clean = F.regexp_replace(x, r"[^а-я\- ]", "")
+        return F.struct(x.alias("sentence"), clean.alias("clean_sentence"), F.regexp_replace(clean, " ", "").rlike(".").alias("has_text"))
+
+    return let(sentence, parts)
+
+
+def symbol_table(symbols: str, first: int, last: int, text: Column) -> Column:
+    """struct<ids, chars> of a sentence between a first and a last id, with the character that each id comes from."""
+    found = F.filter(F.transform(characters(text), lambda c: F.struct(F.instr(F.lit(symbols), c).alias("id"), c.alias("ch"))), lambda x: x["id"] > 0)
+    ids = F.concat(F.array(F.lit(first)), F.transform(found, lambda x: x["id"]), F.array(F.lit(last)))
+    return F.struct(ids.alias("ids"), F.concat(F.array(F.lit("~")), F.transform(found, lambda x: x["ch"]), F.array(F.lit("|"))).alias("chars"))
+
+
+def directives(text: Column) -> Column:
+    """array<struct<start, mode>> of the directives that say how the code after them is read."""
+    pattern = r"<!--\s*[a-z]+-code:\s*(?:full|brief)\s*-->"
+    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern)
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,mode:string>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["gap"])
+        return F.struct((start + F.length(x["found"])).alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), F.when(x["found"].contains("brief"), "brief").otherwise("full").alias("mode")))).alias("out"))
+
+    pairs = F.filter(F.arrays_zip(found.alias("found"), gaps.alias("gap")), lambda x: x["found"].isNotNull())
+    return F.aggregate(pairs, zero, step)["out"]
 
 
 def strip_markup(text: Column) -> Column:

@@ -1,12 +1,26 @@
-"""A history of entries as a table: repair, changes, search, and keeping its files within bounds."""
+"""A history of entries as a table: repair, changes, search, and keeping its files within bounds.
+
+Edge cases (tests/test_history.py): ids that no entry has change nothing; repeated ids in a request count once; entries without a date
+are the oldest; entries without files are evicted only with their texts; empty tables give no rows, or zeros where one row of totals is
+returned.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from lectern.session import settle
+
+# Fixed values
 GRACE_SECONDS = 60
+FORMATS = ("plain", "markdown", "html")
+PIPER_MOST = 100_000
+ENGINES = ("piper", "silero", "silero_native")
+# End of fixed values
 
 
 def new_entries(texts: DataFrame, text_col: str = "text") -> DataFrame:
@@ -72,6 +86,16 @@ def newest_first(entries: DataFrame) -> DataFrame:
     return entries.orderBy(F.desc("created_at"), "id")
 
 
+def with_places(ordered: DataFrame) -> DataFrame:
+    """Rows in their order with their place in it, from 1: counted by partition, so that no task sees all rows."""
+    at = ordered.withColumns({"part": F.spark_partition_id(), "row": F.monotonically_increasing_id()})
+    at = settle(at, "ordered")
+    sizes = at.groupBy("part").agg(F.count("*").alias("n"), F.min("row").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
+    offsets = F.broadcast(sizes.select("part", "first", before.alias("before")))
+    return at.join(offsets, "part").withColumn("place", F.col("before") + F.col("row") - F.col("first") + 1).drop("part", "row", "first", "before")
+
+
 def orphans(files: DataFrame, references: DataFrame, now: Column) -> DataFrame:
     """files (name, modified) that no entry names and that are at least GRACE_SECONDS old."""
     old = files.where(F.unix_timestamp(now) - F.unix_timestamp("modified") >= GRACE_SECONDS)
@@ -87,19 +111,27 @@ def bytes_of_entries(entries: DataFrame, files: DataFrame) -> DataFrame:
 def evict_to_size(entries: DataFrame, target: int) -> DataFrame:
     """Rows (id, created_at, bytes, status) to evict, oldest first until the total of all is at most target; none for target 0.
 
-    Bytes are summed by day first and the days' running sums are windowed, so that no task sorts all entries: within a day rows are
-    windowed on their own and only the day where the target is crossed matters row by row.
+    Bytes are summed by day, and of the day where the target is crossed by minute; rows are put in order only within the minute where
+    it is crossed. So no task sorts all entries.
     """
     if target <= 0:
         return entries.limit(0)
-    total = entries.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    can = entries.where("status <> 'processing' AND bytes IS NOT NULL").withColumn("day", F.to_date("created_at"))
-    days = can.groupBy("day").agg(F.sum("bytes").alias("day_bytes"))
-    before = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)  # a row for each day
-    days = days.select("day", F.coalesce(F.sum("day_bytes").over(before), F.lit(0)).alias("freed"))
-    own = Window.partitionBy("day").orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, -1)
-    freed = can.withColumn("own", F.coalesce(F.sum("bytes").over(own), F.lit(0))).join(F.broadcast(days), "day")
-    return freed.where(F.lit(total) - F.col("freed") - F.col("own") > target).select(*entries.columns)
+    total = entries.agg(F.coalesce(F.sum("bytes"), F.lit(0)).cast("long")).first()[0]
+    at = F.coalesce(F.col("created_at").cast("timestamp"), F.lit("1900-01-01").cast("timestamp"))
+    rest, evicted = entries.where("status <> 'processing' AND bytes IS NOT NULL"), []
+    for size in ("day", "minute"):
+        cells = rest.groupBy(F.date_trunc(size, at).alias("cell")).agg(F.sum("bytes").alias("cell_bytes"))
+        before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # a row for each day, or each minute of one day
+        left = cells.withColumn("left_over", F.lit(total) - F.coalesce(F.sum("cell_bytes").over(before), F.lit(0)))
+        crossed = left.where((F.col("left_over") > target) & (F.col("left_over") - F.col("cell_bytes") <= target)).orderBy("cell").first()
+        if crossed is None:  # all of it goes, or nothing
+            return reduce(DataFrame.unionByName, [*evicted, rest if total > target else rest.limit(0)])
+        cell = F.date_trunc(size, at)
+        evicted.append(rest.where(cell < F.lit(crossed.cell)))
+        rest, total = rest.where(cell == F.lit(crossed.cell)), int(crossed.left_over)
+    order = Window.orderBy(F.asc_nulls_first("created_at"), "id").rowsBetween(Window.unboundedPreceding, -1)
+    freed = rest.withColumn("freed", F.coalesce(F.sum("bytes").over(order), F.lit(0)))
+    return reduce(DataFrame.unionByName, [*evicted, freed.where(F.lit(total) - F.col("freed") > target).drop("freed")])
 
 
 def evict_all(entries: DataFrame, delete_texts: bool = False) -> DataFrame:
@@ -108,6 +140,81 @@ def evict_all(entries: DataFrame, delete_texts: bool = False) -> DataFrame:
     return kept if delete_texts else kept.where("bytes IS NOT NULL")
 
 
+def evictions(rows: DataFrame) -> DataFrame:
+    """One row of what an eviction removes: evicted, freed_bytes."""
+    return rows.agg(F.count("*").alias("evicted"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("freed_bytes"))
+
+
+def swept(files: DataFrame, references: DataFrame, now: Column) -> DataFrame:
+    """One row of what a sweep removes: removed_files, removed_bytes; files: (name, modified, length)."""
+    return orphans(files, references, now).agg(F.count("*").alias("removed_files"), F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("removed_bytes"))
+
+
+def startup_cleanup(files: DataFrame, references: DataFrame, entries: DataFrame, now: Column, target: int) -> DataFrame:
+    """Totals of a sweep and of an eviction to size, which keeps texts, in one row."""
+    return swept(files, references, now).crossJoin(F.broadcast(evictions(evict_to_size(entries, target))))  # one row each
+
+
+def clear_cache(files: DataFrame, references: DataFrame, entries: DataFrame, now: Column, target_mb: int | None = None, delete_texts: bool = False) -> DataFrame:
+    """Totals of a sweep and of an eviction, to a size in MiB or of everything, in one row."""
+    rows = evict_all(entries, delete_texts) if target_mb is None else evict_to_size(entries, target_mb * 1024 * 1024)
+    return swept(files, references, now).crossJoin(F.broadcast(evictions(rows)))  # one row each
+
+
+def delete_entries(entries: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The entries that stay, and the paths (path) of the files of those that go."""
+    going = entries.join(ids.select("id").distinct(), "id", "left_semi")
+    paths = [c for c in ("audio_path", "timestamps_path") if c in entries.columns]
+    files = going.select(F.explode(F.array(*paths)).alias("path")).where("path IS NOT NULL")
+    return entries.join(ids.select("id").distinct(), "id", "left_anti"), files
+
+
+def set_format(entries: DataFrame, formats: DataFrame) -> DataFrame:
+    """Entries with the format that formats (id, format) asks for, whatever their status; an unknown format changes nothing."""
+    asked = formats.where(F.col("format").isin(*FORMATS)).groupBy("id").agg(F.max("format").alias("asked"))
+    return entries.join(asked, "id", "left").withColumn("format", F.coalesce("asked", "format")).select(*entries.columns)
+
+
+def playable(entries: DataFrame, files: DataFrame) -> DataFrame:
+    """Entries that can be played: ready, and their audio file exists."""
+    return entries.where("status = 'ready' AND audio_path IS NOT NULL").join(files.select(F.col("path").alias("audio_path")).distinct(), "audio_path", "left_semi").select(*entries.columns)
+
+
+def apply_events(entries: DataFrame, events: DataFrame, key: str, order: str, kind: str = "kind") -> DataFrame:
+    """Entries after a log of changes: the last event of each key puts its row, or removes it (kind is `removed`).
+
+    events have the columns of entries, order and kind; an entry without events stays.
+    """
+    columns = [c for c in entries.columns if c != key]
+    rows = entries.select(key, F.lit(None).cast(events.schema[order].dataType).alias("order"), F.lit("updated").alias("kind"), F.struct(*columns).alias("row"))
+    log = events.select(key, F.col(order).alias("order"), F.col(kind).alias("kind"), F.struct(*columns).alias("row"))
+    last = rows.unionByName(log).groupBy(key).agg(F.max(F.struct(F.col("order").isNotNull().alias("later"), "order", "kind", "row")).alias("last"))
+    return last.where("last.kind <> 'removed'").select(key, "last.row.*").select(*entries.columns)
+
+
+def wav_migration(entries: DataFrame, files: DataFrame) -> DataFrame:
+    """One row that counts entries by what a migration of wav files to opus does: to_convert, missing, already, none."""
+    there = files.select(F.col("path").alias("audio_path"), F.lit(True).alias("there")).distinct()
+    wav, opus = F.lower("audio_path").endswith(".wav"), F.lower("audio_path").endswith(".opus")
+    full = entries.join(there, "audio_path", "left")
+    return full.agg(
+        F.count_if(wav & F.col("there").isNotNull()).alias("to_convert"), F.count_if(wav & F.col("there").isNull()).alias("missing"),
+        F.count_if(opus).alias("already"), F.count_if(F.col("audio_path").isNull()).alias("none"),
+    )
+
+
+def too_long(text: Column, engine: Column, most: int = PIPER_MOST, engines: tuple[str, ...] = ("piper",)) -> Column:
+    """Whether an engine with a limit gets a text beyond it; the length is in code points."""
+    return F.coalesce(engine.isin(*engines) & (F.length(text) > most), F.lit(False))
+
+
+def ingest(texts: DataFrame, engine: Column, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """New entries of texts, and errors (text, type, message) of those that are blank or too long for the engine."""
+    marked = texts.withColumn("why", F.when(F.coalesce(F.trim(F.col(text_col)), F.lit("")) == "", "empty text").when(too_long(F.col(text_col), engine), "text too long"))
+    errors = marked.where("why IS NOT NULL").select(F.col(text_col).alias("text"), F.lit("bad_input").alias("type"), F.col("why").alias("message"))
+    return new_entries(marked.where("why IS NULL"), text_col), errors
+
+
 def cache_stats(files: DataFrame) -> DataFrame:
     """Bytes of all files, and how many hold audio."""
     audio = F.lower(F.substring_index("path", ".", -1)).isin("opus", "wav")

@@ -1,4 +1,9 @@
-"""Provenance as tables: ranges of normalised text, edits, rendered spans and the positions of playback, mapped by joins."""
+"""Provenance as tables: ranges of normalised text, edits, rendered spans and the positions of playback, mapped by joins.
+
+Edge cases (tests/test_mapping.py): ranges and words without a match keep their row, with themselves, -1 or null; equal rows of ranges,
+positions and words count once; rows with a null key match nothing; empty tables give no rows. Spans may be long, but each is repeated
+for every CELL positions of its length.
+"""
 
 from __future__ import annotations
 
@@ -7,13 +12,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 
-def map_via_spans(ranges: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
-    """ranges (keys, norm_start, norm_end) with orig_start, orig_end: the hull of the spans that overlap, itself where none does.
+#: Positions of a cell: ranges meet in the cells that they touch, so a long document is many keys.
+CELL = 64
 
-    Spans carry the document's keys, so the join is an equi-join with a condition, and the hull is one aggregate.
-    """
+
+def _cells(start: Column, stop: Column) -> Column:
+    """The cells that a range touches, one at least."""
+    return F.explode(F.sequence(F.floor(start / CELL), F.greatest(F.floor(start / CELL), F.floor((stop - 1) / CELL))))
+
+
+def map_via_spans(ranges: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
+    """ranges (keys, norm_start, norm_end) with orig_start, orig_end: the hull of the spans that overlap, itself where none does."""
     s = spans.select(*keys, F.col("norm_start").alias("ss"), F.col("norm_end").alias("se"), F.col("orig_start").alias("os"), F.col("orig_end").alias("oe"))
-    joined = ranges.join(s, keys, "left")
+    s = s.withColumn("cell", _cells(F.col("ss"), F.col("se")))
+    joined = ranges.select(*keys, "norm_start", "norm_end", _cells(F.col("norm_start"), F.col("norm_end")).alias("cell")).join(s, [*keys, "cell"], "left")
     hit = (F.col("se") > F.col("norm_start")) & (F.col("ss") < F.col("norm_end"))
     hull = joined.groupBy(*keys, "norm_start", "norm_end").agg(F.min(F.when(hit, F.col("os"))).alias("lo"), F.max(F.when(hit, F.col("oe"))).alias("hi"))
     return hull.select(*keys, "norm_start", "norm_end", F.coalesce("lo", "norm_start").alias("orig_start"), F.coalesce("hi", "norm_end").alias("orig_end"))
@@ -43,10 +55,21 @@ def word_around(text: Column, position: Column) -> Column:
     return F.struct((position - before).alias("start"), (position + after).alias("end"))
 
 
-def active_words(positions: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame:
+#: Positions of a stretch: running values are taken within a stretch, and over stretches, so a long document is many tasks' work.
+STRETCH = 4096
+
+
+def active_words(positions: DataFrame, words: DataFrame, keys: list[str], stretch: float = STRETCH) -> DataFrame:
     """positions (keys, t) with the index of the active word: the first that ends after t, so the next one in a gap; -1 past the last."""
-    joined = positions.join(words.select(*keys, "idx", F.col("end").alias("word_end")), keys, "left")
-    return joined.groupBy(*keys, "t").agg(F.coalesce(F.min(F.when(F.col("word_end") > F.col("t"), F.col("idx"))), F.lit(-1)).alias("active"))
+    part = lambda x: F.floor(x / stretch).alias("stretch")
+    both = positions.select(*keys, part(F.col("t")), F.col("t").alias("at"), F.lit(None).cast(words.schema["idx"].dataType).alias("idx"), F.lit(1).alias("asks")).distinct()
+    both = both.unionByName(words.select(*keys, part(F.col("end")), F.col("end").alias("at"), "idx", F.lit(0).alias("asks")))
+    own = Window.partitionBy(*keys, "stretch").orderBy(F.desc("at"), F.desc("asks")).rowsBetween(Window.unboundedPreceding, 0)
+    near = both.withColumn("near", F.min("idx").over(own)).where("asks = 1")
+    later = Window.partitionBy(*keys).orderBy(F.desc("stretch")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each stretch
+    firsts = both.groupBy(*keys, "stretch").agg(F.min("idx").alias("first")).withColumn("far", F.min("first").over(later)).drop("first")
+    found = near.join(firsts, [*keys, "stretch"], "left")
+    return found.select(*keys, F.col("at").alias("t"), F.coalesce(F.least("near", "far"), F.lit(-1)).alias("active"))
 
 
 def newest_before(rows: DataFrame, marks: DataFrame, keys: list[str], at: str = "at", value: str = "value") -> DataFrame:
@@ -59,7 +82,8 @@ def newest_before(rows: DataFrame, marks: DataFrame, keys: list[str], at: str =
 
 def tightest_span(words: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
     """words (keys, s, e) with the rendered span that shows each: the same range, else the smallest around it, the first on a tie."""
-    joined = words.join(spans.select(*keys, "span", F.col("start").alias("ss"), F.col("end").alias("se")), keys, "left")
+    s = spans.select(*keys, "span", F.col("start").alias("ss"), F.col("end").alias("se")).withColumn("cell", _cells(F.col("ss"), F.col("se")))
+    joined = words.select(*keys, "s", "e", F.floor(F.col("s") / CELL).alias("cell")).join(s, [*keys, "cell"], "left")
     fits = (F.col("ss") <= F.col("s")) & (F.col("se") >= F.col("e"))
     order = F.struct(((F.col("ss") != F.col("s")) | (F.col("se") != F.col("e"))).alias("not_exact"), (F.col("se") - F.col("ss")).alias("size"), "span")
     return joined.groupBy(*keys, "s", "e").agg(F.min(F.when(fits, order))["span"].alias("span"))
@@ -77,6 +101,34 @@ def unit_spans(maps: DataFrame, keys: list[str], char_map: str = "char_map") ->
     return each.select(*keys, F.col("i").alias("norm_start"), (F.col("i") + 1).alias("norm_end"), F.col("x.s").alias("orig_start"), F.col("x.e").alias("orig_end"))
 
 
+def map_to_original(variant: dict[str, Column], start: Column, end: Column) -> Column:
+    """struct<start, end> by whichever map a row has: spans (array<struct<norm_start, norm_end, orig_start, orig_end>>), or char_map, or none."""
+    spans, char_map = variant.get("spans"), variant.get("char_map")
+    found = F.struct(start.alias("start"), end.alias("end"))
+    if char_map is not None:
+        found = F.when(char_map.isNotNull() & (F.size(char_map) > 0), map_positional(char_map, start, end)).otherwise(found)
+    if spans is not None:
+        hit = F.filter(spans, lambda x: (x["norm_end"] > start) & (x["norm_start"] < end))
+        hull = F.struct(F.array_min(F.transform(hit, lambda x: x["orig_start"])).alias("start"), F.array_max(F.transform(hit, lambda x: x["orig_end"])).alias("end"))
+        found = F.when(spans.isNotNull() & (F.size(hit) > 0), hull).when(spans.isNotNull(), F.struct(start.alias("start"), end.alias("end"))).otherwise(found)
+    return found
+
+
+def source_positions(points: DataFrame, edits: DataFrame, keys: list[str]) -> DataFrame:
+    """points (keys, at) of a rewritten text with `source`, where they come from, and `inside`, whether in a rewritten part.
+
+    edits (keys, orig_start, orig_end, new_len) are disjoint; one running sum places them, one as-of pass finds the last that starts at
+    or before each point. A point inside a part comes from the part's start.
+    """
+    placed = edit_offsets(edits, keys).select(*keys, F.col("new_start").alias("at"), F.struct("new_start", "new_len", "orig_start", "orig_end").alias("edit"), F.lit(0).alias("asks"))
+    both = points.select(*keys, "at", F.lit(None).cast(placed.schema["edit"].dataType).alias("edit"), F.lit(1).alias("asks")).unionByName(placed)
+    order = Window.partitionBy(*keys).orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("last", F.max(F.when(F.col("asks") == 0, F.struct("edit.orig_start", "edit"))).over(order)["edit"]).where("asks = 1")
+    inside = F.coalesce(F.col("at") < F.col("last.new_start") + F.col("last.new_len"), F.lit(False))
+    moved = F.col("last.orig_end") + F.col("at") - F.col("last.new_start") - F.col("last.new_len")
+    return found.select(*keys, "at", F.when(inside, F.col("last.orig_start")).otherwise(F.coalesce(moved, "at")).alias("source"), inside.alias("inside"))
+
+
 def is_sorted(words: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, sorted): whether starts never go back."""
     back = F.lag("start").over(Window.partitionBy(*keys).orderBy("idx")) > F.col("start")

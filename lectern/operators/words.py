@@ -1,34 +1,69 @@
-"""Words, lines and chunks of texts with their codepoint spans, and the times at which words are spoken."""
+"""Words, lines and chunks of texts with their codepoint spans, and the times at which words are spoken.
+
+Spans and shares of letters are worked out in the row, in Arrow batches; nothing is shuffled by document.
+
+Edge cases (tests/test_words.py): null and empty texts have no words, an empty text has one empty line, a null one none; repeated rows
+and null ids give their words each; an empty table gives no rows; other columns are carried only if named.
+"""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from lectern.functions.strings import WORD
+_WORD, _SPACED = re.compile(r"\w+"), re.compile("[^ ]+")
 
 
-def word_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), pattern: str = WORD) -> DataFrame:
-    """(id, keep..., idx, word, start, end_pos): words by a pattern, end exclusive.
+def _spans(docs: DataFrame, keep: list[str], text_col: str, cut: Callable[[str], list[tuple[int, int, int]]], text_name: str = "word") -> DataFrame:
+    """(keep..., idx, word, start, end_pos, before, total) of the pieces (idx, start, stop) that cut finds in each text.
 
-    Words and the gaps before them are taken apart in the row; their running length is a window over the document, the only shuffle.
+    before and total are the letters of the pieces before it, and of all pieces of its text.
     """
-    text = F.col(text_col)
-    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("word"), F.split(text, pattern).alias("gap"))
-    each = docs.select(id_col, *keep, F.posexplode(F.filter(pairs, lambda p: p["word"].isNotNull())).alias("idx", "pair"))
-    each = each.select(id_col, *keep, "idx", "pair.word", F.length("pair.gap").alias("gap"), F.length("pair.word").alias("size"))
-    upto = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy(id_col).orderBy("idx"))
-    return each.withColumn("end_pos", upto).withColumn("start", F.col("end_pos") - F.col("size")).drop("gap", "size")
+    names = [*keep, "idx", text_name, "start", "end_pos", "before", "total"]
+    kinds = [T.IntegerType(), T.StringType(), *[T.LongType()] * 4]
+    schema = T.StructType([*(docs.schema[c] for c in keep), *[T.StructField(n, k) for n, k in zip(names[len(keep) :], kinds)]])
 
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
 
-def word_times(words: DataFrame, duration_ms: Column, id_col: str = "doc_id") -> DataFrame:
-    """words with start_ms and end_ms: each word's share of the duration is its share of the letters, rounded to the millisecond."""
-    size = F.length("word").cast("long")
-    order = Window.partitionBy(id_col).orderBy("idx")
-    timed = words.withColumns({"upto": F.sum(size).over(order), "total": F.sum(size).over(Window.partitionBy(id_col)), "ms": duration_ms.cast("long")})
-    at = lambda x: F.floor((x * F.col("ms") * 2 + F.col("total")).cast("decimal(38,0)") / (F.col("total") * 2)).cast("long")
-    return timed.withColumns({"start_ms": at(F.col("upto") - size), "end_ms": at(F.col("upto"))}).drop("upto", "total", "ms")
+        for batch in batches:
+            for low in range(0, batch.num_rows, 200):
+                part = batch.slice(low, 200)
+                rows, found, pieces, total = [], [], [], []
+                for i, text in enumerate(part.column(len(keep)).to_pylist()):
+                    spans = cut(text) if text is not None else []
+                    rows.append(len(spans))
+                    found += spans
+                    pieces += [text[a:z] for _, a, z in spans]
+                    total.append(sum(z - a for _, a, z in spans))
+                table = np.array(found, np.int64).reshape(-1, 3)
+                size, of = table[:, 2] - table[:, 1], np.repeat(np.arange(len(rows)), rows)
+                upto = np.cumsum(size)
+                base = np.concatenate(([0], np.cumsum(total)))[:-1][of] if len(rows) else size
+                at = pa.array(of, pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [*[part.column(k).take(at) for k in range(len(keep))], pa.array(table[:, 0], pa.int32()), pa.array(pieces, pa.string()), pa.array(table[:, 1]), pa.array(table[:, 2]), pa.array(upto - size - base), pa.array(np.array(total, np.int64)[of])],
+                    names,
+                )
+
+    return docs.select(*keep, F.col(text_col).alias("text to cut")).mapInArrow(run, schema)
+
+
+def word_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, keep..., idx, word, start, end_pos, before, total): words of any script, end exclusive; before and total as in _spans()."""
+    return _spans(docs, [id_col, *keep], text_col, lambda t: [(i, *m.span()) for i, m in enumerate(_WORD.finditer(t))])
+
+
+def word_times(words: DataFrame, duration_ms: Column) -> DataFrame:
+    """word_spans() with start_ms and end_ms: each word's share of the duration is its share of the letters, rounded to the millisecond."""
+    at = lambda x: F.floor((x * duration_ms.cast("long") * 2 + F.col("total")).cast("decimal(38,0)") / (F.col("total") * 2)).cast("long")
+    return words.withColumns({"start_ms": at(F.col("before")), "end_ms": at(F.col("before") + F.col("end_pos") - F.col("start"))}).drop("before", "total")
 
 
 def chunk_times(words: DataFrame, chunks: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -42,15 +77,29 @@ def chunk_times(words: DataFrame, chunks: DataFrame, id_col: str = "doc_id") ->
     return timed.withColumns({"start_ms": at(F.col("upto") - size), "end_ms": at(F.col("upto"))}).drop("upto", "total", "offset_ms", "duration_ms")
 
 
+def _lines(text: str) -> list[tuple[int, int, int]]:
+    out, at = [], 0
+    for i, line in enumerate(text.split("\n")):
+        out.append((i, at, at + len(line)))
+        at += len(line) + 1
+    return out
+
+
 def line_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, line, text, start) of every line."""
-    lines = docs.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("line", "text"))
-    upto = F.sum(F.length("text") + 1).over(Window.partitionBy(id_col).orderBy("line"))
-    return lines.withColumn("start", upto - F.length("text") - 1)
+    found = _spans(docs, [id_col], text_col, _lines, "line text")
+    return found.select(id_col, F.col("idx").alias("line"), F.col("line text").alias("text"), "start")
+
+
+def _between_spaces(text: str) -> list[tuple[int, int, int]]:
+    out, idx, at = [], 0, 0
+    for m in _SPACED.finditer(text):
+        idx += m.start() - at
+        out.append((idx, *m.span()))
+        at = m.end()
+    return out
 
 
 def space_word_spans(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """(keys..., word, start, end_pos) of words between spaces."""
-    parts = docs.select(*keys, F.posexplode(F.split(text_col, " ")).alias("idx", "word"))
-    upto = F.sum(F.length("word") + 1).over(Window.partitionBy(*keys).orderBy("idx"))
-    return parts.withColumn("end_pos", upto - 1).withColumn("start", F.col("end_pos") - F.length("word")).where("word <> ''")
+    """(keys..., idx, word, start, end_pos) of words between spaces; idx counts the spaces before a word."""
+    return _spans(docs, keys, text_col, _between_spaces).drop("before", "total")

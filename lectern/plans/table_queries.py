@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.operators import history as H
@@ -13,9 +13,6 @@ from lectern.sources.tables import table
 from lectern.streaming import status as ST
 
 QUERIES, ORACLE_SQL = {}, {}
-KEYS = ["conv_id", "turn"]
-
-
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -26,24 +23,26 @@ def query(sql: str | None = None):
     return add
 
 
-SPANS_SQL = """t AS (SELECT conv_id, turn, unnest(range(0, len(string_split(text, ' ')))) AS k, unnest(string_split(text, ' ')) AS w FROM conversations),
-    u AS (SELECT *, CAST(sum(length(w) + 1) OVER (PARTITION BY conv_id, turn ORDER BY k) AS BIGINT) - length(w) - 1 AS s FROM t),
-    words AS (SELECT conv_id, turn, k AS idx, w AS word, s, s + length(w) AS e FROM u WHERE w <> ''),
-    positions AS (SELECT DISTINCT conv_id, turn, unnest(range(0, length(text) + 1, 7)) AS t FROM conversations)"""
+KEYS = ["doc_id"]
+SPANS_SQL = """t AS (SELECT doc_id, unnest(range(0, len(string_split(text, ' ')))) AS k, unnest(string_split(text, ' ')) AS w FROM documents),
+    u AS (SELECT *, CAST(sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) - length(w) - 1 AS s FROM t),
+    words AS (SELECT doc_id, k AS idx, w AS word, s, s + length(w) AS e FROM u WHERE w <> ''),
+    positions AS (SELECT doc_id, unnest(range(0, length(text) + 1, 7)) AS t FROM documents)"""
 
 
 def _words(spark: SparkSession, sf: str) -> DataFrame:
-    return W.space_word_spans(table(spark, sf, "conversations"), KEYS)
+    return W.space_word_spans(table(spark, sf, "documents"), KEYS)
 
 
 def _positions(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "conversations").select(*KEYS, F.explode(F.sequence(F.lit(0).cast("long"), F.length("text").cast("long"), F.lit(7).cast("long"))).alias("t")).distinct()
+    return table(spark, sf, "documents").select(*KEYS, F.explode(F.sequence(F.lit(0).cast("long"), F.length("text").cast("long"), F.lit(7).cast("long"))).alias("t"))
 
 
 @query(
-    f"""WITH {SPANS_SQL}, r AS (SELECT conv_id, turn, t * 2 AS a, t * 2 + 10 AS b FROM positions)
-    SELECT r.conv_id, r.turn, a AS norm_start, b AS norm_end, coalesce(min(s), a) AS orig_start, coalesce(max(e), b) AS orig_end
-    FROM r LEFT JOIN words w ON r.conv_id = w.conv_id AND r.turn = w.turn AND 2 * e > a AND 2 * s < b GROUP BY r.conv_id, r.turn, a, b"""
+    f"""WITH {SPANS_SQL}, r AS (SELECT doc_id, t * 2 AS a, t * 2 + 10 AS b FROM positions),
+    ra AS (SELECT *, unnest(range(a // 50, (b - 1) // 50 + 1)) AS c FROM r), wa AS (SELECT *, unnest(range(2 * s // 50, (2 * e - 1) // 50 + 1)) AS c FROM words)
+    SELECT r.doc_id, a AS norm_start, b AS norm_end, coalesce(min(s), a) AS orig_start, coalesce(max(e), b) AS orig_end
+    FROM ra r LEFT JOIN wa w ON r.doc_id = w.doc_id AND r.c = w.c AND 2 * e > a AND 2 * s < b GROUP BY r.doc_id, a, b"""
 )
 def map_via_spans(spark: SparkSession, sf: str) -> DataFrame:
     spans = _words(spark, sf).select(*KEYS, (F.col("start") * 2).alias("norm_start"), (F.col("end_pos") * 2).alias("norm_end"), F.col("start").alias("orig_start"), F.col("end_pos").alias("orig_end"))
@@ -52,8 +51,8 @@ def map_via_spans(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {SPANS_SQL} SELECT p.conv_id, p.turn, p.t, coalesce(min(idx), -1) AS active
-    FROM positions p LEFT JOIN words w ON p.conv_id = w.conv_id AND p.turn = w.turn AND w.e > p.t GROUP BY ALL"""
+    f"""WITH {SPANS_SQL} SELECT p.doc_id, p.t, coalesce(idx, -1) AS active
+    FROM positions p ASOF LEFT JOIN words w ON p.doc_id = w.doc_id AND p.t < w.e"""
 )
 def active_word_asof(spark: SparkSession, sf: str) -> DataFrame:
     words = _words(spark, sf).select(*KEYS, F.col("idx").cast("long").alias("idx"), F.col("end_pos").alias("end"))
@@ -62,9 +61,9 @@ def active_word_asof(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {SPANS_SQL}, spans AS (SELECT conv_id, turn, t // 7 AS span, t AS ss, t + 16 AS se FROM positions)
-    SELECT w.conv_id, w.turn, w.s, w.e, min_by(span, ((ss <> s OR se <> e)::INT, se - ss, span)) AS span
-    FROM words w LEFT JOIN spans p ON w.conv_id = p.conv_id AND w.turn = p.turn AND ss <= s AND se >= e GROUP BY ALL"""
+    f"""WITH {SPANS_SQL}, spans AS (SELECT doc_id, t // 7 AS span, t AS ss, t + 16 AS se, unnest(range(t // 50, (t + 15) // 50 + 1)) AS c FROM positions)
+    SELECT w.doc_id, w.s, w.e, min_by(span, ((ss <> s OR se <> e)::INT, se - ss, span)) AS span
+    FROM words w LEFT JOIN spans p ON w.doc_id = p.doc_id AND p.c = w.s // 50 AND ss <= s AND se >= e GROUP BY ALL"""
 )
 def containment(spark: SparkSession, sf: str) -> DataFrame:
     words = _words(spark, sf).select(*KEYS, F.col("start").alias("s"), F.col("end_pos").alias("e"))
@@ -72,6 +71,17 @@ def containment(spark: SparkSession, sf: str) -> DataFrame:
     return M.tightest_span(words, spans, KEYS)
 
 
+@query(
+    """WITH e AS (SELECT o_custkey, o_orderkey AS s, o_orderkey + 3 AS z, length(o_orderpriority) AS n, o_orderkey + coalesce(sum(length(o_orderpriority) - 3) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a FROM orders WHERE o_orderkey % 4 = 0),
+    p AS (SELECT o_custkey, o_orderkey + 2 AS at FROM orders)
+    SELECT p.o_custkey, p.at, CASE WHEN p.at < a + n THEN s ELSE coalesce(z + p.at - a - n, p.at) END AS source, coalesce(p.at < a + n, false) AS inside FROM p ASOF LEFT JOIN e ON p.o_custkey = e.o_custkey AND p.at >= e.a"""
+)
+def source_positions(spark: SparkSession, sf: str) -> DataFrame:
+    orders = table(spark, sf, "orders")
+    edits = orders.where("o_orderkey % 4 = 0").select("o_custkey", F.col("o_orderkey").alias("orig_start"), (F.col("o_orderkey") + 3).alias("orig_end"), F.length("o_orderpriority").alias("new_len"))
+    return M.source_positions(orders.select("o_custkey", (F.col("o_orderkey") + 2).alias("at")), edits, ["o_custkey"])
+
+
 @query(
     """SELECT p_partkey, CAST(least(p_size % 7, 4) AS INTEGER) AS lo, list_min(x) AS orig_start, list_max(list_transform(x, lambda v: v + 3)) AS orig_end
     FROM (SELECT p_partkey, p_size, list_transform(range(least(p_size % 7, 4), greatest(least(p_size % 7, 4) + 1, least(p_size % 7 + 2, 5))), lambda i: CAST((i * p_size) % 11 AS INTEGER)) AS x FROM part)"""
@@ -112,6 +122,15 @@ def _entries(spark: SparkSession, sf: str) -> DataFrame:
 
 EVICT = 100_000_000_000
 
+def _store(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Files of the store (name, modified, length), each as old in seconds as 100 less its size, and the names that are in use."""
+    files = table(spark, sf, "part").select(F.col("p_partkey").alias("name"), F.timestamp_seconds(F.unix_timestamp(_now()) - F.lit(100) + F.col("p_size")).alias("modified"), F.col("p_size").cast("long").alias("length"))
+    return files, table(spark, sf, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("name"))
+
+
+def _now() -> Column:
+    return F.lit("2024-01-01 00:01:40").cast("timestamp")
+
 
 @query(
     f"""WITH {ENTRIES_SQL}, t AS (SELECT sum(bytes) AS total FROM entries),
@@ -135,10 +154,7 @@ def cache_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT p_partkey AS name FROM part WHERE p_size <= 40 AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 45)")
 def orphan_anti(spark: SparkSession, sf: str) -> DataFrame:
-    now = F.lit("2024-01-01 00:01:40").cast("timestamp")
-    files = table(spark, sf, "part").select(F.col("p_partkey").alias("name"), F.timestamp_seconds(F.unix_timestamp(now) - F.lit(100) + F.col("p_size")).alias("modified"))
-    used = table(spark, sf, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("name"))
-    return H.orphans(files, used, now).select("name")
+    return H.orphans(*_store(spark, sf), _now()).select("name")
 
 
 @query(
@@ -173,9 +189,68 @@ def status_repair(spark: SparkSession, sf: str) -> DataFrame:
     return H.repair_status(entries, table(spark, sf, "part").select(F.col("p_partkey").alias("path")))
 
 
-@query(f"WITH {ENTRIES_SQL} SELECT id, created_at FROM entries")
+@query(f"WITH {ENTRIES_SQL} SELECT row_number() OVER (ORDER BY created_at DESC, id) AS place, id, created_at FROM entries")
 def newest_first(spark: SparkSession, sf: str) -> DataFrame:
-    return H.newest_first(_entries(spark, sf)).select("id", "created_at")
+    """With the place of each row, so that the order itself is compared."""
+    ordered = H.newest_first(_entries(spark, sf).select("id", "created_at"))
+    return H.with_places(ordered).select("place", "id", "created_at")
+
+
+@query(f"WITH {ENTRIES_SQL} SELECT id, status FROM entries WHERE id % 3 <> 0")
+def delete_entries(spark: SparkSession, sf: str) -> DataFrame:
+    entries = _entries(spark, sf)
+    kept, _ = H.delete_entries(entries, entries.where("id % 3 = 0").select("id"))
+    return kept.select("id", "status")
+
+
+@query(
+    """SELECT o_orderkey AS id, o_custkey AS audio_path FROM orders WHERE o_orderstatus = 'F' AND EXISTS (SELECT 1 FROM part WHERE p_partkey = o_custkey)"""
+)
+def playable(spark: SparkSession, sf: str) -> DataFrame:
+    entries = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "ready").otherwise("pending").alias("status"), F.col("o_custkey").alias("audio_path"))
+    return H.playable(entries, table(spark, sf, "part").select(F.col("p_partkey").alias("path"))).select("id", "audio_path")
+
+
+@query(
+    f"""WITH {ENTRIES_SQL}, files AS (SELECT p_partkey AS name, p_size AS age, CAST(p_size AS BIGINT) AS length FROM part), used AS (SELECT DISTINCT l_partkey AS name FROM lineitem WHERE l_quantity > 45),
+    o AS (SELECT count(*) AS n, coalesce(sum(length), 0)::BIGINT AS b FROM files WHERE age <= 40 AND name NOT IN (SELECT name FROM used)),
+    e AS (SELECT count(*) AS n, coalesce(sum(bytes), 0)::BIGINT AS b FROM entries WHERE status <> 'processing')
+    SELECT o.n AS removed_files, o.b AS removed_bytes, e.n AS evicted, e.b AS freed_bytes FROM o, e"""
+)
+def clear_cache(spark: SparkSession, sf: str) -> DataFrame:
+    return H.clear_cache(*_store(spark, sf), _entries(spark, sf), _now(), None, True)
+
+
+@query(
+    f"""WITH {ENTRIES_SQL}, files AS (SELECT p_partkey AS name, p_size AS age, CAST(p_size AS BIGINT) AS length FROM part), used AS (SELECT DISTINCT l_partkey AS name FROM lineitem WHERE l_quantity > 45),
+    o AS (SELECT count(*) AS n, coalesce(sum(length), 0)::BIGINT AS b FROM files WHERE age <= 40 AND name NOT IN (SELECT name FROM used)),
+    t AS (SELECT sum(bytes) AS total FROM entries), f AS (SELECT bytes, total - coalesce(sum(bytes) OVER (ORDER BY created_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_over FROM entries, t WHERE status <> 'processing'),
+    e AS (SELECT count(*) AS n, coalesce(sum(bytes), 0)::BIGINT AS b FROM f WHERE left_over > {EVICT})
+    SELECT o.n AS removed_files, o.b AS removed_bytes, e.n AS evicted, e.b AS freed_bytes FROM o, e"""
+)
+def startup_cleanup(spark: SparkSession, sf: str) -> DataFrame:
+    return H.startup_cleanup(*_store(spark, sf), _entries(spark, sf), _now(), EVICT)
+
+
+@query(
+    """SELECT count(*) FILTER (wav AND there) AS to_convert, count(*) FILTER (wav AND NOT there) AS missing, count(*) FILTER (opus) AS already, count(*) FILTER (NOT wav AND NOT opus) AS none
+    FROM (SELECT o_orderstatus = 'F' AS wav, o_orderstatus = 'O' AS opus, p_partkey IS NOT NULL AS there FROM orders LEFT JOIN part ON p_partkey = o_custkey)"""
+)
+def wav_migration(spark: SparkSession, sf: str) -> DataFrame:
+    path = lambda c: F.concat(F.col(c).cast("string"), F.lit(".wav"))
+    audio = F.when(F.col("o_orderstatus") == "F", path("o_custkey")).when(F.col("o_orderstatus") == "O", F.concat(F.col("o_custkey").cast("string"), F.lit(".opus")))
+    return H.wav_migration(table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), audio.alias("audio_path")), table(spark, sf, "part").select(path("p_partkey").alias("path")))
+
+
+@query(
+    """WITH l AS (SELECT user_id, max(event_id) AS e, max_by(event_type, event_id) AS t, max_by(value, event_id) AS v FROM events GROUP BY user_id)
+    SELECT coalesce(l.user_id, c_custkey) AS id, CASE WHEN l.user_id IS NULL THEN c_acctbal ELSE v END AS value FROM customer FULL JOIN l ON l.user_id = c_custkey WHERE l.t IS DISTINCT FROM 'error'"""
+)
+def apply_events(spark: SparkSession, sf: str) -> DataFrame:
+    entries = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("value"))
+    kind = F.when(F.col("event_type") == "error", "removed").otherwise("updated")
+    events = table(spark, sf, "events").select(F.col("user_id").cast(entries.schema["id"].dataType).alias("id"), "value", "event_id", kind.alias("kind"))
+    return H.apply_events(entries, events, "id", "event_id")
 
 
 _KINDS = {"signup": "start", "view": "regenerate", "purchase": "complete", "error": "fail", "click": "cancel"}

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lectern.functions import lexicon as L
 from lectern.functions import strings as S
+from lectern.functions import urls as U
+from lectern.operators import history as H
 from lectern.operators import words as W
 from lectern.plans import sqltext as Q
 from lectern.sources.tables import table
@@ -83,7 +85,9 @@ def trailing_punct(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", core.alias("core"), suffix.alias("suffix"))
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[\r\n]+', ' ', 'g'), '[ \t]+', ' ', 'g')) AS clean FROM documents")
+@query(
+    rf"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[{S.WHITE}]*\n[{S.WHITE}]*', ' ', 'g'), ' +', ' ', 'g'), '\A[{S.WHITE}]+|[{S.WHITE}]+\z', '', 'g') AS clean FROM documents"""
+)
 def sanitize(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", S.sanitize(F.col("text")).alias("clean"))
 
@@ -103,16 +107,15 @@ def preview_60(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", S.preview(F.col("text")).alias("preview"))
 
 
-@query("SELECT doc_id, lower(text) LIKE '%license%' AS found FROM documents WHERE contains(lower(text), 'license')")
+@query("SELECT doc_id AS id, text AS original_text FROM documents WHERE contains(lower(text), 'license')")
 def search_entries(spark: SparkSession, sf: str) -> DataFrame:
-    text = F.lower("text")
-    return table(spark, sf, "documents").where(F.contains(text, F.lit(" LICENSE ".strip().lower()))).select("doc_id", F.lit(True).alias("found"))
+    return H.search(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("original_text")), "  LICENSE ")
 
 
 @query("SELECT doc_id, source, NOT (source IN ('src0', 'src1') AND length(text) > 10000) AS accepted FROM documents")
 def length_guard(spark: SparkSession, sf: str) -> DataFrame:
     """One engine takes texts up to a length, here two sources stand for it."""
-    return table(spark, sf, "documents").select("doc_id", "source", (~(F.col("source").isin("src0", "src1") & (F.length("text") > 10000))).alias("accepted"))
+    return table(spark, sf, "documents").select("doc_id", "source", (~H.too_long(F.col("text"), F.col("source"), 10000, ("src0", "src1"))).alias("accepted"))
 
 
 _GROUPS = "|".join(sorted(L.TRANSLITERATION, key=lambda x: (-len(x), x)))
@@ -152,7 +155,40 @@ def letter_key(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def host_words(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").select("url").distinct().select("url", S.scheme_words(F.col("url")).alias("words"))
+    return table(spark, sf, "pages").select("url").distinct().select("url", U.url_reading(F.col("url")).alias("words"))
+
+
+@query(r"""SELECT page_id, url_decode(regexp_extract(url, '^[^?#]*')) AS decoded FROM pages""")
+def percent_decoded(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").select("page_id", U.percent_decode(F.regexp_extract("url", "^[^?#]*", 0)).alias("decoded"))
+
+
+@query(
+    r"""WITH s AS (SELECT conv_id, turn, regexp_replace(translate(lower(text), '—', '–'), '[^!+,\-.:;?абвгдежзийклмнопрстуфхцчшщъыьэюяё–… ]', '', 'g') AS x FROM conversations)
+    SELECT conv_id, turn, trim(regexp_replace(x, ' +', ' ', 'g')) AS sentence, regexp_replace(trim(regexp_replace(x, ' +', ' ', 'g')), '[^а-я\- ]', '', 'g') AS clean_sentence,
+           length(replace(regexp_replace(trim(regexp_replace(x, ' +', ' ', 'g')), '[^а-я\- ]', '', 'g'), ' ', '')) > 0 AS has_text FROM s"""
+)
+def voice_input(spark: SparkSession, sf: str) -> DataFrame:
+    """Carets, which only a caller sets, are left out; tests cover them."""
+    text = F.replace("text", F.lit("^"), F.lit(""))
+    return table(spark, sf, "conversations").select("conv_id", "turn", S.voice_input(text).alias("x")).select("conv_id", "turn", "x.*")
+
+
+@query()
+def normalize(spark: SparkSession, sf: str) -> DataFrame:
+    """Speakable text of every document, with how much of it was rewritten."""
+    from lectern.plans.normalize import normalize as run
+
+    found = run(table(spark, sf, "documents"))
+    return found.select("doc_id", "normalized", F.size("parts").alias("rewritten"))
+
+
+@query()
+def html_word_spans(spark: SparkSession, sf: str) -> DataFrame:
+    from lectern.operators.extraction import html_words
+
+    each = table(spark, sf, "pages").select("page_id", F.posexplode(html_words(F.col("html"))).alias("idx", "w"))
+    return each.select("page_id", "idx", "w.word", "w.start", F.col("w.end").alias("end_pos"))
 
 
 @query()
@@ -170,6 +206,27 @@ def chunk_split(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("doc_id", "idx", "chunk.text", "chunk.start")
 
 
+@query()
+def chunk_refit(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of which the longest are cut again to fit."""
+    from lectern.operators.extraction import chunks
+
+    docs = table(spark, sf, "documents").select("doc_id", F.posexplode(chunks(F.col("text"), most=700)).alias("idx", "chunk"))
+    return docs.select("doc_id", "idx", "chunk.text", "chunk.start")
+
+
+@query()
+def aligned_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of turns in a stream of symbols that has a frame or more for every letter, but none for those of one word in seven."""
+    from lectern.operators.extraction import aligned_words as align
+
+    rows = table(spark, sf, "conversations").where("text IS NOT NULL")
+    dropped = F.regexp_replace("text", r"\b[A-Za-z]{7}\b", "")
+    symbols = F.transform(S.characters(dropped), lambda c: F.struct(c.alias("ch"), (F.ascii(c) % 5 + 1).alias("frames")))
+    found = rows.select("conv_id", "turn", F.posexplode(align(F.col("text"), symbols, F.col("turn") * 10.0, F.lit(1e6), F.lit(0))).alias("idx", "w"))
+    return found.select("conv_id", "turn", "idx", "w.*")
+
+
 @query()
 def wordpiece(spark: SparkSession, sf: str) -> DataFrame:
     from lectern.operators.extraction import wordpiece_ids

@@ -6,6 +6,8 @@ fields that are absent are null, or a default where one is named; requests that
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Iterator
 
 from pyspark.errors import AnalysisException
@@ -52,14 +54,108 @@ def corrupt_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_history(entries: DataFrame, path: str) -> None:
-    """Entries as JSON lines, many files; what is playing is stored as ready. The committer makes each task's file appear at once."""
+    """Entries as JSON lines in a new folder of path, which appears with its _SUCCESS mark; what is playing is stored as ready.
+
+    Former folders stay until drop_former(): a reader, or a crash while writing, finds the last whole one.
+    """
     status = F.when(F.col("status") == "playing", "ready").otherwise(F.col("status"))
-    entries.withColumn("status", status).write.mode("overwrite").json(path)
+    entries.withColumn("status", status).write.json(f"{path}/entries-{time.time_ns():020d}")
+
+
+def _written(spark: SparkSession, path: str) -> list[str]:
+    """Whole folders of a history, oldest first."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.globStatus(fs_path(f"{path}/entries-*/_SUCCESS")) or []
+    return sorted(x.getPath().getParent().toString() for x in found)
+
+
+def drop_former(spark: SparkSession, path: str) -> None:
+    """Delete all folders of a history but the last whole one."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    for old in _written(spark, path)[:-1]:
+        fs_path(old).getFileSystem(spark._jsc.hadoopConfiguration()).delete(fs_path(old), True)
 
 
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
-    """Entries that write_history() wrote."""
-    return _or_empty(spark, ENTRY, lambda: spark.read.schema(ENTRY).json(path))
+    """Entries that write_history() wrote last."""
+    found = _written(spark, path)
+    return spark.read.schema(ENTRY).json(found[-1]) if found else spark.createDataFrame([], ENTRY)
+
+
+# The settings and their defaults.
+SETTINGS = {
+    "speaker": ("string", "aidar"), "sample_rate": ("int", 24000), "speech_rate": ("double", 1.0), "notify_on_ready": ("boolean", True),
+    "notify_on_error": ("boolean", True), "text_format": ("string", "plain"), "max_cache_size_mb": ("int", 500), "code_block_mode": ("string", "read"),
+    "read_operators": ("boolean", True), "theme": ("string", "auto"), "player_hotkeys": ("map<string,string>", {
+        "play_pause": "Space", "forward_5": "Right", "backward_5": "Left", "forward_30": "Shift+Right", "backward_30": "Shift+Left", "speed_up": "]",
+        "speed_down": "[", "next_entry": "n", "prev_entry": "p", "repeat_sentence": "r",
+    }), "window_geometry": ("array<int>", None), "preview_dialog_enabled": ("boolean", True), "engine": ("string", "silero_native"),
+    "piper_voice": ("string", "ruslan"),
+}
+# End of fixed values
+
+
+SETTINGS_SCHEMA = ", ".join(f"{name} {kind}" for name, (kind, _) in SETTINGS.items())
+
+
+def _default(name: str) -> Column:
+    kind, value = SETTINGS[name]
+    return F.from_json(F.lit(json.dumps(value)), kind) if isinstance(value, dict) else F.lit(value).cast(kind)
+
+
+def read_settings(spark: SparkSession, path: str) -> DataFrame:
+    """One row of settings for each document at path, defaults where a field is absent, null or malformed; a row of defaults for none."""
+    found = _documents(spark, path, SETTINGS_SCHEMA + ", _corrupt_record string")
+    found = found if not found.isEmpty() else spark.createDataFrame([(None,)], "speaker string").select(*[F.lit(None).cast(kind).alias(name) for name, (kind, _) in SETTINGS.items()])
+    return found.select(*[F.coalesce(name, _default(name)).alias(name) for name in SETTINGS])
+
+
+def patched_settings(settings: DataFrame, patch: DataFrame, column: str = "value") -> DataFrame:
+    """Settings after a patch, a table of one JSON object in a string column: every field that is set overrides, unknown ones are ignored."""
+    asked = patch.select(F.from_json(F.col(column), SETTINGS_SCHEMA).alias("p"))
+    return settings.crossJoin(F.broadcast(asked.limit(1))).select(*[F.coalesce(f"p.{name}", name).alias(name) for name in SETTINGS])  # one row each
+
+
+def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """(id, token) of a vocabulary file: a token's id is the number of its line, from 0."""
+    lines = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", "\\n\\z", ""), "\n").alias("tokens"))
+    return lines.select(F.posexplode("tokens").alias("id", "token")).withColumn("token", F.regexp_replace("token", "\\s+\\z", ""))
+
+
+def read_ngrams(spark: SparkSession, path: str) -> DataFrame:
+    """(id, gram) of a gzipped file of grams between white space; a gram's id is its place in the file."""
+    words = spark.read.text(path, wholetext=True).select(F.filter(F.split("value", r"\s+"), lambda x: x != "").alias("grams"))
+    return words.select(F.posexplode("grams").alias("id", "gram"))
+
+
+def read_exceptions(spark: SparkSession, path: str) -> DataFrame:
+    """(word, stress, yo) of a gzipped file of lines `word stress yo`; yo is -1 for none, and a malformed line fails the job."""
+    parts = F.split(F.trim("value"), r"\s+")
+    whole = lambda k: F.get(parts, k).try_cast("int")
+    bad = F.raise_error(F.concat(F.lit("malformed line: "), F.col("value"))).cast("int")
+    rows = spark.read.text(path).where("trim(value) <> ''")
+    return rows.select(F.get(parts, 0).alias("word"), F.coalesce(whole(1), bad).alias("stress"), F.coalesce(whole(2), bad).alias("yo"))
+
+
+def write_word_times(times: DataFrame, path: str) -> None:
+    """Words of each entry as JSON, in a folder for each entry; read_saved_word_times() reads them."""
+    word = F.struct("word", "start", "end", F.array("orig_start", "orig_end").alias("original_pos"))
+    words = times.groupBy("entry_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", word.alias("w")))), lambda x: x["w"]).alias("words"))
+    words.write.mode("overwrite").partitionBy("entry_id").json(path)
+
+
+def read_saved_word_times(spark: SparkSession, path: str) -> DataFrame:
+    """(entry_id, idx, word, start, end, orig_start, orig_end) as write_word_times() wrote them."""
+    files = _or_empty(spark, WORDS + ", entry_id string", lambda: spark.read.schema(WORDS + ", entry_id string").json(path))
+    each = files.select("entry_id", F.posexplode("words").alias("idx", "w"))
+    return each.select("entry_id", "idx", "w.word", "w.start", "w.end", F.get("w.original_pos", 0).alias("orig_start"), F.get("w.original_pos", 1).alias("orig_end"))
+
+
+def newer_files(spark: SparkSession, path: str, version: int = 1) -> DataFrame:
+    """(file, version) of history documents of a later version than this library's, which are read all the same."""
+    found = _documents(spark, path, HISTORY)
+    return found.where(F.col("version") > version).select(F.col("_metadata.file_path").alias("file"), "version") if found.inputFiles() else spark.createDataFrame([], "file string, version int")
 
 
 def entry(entries: DataFrame, entry_id: str) -> DataFrame:

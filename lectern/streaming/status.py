@@ -1,6 +1,9 @@
 """Entry status as a machine over ordered events: streams keep the state of each key, batches compose transitions.
 
 States: pending, processing, ready, error. Completions that come when an entry isn't processing are discarded by state, not by time.
+
+Edge cases (tests/test_status.py): unknown events are discarded; keys may be null and are then one key; events that are equal in order
+are taken as they come; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -10,6 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql import types as T
 
 STATES = ("pending", "processing", "ready", "error")
 #: What an event makes of each state in turn; None discards the event.
@@ -22,28 +26,44 @@ TRANSITIONS = {
 }
 
 
-def _next(kind: Column, state: Column) -> Column:
-    """The state after an event, null if it is discarded."""
-    found = F.lit(None).cast("int")
-    for name, row in TRANSITIONS.items():
-        of = F.get(F.split(F.lit("|".join("" if x is None else str(x) for x in row)), r"\|"), state)
-        found = F.when(kind == name, of.try_cast("int")).otherwise(found)
-    return found
-
-
 def fold_statuses(events: DataFrame, key: str, kind: str, order: list[str], chunk: Column) -> DataFrame:
     """(key, status, accepted, discarded) after all events of each key, which starts as pending.
 
-    Events of a key are cut into chunks (an expression that never goes back in order, like the day). A chunk is folded once for every
-    state it could start in; the few chunks of a key are then composed. So a busy key is many tasks' work.
+    Events of a key are cut into chunks (an expression that never goes back in order, like the day). A chunk is sorted and folded for
+    every state that it could start in, as its events stream by; the few chunks of a key are then composed. So a busy key is many
+    tasks' work, and no list of events is ever held.
     """
-    parts = events.groupBy(key, chunk.alias("chunk")).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(kind).alias("kind")))).alias("events"))
-    start = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("d")) for s in range(len(STATES))])
-
-    def step(acc: Column, e: Column) -> Column:
-        return F.transform(acc, lambda x: F.get(F.transform(F.array(_next(e["kind"], x["s"])), lambda n: F.struct(F.coalesce(n, x["s"]).alias("s"), (x["a"] + n.isNotNull().cast("long")).alias("a"), (x["d"] + n.isNull().cast("long")).alias("d"))), 0))
-
-    tables = parts.select(key, "chunk", F.aggregate("events", start, step).alias("table"))
+    rows = events.select(key, chunk.alias("chunk"), *order, F.col(kind).alias("event kind"))
+    dealt = rows.repartition(key, "chunk").sortWithinPartitions(key, "chunk", *order).select(key, "chunk", "event kind")
+
+    def run(batches: Iterator) -> Iterator:
+        fresh = lambda: [(s, 0, 0) for s in range(len(STATES))]
+        group, table, none = None, fresh(), (None,) * len(STATES)
+        for batch in batches:
+            done = []
+            keys, chunks, kinds = (batch.column(k).to_pylist() for k in range(3))
+            for k, c, event in zip(keys, chunks, kinds):
+                if group != (k, c):
+                    if group is not None:
+                        done.append((*group, table))
+                    group, table = (k, c), fresh()
+                after = TRANSITIONS.get(event, none)
+                table = [(s, a, d + 1) if after[s] is None else (after[s], a + 1, d) for s, a, d in table]
+            yield folded(done)
+        yield folded([] if group is None else [(*group, table)])
+
+    def folded(done):
+        import pyarrow as pa
+
+        step = pa.struct([("s", pa.int32()), ("a", pa.int64()), ("d", pa.int64())])
+        tables = [[dict(zip("sad", x)) for x in t] for *_, t in done]
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], kinds_of[0]), pa.array([x[1] for x in done], kinds_of[1]), pa.array(tables, pa.list_(step))], [key, "chunk", "table"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kinds_of = [to_arrow_type(dealt.schema[c].dataType) for c in (key, "chunk")]
+    schema = T.StructType([dealt.schema[key], dealt.schema["chunk"], T.StructField("table", T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("a", T.LongType()), T.StructField("d", T.LongType())])))])
+    tables = dealt.mapInArrow(run, schema)
     ordered = tables.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("chunk", "table"))).alias("tables"))
     zero = F.struct(F.lit(0).alias("s"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("d"))
     compose = lambda acc, t: F.get(F.transform(F.array(F.get(t["table"], acc["s"])), lambda x: F.struct(x["s"].alias("s"), (acc["a"] + x["a"]).alias("a"), (acc["d"] + x["d"]).alias("d"))), 0)
@@ -89,3 +109,60 @@ def highlight_stream(positions: DataFrame, words: DataFrame) -> DataFrame:
     """
     w = words.select("entry_id", "idx", "word", "previous_end", "end")
     return positions.join(w, "entry_id").where("position_sec >= previous_end AND position_sec < end").select("entry_id", "position_sec", "idx", "word")
+
+
+def position_events(ticks: DataFrame, key: str = "entry_id", suppress_ms: int = 300, slack: float = 0.2) -> DataFrame:
+    """What is told of a stream of ticks and seeks (key, ts_ms, kind, position, duration): (key, ts_ms, event, position).
+
+    The end comes first, once, and nothing follows it; a seek tells its target at once and silences ticks for suppress_ms; other ticks
+    tell their position. The state of a key is the end of its silence and whether it has ended.
+    """
+
+    def advance(names, frames: Iterator, state) -> Iterator:
+        import pandas as pd
+
+        silent_until, ended = state.get if state.exists else (-1, False)
+        out = []
+        for x in pd.concat(list(frames)).sort_values("ts_ms", kind="stable").itertuples():
+            if ended:
+                continue
+            if x.kind == "seek":
+                silent_until = int(x.ts_ms) + suppress_ms
+                out.append((x.ts_ms, "position", x.position))
+                continue
+            known = not pd.isna(x.duration)
+            if known and (pd.isna(x.position) or x.duration > 0 and x.position >= x.duration - slack):
+                ended = True
+                out.append((x.ts_ms, "finished", x.position))
+            elif x.ts_ms >= silent_until and not pd.isna(x.position):
+                out.append((x.ts_ms, "position", x.position))
+        state.update((silent_until, ended))
+        yield pd.DataFrame({key: [names[0]] * len(out), "ts_ms": [int(x[0]) for x in out], "event": [x[1] for x in out], "position": pd.Series([x[2] for x in out], dtype=float)})
+
+    kept = ticks.schema[key].dataType.simpleString()
+    return ticks.groupBy(key).applyInPandasWithState(advance, f"{key} {kept}, ts_ms long, event string, position double", "silent_until long, ended boolean", "append", "NoTimeout")
+
+
+def queue_events(changes: DataFrame, key: str = "id", kind: str = "kind", order: str = "seq") -> DataFrame:
+    """A stream of what a queue shows of each entry after each batch of changes: (key, status, playing, removed).
+
+    updated sets the status, removed takes the entry off for good until it is updated again, started and stopped mark what is playing.
+    """
+
+    def advance(names, frames: Iterator, state) -> Iterator:
+        import pandas as pd
+
+        status, playing, removed = state.get if state.exists else (None, False, False)
+        for x in pd.concat(list(frames)).sort_values(order, kind="stable").itertuples():
+            what = getattr(x, kind)
+            if what == "updated":
+                status, removed = x.status, False
+            elif what == "removed":
+                playing, removed = False, True
+            elif what in ("started", "stopped", "finished"):
+                playing = what == "started" and not removed
+        state.update((status, playing, removed))
+        yield pd.DataFrame({key: [names[0]], "status": [status], "playing": [playing], "removed": [removed]})
+
+    kept = changes.schema[key].dataType.simpleString()
+    return changes.groupBy(key).applyInPandasWithState(advance, f"{key} {kept}, status string, playing boolean, removed boolean", "status string, playing boolean, removed boolean", "update", "NoTimeout")

@@ -74,3 +74,55 @@ def test_file_listing(spark, tmp_path):
     (tmp_path / "x.opus").write_bytes(b"abc")
     assert [(r.name, r.length) for r in store.list_files(spark, str(tmp_path)).collect()] == [("x.opus", 3)]
     assert store.list_files(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_settings(spark, tmp_path):
+    (tmp_path / "config.json").write_text('{"speaker": "baya", "sample_rate": "no number", "volume": 3}')
+    row = store.read_settings(spark, str(tmp_path / "config.json")).first()
+    assert (row.speaker, row.sample_rate, row.engine, row.window_geometry, row.player_hotkeys["next_entry"]) == ("baya", 24000, "silero_native", None, "n")
+    fresh = store.read_settings(spark, str(tmp_path / "none.json"))
+    assert fresh.first().speaker == "aidar"
+    patch = spark.createDataFrame([('{"theme": "dark", "window_geometry": [1, 2, 3, 4], "other": 1}',)], "value string")
+    row = store.patched_settings(fresh, patch).first()
+    assert (row.theme, row.window_geometry, row.speaker) == ("dark", [1, 2, 3, 4], "aidar")
+
+
+def test_dictionaries(spark, tmp_path):
+    import gzip
+
+    import pytest
+
+    (tmp_path / "vocab.txt").write_text("[UNK]\n[CLS]\nслово\n", encoding="utf-8")
+    assert [tuple(r) for r in store.read_vocabulary(spark, str(tmp_path / "vocab.txt")).collect()] == [(0, "[UNK]"), (1, "[CLS]"), (2, "слово")]
+    (tmp_path / "ngrams.gz").write_bytes(gzip.compress("<а а> \n<б ".encode()))
+    assert [tuple(r) for r in store.read_ngrams(spark, str(tmp_path / "ngrams.gz")).collect()] == [(0, "<а"), (1, "а>"), (2, "<б")]
+    (tmp_path / "exceptions.gz").write_bytes(gzip.compress("елка 0 0\nдом 1 -1\n\n".encode()))
+    assert sorted(tuple(r) for r in store.read_exceptions(spark, str(tmp_path / "exceptions.gz")).collect()) == [("дом", 1, -1), ("елка", 0, 0)]
+    (tmp_path / "bad.gz").write_bytes(gzip.compress("дом x\n".encode()))
+    with pytest.raises(Exception, match="malformed"):
+        store.read_exceptions(spark, str(tmp_path / "bad.gz")).collect()
+
+
+def test_word_times_are_saved(spark, tmp_path):
+    rows = [("a", 1, "два", 0.5, 1.0, 4, 7), ("a", 0, "раз", 0.0, 0.5, 0, 3), ("b", 0, "x", 0.0, 0.1, 0, 1)]
+    df = spark.createDataFrame(rows, "entry_id string, idx int, word string, start double, end double, orig_start long, orig_end long")
+    store.write_word_times(df, str(tmp_path / "times"))
+    assert sorted(tuple(r) for r in store.read_saved_word_times(spark, str(tmp_path / "times")).collect()) == sorted(rows)
+
+
+def test_a_history_is_replaced_as_a_whole(spark, tmp_path):
+    path = str(tmp_path / "history")
+    first = store.read_entries(spark, path)
+    for name in ("a", "b"):
+        store.write_history(spark.createDataFrame([(name, "x", "playing")], "id string, original_text string, status string"), path)
+    (tmp_path / "history" / "entries-99999999999999999999").mkdir()  # cut short: no mark
+    assert first.count() == 0 and [(r.id, r.status) for r in store.read_entries(spark, path).collect()] == [("b", "ready")]
+    store.drop_former(spark, path)
+    assert [r.id for r in store.read_entries(spark, path).collect()] == ["b"]
+
+
+def test_later_versions_are_read_and_named(spark, tmp_path):
+    (tmp_path / "h.json").write_text('{"version": 9, "entries": [{"id": "a"}]}')
+    assert [r.version for r in store.newer_files(spark, str(tmp_path / "h.json")).collect()] == [9]
+    assert store.read_history(spark, str(tmp_path / "h.json")).count() == 1
+    assert store.newer_files(spark, str(tmp_path / "none")).count() == 0
