@@ -1,10 +1,11 @@
 """Personal data: patterns propose spans, checksums confirm them, context words move their score.
 
 Base kinds, found leftmost and without overlap within a kind: email; ip, with parts of at most 255; card, 14 to 19 digits that pass
-Luhn; phone, `+` and 10 to 15 digits. A proposal that fails its check is dropped. The method adds iban: a country code and check
-digits whose rearranged number is 1 modulo 97. Every span has a score: the kind's prior, raised by context words of that kind within
-CONTEXT characters on either side. Base spans are kept whatever their score; an added kind needs THRESHOLD, which a valid checksum
-alone reaches.
+Luhn; phone, `+` and 10 to 15 digits. A proposal that fails its check is dropped. The method adds kinds. iban: a country code and check
+digits whose rearranged number is 1 modulo 97. ssn: nine digits as 3-2-4, none of the groups that are never given out. secret: a run of
+20 signs or more of keys and tokens, with letters, digits and many different signs. Every span has a score: the kind's prior, raised by
+RAISE for each context word of that kind within CONTEXT characters on either side. Base spans are kept whatever their score; an added
+kind needs THRESHOLD, which a valid iban reaches by itself, while an ssn or a secret needs a word beside it.
 
 Patterns run in time linear in the text: a proposal starts at a sign every match must hold, or at the start of a run.
 
@@ -22,17 +23,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-KINDS = ("email", "ip", "card", "phone", "iban")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 BASE = KINDS[:4]
-CONTEXT, THRESHOLD = 40, 0.6
+CONTEXT, THRESHOLD, RAISE = 40, 0.6, 0.25
 # What a kind is worth without context, and the words near a span that speak for it (en, fr, de, es).
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8}
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.4, "secret": 0.4}
 WORDS = {
     "email": ("mail", "contact", "kontakt", "correo", "courriel", "write"),
     "ip": ("ip", "address", "server", "host", "adresse", "servidor"),
     "card": ("card", "visa", "credit", "karte", "carte", "tarjeta", "payment"),
     "phone": ("phone", "call", "tel", "mobile", "telefon", "téléphone", "teléfono", "fax"),
     "iban": ("iban", "account", "bank", "konto", "compte", "cuenta", "transfer"),
+    "ssn": ("ssn", "social", "tax id", "taxpayer"),
+    "secret": ("token", "key", "secret", "password", "passwd", "pwd", "auth", "bearer", "credential", "schlüssel", "passwort", "clave", "contraseña", "clé"),
 }
 # End of fixed values.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -41,6 +44,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{2,4}){2,8}(?![A-Za-z0-9])")
+_SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}")
+_LETTER = re.compile("[A-Za-z]")
 _DIGIT = re.compile("[0-9]")
 _NOT_DIGIT = re.compile("[^0-9]+")
 
@@ -94,6 +100,11 @@ def proposals(text: str) -> Iterator[tuple[str, int, int]]:
     for m in _IBAN.finditer(text):
         if 15 <= len(iban := m[0].replace(" ", "")) <= 34 and mod_97(iban):
             yield "iban", m.start(), m.end()
+    for m in _SSN.finditer(text) if "-" in text else ():
+        yield "ssn", m.start(), m.end()
+    for m in _SECRET.finditer(text):
+        if len(set(m[0])) >= 8 and _DIGIT.search(m[0]) and _LETTER.search(m[0]):
+            yield "secret", m.start(), m.end()
 
 
 def scored(text: str) -> list[tuple[str, int, int, float]]:
@@ -101,7 +112,7 @@ def scored(text: str) -> list[tuple[str, int, int, float]]:
     out = []
     for kind, a, z in proposals(text):
         near = f"{text[max(0, a - CONTEXT) : a]} {text[z : z + CONTEXT]}".lower()
-        score = min(1.0, PRIOR[kind] + 0.1 * sum(w in near for w in WORDS[kind]))
+        score = min(1.0, PRIOR[kind] + RAISE * sum(w in near for w in WORDS[kind]))
         if kind in BASE or score >= THRESHOLD:
             out.append((kind, a, z, score))
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
