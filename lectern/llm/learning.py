@@ -1,4 +1,12 @@
-"""Bounded labelled samples, and models that one task fits to them."""
+"""Bounded labelled samples, and models that one task fits to them.
+
+A sample is bounded in rows (per_class for each label, and half as many again at most) and in bytes (texts of over TEXT_BYTES do not
+enter it); nothing else that is learned or scored is bounded.
+
+Edge cases (tests/llm/test_learning.py): null ids and labels, and null texts, are not learned; of contradictory labels of an id the
+largest counts; ids that repeat give a row for each different text, within the bound; without labels the sample is empty; columns of
+other names are ignored.
+"""
 
 from __future__ import annotations
 
@@ -13,6 +21,8 @@ from lectern.session import settle
 #: Rows of each label that a model is fitted to, about; the only bound on what it learns from.
 PER_CLASS = 4000
 FOLDS = 5
+#: Longer texts are scored, but not learned from: the sample has to fit one task.
+TEXT_BYTES = 100_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -33,8 +43,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col:
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_class / n))])
     # at most a little over per_class ids of each label: a proven bound for the broadcast
     some = known.withColumn("share", share[F.col("label")]).where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) < F.col("share") * (1 << 30))
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id").where("text IS NOT NULL")
-    return settle(found.dropDuplicates(["id", "text"]).select("text", "label", (1 / F.col("share")).alias("weight")), "sample")
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id").where((F.octet_length("text") <= TEXT_BYTES))
+    found = found.dropDuplicates(["id", "text"]).select("text", "label", (1 / F.col("share")).alias("weight"), F.xxhash64("id", "text").alias("place"))
+    most = per_class * len(counts) * 3 // 2
+    return settle(found.orderBy("place", "text").limit(most).drop("place"), "sample")
 
 
 def fit_in_task(sample: DataFrame, fit: Callable) -> dict:

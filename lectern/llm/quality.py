@@ -1,8 +1,9 @@
 """Text quality by ordinal cumulative-link regression on graded ratings.
 
 One weight vector over hashed text features is shared by all grades; ordered thresholds cut its score: P(grade > k) is logistic in
-score minus threshold k, fitted by the sum of the logistic losses of all thresholds. Thresholds stay ordered because they are fitted as a first value and positive steps. The result is the
-expected grade and the probability of the selection grade or better.
+score minus threshold k, and the probability of a grade is the difference of those of its two thresholds. The model is fitted by the
+likelihood of the grades. Thresholds stay ordered because they are fitted as a first value and positive steps. The result is the
+expected grade and the probability of the selection grade or better. With two grades, as here, this is logistic regression.
 
 A text's features are shares: of its token shapes (letters, digits and other signs, runs cut short) and pairs of them, of hashed words,
 and of tokens that repeat the token 1 to 8 places before them or have been seen before. A run without white space is cut into tokens of
@@ -111,7 +112,7 @@ def fit(texts: list[str], grades, weights) -> dict:
     starts = np.cumsum([0] + [len(b) for b, _ in rows])
     of_row = np.repeat(np.arange(len(rows)), np.diff(starts))
     buckets, values = (np.concatenate(x) for x in zip(*rows))
-    above = (grades[:, None] > levels[None, :-1]).astype(float)
+    level, each = np.searchsorted(levels, grades), np.arange(len(rows))
     weights = weights / weights.sum()
 
     def thresholds(tail):
@@ -119,9 +120,15 @@ def fit(texts: list[str], grades, weights) -> dict:
 
     def gradient(x):
         score = np.bincount(of_row, values * x[buckets], len(rows))
-        g = (_link(score[:, None] - thresholds(x[size:])) - above) * weights[:, None]
-        out = np.bincount(buckets, values * g.sum(1)[of_row], size) + SHRINK * x[:size]
-        by_cut = -g.sum(0)[::-1].cumsum()[::-1]  # a step moves every threshold from its own on
+        over = np.ones((len(rows), cuts + 2))  # the chance to be above each threshold, and above none and all of them
+        over[:, 1:-1], over[:, -1] = _link(score[:, None] - thresholds(x[size:])), 0
+        low, high = over[each, level], over[each, level + 1]
+        chance = np.maximum(low - high, 1e-12)
+        out = np.bincount(buckets, values * ((low + high - 1) * weights)[of_row], size) + SHRINK * x[:size]
+        pull = np.zeros((len(rows), cuts + 2))
+        pull[each, level] = low * (1 - low) / chance * weights
+        pull[each, level + 1] -= high * (1 - high) / chance * weights
+        by_cut = pull[:, 1:-1].sum(0)[::-1].cumsum()[::-1]  # a step moves every threshold from its own on
         return np.concatenate((out, by_cut * np.concatenate(([1.0], np.exp(x[size + 1 :])))))
 
     x = adam(np.zeros(size + cuts), gradient, STEPS, RATE)

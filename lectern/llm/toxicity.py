@@ -27,7 +27,8 @@ OFFENDING = 0.5
 MIN_DOCS = 8
 #: Words that a Python worker remembers; beyond it starts anew.
 REMEMBERED = 1_000_000
-ENDS = frozenset(".!?")
+#: Signs that end a sentence, of several scripts.
+ENDS = frozenset(".!?…。！？｡।॥؟۔։።")
 
 
 def tokens(text: str) -> list[str]:

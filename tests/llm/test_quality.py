@@ -57,8 +57,8 @@ def test_gradient_is_the_slope_of_the_likelihood(monkeypatch):
         cuts = np.cumsum([x[-2], np.exp(x[-1])])
         total = 0.0
         for (b, v), y, a in zip(rows, g, w):
-            p = 1 / (1 + np.exp(-((x[b] * v).sum() - cuts)))
-            total -= a * sum(np.log(q if y > k else 1 - q) for k, q in enumerate(p))
+            p = [1, *(1 / (1 + np.exp(-((x[b] * v).sum() - cuts)))), 0]
+            total -= a * np.log(p[y] - p[y + 1])
         return total
 
     x = np.random.default_rng(0).normal(0, 0.3, quality.BUCKETS + quality.LAGS + 1 + 2)
@@ -92,3 +92,39 @@ def test_all_of_a_text_without_white_space_is_read():
     model = quality.fit(["ab" * 500, "ab" * 400 + "A!?9" * 50] * 20, np.array([1, 0] * 20), np.ones(40))
     good, bad = (quality.Grader(**model).grade("ab" * 100 + "cd" * 400 + end)[0] for end in ("ef" * 100, "A!?9" * 50))
     assert good > bad + 0.2
+
+
+def plain_features(text):
+    """Shares of shapes, pairs of shapes, words and repeats, by the docstring."""
+    from collections import Counter
+
+    from xxhash import xxh32_intdigest
+
+    tokens = [w[k : k + 200] for w in (text or "").split() for k in range(0, len(w), 200)]
+    shapes = [xxh32_intdigest("s" + quality.shape(x)) for x in tokens]
+    found = Counter(s % quality.BUCKETS for s in shapes)
+    found.update((a * 31 + b + 7) % quality.BUCKETS for a, b in zip(shapes, shapes[1:]))
+    found.update(xxh32_intdigest("w" + x.lower()) % quality.BUCKETS for x in tokens)
+    for lag in range(1, quality.LAGS + 1):
+        found[quality.BUCKETS + lag - 1] = sum(a == b for a, b in zip(tokens, tokens[lag:]))
+    found[quality.BUCKETS + quality.LAGS] = len(tokens) - len(set(tokens))
+    return {k: v / len(tokens) for k, v in found.items()} if tokens else {}
+
+
+def test_query_like_a_plain_model(spark):
+    """Every document's grade from the fitted weights by a dictionary and the formula of the model."""
+    import math
+
+    from lectern.llm.queries import op9_quality
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    got = {r.doc_id: r for r in op9_quality(spark, sf).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert len(got) == len(texts)
+    for k, text in texts.items():
+        score = sum(model["weights"][b] * v for b, v in plain_features(text).items())
+        tail = [1 / (1 + math.exp(-(score - c))) for c in model["thresholds"]]
+        assert abs(got[k].chance - tail[-1]) < 1e-5 and got[k].keep == (got[k].chance >= 0.5)
+        assert abs(got[k].expected_grade - (model["levels"][0] + sum(tail))) < 1e-5

@@ -62,3 +62,29 @@ def test_long_and_odd_texts():
     scorer = toxicity.Scorer([0.0] * toxicity.BUCKETS, -6.0)
     for text in ("x " * 300_000, "." * 10_000, "\n" * 1000, "é" * 10**6, "   "):
         assert 0 <= scorer.score(text)[0] <= 1
+
+
+def test_query_like_a_plain_noisy_or(spark):
+    """Every document's score from the fitted weights, sentence by sentence."""
+    import math
+    import re
+
+    from lectern.llm.queries import op4_toxicity
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = learning.fit_in_task(learning.labelled_sample(docs, spark.read.parquet(f"{sf}/labels.parquet"), "toxic"), toxicity.fit)
+    got = {r.doc_id: r for r in op4_toxicity(spark, sf).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        clean = 1.0
+        tokens = re.split("[ \t]", (r.text or "").replace("\n", " \n "))
+        sentence = float(model["bias"][0])
+        for i, x in enumerate(tokens if r.text else []):
+            sentence += sum(float(model["weights"][b]) for b in toxicity.features(x) or [])
+            if x == "\n" or x and x[-1] in toxicity.ENDS or i == len(tokens) - 1:
+                clean *= 1 / (1 + math.exp(sentence))
+                sentence = float(model["bias"][0])
+        assert abs(got[r.doc_id].score - (1 - clean)) < 1e-5
+        assert got[r.doc_id].predicted == (got[r.doc_id].score >= 0.5) and got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
