@@ -1,14 +1,16 @@
 """WARC archives: writing, reading back, and merging capture runs into ordered histories.
 
-Every archive file is a capture run, sorted by URL key and timestamp. Records hold an HTTP response whose payload is the page; of
-equal payloads of at least REVISIT_BYTES bytes the page with the smallest id is the response and the others are revisits of it,
-whose records have the HTTP header alone. Reading gives an index entry for each record. The entries are cut into key ranges, and each
-range merges its slice of every run with a loser tree, so that the ranges in turn hold the whole history in order.
+Every archive file is a capture run, sorted by URL key and timestamp, of about ARCHIVE_BYTES at most; records lie in it unpacked, so that
+an offset of the index finds one. Records hold an HTTP response whose payload is the page; of equal payloads of at least REVISIT_BYTES
+bytes the page with the smallest id is the response and the others are revisits of it, whose records have the HTTP header alone.
+Reading gives an index entry for each record. The merge is external: the entries are dealt to key ranges of about RANGE_ROWS, in each of
+which every run's slice is brought back into the order in which its archive has it, and a loser tree merges the slices, entry by entry,
+by URL key and time. No sort by key takes place; the ranges in turn hold the whole history in order.
 
 Edge cases (tests/llm/test_warc.py): a null page is an empty payload; line breaks in URLs are percent-encoded and a null URL has no
 target line and an empty key; pages with a null id revisit the smallest id of their payload, or are responses if it has none; rows
-that repeat the smallest id are all responses; payloads may hold any bytes, record heads included; an empty table gives no entries;
-other columns are ignored.
+that repeat the smallest id are all responses, with record ids of their own; payloads may hold any bytes, record heads included; an
+empty table gives no entries; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 from lectern.session import fresh_path, settle
 
 REVISIT_BYTES = 100
+#: Bytes of records in an archive, about: a task reads one at a time.
+ARCHIVE_BYTES, HEAD_BYTES = 32 << 20, 500
 #: Index entries that one merging task holds, about.
 RANGE_ROWS = 200_000
 CAPTURED = "2024-01-01T00:00:00Z"
@@ -36,23 +40,26 @@ def url_key(url: Column) -> Column:
 
 
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", captured: Column | None = None) -> DataFrame:
-    """(url_key, captured, id, value): one WARC record per page, without the blank lines that end it."""
-    rows = pages.select(F.col(id_col).cast("string").alias("id"), F.col(id_col).alias("order"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("payload"), (F.lit(CAPTURED) if captured is None else captured).alias("captured"))
-    rows = rows.withColumns({"bytes": F.octet_length("payload"), "digest": F.sha2("payload", 256)})
-    first = rows.where(F.col("bytes") >= REVISIT_BYTES).groupBy("digest").agg(F.min("order").alias("first"), F.count("*").alias("n")).where("n > 1")
+    """(url_key, captured, order, value): one WARC record per page, without the blank lines that end it.
+
+    A record's id is the page's and the number of its row, as ids may be null or repeat; a revisit names its response's record.
+    """
+    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("string").alias("id"), F.col(id_col).alias("order"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("payload"), (F.lit(CAPTURED) if captured is None else captured).alias("captured"))
+    rows = settle(rows.withColumns({"bytes": F.octet_length("payload"), "digest": F.sha2("payload", 256)}), "pages")  # a row keeps its number
+    first = rows.where(F.col("bytes") >= REVISIT_BYTES).groupBy("digest").agg(F.min(F.when(F.col("order").isNotNull(), F.struct("order", "row"))).alias("first"), F.count("*").alias("n")).where("n > 1")
     rows = rows.join(settle(first.drop("n"), "first"), "digest", "left")
-    revisit = F.col("first").isNotNull() & ~F.col("order").eqNullSafe(F.col("first"))
+    revisit = F.col("first").isNotNull() & ~F.col("order").eqNullSafe(F.col("first.order"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), "bytes", F.lit(END * 2))
     target = F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit(END)), F.lit(""))
     head = F.concat(
         F.lit(f"WARC/1.1{END}"),
         line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        F.lit("WARC-Record-ID: <urn:page:"), F.coalesce("id", F.lit("")), F.lit(f">{END}"),
+        F.lit("WARC-Record-ID: <urn:page:"), F.coalesce("id", F.lit("")), F.lit(";"), "row", F.lit(f">{END}"),
         line("WARC-Date", F.col("captured")),
         line("WARC-Target-URI", target),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "digest")),
-        F.when(revisit, F.concat(F.lit(f"WARC-Profile: {PROFILE}{END}WARC-Refers-To: <urn:page:"), F.col("first").cast("string"), F.lit(f">{END}"))).otherwise(""),
+        F.when(revisit, F.concat(F.lit(f"WARC-Profile: {PROFILE}{END}WARC-Refers-To: <urn:page:"), F.col("first.order").cast("string"), F.lit(";"), F.col("first.row"), F.lit(f">{END}"))).otherwise(""),
         F.lit(f"Content-Type: application/http; msgtype=response{END}Content-Length: "),
         F.octet_length(http) + F.when(revisit, 0).otherwise(F.col("bytes")),
         F.lit(END * 2),
@@ -60,9 +67,10 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     return rows.select(url_key(F.col("url")).alias("url_key"), "captured", "order", F.concat(head, http, F.when(revisit, "").otherwise(F.col("payload"))).alias("value"))
 
 
-def write_archives(recs: DataFrame, path: str) -> None:
-    """One gzipped archive, sorted by URL key and time, for each partition."""
-    recs.sortWithinPartitions("url_key", "captured", "order").select("value").write.option("lineSep", END * 2).option("compression", "gzip").text(path)
+def write_archives(recs: DataFrame, path: str, record_bytes: float) -> None:
+    """Archives of about ARCHIVE_BYTES, each sorted by URL key and time, several for each partition; records are of record_bytes on average."""
+    ordered = recs.sortWithinPartitions("url_key", "captured", "order").select("value")
+    ordered.write.option("lineSep", END * 2).option("maxRecordsPerFile", max(1, int(ARCHIVE_BYTES / record_bytes))).text(path)
 
 
 def parse_archive(stream) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -93,7 +101,6 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
     names = [x.split()[0] for x in INDEX.split(", ")] + ["payload"] * with_payload
 
     def run(batches: Iterator) -> Iterator:
-        import gzip
         import hashlib
         import io
         import re
@@ -101,13 +108,13 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
         import pyarrow as pa
 
         def entries(file: str, content: bytes) -> Iterator[tuple]:
-            for offset, fields, block in parse_archive(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content)), 1 << 20)):
+            for offset, fields, block in parse_archive(io.BytesIO(content)):
                 head, _, payload = block.partition(b"\r\n\r\n")
                 digest, kind = fields["WARC-Payload-Digest"].removeprefix("sha256:"), fields["WARC-Type"]
                 size = int(re.search(rb"\r\nContent-Length: (\d+)", head)[1])
                 if kind == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
                     raise ValueError(f"{file}, record at byte {offset}: payload and header differ")
-                ids = [re.fullmatch("<urn:page:(.*)>", fields.get(x, "<urn:page:>"))[1] or None for x in ("WARC-Record-ID", "WARC-Refers-To")]
+                ids = [re.fullmatch("<urn:page:(.*);[0-9]+>", fields.get(x, "<urn:page:;0>"))[1] or None for x in ("WARC-Record-ID", "WARC-Refers-To")]
                 row = file, offset, ids[0], fields.get("WARC-Target-URI"), fields.get("WARC-Date"), kind, digest, size, ids[1]
                 yield (*row, payload if kind == "response" else None) if with_payload else row
 
@@ -123,7 +130,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     found = files.mapInArrow(run, INDEX + ", payload binary" * with_payload)
     return found.withColumn("url_key", url_key(F.col("url")))
 
@@ -168,30 +175,35 @@ class LoserTree:
 
 
 def merge_runs(index: DataFrame) -> DataFrame:
-    """The entries of a stored index in order of URL key, time and record: range by range, each merged from its slices of the runs."""
+    """The entries of a stored index in order of URL key, time and place, range by range."""
     ranges = max(1, -(-index.count() // RANGE_ROWS))
     names = index.columns
-    key_at = [names.index(x) for x in ("url_key", "captured", "record_id")]
-    sliced = index.repartitionByRange(ranges, "url_key", "captured", "record_id", "run", "offset")
-    sliced = sliced.sortWithinPartitions("run", "url_key", "captured", "record_id", "offset")
+    key_at = [names.index(x) for x in ("url_key", "captured", "run", "offset")]
+    sliced = index.repartitionByRange(ranges, "url_key", "captured", "run", "offset").sortWithinPartitions("run", "offset")
+
+    def run(batches: Iterator) -> Iterator:
+        from itertools import islice
 
-    def run(frames: Iterator) -> Iterator:
-        import pandas as pd
+        import pyarrow as pa
 
-        runs: dict[str, list] = {}
-        for frame in frames:
-            for name, part in frame.groupby("run", sort=False):
-                runs.setdefault(name, []).extend(part.itertuples(index=False, name=None))
-        key = lambda row: tuple(("" if (x := row[i]) is None else x) for i in key_at)
-        merged = list(LoserTree([iter(x) for x in runs.values()], key)) if runs else []
-        for low in range(0, len(merged), 10_000):
-            yield pd.DataFrame(merged[low : low + 10_000], columns=names)
+        held = list(batches)  # of one range
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        runs = table.column("run").combine_chunks().dictionary_encode().indices.to_numpy()
+        edges = [0, *(runs[1:] != runs[:-1]).nonzero()[0] + 1, len(runs)]
+        columns = [table.column(k).to_pylist() for k in key_at]
+        keys = lambda i: tuple("" if (x := c[i]) is None else x for c in columns)
+        merged = iter(LoserTree([iter(range(a, z)) for a, z in zip(edges, edges[1:])], keys))
+        while order := list(islice(merged, 10_000)):
+            yield from table.take(order).combine_chunks().to_batches()
 
-    return sliced.mapInPandas(run, index.schema)
+    return sliced.mapInArrow(run, index.schema)
 
 
 def capture_history(pages: DataFrame, path: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", captured: Column | None = None) -> DataFrame:
     """Write pages as archives, at path or in the shared folder, read them back and merge their index."""
     path = path or fresh_path(pages.sparkSession, "archives")
-    write_archives(records(pages, id_col, url_col, html_col, captured), path)
+    size = pages.agg(F.avg(F.octet_length(html_col))).first()[0] or 0
+    write_archives(records(pages, id_col, url_col, html_col, captured), path, size + HEAD_BYTES)
     return merge_runs(settle(read_archives(pages.sparkSession, path), "index"))

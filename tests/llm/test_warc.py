@@ -32,8 +32,16 @@ def test_round_trip_and_order(spark, tmp_path):
     path = f"{tmp_path}/archives"
     got = warc.capture_history(pages, path).collect()
     assert sorted(((r.record_id and int(r.record_id), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to and int(r.refers_to)) for r in got), key=repr) == brute(rows)
-    keys = [(r.url_key, r.captured, r.record_id or "") for r in got]
+    keys = [(r.url_key, r.captured) for r in got]
     assert keys == sorted(keys)
+    for r in got[::7]:
+        with open(r.run.removeprefix("file:"), "rb") as f:
+            f.seek(r.offset)
+            _, fields, _ = next(warc.parse_archive(f))
+        assert fields.get("WARC-Target-URI") == r.url and fields["WARC-Payload-Digest"].endswith(r.payload_digest)
+    heads = [line for f in (tmp_path / "archives").glob("part-*") for _, fields, _ in warc.parse_archive(f.open("rb")) for line in [fields]]
+    ids = [x["WARC-Record-ID"] for x in heads]
+    assert len(set(ids)) == len(ids) == len(rows) and {x["WARC-Refers-To"] for x in heads if "WARC-Refers-To" in x} <= set(ids)
     read = warc.read_archives(spark, path, with_payload=True).where("record_type = 'response'").collect()
     assert {(r.record_id, bytes(r.payload).decode()) for r in read} <= {(str(k) if k is not None else None, h or "") for k, _, h in rows}
 
@@ -42,10 +50,20 @@ def test_ranges_hold_the_order(spark, monkeypatch):
     monkeypatch.setattr(warc, "RANGE_ROWS", 50)
     pages = spark.range(400).select(F.col("id").alias("page_id"), F.concat(F.lit("http://hot.com/"), F.when(F.col("id") % 3 == 0, "").otherwise(F.col("id").cast("string"))).alias("url"), F.lit("text").alias("html"))
     got = warc.capture_history(pages.repartition(4), captured=F.lit("2020-01-01T00:00:00Z")).collect()
-    keys = [(r.url_key, r.captured, r.record_id) for r in got]
+    keys = [(r.url_key, r.captured, r.run, r.offset) for r in got]
     assert len(keys) == 400 and keys == sorted(keys)
 
 
+def test_archives_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 4000)
+    pages = spark.range(100).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h.com/"), F.col("id") * 7 % 100).alias("url"), F.repeat(F.lit("x"), 500).alias("html"))
+    got = warc.capture_history(pages.repartition(2), f"{tmp_path}/archives").collect()
+    sizes = [f.stat().st_size for f in (tmp_path / "archives").glob("part-*")]
+    assert len(sizes) > 8 and max(sizes) < 8000
+    keys = [r.url_key for r in got]
+    assert len(got) == 100 and keys == sorted(keys)
+
+
 def test_loser_tree():
     r = random.Random(9)
     for k in range(0, 12):
