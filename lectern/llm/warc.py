@@ -1,7 +1,7 @@
 """WARC archives: writing, reading back, and merging capture runs into ordered histories.
 
-Every archive file is a capture run, sorted by URL key and timestamp, of about ARCHIVE_BYTES at most; records lie in it unpacked, so that
-an offset of the index finds one. Records hold an HTTP response whose payload is the page; of equal payloads of at least REVISIT_BYTES
+Every archive file is a capture run, sorted by URL key and timestamp, of records of about ARCHIVE_BYTES together; each record is a gzip
+member of its own, so that an offset of the index finds it. Records hold an HTTP response whose payload is the page; of equal payloads of at least REVISIT_BYTES
 bytes the page with the smallest id is the response and the others are revisits of it, whose records have the HTTP header alone.
 Reading gives an index entry for each record. The merge is external: the entries are dealt to key ranges of about RANGE_ROWS, in each of
 which every run's slice is brought back into the order in which its archive has it, and a loser tree merges the slices, entry by entry,
@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.session import fresh_path, settle
+from lectern.session import forget, fresh_path, settle
 
 REVISIT_BYTES = 100
 #: Bytes of records in an archive, about: a task reads one at a time.
@@ -39,15 +39,16 @@ def url_key(url: Column) -> Column:
     return F.coalesce(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), tail), F.lit(""))
 
 
-def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", captured: Column | None = None) -> DataFrame:
-    """(url_key, captured, order, value): one WARC record per page, without the blank lines that end it.
+def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", captured: Column | None = None) -> tuple[DataFrame, list[DataFrame]]:
+    """(url_key, captured, order, value): one WARC record per page, without the blank lines that end it; and the stored tables it reads.
 
     A record's id is the page's and the number of its row, as ids may be null or repeat; a revisit names its response's record.
     """
     rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("string").alias("id"), F.col(id_col).alias("order"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("payload"), (F.lit(CAPTURED) if captured is None else captured).alias("captured"))
     rows = settle(rows.withColumns({"bytes": F.octet_length("payload"), "digest": F.sha2("payload", 256)}), "pages")  # a row keeps its number
     first = rows.where(F.col("bytes") >= REVISIT_BYTES).groupBy("digest").agg(F.min(F.when(F.col("order").isNotNull(), F.struct("order", "row"))).alias("first"), F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(settle(first.drop("n"), "first"), "digest", "left")
+    kept, first = rows, settle(first.drop("n"), "first")
+    rows = rows.join(first, "digest", "left")
     revisit = F.col("first").isNotNull() & ~F.col("order").eqNullSafe(F.col("first.order"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), "bytes", F.lit(END * 2))
     target = F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
@@ -64,13 +65,47 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         F.octet_length(http) + F.when(revisit, 0).otherwise(F.col("bytes")),
         F.lit(END * 2),
     )
-    return rows.select(url_key(F.col("url")).alias("url_key"), "captured", "order", F.concat(head, http, F.when(revisit, "").otherwise(F.col("payload"))).alias("value"))
+    recs = rows.select(url_key(F.col("url")).alias("url_key"), "captured", "order", F.concat(head, http, F.when(revisit, "").otherwise(F.col("payload"))).alias("value"))
+    return recs, [kept, first]
+
+
+def _packed(batches: Iterator) -> Iterator:
+    import gzip
+
+    import pyarrow as pa
+
+    for batch in batches:
+        members = [gzip.compress(x.as_py() + b"\r\n\r\n", 6, mtime=0) for x in batch.column(0).cast(pa.binary())]
+        yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], ["value"])
 
 
 def write_archives(recs: DataFrame, path: str, record_bytes: float) -> None:
-    """Archives of about ARCHIVE_BYTES, each sorted by URL key and time, several for each partition; records are of record_bytes on average."""
-    ordered = recs.sortWithinPartitions("url_key", "captured", "order").select("value")
-    ordered.write.option("lineSep", END * 2).option("maxRecordsPerFile", max(1, int(ARCHIVE_BYTES / record_bytes))).text(path)
+    """Archives of about ARCHIVE_BYTES, each sorted by URL key and time, several for each partition; records are of record_bytes on average.
+
+    A member is followed by a zero byte, the padding that gzip allows.
+    """
+    ordered = recs.sortWithinPartitions("url_key", "captured", "order").select("value").mapInArrow(_packed, "value binary")
+    members = ordered.select(F.col("value").cast("string").alias("value"))  # the same bytes, as the text writer asks for
+    members.write.option("lineSep", "\0").option("maxRecordsPerFile", max(1, int(ARCHIVE_BYTES / record_bytes))).text(path)
+
+
+def members(content: bytes) -> Iterator[tuple[int, bytes]]:
+    """(offset, unpacked bytes) of each gzip member."""
+    import zlib
+
+    at = 0
+    while at < len(content):
+        if not content[at]:
+            at += 1
+            continue
+        start, parts, unpack = at, [], zlib.decompressobj(31)
+        while not unpack.eof:
+            chunk = content[at : at + (1 << 14)]
+            if not chunk:
+                raise ValueError(f"member at byte {start} is cut short")
+            parts.append(unpack.decompress(chunk))
+            at += len(chunk) - len(unpack.unused_data)
+        yield start, b"".join(parts)
 
 
 def parse_archive(stream) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -108,7 +143,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
         import pyarrow as pa
 
         def entries(file: str, content: bytes) -> Iterator[tuple]:
-            for offset, fields, block in parse_archive(io.BytesIO(content)):
+            for offset, fields, block in ((at, *record[1:]) for at, data in members(content) for record in parse_archive(io.BytesIO(data))):
                 head, _, payload = block.partition(b"\r\n\r\n")
                 digest, kind = fields["WARC-Payload-Digest"].removeprefix("sha256:"), fields["WARC-Type"]
                 size = int(re.search(rb"\r\nContent-Length: (\d+)", head)[1])
@@ -205,5 +240,7 @@ def capture_history(pages: DataFrame, path: str | None = None, id_col: str = "pa
     """Write pages as archives, at path or in the shared folder, read them back and merge their index."""
     path = path or fresh_path(pages.sparkSession, "archives")
     size = pages.agg(F.avg(F.octet_length(html_col))).first()[0] or 0
-    write_archives(records(pages, id_col, url_col, html_col, captured), path, size + HEAD_BYTES)
+    recs, kept = records(pages, id_col, url_col, html_col, captured)
+    write_archives(recs, path, size + HEAD_BYTES)
+    forget(*kept)
     return merge_runs(settle(read_archives(pages.sparkSession, path), "index"))

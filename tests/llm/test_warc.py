@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import random
 
@@ -37,9 +38,9 @@ def test_round_trip_and_order(spark, tmp_path):
     for r in got[::7]:
         with open(r.run.removeprefix("file:"), "rb") as f:
             f.seek(r.offset)
-            _, fields, _ = next(warc.parse_archive(f))
+            _, fields, _ = next(warc.parse_archive(gzip.GzipFile(fileobj=f)))
         assert fields.get("WARC-Target-URI") == r.url and fields["WARC-Payload-Digest"].endswith(r.payload_digest)
-    heads = [line for f in (tmp_path / "archives").glob("part-*") for _, fields, _ in warc.parse_archive(f.open("rb")) for line in [fields]]
+    heads = [line for f in (tmp_path / "archives").glob("part-*") for _, fields, _ in warc.parse_archive(gzip.open(f)) for line in [fields]]
     ids = [x["WARC-Record-ID"] for x in heads]
     assert len(set(ids)) == len(ids) == len(rows) and {x["WARC-Refers-To"] for x in heads if "WARC-Refers-To" in x} <= set(ids)
     read = warc.read_archives(spark, path, with_payload=True).where("record_type = 'response'").collect()
@@ -55,11 +56,11 @@ def test_ranges_hold_the_order(spark, monkeypatch):
 
 
 def test_archives_are_bounded(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 4000)
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 5000)
     pages = spark.range(100).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h.com/"), F.col("id") * 7 % 100).alias("url"), F.repeat(F.lit("x"), 500).alias("html"))
     got = warc.capture_history(pages.repartition(2), f"{tmp_path}/archives").collect()
     sizes = [f.stat().st_size for f in (tmp_path / "archives").glob("part-*")]
-    assert len(sizes) > 8 and max(sizes) < 8000
+    assert len(sizes) >= 20 and max(sizes) < 5000
     keys = [r.url_key for r in got]
     assert len(got) == 100 and keys == sorted(keys)
 
