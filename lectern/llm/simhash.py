@@ -114,8 +114,10 @@ SHINGLE, SIMILAR = 5, 0.8
 PARITY_SHARE = 2
 #: Texts, and shingles of them, that decide which shingles are common and come last in prefixes; any order gives the same links.
 ORDER_TEXTS, ORDER_SHINGLES = 4000, 50_000
-#: Texts of a bucket among which a nearest forest is sought at once.
-CHUNK = 1024
+#: Texts of a bucket among which a nearest forest is sought at once, and texts of a bucket that one task holds.
+CHUNK, BLOCK_TEXTS = 1024, 1 << 14
+#: Keys of texts (32 bytes each) are broadcast up to so many.
+BROADCAST_KEYS = 500_000
 
 
 def shingle_set(text: bytes | None):
@@ -221,12 +223,12 @@ def _prefixed(docs: DataFrame, id_col: str, text_col: str, least: float) -> Data
             columns = [batch.column(0), batch.column(1), pa.array(map(len, sets), pa.int64()), pa.array(map(parity, sets), pa.binary()), first]
             yield pa.RecordBatch.from_arrays(columns, ["key", "id", "n", "parity", "prefix"])
 
-    schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("id", docs.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("parity", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("id", docs.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("parity", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
     return docs.select(text_key(F.col(text_col)).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def text_key(text):
-    return F.sha2(F.coalesce(text, F.lit("")), 256)
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
 def nearest_forest(sets: Parities, bound: float) -> list[tuple[int, int]]:
@@ -252,68 +254,103 @@ def nearest_forest(sets: Parities, bound: float) -> list[tuple[int, int]]:
     return out
 
 
-def pairs_across(sets: Parities, roots, bound: float) -> list[tuple[int, int]]:
-    """All pairs of different roots that may be similar."""
+def pairs_across(sets: Parities, roots, bound: float, main=None) -> list[tuple[int, int]]:
+    """All pairs of different roots that may be similar; with `main`, only those with one of these texts."""
     import numpy as np
 
     out = []
     for i in range(len(roots) - 1):
-        others = i + 1 + np.flatnonzero(roots[i + 1 :] != roots[i])
+        apart = roots[i + 1 :] != roots[i]
+        if main is not None:
+            apart &= main[i + 1 :] | main[i]
+        others = i + 1 + np.flatnonzero(apart)
         if len(others):
             out += [(i, int(x)) for x in others[sets.apart(i, others) <= bound]]
     return out
 
 
-def _bucket_pairs(members: DataFrame, least: float, across: bool) -> DataFrame:
-    """Pairs (a, b) of nodes of a bucket of members (node, n, parity, buckets, root) that may have a similarity of `least`."""
-    rows = members.select(F.explode("buckets").alias("bucket"), "node", "n", "parity", "root")
-    if across:
-        sizes = members.select(F.explode("buckets").alias("bucket"), "root").groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size"))
-        rows = rows.join(sizes.where("x <> y AND size > 2").select("bucket"), "bucket", "left_semi")
+def _compared(rows: DataFrame, least: float, across: bool) -> DataFrame:
+    """Pairs (a, b) of rows (bucket, block, node, n, parity, root, main) of a bucket and block that may have a similarity of `least`."""
     bound = (1 - least) / (1 + least) + 1e-9
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        def compared(parts):
-            node, n, root = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 3))
+        def pairs(parts):
+            node, n, root, main = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 3, 4))
             sets = Parities(n, [x for p in parts for x in p[2]])
-            pairs = np.array(pairs_across(sets, root, bound) if across else nearest_forest(sets, bound), np.int64).reshape(-1, 2)
-            a, b = node[pairs[:, 0]], node[pairs[:, 1]]
+            found = pairs_across(sets, root, bound, None if block == 0 else main) if across else nearest_forest(sets, bound)
+            at = np.array(found, np.int64).reshape(-1, 2)
+            a, b = node[at[:, 0]], node[at[:, 1]]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-        open_bucket, parts = None, []
+        bucket, block, parts = None, None, []
         for batch in batches:
-            buckets, node, n, root = (batch.column(k).to_numpy() for k in (0, 1, 2, 4))
-            bits = batch.column(3).to_pylist()
-            edges = [0, *(np.flatnonzero(buckets[1:] != buckets[:-1]) + 1).tolist(), len(buckets)]
+            buckets, blocks, node, n, root = (batch.column(k).to_numpy() for k in (0, 1, 2, 3, 5))
+            bits, main = batch.column(4).to_pylist(), np.array(batch.column(6).to_pylist(), bool)
+            edges = [0, *(np.flatnonzero((buckets[1:] != buckets[:-1]) | (blocks[1:] != blocks[:-1])) + 1).tolist(), len(buckets)]
             for low, high in zip(edges, edges[1:]):
                 if low == high:
                     continue
-                if buckets[low] != open_bucket and parts:
-                    yield compared(parts)
+                if (buckets[low], blocks[low]) != (bucket, block) and parts:
+                    yield pairs(parts)
                     parts = []
-                open_bucket = buckets[low]
-                parts.append((node[low:high], n[low:high], bits[low:high], root[low:high]))
+                bucket, block = buckets[low], blocks[low]
+                parts.append((node[low:high], n[low:high], bits[low:high], root[low:high], main[low:high]))
         if parts:
-            yield compared(parts)
+            yield pairs(parts)
 
-    dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "node")
+    dealt = rows.select("bucket", F.col("block").cast("int").alias("block"), "node", "n", "parity", "root", "main").repartition("bucket", "block").sortWithinPartitions("bucket", "block", "node")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _forest_pairs(members: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of the nearest forests of all buckets; a large bucket is cut into blocks, differently from other buckets."""
+    rows = members.select(F.explode("buckets").alias("b"), "node", "n", "parity").select("b.bucket", "b.size", "node", "n", "parity")
+    block = F.pmod(F.xxhash64("node", "bucket"), F.ceil(F.col("size") / BLOCK_TEXTS).cast("long"))
+    return _compared(rows.withColumns({"block": block, "root": F.col("node"), "main": F.lit(True)}), least, False)
+
+
+def _pairs_of_roots(rooted: DataFrame, least: float) -> DataFrame:
+    """All pairs (a, b) of texts of one bucket, but of different roots, that may be similar.
+
+    The texts of a bucket's main root, nearly all of a large group, are dealt to blocks, and the others go to every block.
+    """
+    places = rooted.select(F.explode("buckets").alias("b"), "node", "root").select("b.bucket", "node", "root")
+    roots = places.groupBy("bucket", "root").agg(F.count("*").alias("texts"))
+    mixed = roots.groupBy("bucket").agg(F.sum("texts").alias("size"), F.count("*").alias("roots"), F.max_by("root", F.struct("texts", "root")).alias("main_root"))
+    mixed = mixed.where("roots > 1 AND size > 2").select(F.bitwise_not("bucket").alias("other"), "size", "main_root")
+    places = settle(places.withColumn("other", F.bitwise_not("bucket")).join(mixed, "other").drop("other"), "places")
+    if places.isEmpty():
+        return places.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    main, blocks = F.col("root") == F.col("main_root"), F.ceil(F.col("size") / BLOCK_TEXTS).cast("long")
+    block = F.when(main, F.array(F.pmod(F.xxhash64("node"), blocks))).otherwise(F.sequence(F.lit(0).cast("long"), blocks - 1))
+    rows = places.select("bucket", F.explode(block).alias("block"), "node", "root", main.alias("main"))
+    return _compared(rows.join(rooted.select("node", "n", "parity"), "node"), least, True)
+
+
 def _members(classes: DataFrame) -> DataFrame:
-    """(node, n, parity, buckets) of the texts that share a member of their prefixes with another; a bucket is a set of such texts."""
+    """(node, n, parity, buckets array<struct<bucket, size>>) of the texts that share a member of their prefixes with another.
+
+    A bucket is a set of such texts, named by one of the members that they share; members of the same texts, told by their number,
+    least, greatest and two sums of 64 bits, are one bucket.
+    """
     tokens = classes.select("node", F.explode("prefix").alias("token"))
-    buckets = tokens.groupBy("token").agg(F.sort_array(F.collect_list("node")).alias("nodes")).where("size(nodes) > 1").select("nodes").distinct()
-    buckets = settle(buckets.withColumn("bucket", F.monotonically_increasing_id()), "buckets")
-    held = buckets.select("bucket", F.explode("nodes").alias("node")).groupBy("node").agg(F.collect_list("bucket").alias("buckets"))
+    sums = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"sum{k}") for k in (1, 2)]
+    sets = tokens.groupBy("token").agg(F.count("*").alias("size"), F.min("node").alias("low"), F.max("node").alias("high"), *sums).where("size > 1")
+    buckets = settle(sets.groupBy("size", "low", "high", "sum1", "sum2").agg(F.min("token").alias("bucket")).select("bucket", "size"), "buckets")
+    held = tokens.withColumnRenamed("token", "bucket").join(buckets, "bucket").groupBy("node").agg(F.collect_list(F.struct("bucket", "size")).alias("buckets"))
     members = settle(held.join(classes.select("node", "n", "parity"), "node"), "members")
     forget(buckets)
     return members
 
 
+def _bounded(keys: DataFrame) -> DataFrame:
+    """A stored table of keys, to be broadcast if its rows are few enough."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text_col: str, least: float) -> DataFrame:
     """The pairs, as (u, v) in a stored table, whose texts have a Jaccard similarity of shingles of at least `least`.
 
@@ -322,7 +359,7 @@ def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text_col: st
     near = settle(pairs, "near")
     nodes = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
     wanted = settle(nodes.join(classes.select("node", "key"), "node"), "wanted")
-    texts = docs.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text")).join(wanted, "key").select("node", "text")
+    texts = docs.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text")).join(_bounded(wanted), "key").select("node", "text")
     texts = settle(texts.dropDuplicates(["node"]), "texts")
     full = near.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
 
@@ -340,7 +377,7 @@ def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text_col: st
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR) -> DataFrame:
-    """(key, least_id, group) for every distinct text: its text_key, the smallest id that has it, and its group's number (long).
+    """(key, least_id, copies, group) for every distinct text: its text_key, the smallest id that has it, how many rows, its group (long).
 
     Groups join texts whose sets of SHINGLE-word shingles have a Jaccard similarity of at least `least`, all of them: such texts share
     one of the first shingles (prefix_length) under an order common to all, rare ones first. Of the texts that share one, those of a
@@ -348,18 +385,19 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     sets; they drop only pairs that can't be similar. Null texts count as empty; texts without words are alike only if equal.
     """
     prefixed = _prefixed(docs, id_col, text_col, least)
-    classes = prefixed.groupBy("key").agg(F.min("id").alias("least_id"), *(F.first(x).alias(x) for x in ("n", "parity", "prefix")))
+    firsts = [F.first(x).alias(x) for x in ("n", "parity", "prefix")]
+    classes = prefixed.groupBy("key").agg(F.min("id").alias("least_id"), F.count("*").alias("copies"), *firsts)
     classes = settle(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     members = _members(classes)
-    links = _similar(_bucket_pairs(members.withColumn("root", F.col("node")), least, False), classes, docs, text_col, least)
+    links = _similar(_forest_pairs(members, least), classes, docs, text_col, least)
     roots = settle(connected_components(links), "roots")
     rooted = settle(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     forget(members)
-    apart = settle(_bucket_pairs(rooted, least, True), "apart")
+    apart = settle(_pairs_of_roots(rooted, least), "apart")
     if not apart.isEmpty():
         links = links.unionByName(_similar(apart, classes, docs, text_col, least))
         roots = settle(connected_components(links), "roots")
-    groups = settle(classes.select("key", "least_id", "node").join(roots, "node", "left").select("key", "least_id", F.coalesce("root", "node").alias("group")), "groups")
+    groups = settle(classes.select("key", "least_id", "copies", "node").join(roots, "node", "left").select("key", "least_id", "copies", F.coalesce("root", "node").alias("group")), "groups")
     forget(classes, rooted, apart)
     return groups
 
@@ -371,12 +409,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR) -> DataFrame:
-    """One row of docs for each group of near duplicates: one with the group's smallest id; nulls come last."""
+    """One row of docs for each group of near duplicates: one with the group's smallest id; nulls come last.
+
+    Texts that are alone in their group pass as they are; only the rows of larger groups are put side by side.
+    """
     classes = near_duplicate_classes(docs, id_col, text_col, least)
-    order = F.struct(F.col("least_id").isNull().alias("no_id"), "least_id", "key")
-    kept = settle(classes.groupBy("group").agg(F.min(order).alias("kept")).select("kept.least_id", "kept.key"), "kept")
+    sizes = classes.groupBy("group").agg(F.sum("copies").alias("rows"), F.min(F.struct(F.col("least_id").isNull().alias("no_id"), "least_id", "key")).alias("kept"))
+    large = settle(classes.select("key", "group").join(sizes.where("rows > 1"), "group").select(F.col("key").alias("key of a group"), (F.col("key") == F.col("kept.key")).alias("kept"), F.col("kept.least_id").alias("id to keep")), "large")
     forget(classes)
-    row = lambda key, name: F.sha2(F.concat_ws(" ", key, F.coalesce(name.cast("string"), F.lit("none"))), 256)
-    names = row(text_key(F.col(text_col)), F.col(id_col))
-    rows = docs.withColumn("row to keep", names).join(kept.select(row(F.col("key"), F.col("least_id")).alias("row to keep")), "row to keep", "left_semi")
-    return rows.dropDuplicates(["row to keep"]).drop("row to keep").select(*docs.columns)
+    key, grouped = text_key(F.col(text_col)), _bounded(large)
+    alone = docs.join(grouped.select("key of a group"), key == F.col("key of a group"), "left_anti")
+    kept = docs.join(grouped.where("kept").drop("kept"), key == F.col("key of a group")).where(F.col(id_col).eqNullSafe(F.col("id to keep"))).dropDuplicates(["key of a group"])
+    return alone.select(*docs.columns).unionByName(kept.select(*docs.columns))

@@ -231,3 +231,29 @@ def test_parities_differ_no_more_than_their_sets():
         assert (least <= apart + 1e-6).all() and (least >= np.abs(n - n[i]) - 1e-6).all()
         near = apart <= n[i] // 8
         assert (least[near] >= apart[near] * 0.6).all()
+
+
+def test_large_buckets_are_cut_into_blocks(spark, monkeypatch):
+    """The same groups when a bucket is many blocks: one large group, few others, and many variants that don't link."""
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", 7)
+    monkeypatch.setattr(simhash, "CHUNK", 5)
+    r, rows = random.Random(16), []
+    for words, edits, count in ((300, 1, 60), (300, 5, 60), (120, 2, 40)):
+        template = invented(r, words)
+        for _ in range(count):
+            w = list(template)
+            for k in r.sample(range(words), edits):
+                w[k] = invented(r, 1)[0]
+            rows.append((len(rows), " ".join(w)))
+    expected = groups_by_brute_force(rows)
+    assert max(map(len, expected)) >= 60 and len(expected) > 20
+    assert groups(spark, rows) == expected
+
+
+def test_one_row_of_every_group_stays(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BROADCAST_KEYS", 3)
+    text = " ".join(map(str, range(50)))
+    rows = [(4, text, "x"), (2, text + " a", "y"), (2, text + " a", "z"), (2, text + " a", None), (None, text, "n"), (None, None, "p"), (7, "", "q"), (8, "alone", None), (None, "alone too", "g"), (None, "alone too", "h")]
+    kept = simhash.first_of_groups(spark.createDataFrame(rows, "doc_id long, text string, kept string")).collect()
+    assert sorted((r.doc_id, r.text) for r in kept if r.doc_id is not None) == [(2, text + " a"), (7, ""), (8, "alone")]
+    assert [r.text for r in kept if r.doc_id is None] == ["alone too"]
