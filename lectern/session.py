@@ -7,6 +7,7 @@ import gc
 import os
 import shutil
 import tempfile
+import time
 import uuid
 import weakref
 from pathlib import Path
@@ -74,12 +75,20 @@ _SETTLED: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary(
 
 
 def forget(*tables: DataFrame) -> None:
-    """Delete settled tables that nothing will read again, and let Spark drop shuffles that no plan holds any more."""
+    """Delete settled tables that nothing will read again."""
     for table in tables:
         if path := _SETTLED.pop(table, None):
             spark = table.sparkSession
             folder = spark._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+#: Seconds until the driver's JVM has heard which plans Python holds no more.
+HEARD = 1.2
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nobody holds any more, which it does when the driver collects garbage."""
     gc.collect()
-    if tables:
-        tables[0].sparkSession._jvm.System.gc()
+    time.sleep(HEARD)
+    spark._jvm.System.gc()
