@@ -1,7 +1,8 @@
 """Removal of every byte that lies in a string of LENGTH bytes which also starts anywhere else.
 
 Why not a suffix array: sorting all suffixes externally writes tuples of some 30 bytes for each byte of text, several times over, and
-the answer needs common prefixes of LENGTH bytes only. Instead, windows of LENGTH bytes are compared by 128-bit hashes, in runs:
+the answer needs common prefixes of LENGTH bytes only (README has a measured attempt). Instead, windows of LENGTH bytes are compared by
+128-bit hashes, in runs; all 128 bits decide what is equal, and fewer only what is compared:
 
 1. Each window is named by its anchor, the position of its least GRAM-byte hash. Windows with one anchor are consecutive, a segment,
    and equal windows have equal anchors at equal offsets. Segments whose anchor occurs once hold no repeat and are left out, the more
@@ -177,18 +178,16 @@ def _each(df: DataFrame, schema: str, columns: int, work) -> DataFrame:
 
 
 def _often(rows: DataFrame, *key: str) -> DataFrame:
-    """rows whose key occurs twice or more; the join can split hot keys, as it doesn't reuse the aggregate's distribution."""
-    other = F.xxhash64(*key)
-    many = rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(other.alias("other"))
-    return rows.withColumn("other", other).join(many, "other", "left_semi").drop("other")
+    """rows whose key occurs twice or more; the join, on complements, can split hot keys, as it doesn't reuse the aggregate's distribution."""
+    many = rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*[F.bitwise_not(k).alias(f"often {k}") for k in key])
+    return rows.join(many, [F.bitwise_not(k) == F.col(f"often {k}") for k in key], "left_semi")
 
 
 def _counted(rows: DataFrame, key: tuple[str, str], part: str) -> tuple[DataFrame, DataFrame]:
-    """rows with `n`, how often their key occurs, and one row for each key, for those parts that hold two keys or more."""
-    rows = rows.withColumn("other", F.xxhash64(*key))
-    one = F.min(F.struct(*[c for c in rows.columns if c != "other"])).alias("one")
-    keys = settle(rows.groupBy("other").agg(F.count("*").alias("n"), one), "keys")
-    return rows.join(keys.select("other", "n"), "other").drop("other"), _often(keys.select("one.*", "n"), part)
+    """rows with `n`, how often their key of 128 bits occurs, and one row for each key, for those parts that hold two keys or more."""
+    one = F.min(F.struct(*[c for c in rows.columns if c not in key])).alias("one")
+    keys = settle(rows.groupBy(*key).agg(F.count("*").alias("n"), one), "keys")
+    return rows.join(keys.select(*key, "n"), list(key)), _often(keys.select(*key, "one.*", "n"), part)
 
 
 def repeated_windows(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
