@@ -24,7 +24,7 @@ END_ID = 2
 #: A group holds about so many windows, and about so many pieces.
 GROUP_WINDOWS, GROUP_PIECES = 2048, 50_000
 #: Words whose ids a Python worker remembers, about.
-REMEMBERED = 800_000
+REMEMBERED = 600_000
 
 
 #: What WordTokenizer relies on: white space splits before anything else, letters are lower-cased, a word's last token has a suffix.

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm.graph import connected_components
-from lectern.session import forget, settle
+from lectern.session import drop_shuffles, forget, settle
 
 BLOCK = 1 << 16
 #: Fingerprints link at this many differing bits or fewer; covering_links() relies on two.
@@ -340,6 +340,7 @@ def _members(classes: DataFrame) -> DataFrame:
     sums = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"sum{k}") for k in (1, 2)]
     sets = tokens.groupBy("token").agg(F.count("*").alias("size"), F.min("node").alias("low"), F.max("node").alias("high"), *sums).where("size > 1")
     buckets = settle(sets.groupBy("size", "low", "high", "sum1", "sum2").agg(F.min("token").alias("bucket")).select("bucket", "size"), "buckets")
+    drop_shuffles(classes.sparkSession)
     held = tokens.withColumnRenamed("token", "bucket").join(buckets, "bucket").groupBy("node").agg(F.collect_list(F.struct("bucket", "size")).alias("buckets"))
     members = settle(held.join(classes.select("node", "n", "parity"), "node"), "members")
     forget(buckets)
@@ -357,6 +358,7 @@ def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text_col: st
     Texts travel with the pairs, as they compress, and their sets are taken again where they meet; parities leave few other pairs.
     """
     near = settle(pairs, "near")
+    drop_shuffles(docs.sparkSession)
     nodes = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
     wanted = settle(nodes.join(classes.select("node", "key"), "node"), "wanted")
     texts = docs.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text")).join(_bounded(wanted), "key").select("node", "text")
@@ -388,6 +390,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     firsts = [F.first(x).alias(x) for x in ("n", "parity", "prefix")]
     classes = prefixed.groupBy("key").agg(F.min("id").alias("least_id"), F.count("*").alias("copies"), *firsts)
     classes = settle(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    drop_shuffles(docs.sparkSession)
     members = _members(classes)
     links = _similar(_forest_pairs(members, least), classes, docs, text_col, least)
     roots = settle(connected_components(links), "roots")
@@ -398,7 +401,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         links = links.unionByName(_similar(apart, classes, docs, text_col, least))
         roots = settle(connected_components(links), "roots")
     groups = settle(classes.select("key", "least_id", "copies", "node").join(roots, "node", "left").select("key", "least_id", "copies", F.coalesce("root", "node").alias("group")), "groups")
-    forget(classes, rooted, apart)
+    forget(classes, rooted, apart, members)
     return groups
 
 
