@@ -209,22 +209,30 @@ def _common_shingles(docs: DataFrame, text_col: str):
     return np.array([x for x, _ in found], np.uint64), np.array([n for _, n in found], np.int64)
 
 
-def _prefixed(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
-    """(key, id, n, parity, prefix) of every row of docs; n is the number of its different shingles."""
+def _classes(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
+    """(key, least_id, copies, n, parity, prefix) of every distinct text; n is the number of its different shingles.
+
+    Copies are counted by their keys; only texts that have copies are shuffled, to take one of each.
+    """
     common, counts = _common_shingles(docs, text_col)
+    rows = docs.select(text_key(F.col(text_col)).alias("key"), F.col(id_col).alias("least_id"), F.col(text_col).alias("text"))
+    copies = rows.groupBy("key").agg(F.min("least_id").alias("least_id"), F.count("*").alias("copies")).where("copies > 1")
+    copies = _bounded(settle(copies, "copies"))
+    once = rows.join(copies.select("key"), "key", "left_anti").select("key", "least_id", F.lit(1).cast("long").alias("copies"), "text")
+    many = rows.select("key", "text").join(copies, "key").dropDuplicates(["key"]).select("key", "least_id", "copies", "text")
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            sets = [shingle_set(x) for x in batch.column(2).cast(pa.binary()).to_pylist()]
+            sets = [shingle_set(x) for x in batch.column(3).cast(pa.binary()).to_pylist()]
             first = pa.array([prefix(x, least, common, counts).view(np.int64) for x in sets], pa.list_(pa.int64()))
-            columns = [batch.column(0), batch.column(1), pa.array(map(len, sets), pa.int64()), pa.array(map(parity, sets), pa.binary()), first]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "id", "n", "parity", "prefix"])
+            columns = [*batch.columns[:3], pa.array(map(len, sets), pa.int64()), pa.array(map(parity, sets), pa.binary()), first]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "least_id", "copies", "n", "parity", "prefix"])
 
-    schema = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("id", docs.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("parity", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
-    return docs.select(text_key(F.col(text_col)).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    fields = [("key", T.BinaryType()), ("least_id", docs.schema[id_col].dataType), ("copies", T.LongType()), ("n", T.LongType()), ("parity", T.BinaryType()), ("prefix", T.ArrayType(T.LongType()))]
+    return once.unionByName(many).mapInArrow(run, T.StructType([T.StructField(*x) for x in fields]))
 
 
 def text_key(text):
@@ -337,13 +345,16 @@ def _members(classes: DataFrame) -> DataFrame:
     least, greatest and two sums of 64 bits, are one bucket.
     """
     tokens = classes.select("node", F.explode("prefix").alias("token"))
-    sums = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"sum{k}") for k in (1, 2)]
-    sets = tokens.groupBy("token").agg(F.count("*").alias("size"), F.min("node").alias("low"), F.max("node").alias("high"), *sums).where("size > 1")
-    buckets = settle(sets.groupBy("size", "low", "high", "sum1", "sum2").agg(F.min("token").alias("bucket")).select("bucket", "size"), "buckets")
+    shared = _bounded(settle(tokens.groupBy("token").agg(F.count("*").alias("size")).where("size > 1"), "shared"))
     drop_shuffles(classes.sparkSession)
-    held = tokens.withColumnRenamed("token", "bucket").join(buckets, "bucket").groupBy("node").agg(F.collect_list(F.struct("bucket", "size")).alias("buckets"))
+    places = settle(tokens.join(shared, "token"), "places")
+    drop_shuffles(classes.sparkSession)
+    sums = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"sum{k}") for k in (1, 2)]
+    sets = places.groupBy("token", "size").agg(F.min("node").alias("low"), F.max("node").alias("high"), *sums)
+    buckets = settle(sets.groupBy("size", "low", "high", "sum1", "sum2").agg(F.min("token").alias("token")).select("token"), "buckets")
+    held = places.join(buckets, "token").groupBy("node").agg(F.collect_list(F.struct(F.col("token").alias("bucket"), "size")).alias("buckets"))
     members = settle(held.join(classes.select("node", "n", "parity"), "node"), "members")
-    forget(buckets)
+    forget(buckets, places)
     return members
 
 
@@ -386,10 +397,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     nearest forest are compared first, then all pairs that this leaves in separate groups. Parities of the sets are compared before the
     sets; they drop only pairs that can't be similar. Null texts count as empty; texts without words are alike only if equal.
     """
-    prefixed = _prefixed(docs, id_col, text_col, least)
-    firsts = [F.first(x).alias(x) for x in ("n", "parity", "prefix")]
-    classes = prefixed.groupBy("key").agg(F.min("id").alias("least_id"), F.count("*").alias("copies"), *firsts)
-    classes = settle(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    classes = settle(_classes(docs, id_col, text_col, least).withColumn("node", F.monotonically_increasing_id()), "classes")
     drop_shuffles(docs.sparkSession)
     members = _members(classes)
     links = _similar(_forest_pairs(members, least), classes, docs, text_col, least)
