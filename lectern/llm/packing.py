@@ -24,7 +24,7 @@ END_ID = 2
 #: A group holds about so many windows, and about so many pieces.
 GROUP_WINDOWS, GROUP_PIECES = 2048, 50_000
 #: Words whose ids a Python worker remembers, about.
-REMEMBERED = 600_000
+REMEMBERED = 800_000
 
 
 #: What WordTokenizer relies on: white space splits before anything else, letters are lower-cased, a word's last token has a suffix.
@@ -63,6 +63,7 @@ class WordTokenizer:
         self.known: dict[str, bytes] = {"": b""}
         self.former: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {"": b""}
+        self.remembered = REMEMBERED
         self.last = {i for x, i in self.full.get_vocab().items() if x.endswith("</w>")} if self.by_words else set()
 
     @classmethod
@@ -111,7 +112,7 @@ class WordTokenizer:
         for w, x in stems.items():
             mark = w[len(x) :]
             if mark not in marks:
-                if len(marks) > REMEMBERED // 10:
+                if len(marks) > self.remembered // 10:
                     marks.clear()
                 marks[mark] = self._slow([mark])[0]
             known[w] = found[x] + marks[mark] if mark else found[x]
@@ -122,7 +123,7 @@ class WordTokenizer:
         parts = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts]
         words = set().union(*parts)
         if new := words.difference(self.known):
-            if len(self.known) > REMEMBERED // 2:  # before all words of these texts are learned: they are looked up below, however many they are
+            if len(self.known) > self.remembered // 2:  # before all words of these texts are learned: they are looked up below, however many they are
                 self.known, self.former = {"": b""}, self.known
                 new = words.difference(self.known)
             self._learn(new)
@@ -147,7 +148,7 @@ def widened(column, lengths):
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(cuts) if cuts else np.zeros(0, np.int32)))
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False, remembered: int | None = None) -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens[, ids]): full windows of each document and what is left; ids in narrow() bytes."""
     fields = [T.StructField("id", docs.schema[id_col].dataType)] + [T.StructField(x, T.LongType()) for x in ("start", "length", "ids_crc32", "doc_tokens")]
     if with_ids:
@@ -159,6 +160,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         import pyarrow as pa
 
         known, step, end = WordTokenizer.at(tokenizer), 4 * window, int(end_id).to_bytes(4, "little")
+        known.remembered = remembered or REMEMBERED
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
                 part = batch.slice(low, 500)
@@ -260,6 +262,9 @@ def pack_pieces(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     return dealt.mapInArrow(run, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """One row per piece with its place: (id, start, length, ids_crc32, doc_tokens[, ids], sequence_id, offset)."""
-    return pack_pieces(settle(token_pieces(docs, tokenizer, id_col, text_col, window, end_id, with_ids), "pieces"), window)
+def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False, remembered: int | None = None) -> DataFrame:
+    """One row per piece with its place: (id, start, length, ids_crc32, doc_tokens[, ids], sequence_id, offset).
+
+    remembered: words whose ids a Python worker keeps, memory against time; REMEMBERED by default.
+    """
+    return pack_pieces(settle(token_pieces(docs, tokenizer, id_col, text_col, window, end_id, with_ids, remembered), "pieces"), window)

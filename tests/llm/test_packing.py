@@ -83,9 +83,9 @@ def test_repeated_and_missing_rows(spark):
     assert packing.pack_documents(docs.limit(0), word_vocabulary()).count() == 0
 
 
-def test_more_new_words_than_are_remembered(monkeypatch, tokenizer):
-    monkeypatch.setattr(packing, "REMEMBERED", 10)
+def test_more_new_words_than_are_remembered(tokenizer):
     words = packing.WordTokenizer(word_vocabulary())
+    words.remembered = 10
     for low in (0, 30, 15, 0):
         texts = [f"old word w{i}x{i}, {i * 7919}" for i in range(low, low + 40)]
         assert words.encode(texts) == [b"".join(x.to_bytes(4, "little") for x in tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
