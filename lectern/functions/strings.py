@@ -199,3 +199,17 @@ def code_words(text: Column, terms: dict[str, str] | None = None) -> Column:
     """White-space separated words of inline code, each by its parts."""
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
     return F.array_join(F.transform(words, lambda w: read_parts(split_snake_case(w), terms)), " ")
+
+
+# Fixed values
+IDEOGRAPHS = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}\x{2B740}-\x{2B81F}\x{2B820}-\x{2CEAF}\x{F900}-\x{FAFF}\x{2F800}-\x{2FA1F}"
+PUNCTUATION = r"!-/:-@\[-`{-~\p{P}"
+# End of fixed values
+
+
+def basic_tokens(text: Column, never_split: tuple[str, ...] = ()) -> Column:
+    """Words between white space, with signs and ideographs on their own; control characters are dropped, some words are never split."""
+    clean = F.regexp_replace(text, r"[\x{FFFD}[\p{C}&&[^\t\n\r]]]", "")
+    words = F.regexp_extract_all(F.regexp_replace(clean, f"([{IDEOGRAPHS}])", " $1 "), F.lit(f"[^{WHITE}]+"), F.lit(0))
+    cut = lambda w: F.regexp_extract_all(w, F.lit(f"[{PUNCTUATION}]|[^{PUNCTUATION}]+"), F.lit(0))
+    return F.flatten(F.transform(words, lambda w: F.when(w.isin(*never_split), F.array(w)).otherwise(cut(w)) if never_split else cut(w)))

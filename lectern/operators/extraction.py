@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lectern.functions.strings import basic_tokens
+
 # Fixed values
 EXCLUDED = frozenset(["nav", "footer", "aside", "script", "style", "head", "noscript", "template", "svg", "math", "button", "select", "option", "optgroup", "datalist"])
 BLOCKS = frozenset([
@@ -160,24 +162,46 @@ def word_pieces(word: str, ids: dict[str, int], unknown: int) -> list[int]:
     return found or [unknown]
 
 
-def wordpiece_ids(text: Column, vocabulary: list[str]) -> Column:
-    """Ids between [CLS] and [SEP] of lower-cased words and signs."""
+def wordpiece_ids(text: Column, vocabulary: list[str], never_split: tuple[str, ...] = ()) -> Column:
+    """Ids between [CLS] and [SEP] of the pieces of a text's basic_tokens(); letters keep their case."""
 
     @F.pandas_udf("array<int>")
-    def encode(texts: pd.Series) -> pd.Series:
+    def encode(rows: pd.Series) -> pd.Series:
         ids = {x: i for i, x in enumerate(vocabulary)}
         known: dict[str, list[int]] = {}
         out = []
-        for t in texts:
+        for tokens in rows:
             row = [ids["[CLS]"]]
-            for w in re.findall(r"\w+|[^\w\s]", (t or "").lower()):
+            for w in tokens if tokens is not None else ():
                 if w not in known:
                     known[w] = word_pieces(w, ids, ids["[UNK]"])
                 row += known[w]
             out.append([*row, ids["[SEP]"]])
         return pd.Series(out, dtype=object)
 
-    return encode(text)
+    return encode(basic_tokens(text, never_split))
+
+
+def place_tokens(source: str, tokens: list[str | None]) -> list[tuple[str, int, int]]:
+    """(word, start, end) of the words of each token, found in turn in the source; a token that isn't there after the last is left out."""
+    found, at = [], 0
+    for token in tokens:
+        place = source.find(token, at) if token else -1
+        if place >= 0:
+            found += [(m[0], place + m.start(), place + m.end()) for m in re.finditer(r"\S+", token)]
+            at = place + len(token)
+    return found
+
+
+def token_places(source: Column, tokens: Column) -> Column:
+    """array<struct<word, start, end>>: place_tokens() of a rendered page's text tokens in its source."""
+
+    @F.pandas_udf("array<struct<word:string,start:int,end:int>>")
+    def place(sources: pd.Series, lists: pd.Series) -> pd.Series:
+        rows = zip(sources, lists)
+        return pd.Series([None if s is None or t is None else [dict(zip(("word", "start", "end"), w)) for w in place_tokens(s, list(t))] for s, t in rows], dtype=object)
+
+    return place(source, tokens)
 
 
 def align_words(text: str, symbols: list[tuple[str, int]], offset: float, duration: float, text_offset: int = 0, frame: float = 600 / 48000) -> list[tuple[str, float, float, int, int]]:

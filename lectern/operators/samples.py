@@ -1,11 +1,20 @@
-"""Audio samples as arrays: resampling, frames, quantising."""
+"""Audio samples as arrays: resampling, frames, quantising, bands and the inverse transform of spectra.
+
+One row holds one clip, so arrays are bounded by what is spoken at once.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed values
 RATES = (8000, 12000, 16000, 24000, 48000)
+#: Number of bands, taps, cutoff and shape of the window by the rate of the lowest band.
+BANDS = {24000: (2, 62, 0.25, 10.0), 8000: (6, 62, 0.12, 9.0)}
+# End of fixed values
 
 
 def resample(samples: Column, rate_in: int, rate_out: int) -> Column:
@@ -49,3 +58,66 @@ def frame_count(duration: Column) -> Column:
 
 def duration_seconds(samples: Column, rate: int) -> Column:
     return F.size(samples) / F.lit(rate)
+
+
+def band_filter(bands: int, taps: int, cutoff: float, beta: float) -> np.ndarray:
+    """(bands, taps + 1): a Kaiser-windowed low pass of unit sum, its cutoff in half sampling rates, moved to the middle of each band."""
+    n = np.arange(taps + 1)
+    low = np.sinc(cutoff * (n - taps / 2)) * np.kaiser(taps + 1, beta)
+    low /= low.sum()
+    k = np.arange(bands)[:, None]
+    return 2 * low * np.cos((2 * k + 1) * np.pi / (2 * bands) * (n - (taps - 1) / 2) + (-1.0) ** k * np.pi / 4)
+
+
+def lowest_band(clip: np.ndarray, filters: np.ndarray) -> np.ndarray:
+    """The first of the bands, one sample of each `bands`; by tanh if any band exceeds one. An empty clip gives no samples."""
+    bands, length = filters.shape
+    if not len(clip):
+        return np.zeros(0)
+    pad = (length - 1) // 2
+    padded = np.concatenate((np.zeros(pad), clip, np.zeros(pad)))
+    if len(padded) < length:
+        return np.zeros(0)
+    found = np.array([np.convolve(padded, f[::-1], "valid")[::bands] for f in filters])
+    return found[0] if np.abs(found).max() <= 1 else np.tanh(found[0])
+
+
+def to_lowest_band(samples: Column, rate: int) -> Column:
+    """Clips of 48000 samples a second at one of the rates of BANDS."""
+
+    @F.pandas_udf("array<double>")
+    def run(clips: pd.Series) -> pd.Series:
+        filters = band_filter(*BANDS[rate])
+        return pd.Series([None if c is None else lowest_band(np.asarray(c, float), filters) for c in clips], dtype=object)
+
+    return run(samples)
+
+
+def inverse_transform(magnitude: np.ndarray, x: np.ndarray, y: np.ndarray, hop: int, window: np.ndarray | None = None) -> np.ndarray:
+    """Samples of frames (frequency by frame): windowed inverse transforms added where they overlap, over the sum of squared windows.
+
+    A window is four hops long, a periodic Hann window by default; the outer one and a half hops of each end are cut.
+    """
+    size = 4 * hop
+    if window is None:
+        window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
+    count = magnitude.shape[1]
+    parts = np.fft.irfft(magnitude * (x + 1j * y), size, axis=0).T * window
+    out, weight = np.zeros(hop * (count + 3)), np.zeros(hop * (count + 3))
+    for k in range(4):  # the k-th quarters of all frames lie side by side
+        cut = slice(k * hop, (k + count) * hop)
+        out[cut] += parts[:, k * hop : (k + 1) * hop].ravel()
+        weight[cut] += np.tile(window[k * hop : (k + 1) * hop] ** 2, count)
+    pad = (size - hop) // 2
+    return out[pad:-pad] / weight[pad:-pad]
+
+
+def samples_of_spectra(magnitude: Column, x: Column, y: Column, hop: int) -> Column:
+    """inverse_transform() of rows of array<array<double>>, frequencies outside; null or without frames: no samples."""
+
+    @F.pandas_udf("array<double>")
+    def run(magnitudes: pd.Series, xs: pd.Series, ys: pd.Series) -> pd.Series:
+        whole = lambda rows: np.array([np.asarray(r, float) for r in rows])
+        return pd.Series([np.zeros(0) if m is None or not len(m) or not len(m[0]) else inverse_transform(whole(m), whole(a), whole(b), hop) for m, a, b in zip(magnitudes, xs, ys)], dtype=object)
+
+    return run(magnitude, x, y)

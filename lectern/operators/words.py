@@ -19,7 +19,7 @@ from pyspark.sql import Window
 _WORD, _SPACED = re.compile(r"\w+"), re.compile("[^ ]+")
 
 
-def _spans(docs: DataFrame, keep: list[str], text_col: str, cut: Callable[[str], list[tuple[int, int, int]]], text_name: str = "word") -> DataFrame:
+def spans(docs: DataFrame, keep: list[str], text_col: str, cut: Callable[[str], list[tuple[int, int, int]]], text_name: str = "word") -> DataFrame:
     """(keep..., idx, word, start, end_pos, before, total) of the pieces (idx, start, stop) that cut finds in each text.
 
     before and total are the letters of the pieces before it, and of all pieces of its text.
@@ -56,8 +56,8 @@ def _spans(docs: DataFrame, keep: list[str], text_col: str, cut: Callable[[str],
 
 
 def word_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, keep..., idx, word, start, end_pos, before, total): words of any script, end exclusive; before and total as in _spans()."""
-    return _spans(docs, [id_col, *keep], text_col, lambda t: [(i, *m.span()) for i, m in enumerate(_WORD.finditer(t))])
+    """(id, keep..., idx, word, start, end_pos, before, total): words of any script, end exclusive; before and total as in spans()."""
+    return spans(docs, [id_col, *keep], text_col, lambda t: [(i, *m.span()) for i, m in enumerate(_WORD.finditer(t))])
 
 
 def word_times(words: DataFrame, duration_ms: Column) -> DataFrame:
@@ -87,7 +87,7 @@ def _lines(text: str) -> list[tuple[int, int, int]]:
 
 def line_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, line, text, start) of every line."""
-    found = _spans(docs, [id_col], text_col, _lines, "line text")
+    found = spans(docs, [id_col], text_col, _lines, "line text")
     return found.select(id_col, F.col("idx").alias("line"), F.col("line text").alias("text"), "start")
 
 
@@ -102,4 +102,4 @@ def _between_spaces(text: str) -> list[tuple[int, int, int]]:
 
 def space_word_spans(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """(keys..., idx, word, start, end_pos) of words between spaces; idx counts the spaces before a word."""
-    return _spans(docs, keys, text_col, _between_spaces).drop("before", "total")
+    return spans(docs, keys, text_col, _between_spaces).drop("before", "total")

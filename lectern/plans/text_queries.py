@@ -232,4 +232,4 @@ def wordpiece(spark: SparkSession, sf: str) -> DataFrame:
     from lectern.operators.extraction import wordpiece_ids
 
     vocabulary = ["[UNK]", "[CLS]", "[SEP]", *"abcdefghijklmnopqrstuvwxyz", *(f"##{c}" for c in "abcdefghijklmnopqrstuvwxyz"), "the", "##ing", "##tion", "an", "##er", "##ed", ".", ","]
-    return table(spark, sf, "conversations").select("conv_id", "turn", wordpiece_ids(F.col("text"), vocabulary).alias("ids"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", wordpiece_ids(F.lower("text"), vocabulary).alias("ids"))
