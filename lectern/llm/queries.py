@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, decontamination, packing, pii, quality, repeats, simhash, topk, toxicity, urls, warc
+from lectern.llm import bpe, decontamination, packing, pii, quality, repeats, simhash, topk, toxicity, trie, urls, warc
 from lectern.llm.learning import held_out
+from lectern.session import settle
 from lectern.sources.tables import table
 
 
@@ -88,7 +89,32 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_url_filter": op2_url_filter, "op3_packing": op3_packing, "op4_toxicity": op4_toxicity, "op5_warc": op5_warc, "op6_pii": op6_pii, "op7_top_k": op7_top_k, "op8_repeats": op8_repeats, "op9_quality": op9_quality, "op10_decontamination": op10_decontamination, "op11_bpe": op11_bpe}
+#: Conversations of a family begin alike, with up to so many turns less one of the first of them.
+FAMILY, SHARED = 20, 4
+
+
+def rebuilt_conversations(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(steps, convs): every conversation with its first turns taken from the first of its family, as stored tables of trie.prefix_trie()."""
+    steps = settle(trie.turn_keys(conversations), "turns")
+    lengths = steps.groupBy("conv").agg(F.count("*").alias("n"))
+    base, shared = F.col("conv") - F.col("conv") % FAMILY, F.crc32(F.col("conv").cast("string").cast("binary")) % SHARED
+    convs = lengths.withColumns({"base": base, "h": shared})
+    convs = convs.join(lengths.select(F.col("conv").alias("base"), F.col("n").alias("n_base")), "base", "left")
+    taken = F.least("h", F.coalesce("n_base", F.lit(0)))
+    convs = settle(convs.select("conv", "base", "h", taken.alias("taken"), (taken + F.greatest(F.col("n") - F.col("h"), F.lit(0))).alias("length")), "conversations")
+    own = trie._split_join(steps, convs.select("conv", "h", "taken"), "conv").where("pos >= h")
+    own = own.select("conv", (F.col("pos") - F.col("h") + F.col("taken")).alias("pos"), "key", "weight")
+    first = steps.where(F.col("pos") < SHARED).withColumnRenamed("conv", "base")
+    given = convs.select("conv", "base", "h").join(first, "base").where("pos < h").select("conv", "pos", "key", "weight")
+    return settle(own.unionByName(given), "steps"), convs.select("conv", "length")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = trie.prefix_trie(*rebuilt_conversations(table(spark, sf_dir, "conversations")))
+    return found.select(F.col("node").alias("conv_id"), "depth", F.col("parent").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"), "ends_sha256")
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_url_filter": op2_url_filter, "op3_packing": op3_packing, "op4_toxicity": op4_toxicity, "op5_warc": op5_warc, "op6_pii": op6_pii, "op7_top_k": op7_top_k, "op8_repeats": op8_repeats, "op9_quality": op9_quality, "op10_decontamination": op10_decontamination, "op11_bpe": op11_bpe, "op12_prefix_trie": op12_prefix_trie}
 OP10_SQL = r"""
 WITH
 d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents),
@@ -134,4 +160,28 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
 FROM p LEFT JOIN f USING (h)
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_warc": OP5_SQL, "op7_top_k": OP7_SQL, "op2_url_filter": OP2_SQL, "op10_decontamination": OP10_SQL}
+OP12_SQL = r"""
+WITH
+t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS pos,
+             sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k,
+             len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT c, count(*) AS n, c - c % 20 AS base,
+             xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+                 lambda a, x: list_reduce(list_concat([xor(a, x)], CAST(range(8) AS BIGINT[])), lambda b, y: CASE WHEN b & 1 = 1 THEN xor(b >> 1, 3988292384) ELSE b >> 1 END)), 4294967295) % 4 AS h
+      FROM t GROUP BY c),
+l AS (SELECT n.c, n.base, n.h, least(n.h, coalesce(b.n, 0)) AS p FROM n LEFT JOIN n b ON b.c = n.base),
+s AS (SELECT l.c, t.pos - l.h + l.p AS pos, t.k, t.w FROM l JOIN t ON t.c = l.c AND t.pos >= l.h
+      UNION ALL SELECT l.c, t.pos, t.k, t.w FROM l JOIN t ON t.c = l.base AND t.pos < l.h),
+a AS (SELECT l.c, coalesce(list(s.k ORDER BY s.pos) FILTER (s.k IS NOT NULL), []) AS ks, coalesce(list(s.w ORDER BY s.pos) FILTER (s.k IS NOT NULL), []) AS ws FROM l LEFT JOIN s ON s.c = l.c GROUP BY l.c),
+r AS (SELECT c, d, array_to_string(ks[1 : d], ',') AS k, len(ks) AS n, CASE WHEN d > 0 THEN ws[d] ELSE 0 END AS w FROM a, LATERAL (SELECT unnest(range(0, len(ks) + 1)) AS d)),
+m AS (SELECT d, k, min(c) AS node, count(*) AS n_convs, any_value(w) AS w, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (d = n), '')) AS ends FROM r GROUP BY d, k),
+p AS (SELECT r.c, r.d, m.node FROM r JOIN m USING (d, k)),
+q AS (SELECT m.*, p.node AS parent FROM m LEFT JOIN p ON p.c = m.node AND p.d = m.d - 1),
+x AS (SELECT q.*, (SELECT count(*) FROM q z WHERE z.d = q.d + 1 AND z.parent = q.node) AS n_children FROM q),
+u AS (SELECT p.d, p.node, sum((x.n_convs - 1) * x.w) AS saved, count(*) FILTER (x.n_children = 0) AS leaves FROM x JOIN p ON p.c = x.node AND p.d <= x.d GROUP BY p.d, p.node)
+SELECT x.node AS conv_id, CAST(x.d AS BIGINT) AS depth, x.parent AS parent_conv_id, CAST(x.n_convs AS BIGINT) AS n_convs, CAST(x.n_children AS BIGINT) AS n_children,
+       CAST(u.leaves AS BIGINT) AS n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, x.ends AS ends_sha256
+FROM x JOIN u ON u.d = x.d AND u.node = x.node
+"""
+
+ORACLE_SQL: dict[str, str] = {"op12_prefix_trie": OP12_SQL, "op5_warc": OP5_SQL, "op7_top_k": OP7_SQL, "op2_url_filter": OP2_SQL, "op10_decontamination": OP10_SQL}
