@@ -26,9 +26,11 @@ from lectern.llm.packing import LETTERS, SIGNS, goes_by_words
 from lectern.session import settle
 
 #: Characters of a block of texts, and ids of a block of token lists.
-BLOCK, BLOCK_IDS = 32_000_000, 8_000_000
+BLOCK, BLOCK_IDS = 14_000_000, 2_000_000
 #: Words of all blocks that a bucket gets, about.
 BUCKET_WORDS = 400_000
+#: Texts that a worker hands back at a time.
+TEXTS = 500
 
 _TOKENIZERS: dict = {}
 
@@ -290,9 +292,10 @@ def joined_texts(texts, found, names: list[str], decoded: bool):
             if i.is_valid:
                 piece.update(zip(i.as_py(), p.as_py()))
         spoken = [" ".join([piece[x] for x in flat[a : a + n].tolist()]) for a, n in zip(first.tolist(), count.tolist())]
-        said = list(map(spoken.__getitem__, codes.tolist()))
-        out.append(pa.array([" ".join(filter(None, said[a:z])) for a, z in zip([0, *ends.tolist()], ends.tolist())], pa.string()))
-    return pa.table(out, names=names)
+        decoded_texts = [" ".join([x for c in codes[a:z].tolist() if (x := spoken[c])]) for a, z in zip([0, *ends.tolist()], ends.tolist())]
+        del spoken, piece
+        out.append(pa.array(decoded_texts, pa.string()))
+    return pa.Table.from_batches(pa.table(out, names=names).to_batches(max_chunksize=TEXTS))
 
 
 def decode(tokens: DataFrame, tokenizer: str, id_col: str = "id", ids_col: str = "ids", block_ids: int = BLOCK_IDS) -> DataFrame:
