@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, decontamination, packing, pii, quality, repeats, simhash, topk, toxicity, trie, urls, warc
+from lectern.llm import bpe, decontamination, packing, pii, quality, repeats, search, simhash, topk, toxicity, trie, urls, warc
 from lectern.llm.learning import held_out
 from lectern.session import settle
 from lectern.sources.tables import table
@@ -114,7 +114,11 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("node").alias("conv_id"), "depth", F.col("parent").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"), "ends_sha256")
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_url_filter": op2_url_filter, "op3_packing": op3_packing, "op4_toxicity": op4_toxicity, "op5_warc": op5_warc, "op6_pii": op6_pii, "op7_top_k": op7_top_k, "op8_repeats": op8_repeats, "op9_quality": op9_quality, "op10_decontamination": op10_decontamination, "op11_bpe": op11_bpe, "op12_prefix_trie": op12_prefix_trie}
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_url_filter": op2_url_filter, "op3_packing": op3_packing, "op4_toxicity": op4_toxicity, "op5_warc": op5_warc, "op6_pii": op6_pii, "op7_top_k": op7_top_k, "op8_repeats": op8_repeats, "op9_quality": op9_quality, "op10_decontamination": op10_decontamination, "op11_bpe": op11_bpe, "op12_prefix_trie": op12_prefix_trie, "op13_search": op13_search}
 OP10_SQL = r"""
 WITH
 d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents),
@@ -184,4 +188,18 @@ SELECT x.node AS conv_id, CAST(x.d AS BIGINT) AS depth, x.parent AS parent_conv_
 FROM x JOIN u ON u.d = x.d AND u.node = x.node
 """
 
-ORACLE_SQL: dict[str, str] = {"op12_prefix_trie": OP12_SQL, "op5_warc": OP5_SQL, "op7_top_k": OP7_SQL, "op2_url_filter": OP2_SQL, "op10_decontamination": OP10_SQL}
+_TERMS_SQL = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+OP13_SQL = f"""
+WITH
+d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS_SQL} AS w FROM documents),
+i AS (SELECT row_number() OVER () AS r, item_id, list_distinct({_TERMS_SQL}) AS w FROM benchmark),
+g AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0),
+it AS (SELECT r AS item, unnest(w) AS term FROM i),
+dt AS (SELECT r, any_value(n) AS n, term, count(*) AS tf FROM (SELECT r, len(w) AS n, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM it) GROUP BY r, term),
+df AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(n_docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM dt, g GROUP BY term),
+s AS (SELECT it.item, dt.r, CAST(sum(df.w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score FROM it JOIN dt USING (term) JOIN df USING (term), g GROUP BY it.item, dt.r),
+k AS (SELECT s.item, d.doc_id, score, CAST(row_number() OVER (PARTITION BY s.item ORDER BY score DESC, d.doc_id NULLS FIRST) AS INTEGER) AS rank FROM s JOIN d USING (r) WHERE score > 0)
+SELECT i.item_id, rank, doc_id, score FROM k JOIN i ON i.r = k.item WHERE rank <= 50
+"""
+
+ORACLE_SQL: dict[str, str] = {"op13_search": OP13_SQL, "op12_prefix_trie": OP12_SQL, "op5_warc": OP5_SQL, "op7_top_k": OP7_SQL, "op2_url_filter": OP2_SQL, "op10_decontamination": OP10_SQL}

@@ -1,0 +1,103 @@
+"""Ranked search against scores of every document."""
+
+import math
+import random
+import re
+
+import duckdb
+import numpy as np
+
+from lectern.llm import queries, search
+
+TERM = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def words(text):
+    return TERM.findall(re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+
+
+def brute(docs, items, k):
+    read = [(i, words(x)) for i, x in docs]
+    total, length = sum(bool(w) for _, w in read), sum(len(w) for _, w in read)
+    out = []
+    for item, text in items:
+        terms = {t: sum(t in w for _, w in read) for t in set(words(text))}
+        found = []
+        for i, w in read:
+            m = 100 - 50 + (50 * len(w) * total) // max(length, 1)
+            score = sum(math.floor(1000 * math.log((2 * total + 2) / (2 * df + 1))) * ((10**9 * w.count(t)) // (1000 * w.count(t) + 20 * m)) for t, df in terms.items() if df)
+            found.append((-score, -1 if i is None else i, i))
+        out += [(item, rank, i, -score) for rank, (score, _, i) in enumerate(sorted(x for x in found if x[0] < 0)[:k], 1)]
+    return sorted(out, key=str)
+
+
+def tables(spark, docs, items):
+    return spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS id", "'x' AS n", "2 AS terms"), spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "3 AS item", "4 AS block")
+
+
+def found(result):
+    return sorted((tuple(r) for r in result.select("item_id", "rank", "id", "score").collect()), key=str)
+
+
+def some_texts(n=300):
+    rng, out = random.Random(3), []
+    vocabulary = [f"w{i}" for i in range(60)] + ["École", "123", "Ünder_score", "日本"]
+    for i in range(n):
+        out.append((i, " ".join(vocabulary[min(int(rng.expovariate(0.12)), 63)] for _ in range(rng.choice([0, 1, 3, 30, 200])))))
+    out += [(1000 + i, "w1 w2 copied W3 text-w9") for i in range(80)] + [(7, None), (None, "w1 w5"), (8, ""), (9, "\x00 - _ \n"), (2000, "w60 " * 50_000)]
+    return out, [(1, "w1, W2; w3 w60"), (2, None), (3, "--"), (4, "w1 w1 w1"), (4, "nowhere"), (5, "École 日本 under"), (6, " ".join(vocabulary)), (None, "w9"), (6, "w1 copied")]
+
+
+def test_equals_scoring_every_document(spark):
+    docs, items = some_texts()
+    for k, chars, shard in ((50, search.BLOCK_CHARS, search.SHARD), (3, 20, 100), (7, 60, 1500)):
+        assert found(search.ranked_search(*tables(spark, docs, items), k=k, block_chars=chars, shard=shard)) == brute(docs, items, k)
+
+
+def test_waves_of_any_size_find_the_same():
+    rng = np.random.default_rng(1)
+    terms, docs = (x.ravel() for x in np.meshgrid(np.arange(12), np.arange(400)))
+    some = rng.random(len(terms)) < 0.4
+    terms, docs, impact = terms[some], docs[some], rng.integers(1, 9, some.sum())
+    treaps = search.Treaps(terms, docs, impact, 12)
+    for wave in (1, 3, 10**6):
+        best = search.Best(2, 20)
+        search.search_shard(treaps, np.arange(400) * 2, np.array([0, 5, 12]), np.array([0, 1, 2, 3, 4, 3, 4, 5, 6, 7, 8, 9]), best, wave)
+        for item, asked in enumerate(([0, 1, 2, 3, 4], [3, 4, 5, 6, 7, 8, 9])):
+            score = np.bincount(docs[np.isin(terms, asked)], impact[np.isin(terms, asked)], 400)
+            order = np.lexsort((np.arange(400), -score))[:20]
+            assert best.id[item].tolist() == (order * 2).tolist() and best.score[item].tolist() == score[order].tolist()
+
+
+def test_treaps_are_search_trees_and_heaps():
+    rng = np.random.default_rng(2)
+    docs = np.sort(rng.choice(5000, 2000, replace=False))
+    treap = search.Treaps(np.zeros(2000, np.int64), docs, np.full(2000, 7), 1)
+    depth, stack = 0, [(int(treap.root[0]), 0, 5000, 1)]
+    seen = 0
+    while stack:
+        node, low, high, d = stack.pop()
+        seen, depth = seen + 1, max(depth, d)
+        assert low <= treap.doc[node] < high
+        for child, a, z in ((treap.left[node], low, treap.doc[node]), (treap.right[node], treap.doc[node] + 1, high)):
+            if child >= 0:
+                assert treap.rank[child] <= treap.rank[node]
+                stack.append((int(child), a, z, d + 1))
+    assert seen == 2000 and depth < 60  # equal impacts don't make a chain
+
+
+def test_no_rows(spark):
+    docs, items = some_texts(5)
+    assert found(search.ranked_search(*tables(spark, [], items))) == []
+    assert found(search.ranked_search(*tables(spark, docs, []))) == []
+
+
+def test_the_query_and_its_sql(spark, tmp_path):
+    docs, items = some_texts(100)
+    for name, rows, columns in (("documents", docs, "doc_id long, text string"), ("benchmark", items, "item_id long, text string")):
+        spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = sorted((tuple(r) for r in queries.op13_search(spark, str(tmp_path)).select("item_id", "rank", "doc_id", "score").collect()), key=str)
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert got == brute(docs, items, 50) == sorted(con.execute(f"SELECT item_id, rank, doc_id, score FROM ({queries.OP13_SQL})").fetchall(), key=str)
