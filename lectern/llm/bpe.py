@@ -237,7 +237,7 @@ def pieces_of(spark, tokenizer: str) -> DataFrame:
 
 def block_pieces(distinct: DataFrame, pieces: DataFrame) -> DataFrame:
     """(block, piece_ids, pieces) for (block, distinct): the pieces of a block's ids, as many as the vocabulary has at most."""
-    each = distinct.select("block", F.explode("distinct").alias("id")).distinct()
+    each = distinct.groupBy("block").agg(F.array_distinct(F.flatten(F.collect_list("distinct"))).alias("distinct")).select("block", F.explode("distinct").alias("id"))
     joined = each.join(F.broadcast(pieces), "id").groupBy("block").agg(F.collect_list(F.struct("id", "piece")).alias("found"))
     return joined.select("block", F.col("found.id").alias("piece_ids"), F.col("found.piece").alias("pieces"))
 
