@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import os
 import shutil
 import tempfile
-import time
 import uuid
 import weakref
 from pathlib import Path
@@ -61,10 +59,22 @@ def fresh_path(spark: SparkSession, name: str = "table") -> str:
     return f"{shared_dir(spark)}/lectern-{name}-{uuid.uuid4().hex}"
 
 
+#: Whether Spark deletes the shuffle files of a query when it ends.
+CLEAN_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settle(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: later steps neither recompute it nor lose it with an executor."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    """Write df as Parquet in the shared folder and read it back: later steps neither recompute it nor lose it with an executor.
+
+    Nothing reads the shuffles of the write again, so their files go when it ends.
+    """
+    path, conf = fresh_path(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(CLEAN_KEY, None)
+    conf.set(CLEAN_KEY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(CLEAN_KEY) if before is None else conf.set(CLEAN_KEY, before)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     _SETTLED[table] = path
     return table
@@ -81,14 +91,3 @@ def forget(*tables: DataFrame) -> None:
             spark = table.sparkSession
             folder = spark._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-#: Seconds until the driver's JVM has heard which plans Python holds no more.
-HEARD = 1.2
-
-
-def drop_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nobody holds any more, which it does when the driver collects garbage."""
-    gc.collect()
-    time.sleep(HEARD)
-    spark._jvm.System.gc()
