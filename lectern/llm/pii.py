@@ -4,7 +4,8 @@ Base kinds, found leftmost and without overlap within a kind: email; ip, with pa
 Luhn; phone, `+` and 10 to 15 digits. A proposal that fails its check is dropped. The method adds kinds. iban: a country code and check
 digits whose rearranged number is 1 modulo 97. ssn: nine digits as 3-2-4, none of the groups that are never given out. secret: a run of
 20 signs or more of keys and tokens, with letters, digits and many different signs. Every span has a score: the kind's prior, raised by
-RAISE for each context word of that kind within CONTEXT characters on either side. Base spans are kept whatever their score; an added
+RAISE for each different context word of that kind that begins or ends within CONTEXT characters on either side; words are whole, from
+one sign that is no letter to the next (`api_key` holds "key", "monkey" does not). Base spans are kept whatever their score; an added
 kind needs THRESHOLD, which a valid iban reaches by itself, while an ssn or a secret needs a word beside it.
 
 Patterns run in time linear in the text: a proposal starts at a sign every match must hold, or at the start of a run.
@@ -49,6 +50,10 @@ _SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}")
 _LETTER = re.compile("[A-Za-z]")
 _DIGIT = re.compile("[0-9]")
 _NOT_DIGIT = re.compile("[^0-9]+")
+_LETTERS = r"[^\W\d_]"
+_CONTEXT = {kind: re.compile(f"(?<!{_LETTERS})(?:{'|'.join(words)})(?!{_LETTERS})") for kind, words in WORDS.items()}
+#: Letters of a context word that may lie outside CONTEXT.
+_LONGEST = max(len(w) for words in WORDS.values() for w in words)
 
 
 def luhn(digits: str) -> bool:
@@ -107,12 +112,19 @@ def proposals(text: str) -> Iterator[tuple[str, int, int]]:
             yield "secret", m.start(), m.end()
 
 
+def near_words(text: str, kind: str, start: int, stop: int) -> set[str]:
+    """Context words of a kind that reach into the CONTEXT characters before or after a span; the span itself ends a word."""
+    low, high, found = max(0, start - CONTEXT), stop + CONTEXT, _CONTEXT[kind].finditer
+    before, after = text[max(0, low - _LONGEST - 1) : start].lower(), text[stop : high + _LONGEST + 1].lower()
+    edge = start - low
+    return {m[0] for m in found(before) if len(before) - m.end() < edge} | {m[0] for m in found(after) if m.start() < CONTEXT}
+
+
 def scored(text: str) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) by start, then kind as listed."""
     out = []
     for kind, a, z in proposals(text):
-        near = f"{text[max(0, a - CONTEXT) : a]} {text[z : z + CONTEXT]}".lower()
-        score = min(1.0, PRIOR[kind] + RAISE * sum(w in near for w in WORDS[kind]))
+        score = min(1.0, PRIOR[kind] + RAISE * len(near_words(text, kind, a, z)))
         if kind in BASE or score >= THRESHOLD:
             out.append((kind, a, z, score))
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))

@@ -63,6 +63,17 @@ def test_context_decides_for_kinds_below_the_threshold():
     assert all(pii.THRESHOLD <= x[3] <= 1 for x in pii.scored(f"secret {key} key"))
 
 
+def test_context_words_are_whole():
+    digest = "3f5e8a1b9c7d2e4f6a8b0c1d3e5f7a9b1c3d5e7f"
+    kinds = lambda text: [x[0] for x in pii.scored(text)]
+    for word in ("author", "monkey", "script", "keyboard", "donkey_ride"):
+        assert kinds(f"{word} {digest}") == []
+    for text in (f"api_key={digest}", f"KEY: {digest}", f"{digest} is the token", f"auth{' ' * 30}{digest}", f"mot de passe, clé: {digest}"):
+        assert kinds(text) == ["secret"]
+    assert kinds(f"mon{'key'}{' ' * 37}{digest}") == [] and kinds(f"key{' ' * 41}{digest}") == []  # the edge of the context does not cut a word
+    assert kinds(f"key{' ' * 39}{digest}") == ["secret"] and kinds(f"{digest}{' ' * 38}keyboard") == [] and kinds(f"{digest}{' ' * 38}key") == ["secret"]
+
+
 def test_masking():
     text = "a x@y.zz b 4111111111111111"
     assert pii.masked(text, pii.scored(text)) == "a [EMAIL] b [CARD]"
