@@ -1,7 +1,7 @@
 """WARC archives: writing, reading back, and merging capture runs into ordered histories.
 
-Every archive file is a capture run, sorted by URL key and timestamp, of records of about ARCHIVE_BYTES together; each record is a gzip
-member of its own, so that an offset of the index finds it. Records hold an HTTP response whose payload is the page; of equal payloads of at least REVISIT_BYTES
+Every archive file is a capture run, sorted by URL key and timestamp, of records of ARCHIVE_BYTES together and one more at most; each
+record is a gzip member of its own, so that an offset of the index finds it, and members follow one another without a byte between. Records hold an HTTP response whose payload is the page; of equal payloads of at least REVISIT_BYTES
 bytes the page with the smallest id is the response and the others are revisits of it, whose records have the HTTP header alone.
 Reading gives an index entry for each record. The merge is external: the entries are dealt to key ranges of about RANGE_ROWS, in each of
 which every run's slice is brought back into the order in which its archive has it, and a loser tree merges the slices, entry by entry,
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from lectern.session import forget, fresh_path, settle
 
 REVISIT_BYTES = 100
-#: Bytes of records in an archive, about: a task reads one at a time.
-ARCHIVE_BYTES, HEAD_BYTES = 32 << 20, 500
+#: Bytes of records that fill an archive: a task reads one at a time.
+ARCHIVE_BYTES = 32 << 20
 #: Index entries that one merging task holds, about.
 RANGE_ROWS = 200_000
 CAPTURED = "2024-01-01T00:00:00Z"
@@ -69,24 +69,42 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     return recs, [kept, first]
 
 
-def _packed(batches: Iterator) -> Iterator:
-    import gzip
+def _archives(most: int) -> Callable:
+    """Rows of one archive each: the gzip members of its records, back to back, until the records have `most` bytes."""
 
-    import pyarrow as pa
+    def run(batches: Iterator) -> Iterator:
+        import gzip
+
+        import pyarrow as pa
+
+        held, size = [], 0
 
-    for batch in batches:
-        members = [gzip.compress(x.as_py() + b"\r\n\r\n", 6, mtime=0) for x in batch.column(0).cast(pa.binary())]
-        yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], ["value"])
+        def archive():
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(held).removesuffix(b"\0")], pa.binary())], ["value"])
 
+        for batch in batches:
+            for x in batch.column(0).cast(pa.binary()):
+                record = x.as_py() + b"\r\n\r\n"
+                held.append(gzip.compress(record, 6, mtime=0))
+                size += len(record)
+                if size >= most:
+                    yield archive()
+                    held, size = [], 0
+        if held:
+            yield archive()
+
+    return run
 
-def write_archives(recs: DataFrame, path: str, record_bytes: float) -> None:
-    """Archives of about ARCHIVE_BYTES, each sorted by URL key and time, several for each partition; records are of record_bytes on average.
 
-    A member is followed by a zero byte, the padding that gzip allows.
+def write_archives(recs: DataFrame, path: str) -> None:
+    """Archives of ARCHIVE_BYTES of records, each sorted by URL key and time, several for each partition.
+
+    The text writer ends a file with a zero byte. That is the last byte of a gzip member, the highest of its size, for records under
+    16 MB, and _archives() leaves it out; behind a larger record it is padding, which gzip allows at the end of a file.
     """
-    ordered = recs.sortWithinPartitions("url_key", "captured", "order").select("value").mapInArrow(_packed, "value binary")
-    members = ordered.select(F.col("value").cast("string").alias("value"))  # the same bytes, as the text writer asks for
-    members.write.option("lineSep", "\0").option("maxRecordsPerFile", max(1, int(ARCHIVE_BYTES / record_bytes))).text(path)
+    ordered = recs.sortWithinPartitions("url_key", "captured", "order").select("value").mapInArrow(_archives(ARCHIVE_BYTES), "value binary")
+    archives = ordered.select(F.col("value").cast("string").alias("value"))  # the same bytes, as the text writer asks for
+    archives.write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
 
 
 def members(content: bytes) -> Iterator[tuple[int, bytes]]:
@@ -95,9 +113,8 @@ def members(content: bytes) -> Iterator[tuple[int, bytes]]:
 
     at = 0
     while at < len(content):
-        if not content[at]:
-            at += 1
-            continue
+        if not content[at] and not content[at:].strip(b"\0"):  # padding at the end
+            return
         start, parts, unpack = at, [], zlib.decompressobj(31)
         while not unpack.eof:
             chunk = content[at : at + (1 << 14)]
@@ -239,8 +256,7 @@ def merge_runs(index: DataFrame) -> DataFrame:
 def capture_history(pages: DataFrame, path: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", captured: Column | None = None) -> DataFrame:
     """Write pages as archives, at path or in the shared folder, read them back and merge their index."""
     path = path or fresh_path(pages.sparkSession, "archives")
-    size = pages.agg(F.avg(F.octet_length(html_col))).first()[0] or 0
     recs, kept = records(pages, id_col, url_col, html_col, captured)
-    write_archives(recs, path, size + HEAD_BYTES)
+    write_archives(recs, path)
     forget(*kept)
     return merge_runs(settle(read_archives(pages.sparkSession, path), "index"))

@@ -1,6 +1,9 @@
 import gzip
 import hashlib
+import io
 import random
+import subprocess
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -75,3 +78,22 @@ def test_loser_tree():
 def test_empty(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.capture_history(pages).count() == 0
+
+
+def test_plain_gzip_reads_every_record(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 4000)
+    pages = spark.createDataFrame([(i, f"http://h{i % 7}.org/{i}", f"page {i} " * (i % 50)) for i in range(300)] + [(1000, "http://big.org/", "w" * (17 << 20)), (1001, "http://z.org/", "last")], "page_id long, url string, html string")
+    path = f"{tmp_path}/archives"
+    assert warc.capture_history(pages.coalesce(2), path).count() == 302
+    heads, sizes = 0, []
+    for file in (tmp_path / "archives").glob("part-*"):
+        found = subprocess.run(["zcat", file], capture_output=True)
+        assert found.returncode == 0 and not found.stderr
+        heads += sum(1 for _ in warc.parse_archive(io.BytesIO(found.stdout)))
+        content, sizes = file.read_bytes(), [*sizes, len(found.stdout)]
+        while content.strip(b"\0"):  # a member, then the next one at once
+            unpack = zlib.decompressobj(31)
+            unpack.decompress(content)
+            assert unpack.eof
+            content = unpack.unused_data
+    assert heads == 302 and len(sizes) > 20 and sorted(sizes)[-2] < 4000 + 2000
