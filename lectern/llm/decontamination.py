@@ -84,15 +84,22 @@ def _hits(docs: DataFrame, items: DataFrame, text_col: str, item_id: str, item_t
     texts = settle(texts.withColumn("fingerprint", marked.cast("long")), "marked")
     owners = windows.join(texts, ["length", "words"]).select("window_id", F.col("item_id").cast("string").alias("item"))
     prints = texts.select("fingerprint").distinct()
-    if texts.count() <= BROADCAST_ROWS:
+    small = texts.count() <= BROADCAST_ROWS
+    if small:
         prints, texts = F.broadcast(prints), F.broadcast(texts)
     if windows.count() <= BROADCAST_ROWS:
         owners = F.broadcast(owners)
 
-    words = docs.select(F.sha2(F.col(text_col), 256).alias("key"), words_of(F.col(text_col)).alias("words"))
-    packed = F.array(*[F.struct(F.lit(n).alias("length"), fingerprints_of(F.col("words"), n, gram).alias("found")) for n in lengths])
-    each = words.select("key", "words", F.explode(packed).alias("at")).select("key", "words", "at.length", F.explode("at.found").alias("run"))
-    each = each.select("key", "words", "length", "run.*").join(prints, "fingerprint", "left_semi")
+    found_in = lambda words: F.array(*[F.struct(F.lit(n).alias("length"), fingerprints_of(words, n, gram).alias("found")) for n in lengths])
+    key = F.sha2(F.col(text_col), 256)
+    words = docs.select(key.alias("key"), words_of(F.col(text_col)).alias("words")).select("key", "words", F.explode(found_in(F.col("words"))).alias("at"))
+    if small:  # no shuffle: words stay with their runs
+        each = words.select("key", "words", "at.length", F.explode("at.found").alias("run")).select("key", "words", "length", "run.*").join(prints, "fingerprint", "left_semi")
+    else:  # runs are shuffled by themselves, and meet one text of each key again, whole
+        runs = words.select("key", "at.length", F.explode("at.found").alias("run")).select("key", "length", "run.*").join(prints, "fingerprint", "left_semi").distinct()
+        runs = settle(runs.groupBy("key").agg(F.collect_list(F.struct("length", "fingerprint", "start", "stop")).alias("runs")), "runs")
+        again = docs.select(key.alias("key"), F.col(text_col).alias("text")).join(runs.select("key"), "key", "left_semi").dropDuplicates(["key"])
+        each = again.join(runs, "key").select("key", words_of(F.col("text")).alias("words"), "runs").select("key", "words", F.explode("runs").alias("run")).select("key", "words", "run.*")
     each = each.select("key", "words", "length", "fingerprint", F.explode(F.sequence("start", F.col("stop") - 1)).alias("start"))
     each = each.select("key", F.size("words").alias("n_words"), "length", "fingerprint", "start", F.slice("words", F.col("start") + 1, F.col("length")).alias("words"))
     found = settle(each.join(texts, ["length", "fingerprint", "words"]).select("key", "n_words", "start", (F.col("start") + F.col("length")).alias("end"), "window_id"), "found")

@@ -56,6 +56,20 @@ def test_shuffled_when_the_benchmark_is_large(spark, monkeypatch):
     assert run(spark, docs, items) == brute(docs, items)
 
 
+def test_long_documents_are_shuffled_without_their_words(spark, monkeypatch):
+    monkeypatch.setattr(D, "BROADCAST_ROWS", 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        r = random.Random(9)
+        words = [f"w{r.randint(0, 10**7)}" for _ in range(200_000)]
+        items = [(i, " ".join(words[i * 3000 : i * 3000 + 40])) for i in range(50)]
+        docs = [(1, " ".join(words)), (2, " ".join(words)), (3, "nothing of it"), (4, items[7][1])]
+        assert run(spark, docs, items) == brute(docs, items)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_empty(spark):
     assert run(spark, [], [(1, "a")]) == []
     assert run(spark, [(1, "A b")], []) == [(1, 2, 0, [])]
