@@ -1,8 +1,9 @@
 """Removal of every byte that lies in a string of LENGTH bytes which also starts anywhere else.
 
 Why not a suffix array: sorting all suffixes externally writes tuples of some 30 bytes for each byte of text, several times over, and
-the answer needs common prefixes of LENGTH bytes only (README has a measured attempt). Instead, windows of LENGTH bytes are compared by
-128-bit hashes, in runs; all 128 bits decide what is equal, and fewer only what is compared:
+the answer needs common prefixes of LENGTH bytes only (README has a measured attempt). Instead, windows of LENGTH bytes are compared in
+runs. What is equal is decided by XXH3 of the bytes themselves, 128 bits; the polynomial hashes, quickly had for all positions, only
+choose where windows are anchored and what is compared, and equal bytes have equal ones:
 
 1. Each window is named by its anchor, the position of its least GRAM-byte hash. Windows with one anchor are consecutive, a segment,
    and equal windows have equal anchors at equal offsets. Segments whose anchor occurs once hold no repeat and are left out, the more
@@ -32,23 +33,22 @@ from lectern.session import settle
 LENGTH, GRAM, CELL = 200, 32, 22
 #: Window starts that are worked on at a time.
 BLOCK = 1 << 20
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+BASE = 0x9E3779B97F4A7C15
 _POWERS: dict = {}
 
 
 def _powers(n: int):
-    """Powers of the bases and of their inverses modulo 2**64, at least n of each."""
+    """Powers of the base and of its inverse modulo 2**64, at least n of each."""
     import numpy as np
 
     if _POWERS.get("n", 0) < n:
         n = 1 << max(14, (n - 1).bit_length())
-        for base in _BASES:
-            for x in (base, pow(base, -1, 2**64)):
-                row = np.full(n, x, np.uint64)
-                row[0] = 1
-                _POWERS[x] = np.multiply.accumulate(row)
+        for x in (BASE, pow(BASE, -1, 2**64)):
+            row = np.full(n, x, np.uint64)
+            row[0] = 1
+            _POWERS[x] = np.multiply.accumulate(row)
         _POWERS["n"] = n
-    return [(_POWERS[b], _POWERS[pow(b, -1, 2**64)]) for b in _BASES]
+    return _POWERS[BASE], _POWERS[pow(BASE, -1, 2**64)]
 
 
 def _mixed(x):
@@ -59,22 +59,31 @@ def _mixed(x):
     return x ^ (x >> np.uint64(31))
 
 
+def names(data: bytes, start, stop):
+    """Two arrays of 64 bits, XXH3-128 of the bytes from start to stop, arrays of equal size."""
+    import numpy as np
+    import xxhash
+
+    digest = xxhash.xxh3_128_digest
+    both = np.frombuffer(b"".join([digest(data[a:z]) for a, z in zip(start.tolist(), stop.tolist())]), ">u8").reshape(-1, 2)
+    return both[:, 0].astype(np.uint64), both[:, 1].astype(np.uint64)
+
+
 class Hashes:
-    """Hashes of any parts of a string: polynomials modulo 2**64 from running sums, two for 128 bits."""
+    """Hashes of any parts of a string, polynomials modulo 2**64 from running sums: equal parts have equal ones, others may."""
 
     def __init__(self, data: bytes):
         import numpy as np
 
         values = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
-        self.powers = _powers(len(values) + 1)
-        self.sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * inverse[: len(values)]))) for _, inverse in self.powers]
+        self.power, inverse = _powers(len(values) + 1)
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * inverse[: len(values)])))
 
-    def of(self, start, stop, which: int, salt=0):
+    def of(self, start, stop, salt=0):
         """Of the parts from start to stop, arrays of equal size; salt tells apart what must not be compared."""
         import numpy as np
 
-        sums, power = self.sums[which], self.powers[which][0]
-        return _mixed(_mixed((sums[stop] - sums[start]) * power[start]) + (np.asarray(stop - start).astype(np.uint64) << np.uint64(8)) + np.asarray(salt).astype(np.uint64))
+        return _mixed(_mixed((self.sums[stop] - self.sums[start]) * self.power[start]) + (np.asarray(stop - start).astype(np.uint64) << np.uint64(8)) + np.asarray(salt).astype(np.uint64))
 
 
 def segments(data: bytes, length: int = LENGTH, gram: int = GRAM):
@@ -86,7 +95,7 @@ def segments(data: bytes, length: int = LENGTH, gram: int = GRAM):
         part = data[low : low + BLOCK + length - 1]
         h = Hashes(part)
         grams = np.arange(len(part) - gram + 1)
-        g = h.of(grams, grams + gram, 0)
+        g = h.of(grams, grams + gram)
         wide, n = length - gram + 1, len(part) - length + 1
         keyed = (g >> np.uint64(21) << np.uint64(21)) | grams.astype(np.uint64)  # on a tie the leftmost
         padded = np.full(-(-len(keyed) // wide) * wide, np.iinfo(np.uint64).max, np.uint64)
@@ -98,7 +107,7 @@ def segments(data: bytes, length: int = LENGTH, gram: int = GRAM):
         first = np.concatenate(([0], np.flatnonzero(anchors[1:] != anchors[:-1]) + 1))
         last = np.append(first[1:], n) - 1
         at = anchors[first]
-        out.append((first + low, last + low, at + low, g[at], h.of(first, last + length, 0, 1), h.of(first, last + length, 1, 1)))
+        out.append((first + low, last + low, at + low, g[at], *names(part, first, last + length)))
     return [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 6
 
 
@@ -115,7 +124,7 @@ def cells(data: bytes, found, length: int = LENGTH):
     a = anchor[k]
     low, high = np.maximum(first[k], a - CELL * j - CELL + 1), np.minimum(last[k], a - CELL * j)
     core_start, core_stop = a - CELL * j, a - np.minimum(CELL * j + CELL - 1, length - GRAM) + length
-    return k, low, high, h.of(core_start, core_stop, 0, 2 + j), h.of(low, high + length, 0, 1), h.of(low, high + length, 1, 1)
+    return k, low, high, h.of(core_start, core_stop, 2 + j), *names(data, low, high + length)
 
 
 def windows(data: bytes, found, length: int = LENGTH):
@@ -123,10 +132,10 @@ def windows(data: bytes, found, length: int = LENGTH):
     import numpy as np
 
     first, last = (np.asarray(x, np.int64) for x in found)
-    h, count = Hashes(data), last - first + 1
+    count = last - first + 1
     k = np.repeat(np.arange(len(first)), count)
     s = first[k] + np.arange(len(k)) - np.repeat(np.cumsum(count) - count, count)
-    return k, s, h.of(s, s + length, 0, 1), h.of(s, s + length, 1, 1)
+    return k, s, *names(data, s, s + length)
 
 
 def removed_spans(first, last, length: int = LENGTH) -> list[tuple[int, int]]:
@@ -144,9 +153,10 @@ _TEXT = ["r1", "r2"]
 
 
 def _texts(docs: DataFrame, text_col: str, *more) -> DataFrame:
-    """(r1, r2, text, more...): texts are told apart by 128 bits."""
+    """(r1, r2, text, more...): texts are told apart by 128 bits made of their SHA-256."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.xxhash64(text).alias("r1"), F.xxhash64(F.lit("second"), text).alias("r2"), text.alias("text"), *more)
+    digest = F.sha2(text, 256)
+    return docs.select(F.xxhash64(digest).alias("r1"), F.xxhash64(F.lit("second"), digest).alias("r2"), text.alias("text"), *more)
 
 
 def _signed(x):
