@@ -62,8 +62,8 @@ def test_archives_are_bounded(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "ARCHIVE_BYTES", 5000)
     pages = spark.range(100).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h.com/"), F.col("id") * 7 % 100).alias("url"), F.repeat(F.lit("x"), 500).alias("html"))
     got = warc.capture_history(pages.repartition(2), f"{tmp_path}/archives").collect()
-    sizes = [f.stat().st_size for f in (tmp_path / "archives").glob("part-*")]
-    assert len(sizes) >= 20 and max(sizes) < 5000
+    sizes = [len(gzip.decompress(f.read_bytes())) for f in (tmp_path / "archives").glob("part-*")]
+    assert max(sizes) < 5000 + 1100 and sum(size < 5000 for size in sizes) <= 2  # one record more at most, and the last archive of a partition
     keys = [r.url_key for r in got]
     assert len(got) == 100 and keys == sorted(keys)
 
