@@ -262,95 +262,120 @@ def nearest_forest(sets: Parities, bound: float) -> list[tuple[int, int]]:
     return out
 
 
-def pairs_across(sets: Parities, roots, bound: float, main=None) -> list[tuple[int, int]]:
-    """All pairs of different roots that may be similar; with `main`, only those with one of these texts."""
+def pairs_between(sets: Parities, room, roots, early, main, left, right, least: float, bound: float) -> list[tuple[int, int]]:
+    """Pairs of a left and a right text, given by number, of different roots that may be similar.
+
+    room is how many members a set has from the first one on that it shares with its bucket. Texts share no more than the lesser room,
+    so of two similar ones the smaller is early; pairs of late texts, and of texts of the main root, are left out.
+    """
     import numpy as np
 
-    out = []
-    for i in range(len(roots) - 1):
-        apart = roots[i + 1 :] != roots[i]
-        if main is not None:
-            apart &= main[i + 1 :] | main[i]
-        others = i + 1 + np.flatnonzero(apart)
+    out, share = [], least / (1 + least)
+    for i in left.tolist():
+        fits = (roots[right] != roots[i]) & (np.minimum(room[right], room[i]) >= share * (sets.n[right] + sets.n[i]) - 1e-6)
+        fits &= (main[right] | ~early[right] | (right > i)) if early[i] else (main[right] & early[right])
+        others = right[fits]
         if len(others):
             out += [(i, int(x)) for x in others[sets.apart(i, others) <= bound]]
     return out
 
 
-def _compared(rows: DataFrame, least: float, across: bool) -> DataFrame:
-    """Pairs (a, b) of rows (bucket, block, node, n, parity, root, main) of a bucket and block that may have a similarity of `least`."""
-    bound = (1 - least) / (1 + least) + 1e-9
+def _compared(rows: DataFrame, *work: str, pairs) -> DataFrame:
+    """Pairs (a, b) by pairs(columns of a bucket and block) for rows (bucket, block, node, n, parity, work...); these come in order of node."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        def pairs(parts):
-            node, n, root, main = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 3, 4))
-            sets = Parities(n, [x for p in parts for x in p[2]])
-            found = pairs_across(sets, root, bound, None if block == 0 else main) if across else nearest_forest(sets, bound)
-            at = np.array(found, np.int64).reshape(-1, 2)
+        def found(parts):
+            node, n, *more = (np.concatenate([p[k] for p in parts]) for k in (0, 1, *range(3, 3 + len(work))))
+            at = np.array(pairs(node, Parities(n, [x for p in parts for x in p[2]]), *more), np.int64).reshape(-1, 2)
             a, b = node[at[:, 0]], node[at[:, 1]]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-        bucket, block, parts = None, None, []
+        group, parts = None, []
         for batch in batches:
-            buckets, blocks, node, n, root = (batch.column(k).to_numpy() for k in (0, 1, 2, 3, 5))
-            bits, main = batch.column(4).to_pylist(), np.array(batch.column(6).to_pylist(), bool)
+            buckets, blocks, node, n = (batch.column(k).to_numpy() for k in range(4))
+            bits, more = batch.column(4).to_pylist(), [batch.column(x).to_numpy(zero_copy_only=False) for x in work]
             edges = [0, *(np.flatnonzero((buckets[1:] != buckets[:-1]) | (blocks[1:] != blocks[:-1])) + 1).tolist(), len(buckets)]
             for low, high in zip(edges, edges[1:]):
                 if low == high:
                     continue
-                if (buckets[low], blocks[low]) != (bucket, block) and parts:
-                    yield pairs(parts)
+                if (buckets[low], blocks[low]) != group and parts:
+                    yield found(parts)
                     parts = []
-                bucket, block = buckets[low], blocks[low]
-                parts.append((node[low:high], n[low:high], bits[low:high], root[low:high], main[low:high]))
+                group = buckets[low], blocks[low]
+                parts.append((node[low:high], n[low:high], bits[low:high], *(x[low:high] for x in more)))
         if parts:
-            yield pairs(parts)
+            yield found(parts)
 
-    dealt = rows.select("bucket", F.col("block").cast("int").alias("block"), "node", "n", "parity", "root", "main").repartition("bucket", "block").sortWithinPartitions("bucket", "block", "node")
+    dealt = rows.select("bucket", F.col("block").cast("long").alias("block"), "node", "n", "parity", *work).repartition("bucket", "block").sortWithinPartitions("bucket", "block", "node")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _bound(least: float) -> float:
+    """Of two similar sets, the share of their members that are in one of them alone, at most."""
+    return (1 - least) / (1 + least) + 1e-9
+
+
 def _forest_pairs(members: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) of the nearest forests of all buckets; a large bucket is cut into blocks, differently from other buckets."""
     rows = members.select(F.explode("buckets").alias("b"), "node", "n", "parity").select("b.bucket", "b.size", "node", "n", "parity")
     block = F.pmod(F.xxhash64("node", "bucket"), F.ceil(F.col("size") / BLOCK_TEXTS).cast("long"))
-    return _compared(rows.withColumns({"block": block, "root": F.col("node"), "main": F.lit(True)}), least, False)
+    bound = _bound(least)
+    return _compared(rows.withColumn("block", block), pairs=lambda node, sets: nearest_forest(sets, bound))
 
 
 def _pairs_of_roots(rooted: DataFrame, least: float) -> DataFrame:
     """All pairs (a, b) of texts of one bucket, but of different roots, that may be similar.
 
-    The texts of a bucket's main root, nearly all of a large group, are dealt to blocks, and the others go to every block.
+    Of such a pair one text at least is not of the bucket's main root, nearly all of a large group, and the smaller one is early: its
+    members before the first that the bucket shares are too few to keep it from being similar. Early texts of other roots, and late
+    ones if the main root has early ones, are dealt to blocks on the left; what they may be similar to is dealt to blocks on the
+    right; each left block meets each right one in a task of its own, which holds two blocks at most. Variants of one template that
+    are not similar are late, all of them, and meet nobody.
     """
-    places = rooted.select(F.explode("buckets").alias("b"), "node", "root").select("b.bucket", "node", "root")
-    roots = places.groupBy("bucket", "root").agg(F.count("*").alias("texts"))
-    mixed = roots.groupBy("bucket").agg(F.sum("texts").alias("size"), F.count("*").alias("roots"), F.max_by("root", F.struct("texts", "root")).alias("main_root"))
-    mixed = mixed.where("roots > 1 AND size > 2").select(F.bitwise_not("bucket").alias("other"), "size", "main_root")
-    places = settle(places.withColumn("other", F.bitwise_not("bucket")).join(mixed, "other").drop("other"), "places")
+    each = rooted.select(F.explode("buckets").alias("b"), "node", "root", "n").select("b.bucket", "node", "root", (F.col("n") - F.col("b.pos")).cast("long").alias("room"), "n")
+    each = each.select("bucket", "node", "root", "room", (F.col("room") >= F.lit(2 * least / (1 + least)) * F.col("n") - 1e-6).alias("early"))
+    roots = each.groupBy("bucket", "root").agg(F.count("*").alias("texts"), F.count_if("early").alias("early"))
+    main = F.max_by(F.struct("root", "texts", "early"), F.struct("texts", "root")).alias("main")
+    mixed = roots.groupBy("bucket").agg(F.sum("texts").alias("size"), F.count("*").alias("roots"), F.sum("early").alias("early"), main).where("roots > 1 AND size > 2")
+    mixed = mixed.select("bucket", "size", F.col("main.root").alias("main_root"), F.col("main.early").alias("main_early"), (F.col("early") - F.col("main.early")).alias("early_left"), (F.col("size") - F.col("main.texts")).alias("others"))
+    left_size, right_size = F.when(F.col("main_early") > 0, F.col("others")).otherwise(F.col("early_left")), F.when(F.col("early_left") > 0, F.col("size")).otherwise(F.col("main_early"))
+    blocks = lambda size: F.ceil(size / BLOCK_TEXTS).cast("long")
+    mixed = mixed.select(F.bitwise_not("bucket").alias("other"), "main_root", "main_early", "early_left", blocks(left_size).alias("lefts"), blocks(right_size).alias("rights")).where("lefts > 0 AND rights > 0")
+    places = each.withColumn("other", F.bitwise_not("bucket")).join(mixed, "other").drop("other").withColumn("main", F.col("root") == F.col("main_root"))
+    places = settle(places.where("NOT main OR early OR early_left > 0"), "places")
     if places.isEmpty():
         return places.select(F.col("node").alias("a"), F.col("node").alias("b"))
-    main, blocks = F.col("root") == F.col("main_root"), F.ceil(F.col("size") / BLOCK_TEXTS).cast("long")
-    block = F.when(main, F.array(F.pmod(F.xxhash64("node"), blocks))).otherwise(F.sequence(F.lit(0).cast("long"), blocks - 1))
-    rows = places.select("bucket", F.explode(block).alias("block"), "node", "root", main.alias("main"))
-    return _compared(rows.join(rooted.select("node", "n", "parity"), "node"), least, True)
+    tiles = lambda n, at: F.explode(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), at))
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    kept = ["bucket", "node", "root", "room", "early", "main"]
+    left = places.where("NOT main AND (early OR main_early > 0)").select(*kept, F.lit(True).alias("left"), tiles(F.col("rights"), lambda j: own("lefts") * F.col("rights") + j).alias("block"))
+    right = places.where("early_left > 0 OR main AND early").select(*kept, F.lit(False).alias("left"), tiles(F.col("lefts"), lambda i: i * F.col("rights") + own("rights")).alias("block"))
+    bound = _bound(least)
+
+    def pairs(node, sets, root, room, early, main, is_left):
+        import numpy as np
+
+        return pairs_between(sets, room, root, early, main, np.flatnonzero(is_left), np.flatnonzero(~is_left), least, bound)
+
+    return _compared(left.unionByName(right).join(rooted.select("node", "n", "parity"), "node"), "root", "room", "early", "main", "left", pairs=pairs)
 
 
 def _members(classes: DataFrame) -> DataFrame:
-    """(node, n, parity, buckets array<struct<bucket, size>>) of the texts that share a member of their prefixes with another.
+    """(node, n, parity, buckets array<struct<bucket, size, pos>>) of the texts that share a member of their prefixes with another.
 
-    A bucket is a set of such texts, named by one of the members that they share; members of the same texts, told by their number,
-    least, greatest and two sums of 64 bits, are one bucket.
+    A bucket is a set of such texts, named by the first of the members that they share, which is at pos in the text's order; members
+    of the same texts, told by their number, least, greatest and two sums of 64 bits, are one bucket.
     """
-    tokens = classes.select("node", F.explode("prefix").alias("token"))
+    tokens = classes.select("node", F.posexplode("prefix").alias("pos", "token"))
     shared = _bounded(settle(tokens.groupBy("token").agg(F.count("*").alias("size")).where("size > 1"), "shared"))
     places = settle(tokens.join(shared, "token"), "places")
     sums = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"sum{k}") for k in (1, 2)]
-    sets = places.groupBy("token", "size").agg(F.min("node").alias("low"), F.max("node").alias("high"), *sums)
-    buckets = settle(sets.groupBy("size", "low", "high", "sum1", "sum2").agg(F.min("token").alias("token")).select("token"), "buckets")
-    held = places.join(buckets, "token").groupBy("node").agg(F.collect_list(F.struct(F.col("token").alias("bucket"), "size")).alias("buckets"))
+    sets = places.groupBy("token", "size").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min_by("pos", "node").alias("at"), *sums)
+    buckets = settle(sets.groupBy("size", "low", "high", "sum1", "sum2").agg(F.min_by("token", "at").alias("token")).select("token"), "buckets")
+    held = places.join(buckets, "token").groupBy("node").agg(F.collect_list(F.struct(F.col("token").alias("bucket"), "size", "pos")).alias("buckets"))
     members = settle(held.join(classes.select("node", "n", "parity"), "node"), "members")
     forget(buckets, places)
     return members
