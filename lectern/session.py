@@ -68,13 +68,33 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
 
     Nothing reads the shuffles of the write again, so their files go when it ends.
     """
-    path, conf = fresh_path(df.sparkSession, name), df.sparkSession.conf
+    path = fresh_path(df.sparkSession, name)
+    _write(df, path)
+    return _stored(df, path)
+
+
+def settle_parts(df: DataFrame, column: str, values: list[str], name: str = "table") -> list[DataFrame]:
+    """As settle(), but a table of its own for the rows of each value of a column, so that each can be deleted by itself; all tables lack the column."""
+    path = fresh_path(df.sparkSession, name)
+    _write(df, path, column)
+    fs_path = df.sparkSession._jvm.org.apache.hadoop.fs.Path
+    for value in values:  # a value without rows has no folder yet
+        folder = fs_path(f"{path}/{column}={value}")
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).mkdirs(folder)
+    return [_stored(df.drop(column), f"{path}/{column}={value}") for value in values]
+
+
+def _write(df: DataFrame, path: str, *by: str) -> None:
+    conf = df.sparkSession.conf
     before = conf.get(CLEAN_KEY, None)
     conf.set(CLEAN_KEY, "true")
     try:
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path)
     finally:
         conf.unset(CLEAN_KEY) if before is None else conf.set(CLEAN_KEY, before)
+
+
+def _stored(df: DataFrame, path: str) -> DataFrame:
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     _SETTLED[table] = path
     return table
