@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm.packing import LETTERS, SIGNS, goes_by_words
-from lectern.session import settle
+from lectern.session import forget, settle, settle_parts
 
 #: Characters of a block of texts, and ids of a block of token lists.
 BLOCK, BLOCK_IDS = 14_000_000, 2_000_000
@@ -49,18 +49,32 @@ def tokenizer_at(path: str):
 
 
 def squeezed(numbers) -> bytes:
-    """Numbers below 2**32, byte by byte of all of them, compressed: small numbers, which codes of frequent words are, take little room."""
+    """Numbers below 2**32, compressed: a byte for each, 255 for those that are more, and what these are more, byte by byte of all of them.
+
+    So small numbers, which codes of frequent words are, take little room.
+    """
     import numpy as np
     import zstandard
 
-    return zstandard.compress(np.ascontiguousarray(np.asarray(numbers).astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
+    numbers = np.asarray(numbers).astype(np.int64)
+    small = np.minimum(numbers, 255).astype(np.uint8)
+    more = (numbers[small == 255] - 255).astype("<u4").view(np.uint8).reshape(-1, 4).T
+    parts = [zstandard.compress(np.ascontiguousarray(x).tobytes(), 3) for x in (small, *more)]
+    return b"".join(len(x).to_bytes(8, "little") + x for x in parts)
 
 
 def unsqueezed(data: bytes):
     import numpy as np
     import zstandard
 
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    parts, at = [], 0
+    while at < len(data):
+        size = int.from_bytes(data[at : at + 8], "little")
+        parts.append(np.frombuffer(zstandard.decompress(data[at + 8 : at + 8 + size]), np.uint8))
+        at += 8 + size
+    numbers = parts[0].astype(np.uint32)
+    numbers[parts[0] == 255] += np.ascontiguousarray(np.stack(parts[1:], axis=1)).view("<u4").ravel()
+    return numbers
 
 
 def unsqueezed_words(data: bytes, lengths: bytes) -> list[str]:
@@ -138,9 +152,9 @@ class BlockOfTexts:
 
 
 def coded_blocks(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, block_chars: int) -> DataFrame:
-    """(block, ids, sizes, codes, n_words, words, lengths): texts of a block as codes, and its distinct words; to be stored before use."""
+    """(part, block, ids, sizes, codes, n_words, words, lengths): of each block a row of its texts as codes, and a row of its distinct words."""
     kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("sizes", T.BinaryType()), T.StructField("codes", T.BinaryType()), T.StructField("n_words", T.LongType()), T.StructField("words", T.BinaryType()), T.StructField("lengths", T.BinaryType())])
+    schema = T.StructType([T.StructField("part", T.StringType()), T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("sizes", T.BinaryType()), T.StructField("codes", T.BinaryType()), T.StructField("n_words", T.LongType()), T.StructField("words", T.BinaryType()), T.StructField("lengths", T.BinaryType())])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -154,7 +168,8 @@ def coded_blocks(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, bl
             column = pa.concat_arrays(ids)
             listed = pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column)
             text, lengths = packed_words(words)
-            columns = [pa.array([number], pa.int64()), listed, *(pa.array([x], pa.binary()) for x in (squeezed(sizes), squeezed(codes))), pa.array([len(words)], pa.int64()), *(pa.array([x], pa.binary()) for x in (text, lengths))]
+            listed = pa.concat_arrays([listed, pa.nulls(1, listed.type)])
+            columns = [pa.array(["codes", "words"]), pa.array([number] * 2, pa.int64()), listed, *(pa.array([x, None], pa.binary()) for x in (squeezed(sizes), squeezed(codes))), pa.array([None, len(words)], pa.int64()), *(pa.array([None, x], pa.binary()) for x in (text, lengths))]
             return pa.RecordBatch.from_arrays(columns, schema.names)
 
         for batch in batches:
@@ -247,14 +262,14 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
     Texts decode to their pieces joined by a space, as a tokenizer without a decoder of its own does; others are refused.
     """
-    blocks = settle(coded_blocks(docs, tokenizer, id_col, text_col, block_chars), "coded")
-    total = blocks.agg(F.sum("n_words")).first()[0] or 0
-    words = encoded_words(dealt_words(blocks, max(1, -(-total // BUCKET_WORDS))), tokenizer)
+    blocks, listed = settle_parts(coded_blocks(docs, tokenizer, id_col, text_col, block_chars), "part", ["codes", "words"], "coded")
+    total = listed.agg(F.sum("n_words")).first()[0] or 0
+    words = settle(encoded_words(dealt_words(listed, max(1, -(-total // BUCKET_WORDS))), tokenizer), "words")
+    forget(listed)
     kind = T.ArrayType(T.IntegerType())
     fields = [T.StructField("id", docs.schema[id_col].dataType), T.StructField("ids", kind)]
     if decoded:
         refuse_decoders(tokenizer)
-        words = settle(words, "words")
         fields.append(T.StructField("decoded", T.StringType()))
         more = block_pieces(words, pieces_of(docs.sparkSession, tokenizer))
         words = words.drop("distinct").unionByName(more, allowMissingColumns=True)
