@@ -7,6 +7,7 @@ have no words; tags that are not closed end with the element around them.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -35,7 +36,7 @@ class _Text(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.parts, self.size, self.after_space, self.last = [], 0, True, ""
-        self.open, self.hidden, self.words = [], 0, []
+        self.open, self.opened, self.hidden, self.words = [], Counter(), 0, []
 
     def _add(self, text):
         self.parts.append(text)
@@ -49,6 +50,7 @@ class _Text(HTMLParser):
 
     def _pop(self):
         tag = self.open.pop()
+        self.opened[tag] -= 1
         self.hidden -= tag in EXCLUDED
         if tag in BLOCKS and not self.hidden:
             self._newline()
@@ -60,10 +62,11 @@ class _Text(HTMLParser):
             self._newline()
         if tag not in VOID:
             self.open.append(tag)
+            self.opened[tag] += 1
             self.hidden += tag in EXCLUDED
 
     def handle_endtag(self, tag):
-        if tag in self.open:
+        if self.opened[tag]:
             while self.open[-1] != tag:
                 self._pop()
             self._pop()

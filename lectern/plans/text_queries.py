@@ -191,6 +191,15 @@ def html_word_spans(spark: SparkSession, sf: str) -> DataFrame:
     return each.select("page_id", "idx", "w.word", "w.start", F.col("w.end").alias("end_pos"))
 
 
+@query()
+def sanitized_html(spark: SparkSession, sf: str) -> DataFrame:
+    from lectern.operators.extraction import html_to_text
+    from lectern.operators.markup import sanitized, words_wrapped
+
+    clean = table(spark, sf, "pages").select("page_id", sanitized(F.col("html")).alias("clean"))
+    return clean.select("page_id", "clean", words_wrapped(F.col("clean")).alias("wrapped"), html_to_text(F.col("clean")).alias("text"))
+
+
 @query()
 def html_text(spark: SparkSession, sf: str) -> DataFrame:
     from lectern.operators.extraction import html_to_text
