@@ -47,7 +47,7 @@ SCHEMES = frozenset("http https ftp ftps mailto tel callto sms cid xmpp matrix".
 WITH_DATA = frozenset("img video audio source track".split())
 CONTROLS = frozenset("button select textarea option optgroup fieldset".split())
 # End of fixed values
-_IN_URLS = re.compile("[\\x00-\\x20\\u00a0\\u1680\\u180e\\u2000-\\u2029\\u205f\\u3000]+")
+_IN_URLS = re.compile(r"[\x00-\x20\u00a0\u1680\u180e\u2000-\u2029\u205f\u3000]+")
 _SCHEME = re.compile(r"([A-Za-z][A-Za-z0-9+.-]*):")
 _OWN = re.compile(r"(?:data|aria)-[A-Za-z0-9_.-]+")
 

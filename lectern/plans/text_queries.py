@@ -191,6 +191,14 @@ def html_word_spans(spark: SparkSession, sf: str) -> DataFrame:
     return each.select("page_id", "idx", "w.word", "w.start", F.col("w.end").alias("end_pos"))
 
 
+@query()
+def markdown_words(spark: SparkSession, sf: str) -> DataFrame:
+    from lectern.operators import markdown
+
+    each = table(spark, sf, "documents").select("doc_id", F.posexplode(markdown.markdown_words(F.col("text"))).alias("idx", "w"))
+    return each.select("doc_id", "idx", "w.word", "w.start", F.col("w.end").alias("end_pos"))
+
+
 @query()
 def sanitized_html(spark: SparkSession, sf: str) -> DataFrame:
     from lectern.operators.extraction import html_to_text
