@@ -159,11 +159,6 @@ def preview(text: Column, size: int = 60) -> Column:
     return F.concat(F.substring(text, 1, size), F.when(F.length(text) > size, "…").otherwise(""))
 
 
-def brief_code_block(language: Column, names: dict[str, str]) -> Column:
-    """What is said in place of a code block."""
-    return F.coalesce(F.concat(F.lit("далее следует пример кода на "), lookup(names, F.lower(language))), F.lit("далее следует блок кода"))
-
-
 def char_ngrams(word: Column) -> Column:
     """Character n-grams of `<word>`, of every length."""
     padded = F.concat(F.lit("<"), word, F.lit(">"))
@@ -177,11 +172,6 @@ def symbol_sequence(text: Column, symbols: str, first: int, last: int) -> Column
     return F.concat(F.array(F.lit(first)), found, F.array(F.lit(last)))
 
 
-def english_phrase(text: Column, terms: dict[str, str] | None = None) -> Column:
-    """A phrase of several words, a term of one's own, a known term, else transliterated."""
-    return let(F.lower(text), lambda low: F.coalesce(lookup(L.PHRASES | (terms or {}), low), lookup(L.TERMS, low), transliterate(low)))
-
-
 def code_block_words(code: Column, terms: dict[str, str] | None = None) -> Column:
     """Names, numbers, strings and signs of a block of code in turn; signs without a name are left out."""
     greek = "".join(x for x in L.SYMBOLS if x.isalpha())

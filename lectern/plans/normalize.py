@@ -256,17 +256,22 @@ def read_all(questions: DataFrame, terms: Terms = None, code_terms: Terms = None
     return reduce(DataFrame.unionByName, each) if each else questions.withColumn("said", F.lit(None).cast("string"))
 
 
-def normalize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", terms: Terms = None, code_terms: Terms = None, brief: bool = False) -> DataFrame:
+def normalize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", terms: Terms = None, code_terms: Terms = None, brief: bool = False, dictionary: DataFrame | None = None) -> DataFrame:
     """(id, normalized, parts) for every row of docs; id has id_col's name.
 
     parts: array<struct<free, start, stop, out>>, the source before a part, the part's range in the source, and what it has become.
     terms add to, or replace, the readings of prose and URLs, code_terms those of identifiers; brief names blocks of code instead of
-    reading them, where no directive in the text says otherwise.
+    reading them, where no directive in the text says otherwise. A dictionary, a table (term, said) of any size, comes before all other
+    readings of words of prose, whatever their case; of equal terms the least reading counts.
     """
     documents = settle(cut_documents(docs, id_col, text_col, brief), "cut")
     asks = documents.select("row", F.posexplode(F.arrays_zip("kinds", "texts")).alias("number", "ask")).select("row", "number", F.col("ask.kinds").alias("kind"), F.col("ask.texts").alias("text"))
     questions = settle(asks.select("kind", "text").distinct(), "questions")
-    said = settle(read_all(questions, terms, code_terms), "said")
+    said = read_all(questions, terms, code_terms)
+    if dictionary is not None:
+        one = dictionary.where("said IS NOT NULL").groupBy(F.lower("term").alias("term")).agg(F.min("said").alias("own"))
+        said = said.join(one, (F.col("kind") == "word") & (F.lower("text") == F.col("term")), "left").select("kind", "text", F.coalesce("own", "said").alias("said"))
+    said = settle(said, "said")
     forget(questions)
     answers = asks.join(said, ["kind", "text"]).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("number", "said"))).alias("answers"))
     full = documents.join(answers.select("row", F.transform("answers", lambda a: a["said"]).alias("said")), "row", "left")

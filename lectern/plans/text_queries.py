@@ -199,6 +199,51 @@ def markdown_words(spark: SparkSession, sf: str) -> DataFrame:
     return each.select("doc_id", "idx", "w.word", "w.start", F.col("w.end").alias("end_pos"))
 
 
+PHRASES_SQL = r"""WITH
+b AS (SELECT item_id, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+dict AS (SELECT term, min(said) AS said FROM (SELECT array_to_string(w[i : i + n - 1], ' ') AS term, CAST(item_id AS VARCHAR) AS said FROM b, (SELECT unnest([1, 2, 3]) AS n), LATERAL (SELECT unnest(range(1, greatest(1, len(w) - n + 2))) AS i) WHERE n > 1 OR i = 1) WHERE term <> '' GROUP BY term),
+docs AS (SELECT doc_id, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w, regexp_split_to_array(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS g FROM documents),
+each AS (SELECT doc_id, unnest(range(0, len(w))) AS idx, lower(unnest(w)) AS word, unnest(g[1 : len(w)]) AS gap FROM docs),
+words AS (SELECT doc_id, idx, word, CAST(sum(length(gap) + length(word)) OVER p AS BIGINT) - length(word) AS s, lead(word) OVER p AS w2, lead(gap) OVER p AS g2, lead(word, 2) OVER p AS w3, lead(gap, 2) OVER p AS g3 FROM each WINDOW p AS (PARTITION BY doc_id ORDER BY idx)),
+runs AS (SELECT doc_id, s, word, CASE WHEN regexp_full_match(g2, '[ \t\n\r\x0B\x0C]*') THEN word || ' ' || w2 END AS two, CASE WHEN regexp_full_match(g2, '[ \t\n\r\x0B\x0C]*') AND regexp_full_match(g3, '[ \t\n\r\x0B\x0C]*') THEN word || ' ' || w2 || ' ' || w3 END AS three,
+                length(word) AS l1, length(word) + length(g2) + length(w2) AS l2, length(word) + length(g2) + length(w2) + length(g3) + length(w3) AS l3 FROM words)
+SELECT doc_id, CAST(s AS INTEGER) AS start, CAST(s + CASE WHEN c.term IS NOT NULL THEN l3 WHEN b.term IS NOT NULL THEN l2 ELSE l1 END AS INTEGER) AS end_pos, coalesce(c.term, b.term, a.term) AS term, coalesce(c.said, b.said, a.said) AS said
+FROM runs LEFT JOIN dict a ON a.term = word LEFT JOIN dict b ON b.term = two LEFT JOIN dict c ON c.term = three WHERE coalesce(c.term, b.term, a.term) IS NOT NULL"""
+
+
+@query(PHRASES_SQL)
+def phrase_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Phrases of benchmark items (their first word, and all runs of two and three) in documents, the longest at each place."""
+    from lectern.operators import dictionary as D
+
+    words = table(spark, sf, "benchmark").select("item_id", D.words_of(F.col("text")).alias("w"))
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))
+    terms = words.select(F.explode(F.concat(F.slice("w", 1, 1), F.when(F.size("w") > 1, runs(2)).otherwise(F.array()), F.when(F.size("w") > 2, runs(3)).otherwise(F.array()))).alias("term"), F.col("item_id").cast("string").alias("said"))
+    found = D.find_phrases(table(spark, sf, "documents"), terms, overlapping=True)
+    return found.select(F.col("id").alias("doc_id"), "start", F.col("end").alias("end_pos"), "term", "said")
+
+
+ENGLISH_SQL = f"""WITH
+w AS (SELECT DISTINCT word, lower(word) AS low FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM documents) WHERE length(word) > 1),
+custom AS (SELECT low, min(said) AS said FROM (SELECT lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS low, 'item ' || item_id AS said FROM benchmark WHERE item_id % 2 = 0) GROUP BY low),
+x AS (SELECT word, low, {Q.mapping(L.PHRASES)}[low] AS p, c.said AS c, {Q.mapping(L.TERMS)}[low] AS t FROM w LEFT JOIN custom c USING (low))
+SELECT word, coalesce(p, c, t, list_aggregate(list_transform(regexp_extract_all(low, '{"|".join(sorted(L.TRANSLITERATION, key=lambda x: (-len(x), x)))}'), lambda g: {Q.mapping(L.TRANSLITERATION)}[g]), 'string_agg', '')) AS said,
+       CASE WHEN p IS NOT NULL THEN 'phrase' WHEN c IS NOT NULL THEN 'custom' WHEN t IS NOT NULL THEN 'term' ELSE 'letters' END AS by
+FROM x"""
+
+
+@query(ENGLISH_SQL)
+def english_readings(spark: SparkSession, sf: str) -> DataFrame:
+    """Readings of the different Latin words of documents; the terms of one's own are the words of even benchmark items."""
+    from lectern.operators import dictionary as D
+
+    latin = F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)))
+    words = table(spark, sf, "documents").select(latin.alias("word")).where("length(word) > 1")
+    items = table(spark, sf, "benchmark").where("item_id % 2 = 0")
+    custom = items.select(latin.alias("term"), F.concat(F.lit("item "), "item_id").alias("said"))
+    return D.read_english(words, custom=custom)
+
+
 @query()
 def sanitized_html(spark: SparkSession, sf: str) -> DataFrame:
     from lectern.operators.extraction import html_to_text

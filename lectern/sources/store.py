@@ -139,10 +139,13 @@ def read_exceptions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_word_times(times: DataFrame, path: str) -> None:
-    """Words of each entry as JSON, in a folder for each entry; read_saved_word_times() reads them."""
+    """Words of each entry as JSON, in a folder for each entry; read_saved_word_times() reads them.
+
+    Entries that are saved again are replaced, and others stay, whatever the session's setting: folders are swapped when the job commits.
+    """
     word = F.struct("word", "start", "end", F.array("orig_start", "orig_end").alias("original_pos"))
     words = times.groupBy("entry_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", word.alias("w")))), lambda x: x["w"]).alias("words"))
-    words.write.mode("overwrite").partitionBy("entry_id").json(path)
+    words.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("entry_id").json(path)
 
 
 def read_saved_word_times(spark: SparkSession, path: str) -> DataFrame:

@@ -110,6 +110,16 @@ def test_word_times_are_saved(spark, tmp_path):
     assert sorted(tuple(r) for r in store.read_saved_word_times(spark, str(tmp_path / "times")).collect()) == sorted(rows)
 
 
+def test_word_times_of_one_entry_leave_the_others(spark, tmp_path):
+    kind, path = "entry_id string, idx int, word string, start double, end double, orig_start long, orig_end long", str(tmp_path / "times")
+    one, two, again = (spark.createDataFrame([(name, 0, word, 0.0, 0.5, 0, 3)], kind) for name, word in (("one", "раз"), ("two", "два"), ("one", "снова")))
+    for df in (one, two, again):
+        store.write_word_times(df, path)
+    assert sorted((r.entry_id, r.word) for r in store.read_saved_word_times(spark, path).collect()) == [("one", "снова"), ("two", "два")]
+    store.write_word_times(one.limit(0), path)
+    assert store.read_saved_word_times(spark, path).count() == 2
+
+
 def test_a_history_is_replaced_as_a_whole(spark, tmp_path):
     path = str(tmp_path / "history")
     first = store.read_entries(spark, path)
