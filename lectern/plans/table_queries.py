@@ -10,6 +10,7 @@ from lectern.operators import mapping as M
 from lectern.operators import samples as A
 from lectern.operators import words as W
 from lectern.sources.tables import table
+from lectern.streaming import requests as R
 from lectern.streaming import status as ST
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -271,6 +272,52 @@ def status_machine(spark: SparkSession, sf: str) -> DataFrame:
     return ST.fold_statuses(events, "user_id", "kind", ["ts", "event_id"], F.to_date("ts"))
 
 
+#: What events stand for in the queries of requests.
+_ASKED = {"signup": "create", "view": "regenerate", "purchase": "complete", "error": "fail", "click": "cancel"}
+
+
+def _request_sql() -> str:
+    after = [f"WHEN e.t = '{name}' AND s.state = {k} THEN {R.answer(k, kind)[0]}" for name, kind in _ASKED.items() for k in range(len(R.STATES))]
+    why = [f"WHEN e.t = '{name}' AND s.state = {k} THEN '{error}'" for name, kind in _ASKED.items() for k in range(len(R.STATES)) if (error := R.answer(k, kind)[1])]
+    names = "[" + ", ".join(f"'{x}'" for x in R.STATES) + "]"
+    kinds = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in _ASKED.items()) + "}"
+    return f"""WITH RECURSIVE e AS (SELECT user_id, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, event_type AS t FROM events),
+    s AS (SELECT user_id, CAST(0 AS BIGINT) AS k, 0 AS state, CAST(NULL AS VARCHAR) AS error FROM (SELECT DISTINCT user_id FROM events)
+          UNION ALL SELECT e.user_id, e.k, CASE {' '.join(after)} END, CASE {' '.join(why)} END FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1)
+    SELECT e.user_id, e.ts, e.event_id, {kinds}[e.t] AS kind, s.error IS NULL AS applied, {names}[s.state + 1] AS status, s.error FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k"""
+
+
+def _requests(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.lit(None).cast("string")
+    for name, what in _ASKED.items():
+        kind = F.when(F.col("event_type") == name, what).otherwise(kind)
+    return table(spark, sf, "events").select("user_id", "ts", "event_id", kind.alias("kind"))
+
+
+@query(_request_sql())
+def request_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    return R.request_outcomes(_requests(spark, sf), "user_id", "kind", ["ts", "event_id"], F.to_date("ts"))
+
+
+@query("SELECT user_id, error, CAST(count(*) AS BIGINT) AS requests, CAST(min(event_id) AS BIGINT) AS first_event, error = 'stale' AS silent FROM (" + _request_sql() + ") WHERE error IS NOT NULL GROUP BY user_id, error")
+def rejected_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Rejected changes by entry and reason."""
+    errors = R.rejected(R.request_outcomes(_requests(spark, sf), "user_id", "kind", ["ts", "event_id"], F.to_date("ts")))
+    return errors.groupBy("user_id", "error", "silent").agg(F.count("*").alias("requests"), F.min("event_id").alias("first_event"))
+
+
+@query()
+def emitted_positions(spark: SparkSession, sf: str) -> DataFrame:
+    """Positions told of playback that views load (20 seconds long), purchases seek, clicks pause, signups resume and errors stop."""
+    kinds = {"view": "load", "purchase": "seek", "click": "pause", "signup": "play", "error": "stop"}
+    kind = F.lit(None).cast("string")
+    for name, what in kinds.items():
+        kind = F.when(F.col("event_type") == name, what).otherwise(kind)
+    commands = table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"), F.when(F.col("event_type") == "purchase", F.col("value")).alias("position"), F.lit(20.0).alias("duration"))
+    last = commands.agg(F.max(F.unix_millis("ts"))).first()[0] or 0
+    return R.emitted_events(commands, last + 120_000, "user_id")
+
+
 @query("SELECT event_id, CASE WHEN event_type = 'error' THEN true ELSE value >= 49.8 END AS ended FROM events")
 def eof_flags(spark: SparkSession, sf: str) -> DataFrame:
     position = F.when(F.col("event_type") != "error", F.col("value"))

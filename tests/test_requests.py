@@ -1,0 +1,107 @@
+"""Requests with their outcomes in batches and streams, and positions that are told without ticks."""
+
+import random
+from datetime import UTC, datetime
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from lectern.plans import catalogue
+from lectern.streaming import requests as R
+from tests.test_status import stream
+
+SCHEMA = "id string, seq long, what string"
+
+
+def requests(n=600, seed=3):
+    r = random.Random(seed)
+    return [(r.choice(["a", "a", "a", "b", "c", None]), i, r.choice([*R.REQUESTS, "create", "unknown", None])) for i in range(n)]
+
+
+def plain(rows):
+    state, out = {}, []
+    for k, seq, kind in sorted(rows, key=lambda x: x[1]):
+        state[k], error = R.answer(state.get(k, 0), kind)
+        out.append((k, seq, kind, error is None, R.STATES[state[k]], error))
+    return sorted(out, key=lambda x: x[1])
+
+
+def test_stated_answers():
+    at = {name: k for k, name in enumerate(R.STATES)}
+    assert R.answer(at["pending"], "cancel") == (at["pending"], None) and R.answer(at["processing"], "cancel") == (at["pending"], None)
+    assert R.answer(at["ready"], "cancel") == (at["ready"], R.NOT_NOW) and R.answer(at["absent"], "cancel") == (0, R.NOT_FOUND)
+    assert R.answer(at["pending"], "complete") == (at["pending"], R.LATE)  # a completion that lost against a cancellation
+    assert R.answer(at["processing"], "regenerate") == (at["processing"], R.NOT_NOW) and R.answer(at["error"], "regenerate") == (at["processing"], None)
+
+
+def test_outcomes_of_a_batch(spark):
+    rows = requests()
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    for size in (7, 100, 10_000):
+        got = R.request_outcomes(df, "id", "what", ["seq"], F.floor(F.col("seq") / size))
+        assert sorted((tuple(r) for r in got.select("id", "seq", "kind", "applied", "status", "error").collect()), key=lambda x: x[1]) == plain(rows)
+    assert R.request_outcomes(df.limit(0), "id", "what", ["seq"], F.col("seq")).count() == 0
+    errors = R.rejected(got)
+    assert errors.count() + R.accepted(got).count() == len(rows) and errors.where("silent").count() == sum(x[5] == R.LATE for x in plain(rows))
+
+
+def test_a_stream_gives_the_rows_of_the_batch(spark, tmp_path):
+    rows = [x for x in requests(150) if x[0]]
+    seen = stream(spark, tmp_path, [rows[:60], rows[60:]], SCHEMA, lambda df: R.stream_outcomes(df, "id", "what", ["seq"]), "append")
+    assert sorted((r.id, r.seq, r.kind, r.applied, r.status, r.error) for r in seen) == sorted(plain(rows))
+
+
+COMMANDS = "entry_id string, ts timestamp, kind string, position double, duration double"
+
+
+BEGAN = 1_700_000_000_000
+
+
+def at(ms):
+    return datetime.fromtimestamp((BEGAN + ms) / 1000, UTC)
+
+
+def commands():
+    return [
+        ("a", at(0), "load", 0.0, 2.0), ("a", at(450), "seek", 1.0, None), ("a", at(1000), "pause", None, None), ("a", at(5000), "play", None, None),
+        ("b", at(30), "load", 9.5, 10.0), ("b", at(900), "play", None, None), ("c", at(100), "load", None, None), ("c", at(350), "stop", None, None), ("d", at(0), "play", None, None),
+    ]
+
+
+def told(rows):
+    return sorted((r.entry_id, r.ts_ms - BEGAN, r.event, round(r.position, 6)) for r in rows)
+
+
+def test_positions_without_ticks(spark):
+    df = spark.createDataFrame(commands(), COMMANDS).repartition(3)
+    got = told(R.emitted_events(df, BEGAN + 5400).collect())
+    a = [(100, "position", 0.1), (200, "position", 0.2), (300, "position", 0.3), (400, "position", 0.4), (450, "position", 1.0), (800, "position", 1.35), (900, "position", 1.45), (5100, "position", 1.65), (5200, "position", 1.75), (5300, "finished", 1.85)]
+    assert [x[1:] for x in got if x[0] == "a"] == a
+    assert [x[1:] for x in got if x[0] == "b"] == [(130, "position", 9.6), (230, "position", 9.7), (330, "finished", 9.8), (1000, "finished", 9.9)]  # played again at its end
+    assert [x[1:] for x in got if x[0] == "c"] == [(200, "position", 0.1), (300, "position", 0.2)]
+    assert [x[1:3] for x in got if x[0] == "d"][:2] == [(100, "position"), (200, "position")]
+    assert R.emitted_events(df.limit(0), 100).count() == 0
+
+
+def test_a_stream_tells_what_the_batch_tells(spark, tmp_path):
+    first, second, last = commands()[:3] + commands()[4:], commands()[3:4], [("z", at(5400), "pause", None, None)]
+    seen = stream(spark, tmp_path, [first, second, last, last], COMMANDS, R.emitted_stream, "append")
+    want = told(R.emitted_events(spark.createDataFrame(commands(), COMMANDS), BEGAN + 5400).collect())
+    assert told(seen) == want and any(x[2] == "finished" for x in want)
+
+
+@pytest.mark.parametrize("name", ["request_outcomes", "rejected_requests"])
+def test_queries_agree_with_their_sql(spark, name):
+    con = duckdb.connect()
+    con.execute("CREATE VIEW events AS SELECT * FROM '/root/testdata/sf0.001/events.parquet'")
+    want = con.execute(catalogue.ORACLE_SQL[name])
+    columns = [d[0] for d in want.description]
+    assert sorted(map(str, catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").drop("ts").select(*[c for c in columns if c != "ts"]).collect())) == sorted(
+        str(r) for r in spark.createDataFrame(want.df().drop(columns=["ts"], errors="ignore").astype(object).where(lambda x: x.notna(), None), catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").drop("ts").select(*[c for c in columns if c != "ts"]).schema).collect()
+    )
+
+
+def test_positions_query(spark):
+    rows = catalogue.QUERIES["emitted_positions"](spark, "/root/testdata/sf0.001")
+    assert rows.where("event = 'position'").count() > 100 and rows.where("event = 'finished'").count() > 10
