@@ -1,8 +1,8 @@
 """Provenance as tables: ranges of normalised text, edits, rendered spans and the positions of playback, mapped by joins.
 
 Edge cases (tests/test_mapping.py): ranges and words without a match keep their row, with themselves, -1 or null; equal rows of ranges,
-positions and words count once; rows with a null key match nothing; empty tables give no rows. Spans may be long, but each is repeated
-for every CELL positions of its length.
+positions and words count once; rows with a null key match nothing; empty tables give no rows. Spans may be of any length: each is
+made up of a few cells of a tree, about as many as the tree has levels, and not of a row for every so many positions.
 """
 
 from __future__ import annotations
@@ -11,23 +11,72 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from lectern.session import settle
 
-#: Positions of a cell: ranges meet in the cells that they touch, so a long document is many keys.
-CELL = 64
 
+#: Positions of a cell of the lowest level, cells that make up one of the next level, and levels; ranges meet in cells, so a long
+#: document is many keys.
+CELL, FAN_BITS, LEVELS = 64, 3, 9
 
-def _cells(start: Column, stop: Column) -> Column:
-    """The cells that a range touches, one at least."""
-    return F.explode(F.sequence(F.floor(start / CELL), F.greatest(F.floor(start / CELL), F.floor((stop - 1) / CELL))))
+
+def _cover(start: Column, stop: Column) -> Column:
+    """array<struct<level, node>>: the fewest cells that make up all lowest ones that a range touches, one at least."""
+    low = F.floor(start / CELL)
+    high = F.greatest(low, F.floor((stop - 1) / CELL))
+    first = lambda k: F.shiftright(low + ((1 << FAN_BITS * k) - 1), FAN_BITS * k)
+    last = lambda k: F.shiftright(high + 1, FAN_BITS * k) - 1
+    none = F.array().cast("array<bigint>")
+    run = lambda a, z: F.when(a <= z, F.sequence(a, z)).otherwise(none)
+    parts = []
+    for k in range(LEVELS):
+        nodes = run(first(k), last(k))
+        if k + 1 < LEVELS:
+            edges = F.concat(run(first(k), F.shiftleft(first(k + 1), FAN_BITS) - 1), run(F.shiftleft(last(k + 1) + 1, FAN_BITS), last(k)))
+            nodes = F.when(first(k + 1) <= last(k + 1), edges).otherwise(nodes)
+        parts.append(_at_level(nodes, k))
+    short = F.array(F.struct(F.lit(0).alias("level"), low.alias("node")))
+    return F.when(low == high, short).otherwise(F.flatten(F.array(*parts)))
+
+
+def _at_level(nodes: Column, level: int) -> Column:
+    return F.transform(nodes, lambda n: F.struct(F.lit(level).alias("level"), n.alias("node")))
+
+
+def _above(level: Column, node: Column, levels: list[int], own: bool = True) -> Column:
+    """array<struct<level, node>>: a cell, and those of the given levels that hold it."""
+    at = [F.when((level <= k) if own else (level < k), F.struct(F.lit(k).alias("level"), F.call_function("shiftright", node, ((F.lit(k) - level) * FAN_BITS).cast("int")).alias("node"))) for k in levels]
+    return F.array_compact(F.array(*at)) if at else F.array().cast("array<struct<level:int,node:bigint>>")
+
+
+def _celled(df: DataFrame, cells: Column, name: str) -> DataFrame:
+    """A stored table of df with (level, node), a row for each of its cells."""
+    return settle(df.withColumn("cell", F.explode(cells)).select(*df.columns, "cell.level", "cell.node"), name)
+
+
+def _used(celled: DataFrame) -> list[int]:
+    return sorted(r.level for r in celled.select("level").distinct().collect())  # LEVELS at most
 
 
 def map_via_spans(ranges: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
-    """ranges (keys, norm_start, norm_end) with orig_start, orig_end: the hull of the spans that overlap, itself where none does."""
+    """ranges (keys, norm_start, norm_end) with orig_start, orig_end: the hull of the spans that overlap, itself where none does.
+
+    Two ranges overlap if a cell of one is a cell of the other, or lies in one.
+    """
     s = spans.select(*keys, F.col("norm_start").alias("ss"), F.col("norm_end").alias("se"), F.col("orig_start").alias("os"), F.col("orig_end").alias("oe"))
-    s = s.withColumn("cell", _cells(F.col("ss"), F.col("se")))
-    joined = ranges.select(*keys, "norm_start", "norm_end", _cells(F.col("norm_start"), F.col("norm_end")).alias("cell")).join(s, [*keys, "cell"], "left")
+    s = _celled(s, _cover(F.col("ss"), F.col("se")), "spans")
+    r = _celled(ranges.select(*keys, "norm_start", "norm_end").distinct(), _cover(F.col("norm_start"), F.col("norm_end")), "ranges")
+    span_levels, range_levels = _used(s), _used(r)
     hit = (F.col("se") > F.col("norm_start")) & (F.col("ss") < F.col("norm_end"))
-    hull = joined.groupBy(*keys, "norm_start", "norm_end").agg(F.min(F.when(hit, F.col("os"))).alias("lo"), F.max(F.when(hit, F.col("oe"))).alias("hi"))
+
+    def meet(left: DataFrame, right: DataFrame) -> DataFrame:
+        return left.join(right, [*keys, "level", "node"]).where(hit).select(*keys, "norm_start", "norm_end", "os", "oe")
+
+    raised = lambda df, levels, own: df.withColumn("above", F.explode(_above(F.col("level"), F.col("node"), levels, own))).drop("level", "node").select("*", "above.level", "above.node").drop("above")
+    found = meet(r if span_levels in ([], [0]) and range_levels in ([], [0]) else raised(r, span_levels, True), s)
+    if range_levels and span_levels and range_levels[-1] > span_levels[0]:
+        found = found.unionByName(meet(r, raised(s, range_levels, False)))
+    own = r.select(*keys, "norm_start", "norm_end", F.lit(None).cast(s.schema["os"].dataType).alias("os"), F.lit(None).cast(s.schema["oe"].dataType).alias("oe"))
+    hull = found.unionByName(own).groupBy(*keys, "norm_start", "norm_end").agg(F.min("os").alias("lo"), F.max("oe").alias("hi"))
     return hull.select(*keys, "norm_start", "norm_end", F.coalesce("lo", "norm_start").alias("orig_start"), F.coalesce("hi", "norm_end").alias("orig_end"))
 
 
@@ -82,8 +131,10 @@ def newest_before(rows: DataFrame, marks: DataFrame, keys: list[str], at: str =
 
 def tightest_span(words: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
     """words (keys, s, e) with the rendered span that shows each: the same range, else the smallest around it, the first on a tie."""
-    s = spans.select(*keys, "span", F.col("start").alias("ss"), F.col("end").alias("se")).withColumn("cell", _cells(F.col("ss"), F.col("se")))
-    joined = words.select(*keys, "s", "e", F.floor(F.col("s") / CELL).alias("cell")).join(s, [*keys, "cell"], "left")
+    s = spans.select(*keys, "span", F.col("start").alias("ss"), F.col("end").alias("se"))
+    s = _celled(s, _cover(F.col("ss"), F.col("se")), "spans")
+    above = _above(F.lit(0), F.floor(F.col("s") / CELL), _used(s) or [0])
+    joined = words.select(*keys, "s", "e", F.explode(above).alias("cell")).select(*keys, "s", "e", "cell.level", "cell.node").join(s, [*keys, "level", "node"], "left")
     fits = (F.col("ss") <= F.col("s")) & (F.col("se") >= F.col("e"))
     order = F.struct(((F.col("ss") != F.col("s")) | (F.col("se") != F.col("e"))).alias("not_exact"), (F.col("se") - F.col("ss")).alias("size"), "span")
     return joined.groupBy(*keys, "s", "e").agg(F.min(F.when(fits, order))["span"].alias("span"))

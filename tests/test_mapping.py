@@ -24,6 +24,41 @@ def test_ranges_words_and_spans_like_brute_force(spark):
         assert got[d, s, e] == (min(around)[2] if around else None)
 
 
+def test_cells_make_up_a_range(spark):
+    r = random.Random(7)
+    ranges = [(a, a + n) for a in (0, 1, 63, 64, 500, 4095, 10**6, -70) for n in (0, 1, 64, 65, 512, 1000, 4096, 33_000, 10**6)] + [(r.randrange(10**7), r.randrange(10**7, 2 * 10**7)) for _ in range(20)]
+    df = spark.createDataFrame(ranges, "a long, z long")
+    for row in df.select("a", "z", M._cover(F.col("a"), F.col("z")).alias("cover")).collect():
+        low, high = row.a // 64, max(row.a // 64, (row.z - 1) // 64)
+        cells = sorted(((c.node << 3 * c.level), (c.node + 1 << 3 * c.level) - 1) for c in row.cover)
+        assert cells[0][0] == low and cells[-1][1] == high and all(x[1] + 1 == y[0] for x, y in zip(cells, cells[1:]))
+        assert len(cells) <= 14 * 9
+
+
+def test_nested_spans_over_a_million_characters(spark):
+    import numpy as np
+
+    r = random.Random(8)
+    spans = [(1, 250 * i, 10**6 - 250 * i, 7 * i, 10**7 - i) for i in range(2000)] + [(1, a, a + r.randint(1, 400), 3 * a, 3 * a + 5) for a in r.sample(range(10**6), 3000)]
+    ranges = [(1, a, a + n) for a in r.sample(range(-1000, 10**6 + 1000), 1500) for n in (1, r.randint(2, 200_000))]
+    spans_df = spark.createDataFrame(spans, "doc long, norm_start long, norm_end long, orig_start long, orig_end long").repartition(4)
+    assert M._celled(spans_df.selectExpr("doc", "norm_start", "norm_end"), M._cover(F.col("norm_start"), F.col("norm_end")), "x").count() < 40 * len(spans)
+    found = M.map_via_spans(spark.createDataFrame(ranges, "doc long, norm_start long, norm_end long"), spans_df, ["doc"])
+    got = {(x.norm_start, x.norm_end): (x.orig_start, x.orig_end) for x in found.collect()}
+    _, ss, se, os, oe = (np.array(x) for x in zip(*spans))
+    for _, a, z in ranges:
+        hit = (se > a) & (ss < z)
+        assert got[a, z] == ((os[hit].min(), oe[hit].max()) if hit.any() else (a, z))
+    rendered = spark.createDataFrame([(1, i, x[1], x[2]) for i, x in enumerate(spans)], "doc long, span long, start long, end long")
+    words = [(1, a, a + r.randint(1, 30)) for a in r.sample(range(10**6), 1000)]
+    around = M.tightest_span(spark.createDataFrame(words, "doc long, s long, e long"), rendered, ["doc"])
+    for x in around.collect():
+        fits = np.flatnonzero((ss <= x.s) & (se >= x.e))
+        exact = [int(i) for i in fits if (ss[i], se[i]) == (x.s, x.e)]
+        best = min(exact, default=None) if exact else min(fits.tolist(), key=lambda i: (se[i] - ss[i], i), default=None)
+        assert x.span == best
+
+
 def test_active_words_over_many_stretches(spark):
     words = [(1, i, float(10 * i + 8)) for i in range(40)] + [(2, 0, 5.0)]
     times = [(1, t / 2) for t in range(0, 900, 3)] + [(2, 5.0), (2, 4.9), (3, 1.0), (1, 8.0), (1, 8.0)]
