@@ -136,3 +136,36 @@ def path_reading(path: Column, terms: Terms = None) -> Column:
     segments = F.when(back, F.split(path, r"\\")).otherwise(F.split(path, "/"))
     said = F.transform(segments, lambda x, i: F.concat_ws(" ", F.when(i > 0, F.when(back, "бэкслэш").otherwise("слэш")), F.when(x != "", segment(x))))
     return F.array_join(F.filter(said, lambda x: x != ""), " ")
+
+
+_URL = r"(?s)^(([A-Za-z][A-Za-z0-9+.-]*):)?(//([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
+
+
+def without_dots(path: Column) -> Column:
+    """A path with its `.` and `..` segments worked off."""
+
+    def step(kept: Column, part: Column) -> Column:
+        return F.when(part == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(1)))).when(part == ".", kept).otherwise(F.concat(kept, F.array(part)))
+
+    parts = F.split(path, "/")
+    whole = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array(F.get(parts, 0)), step)
+    return F.array_join(F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(whole, F.array(F.lit("")))).otherwise(whole), "/")
+
+
+def resolve_url(url: Column, base: Column, browser: bool = False) -> Column:
+    """A possibly relative URL against that of its document, by the rules of references of RFC 3986; unchanged without a base that has a scheme.
+
+    As browsers write it, a scheme and host are in lower case, and an empty path behind a host is `/`.
+    """
+    of = lambda x, k: F.regexp_extract(x, _URL, k)
+    path, query, base_path = of(url, 5), of(url, 6), of(base, 5)
+    folder = F.regexp_extract(base_path, r"(?s)^(.*/)?", 1)
+    merged = F.when((of(base, 3) != "") & (base_path == ""), F.concat(F.lit("/"), path)).otherwise(F.concat(folder, path))
+    own = (of(url, 1) != "") | (of(url, 3) != "")
+    found = F.when(own, without_dots(path)).when(path == "", base_path).when(path.startswith("/"), without_dots(path)).otherwise(without_dots(merged))
+    asks = F.when(own | (path != "") | (query != ""), query).otherwise(of(base, 6))
+    scheme, host = F.when(of(url, 1) != "", of(url, 1)).otherwise(of(base, 1)), F.when(own, of(url, 3)).otherwise(of(base, 3))
+    if browser:
+        scheme, host = F.lower(scheme), F.concat(F.regexp_extract(host, r"(?s)^(//(?:.*@)?)?", 1), F.lower(F.regexp_extract(host, r"(?s)^(?://(?:.*@)?)?(.*)$", 1)))
+        found = F.when((found == "") & (host != ""), "/").otherwise(found)
+    return F.when(base.isNull() | (of(base, 1) == ""), url).otherwise(F.concat(scheme, host, found, asks, of(url, 7)))

@@ -1,14 +1,20 @@
 """Audio samples as arrays: resampling, frames, quantising, bands and the inverse transform of spectra.
 
-One row holds one clip, so arrays are bounded by what is spoken at once.
+One row holds one clip, so arrays are bounded by what is spoken at once; clips of an entry are joined in segments, never in one row.
+
+Edge cases (tests/test_samples.py): null clips give null, or no samples where clips are joined, and empty ones no samples; clips of an
+entry that are equal in order come in any order; repeated rows are clips of their own; empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
+
+from lectern.session import settle
 
 # Fixed values
 RATES = (8000, 12000, 16000, 24000, 48000)
@@ -60,6 +66,31 @@ def duration_seconds(samples: Column, rate: int) -> Column:
     return F.size(samples) / F.lit(rate)
 
 
+def join_clips(clips: DataFrame, key: str, order: str, samples: str, segment: int) -> DataFrame:
+    """(key, segment, start, samples): the clips of each entry one after another, in segments of equal size, the last one shorter.
+
+    Only sizes are summed over an entry; each clip is then cut where segments end, and a segment's parts come together by themselves.
+    So an entry of any length is as many tasks' work as it has segments.
+    """
+    rows = settle(clips.select(key, F.col(order).alias("order"), F.coalesce(samples, F.array().cast(clips.schema[samples].dataType)).alias("clip"), F.monotonically_increasing_id().alias("row")), "clips")
+    before = Window.partitionBy(key).orderBy("order", "row").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.select(key, "order", "row", F.size("clip").cast("long").alias("size"))
+    offsets = sizes.withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0))).where("size > 0").select("row", "offset", "size")
+    placed = rows.select(key, "row", "clip").join(offsets, "row")
+    cut = placed.select(key, "clip", "offset", F.explode(F.sequence(F.floor(F.col("offset") / segment), F.floor((F.col("offset") + F.col("size") - 1) / segment))).alias("segment"))
+    low = F.greatest(F.col("segment") * segment, F.col("offset"))
+    part = F.slice("clip", (low - F.col("offset") + 1).cast("int"), ((F.col("segment") + 1) * segment - low).cast("int"))
+    parts = cut.select(key, "segment", F.struct(low.alias("start"), part.alias("clip")).alias("part"))
+    joined = parts.groupBy(key, "segment").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    return joined.select(key, "segment", F.get("parts", 0)["start"].alias("start"), F.flatten(F.transform("parts", lambda p: p["clip"])).alias("samples"))
+
+
+def durations(clips: DataFrame, key: str, samples: str, rate: int) -> DataFrame:
+    """(key, n_samples, seconds) of all clips of each entry."""
+    n = F.coalesce(F.sum(F.greatest(F.size(samples), F.lit(0)).cast("long")), F.lit(0))
+    return clips.groupBy(key).agg(n.alias("n_samples"), (n / F.lit(rate)).alias("seconds"))
+
+
 def band_filter(bands: int, taps: int, cutoff: float, beta: float) -> np.ndarray:
     """(bands, taps + 1): a Kaiser-windowed low pass of unit sum, its cutoff in half sampling rates, moved to the middle of each band."""
     n = np.arange(taps + 1)

@@ -357,3 +357,14 @@ def frames(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT p_partkey, CASE WHEN r <= 10000 THEN 8000 WHEN r <= 14000 THEN 12000 WHEN r <= 20000 THEN 16000 WHEN r <= 36000 THEN 24000 ELSE 48000 END AS rate FROM (SELECT p_partkey, p_size * 1000 AS r FROM part)")
 def nearest_rate(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", A.nearest_rate(F.col("p_size") * 1000).alias("rate"))
+
+
+@query(
+    """WITH e AS (SELECT vec_id // 50 AS entry, vec_id AS idx, embedding AS v FROM embeddings),
+    o AS (SELECT *, sum(len(v)) OVER (PARTITION BY entry ORDER BY idx) - len(v) AS before FROM e),
+    x AS (SELECT entry, before + unnest(range(0, len(v))) AS pos, unnest(v) AS s FROM o)
+    SELECT entry, CAST(pos // 1000 AS BIGINT) AS segment, CAST(min(pos) AS BIGINT) AS start, list(CAST(s AS DOUBLE) ORDER BY pos) AS samples FROM x GROUP BY entry, pos // 1000"""
+)
+def joined_samples(spark: SparkSession, sf: str) -> DataFrame:
+    clips = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 50).alias("entry"), "vec_id", F.col("embedding").cast("array<double>").alias("clip"))
+    return A.join_clips(clips, "entry", "vec_id", "clip", 1000)

@@ -244,6 +244,13 @@ def english_readings(spark: SparkSession, sf: str) -> DataFrame:
     return D.read_english(words, custom=custom)
 
 
+@query()
+def resolved_links(spark: SparkSession, sf: str) -> DataFrame:
+    """The targets of a page's links, as they stand and resolved against its URL."""
+    links = table(spark, sf, "pages").select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit("(?:href|src)=\"([^\"]*)\""), F.lit(1))).alias("idx", "target"))
+    return links.select("page_id", "idx", "target", U.resolve_url(F.col("target"), F.col("url")).alias("resolved"))
+
+
 @query()
 def sanitized_html(spark: SparkSession, sf: str) -> DataFrame:
     from lectern.operators.extraction import html_to_text
