@@ -308,12 +308,12 @@ def rejected_requests(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def emitted_positions(spark: SparkSession, sf: str) -> DataFrame:
-    """Positions told of playback that views load (20 seconds long), purchases seek, clicks pause, signups resume and errors stop."""
+    """Positions told of playback that views load (5 seconds long), purchases seek, clicks pause, signups resume and errors stop."""
     kinds = {"view": "load", "purchase": "seek", "click": "pause", "signup": "play", "error": "stop"}
     kind = F.lit(None).cast("string")
     for name, what in kinds.items():
         kind = F.when(F.col("event_type") == name, what).otherwise(kind)
-    commands = table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"), F.when(F.col("event_type") == "purchase", F.col("value")).alias("position"), F.lit(20.0).alias("duration"))
+    commands = table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"), F.when(F.col("event_type") == "purchase", F.col("value")).alias("position"), F.lit(5.0).alias("duration"))
     last = commands.agg(F.max(F.unix_millis("ts"))).first()[0] or 0
     return R.emitted_events(commands, last + 120_000, "user_id")
 

@@ -150,17 +150,17 @@ TICK, SILENT, SLACK = 100, 300, 0.2
 class Playback:
     """Playback of one entry: commands at times, and ticks between them.
 
-    load sets the duration and plays from a position, play and pause do so from where it stands, seek moves, stop ends. A tick first looks
-    for the end, which is told once; then it is silent if a seek was less than SILENT ago; else it tells the position.
+    load sets the duration and plays from a position, play and pause do so from where it stands, seek moves, stop ends; before a load and
+    after a stop there is nothing to play. A tick first looks for the end, which is told once; then it is silent if a seek was less than SILENT ago; else it tells the position.
     """
 
-    FIELDS = "playing boolean, position double, since long, duration double, silent long, tick long"
+    FIELDS = "loaded boolean, playing boolean, position double, since long, duration double, silent long, tick long"
 
     def __init__(self, values: tuple | None = None):
-        self.playing, self.position, self.since, self.duration, self.silent, self.tick = values or (False, 0.0, 0, None, -1, -1)
+        self.loaded, self.playing, self.position, self.since, self.duration, self.silent, self.tick = values or (False, False, 0.0, 0, None, -1, -1)
 
     def values(self) -> tuple:
-        return self.playing, float(self.position), int(self.since), self.duration, int(self.silent), int(self.tick)
+        return self.loaded, self.playing, float(self.position), int(self.since), self.duration, int(self.silent), int(self.tick)
 
     def at(self, ts: int) -> float:
         return self.position + (ts - self.since) / 1000 if self.playing else self.position
@@ -179,16 +179,16 @@ class Playback:
     def command(self, ts: int, kind: str, position: float | None, duration: float | None) -> Iterator[tuple[int, str, float]]:
         self.position, self.since = self.at(ts), ts
         if kind == "load":
-            self.position, self.duration, self.silent = position or 0.0, duration, -1
-        if kind in ("load", "play") and (kind == "load" or not self.playing):
+            self.loaded, self.position, self.duration, self.silent = True, position or 0.0, duration, -1
+        if kind == "load" or kind == "play" and self.loaded and not self.playing:
             self.playing, self.tick = True, ts + TICK
-        elif kind == "seek" and position is not None:
+        elif kind == "seek" and self.loaded and position is not None:
             self.position, self.silent = position, ts + SILENT
             yield ts, "position", position
         elif kind == "pause":
             self.playing = False
         elif kind == "stop":
-            self.playing, self.position = False, 0.0
+            self.loaded, self.playing, self.position = False, False, 0.0
 
 
 _EVENTS = "ts_ms long, event string, position double"
