@@ -131,19 +131,27 @@ class WordTokenizer:
 
 
 def narrow(ids: bytes) -> bytes:
-    """32-bit ids as 16-bit ones where all fit, which halves what is stored and shuffled; the number of ids tells which."""
+    """32-bit ids as 16-bit ones where all fit, low bytes before high ones, compressed; the number of ids tells which."""
     import numpy as np
+    import zstandard
 
     wide = np.frombuffer(ids, "<u4")
-    return wide.astype("<u2").tobytes() if not len(wide) or wide.max() < 1 << 16 else ids
+    size = 2 if not len(wide) or wide.max() < 1 << 16 else 4
+    return zstandard.compress(np.ascontiguousarray(wide.astype(f"<u{size}").view(np.uint8).reshape(-1, size).T).tobytes(), 3)
 
 
 def widened(column, lengths):
     """array<int> of narrow() bytes."""
     import numpy as np
     import pyarrow as pa
+    import zstandard
 
-    cuts = [np.frombuffer(x, "<u2" if len(x) == 2 * n else "<u4").astype(np.int32) for x, n in zip(column.to_pylist(), lengths.tolist())]
+    def one(data: bytes, n: int):
+        raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+        size = len(raw) // max(n, 1) or 2
+        return np.ascontiguousarray(raw.reshape(size, -1).T).view(f"<u{size}").ravel().astype(np.int32)
+
+    cuts = [one(x, n) for x, n in zip(column.to_pylist(), lengths.tolist())]
     ends = np.cumsum([0] + [len(x) for x in cuts]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(cuts) if cuts else np.zeros(0, np.int32)))
 
