@@ -119,3 +119,8 @@ def test_words_equal_the_full_tokenizer(tokenizer):
     parts = ["the", "Été", "naïve", "ß", "12", "—", "'s", "'T", ",", "***", "_", "`", "\u0301", "Σ", "x", "\u212a", "İ", "&&", "<|endoftext|>", "你", "ﬁ", "\xad", "\x0c", "\u2003"]
     texts = [" ".join("".join(r.choices(parts, k=r.randint(1, 4))) for _ in range(30)) for _ in range(400)]
     assert words.encode(texts) == [b"".join(x.to_bytes(4, "little") for x in tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_squeezed_bytes_come_back():
+    for data in (b"", b"a", b"ab", b"abc", bytes(range(256)) * 40):
+        assert packing.unsqueezed(packing.squeezed(data)) == data
