@@ -86,14 +86,14 @@ def read_parts(parts: Column, terms: dict[str, str] | None = None) -> Column:
 
 
 def strip_white(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A[{WHITE}]+|(?<![{WHITE}])[{WHITE}]+\z", "")
+    return F.regexp_replace(text, rf"\A[{WHITE}]+|(?=[{WHITE}])(?<![{WHITE}])[{WHITE}]+\z", "")
 
 
 def sanitize(text: Column) -> Column:
     """Line breaks with the white space around them to one space, runs of spaces to one, none at the ends; tabs within a line stay."""
     blank = r"\t\x0B-\r \x{85}\p{Z}"
-    joined = F.regexp_replace(text, rf"(?<![{blank}])[{blank}]*+\n[{WHITE}]*+", " ")
-    return strip_white(F.regexp_replace(joined, " +", " "))
+    joined = F.regexp_replace(text, rf"(?=[\n{blank}])(?<![{blank}])[{blank}]*+\n[{WHITE}]*+", " ")
+    return strip_white(F.regexp_replace(joined, " {2,}", " "))
 
 
 def clean_carets(text: Column) -> Column:

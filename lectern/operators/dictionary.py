@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from lectern.functions import lexicon as L
 from lectern.functions.strings import letter_name, spell, transliterate
-from lectern.session import settle
+from lectern.session import settle, spread
 
 #: Characters of the terms of a part of a dictionary, which a task holds.
 PART_CHARS = 16_000_000
@@ -112,7 +112,7 @@ def find_phrases(docs: DataFrame, dictionary: DataFrame, id_col: str = "doc_id",
     The longest phrase from the left stays; with `overlapping`, the longest one at each place.
     """
     parts = phrase_parts(dictionary, part_chars)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select(F.monotonically_increasing_id().alias("row"), "id", "text")
     kind = docs.schema[id_col].dataType
     listed = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("term", T.StringType()), T.StructField("said", T.StringType())]))
     schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", kind), T.StructField("found", listed)])

@@ -1,6 +1,7 @@
 """Words, lines and chunks of texts with their codepoint spans, and the times at which words are spoken.
 
-Spans and shares of letters are worked out in the row, in Arrow batches; nothing is shuffled by document.
+Spans and shares of letters are worked out in the row, in Arrow batches; nothing is shuffled by document,
+but tables too small to fill all tasks are spread over them.
 
 Edge cases (tests/test_words.py): null and empty texts have no words, an empty text has one empty line, a null one none; repeated rows
 and null ids give their words each; an empty table gives no rows; other columns are carried only if named.
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
+from lectern.session import spread
+
 _WORD, _SPACED = re.compile(r"\w+"), re.compile("[^ ]+")
 
 
@@ -52,7 +55,7 @@ def spans(docs: DataFrame, keep: list[str], text_col: str, cut: Callable[[str],
                     names,
                 )
 
-    return docs.select(*keep, F.col(text_col).alias("text to cut")).mapInArrow(run, schema)
+    return spread(docs.select(*keep, F.col(text_col).alias("text to cut"))).mapInArrow(run, schema)
 
 
 def word_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

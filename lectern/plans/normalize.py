@@ -27,7 +27,7 @@ from lectern.functions import numbers as N
 from lectern.functions import strings as S
 from lectern.functions import urls as U
 from lectern.operators.tracked import Tracked
-from lectern.session import forget, settle
+from lectern.session import forget, settle, spread
 
 # The patterns, which decide what is read as what.
 FENCED = re.compile(r"(?s)```(\w*)\n(.*?)```")
@@ -245,7 +245,7 @@ def cut_documents(docs: DataFrame, id_col: str, text_col: str, brief: bool = Fal
             strings = pa.list_(pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, columns, (kind, pa.string(), strings, strings))], schema.names)
 
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select(F.monotonically_increasing_id().alias("row"), "id", "text").mapInArrow(run, schema)
 
 
 def read_all(questions: DataFrame, terms: Terms = None, code_terms: Terms = None) -> DataFrame:

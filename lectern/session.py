@@ -43,6 +43,18 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as run at once, if it is too small to fill them by itself: one file of one row group would be one task.
+
+    The size is the optimiser's estimate; nothing is run for it, and larger tables are not shuffled.
+    """
+    spark = df.sparkSession
+    tasks = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    most = int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))
+    return df.repartition(tasks) if size < tasks * most else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset and all run on one machine, one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
