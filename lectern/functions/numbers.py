@@ -1,4 +1,9 @@
-"""Readers of numbers, dates, times and sizes as Column expressions."""
+"""Readers of numbers, dates, times and sizes as Column expressions.
+
+Edge cases (tests/test_numbers.py): null gives null (a null year no words); what is not of the form that is read, numbers beyond 18
+digits, and dates and times that don't exist stay as they are; empty texts stay empty; signs that are no digits are read as a question
+mark where digits are read one by one.
+"""
 
 from __future__ import annotations
 

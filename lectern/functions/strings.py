@@ -1,4 +1,8 @@
-"""Readers and cleaners of short texts as Column expressions."""
+"""Readers and cleaners of short texts as Column expressions.
+
+Edge cases (tests/test_numbers.py): null gives null and empty texts stay empty, or have no parts; signs without a name stay as they are
+where letters are spelled; letters of other scripts stay where Latin ones are transliterated.
+"""
 
 from __future__ import annotations
 
