@@ -13,6 +13,9 @@ from collections.abc import Iterator
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
+
+from lectern.session import settle
 
 ENTRY = (
     "id string, original_text string, normalized_text string, status string, format string, html_source string, created_at timestamp_ntz, audio_path string, "
@@ -117,16 +120,33 @@ def patched_settings(settings: DataFrame, patch: DataFrame, column: str = "value
     return settings.crossJoin(F.broadcast(asked.limit(1))).select(*[F.coalesce(f"p.{name}", name).alias(name) for name in SETTINGS])  # one row each
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, value): lines of the files at path, with where their block begins in the file."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows (file, block, value) with `id`, their number within the file from 0.
+
+    Rows are numbered by the task that reads their block, and blocks by the rows before them; no file is ever one row or one task.
+    """
+    at = settle(rows.withColumn("row", F.monotonically_increasing_id()), "lines")
+    sizes = at.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("row").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))  # a row for each block
+    offsets = sizes.select("file", "block", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("offset"))
+    return at.join(offsets, ["file", "block"]).withColumn("id", F.col("row") + F.col("offset"))
+
+
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
-    """(id, token) of a vocabulary file: a token's id is the number of its line, from 0."""
-    lines = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", "\\n\\z", ""), "\n").alias("tokens"))
-    return lines.select(F.posexplode("tokens").alias("id", "token")).withColumn("token", F.regexp_replace("token", "\\s+\\z", ""))
+    """(id, token) of a vocabulary file of any size: a token's id is the number of its line, from 0."""
+    return _numbered(_lines(spark, path)).select("id", F.regexp_replace("value", "\\s+\\z", "").alias("token"))
 
 
 def read_ngrams(spark: SparkSession, path: str) -> DataFrame:
-    """(id, gram) of a gzipped file of grams between white space; a gram's id is its place in the file."""
-    words = spark.read.text(path, wholetext=True).select(F.filter(F.split("value", r"\s+"), lambda x: x != "").alias("grams"))
-    return words.select(F.posexplode("grams").alias("id", "gram"))
+    """(id, gram) of a file of grams between white space, gzipped or not; a gram's id is its place in the file."""
+    grams = _lines(spark, path).select("file", "block", F.explode(F.split("value", r"\s+")).alias("value")).where("value <> ''")
+    return _numbered(grams).select("id", F.col("value").alias("gram"))
 
 
 def read_exceptions(spark: SparkSession, path: str) -> DataFrame:

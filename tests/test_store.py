@@ -93,9 +93,9 @@ def test_dictionaries(spark, tmp_path):
     import pytest
 
     (tmp_path / "vocab.txt").write_text("[UNK]\n[CLS]\nслово\n", encoding="utf-8")
-    assert [tuple(r) for r in store.read_vocabulary(spark, str(tmp_path / "vocab.txt")).collect()] == [(0, "[UNK]"), (1, "[CLS]"), (2, "слово")]
+    assert sorted(tuple(r) for r in store.read_vocabulary(spark, str(tmp_path / "vocab.txt")).collect()) == [(0, "[UNK]"), (1, "[CLS]"), (2, "слово")]
     (tmp_path / "ngrams.gz").write_bytes(gzip.compress("<а а> \n<б ".encode()))
-    assert [tuple(r) for r in store.read_ngrams(spark, str(tmp_path / "ngrams.gz")).collect()] == [(0, "<а"), (1, "а>"), (2, "<б")]
+    assert sorted(tuple(r) for r in store.read_ngrams(spark, str(tmp_path / "ngrams.gz")).collect()) == [(0, "<а"), (1, "а>"), (2, "<б")]
     (tmp_path / "exceptions.gz").write_bytes(gzip.compress("елка 0 0\nдом 1 -1\n\n".encode()))
     assert sorted(tuple(r) for r in store.read_exceptions(spark, str(tmp_path / "exceptions.gz")).collect()) == [("дом", 1, -1), ("елка", 0, 0)]
     (tmp_path / "bad.gz").write_bytes(gzip.compress("дом x\n".encode()))
@@ -103,6 +103,23 @@ def test_dictionaries(spark, tmp_path):
         store.read_exceptions(spark, str(tmp_path / "bad.gz")).collect()
 
 
+def test_lines_of_a_file_of_many_blocks(spark, tmp_path):
+    tokens = [f"token {i} é" + "x" * (i % 40) for i in range(3000)]
+    (tmp_path / "vocab.txt").write_text("\n".join(tokens) + "\n")
+    (tmp_path / "grams.txt").write_text("\n".join(f" a{i}  b{i}" * (i % 3) for i in range(2000)))
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
+    before = [spark.conf.get(k, None) for k in keys]
+    try:
+        for k, v in zip(keys, ("3000", "1", "50")):
+            spark.conf.set(k, v)
+        assert store._lines(spark, str(tmp_path / "vocab.txt")).select("block").distinct().count() > 20
+        assert sorted(tuple(r) for r in store.read_vocabulary(spark, str(tmp_path / "vocab.txt")).collect()) == list(enumerate(tokens))
+        assert sorted(tuple(r) for r in store.read_ngrams(spark, str(tmp_path / "grams.txt")).collect()) == list(enumerate(g for i in range(2000) for g in [f"a{i}", f"b{i}"] * (i % 3)))
+    finally:
+        for k, v in zip(keys, before):
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_word_times_are_saved(spark, tmp_path):
     rows = [("a", 1, "два", 0.5, 1.0, 4, 7), ("a", 0, "раз", 0.0, 0.5, 0, 3), ("b", 0, "x", 0.0, 0.1, 0, 1)]
     df = spark.createDataFrame(rows, "entry_id string, idx int, word string, start double, end double, orig_start long, orig_end long")
