@@ -368,3 +368,60 @@ def nearest_rate(spark: SparkSession, sf: str) -> DataFrame:
 def joined_samples(spark: SparkSession, sf: str) -> DataFrame:
     clips = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 50).alias("entry"), "vec_id", F.col("embedding").cast("array<double>").alias("clip"))
     return A.join_clips(clips, "entry", "vec_id", "clip", 1000)
+
+
+@query(
+    """WITH d AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS idx, unnest(string_split(text, chr(10))) AS t FROM documents),
+    s AS (SELECT doc_id, idx, strlen(t) AS n, unnest(range(0, strlen(t) // 255 + 1)) AS k FROM d),
+    o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx, k) - 1 AS pos FROM s),
+    p AS (SELECT doc_id, pos // 255 AS page, count(*) AS segments, sum(least(255, n - 255 * k)) AS body, max(CASE WHEN k = n // 255 THEN 960 * (idx + 1) END) AS granule, min_by(k, pos) > 0 AS continued FROM o GROUP BY doc_id, pos // 255),
+    h AS (SELECT doc_id, max(page) AS last FROM p GROUP BY doc_id)
+    SELECT doc_id, CAST(page + 2 AS BIGINT) AS page, CAST(coalesce(granule, -1) AS BIGINT) AS granule, CAST(segments AS INTEGER) AS segments,
+           CAST(CASE WHEN continued THEN 1 ELSE 0 END + CASE WHEN page = last THEN 4 ELSE 0 END AS INTEGER) AS flags, CAST(27 + segments + body AS INTEGER) AS size FROM p JOIN h USING (doc_id)"""
+)
+def container_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages around the lines of documents as packets, without the two header pages."""
+    from lectern.sources import container as C
+
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "line"))
+    packets = lines.select("doc_id", "idx", F.col("line").cast("binary").alias("data"), ((F.col("idx") + 1) * 960).alias("granule"))
+    pages = C.container_pages(packets, "doc_id", "idx", "data", "granule", 48000)
+    return pages.where(F.col("page") >= C.HEADERS).select("doc_id", "page", "granule", "segments", "flags", F.octet_length("content").alias("size"))
+
+
+_STATUS_SQL = "CASE o_orderstatus WHEN 'F' THEN 'ready' WHEN 'O' THEN 'processing' ELSE 'error' END"
+
+
+def _entries(spark: SparkSession, sf: str) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") == "F", "ready").when(F.col("o_orderstatus") == "O", "processing").otherwise("error")
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), status.alias("status"), F.col("o_custkey").cast("string").alias("audio_path"), F.col("o_totalprice").alias("duration_sec"), F.lit(False).alias("was_regenerated"), F.col("o_orderpriority").alias("priority"))
+
+
+@query(
+    f"""SELECT o_orderkey AS id, CASE WHEN again THEN 'pending' ELSE s END AS status, CASE WHEN NOT again THEN CAST(o_custkey AS VARCHAR) END AS audio_path, CASE WHEN NOT again THEN o_totalprice END AS duration_sec, again AS was_regenerated
+    FROM (SELECT *, {_STATUS_SQL} AS s, o_orderpriority = '1-URGENT' AND o_orderstatus <> 'O' AS again FROM orders)"""
+)
+def regenerate(spark: SparkSession, sf: str) -> DataFrame:
+    """Urgent orders are started anew, unless they are being processed."""
+    entries = _entries(spark, sf)
+    started, _ = H.regenerate(entries, entries.where("priority = '1-URGENT'"))
+    return started.drop("priority")
+
+
+@query(f"SELECT o_orderkey AS id, 'synthesis_error' AS type, 'already processing' AS message FROM orders WHERE o_orderpriority = '1-URGENT' AND {_STATUS_SQL} = 'processing'")
+def regenerate_errors(spark: SparkSession, sf: str) -> DataFrame:
+    entries = _entries(spark, sf)
+    return H.regenerate(entries, entries.where("priority = '1-URGENT'"))[1]
+
+
+@query(
+    r"""SELECT doc_id, pos, CAST(pos - length(regexp_extract(substr(text, 1, pos), '([^ \t\n\x0B\f\r]*)$', 1)) AS INTEGER) AS start, CAST(pos + length(regexp_extract(substr(text, pos + 1), '^([^ \t\n\x0B\f\r]*)', 1)) AS INTEGER) AS end_pos
+    FROM (SELECT doc_id, text, unnest([0, length(text) // 3, length(text) // 2, length(text)]) AS pos FROM documents WHERE text IS NOT NULL)"""
+)
+def word_around(spark: SparkSession, sf: str) -> DataFrame:
+    """The runs without white space around four places of every document."""
+    docs = table(spark, sf, "documents").where("text IS NOT NULL")
+    n = F.length("text")
+    places = docs.select("doc_id", "text", F.explode(F.array(F.lit(0), F.floor(n / 3).cast("int"), F.floor(n / 2).cast("int"), n)).alias("pos"))
+    around = M.word_around(F.col("text"), F.col("pos"))
+    return places.select("doc_id", "pos", around["start"].alias("start"), around["end"].alias("end_pos"))
