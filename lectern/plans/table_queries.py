@@ -392,7 +392,7 @@ def container_pages(spark: SparkSession, sf: str) -> DataFrame:
 _STATUS_SQL = "CASE o_orderstatus WHEN 'F' THEN 'ready' WHEN 'O' THEN 'processing' ELSE 'error' END"
 
 
-def _entries(spark: SparkSession, sf: str) -> DataFrame:
+def _audio_entries(spark: SparkSession, sf: str) -> DataFrame:
     status = F.when(F.col("o_orderstatus") == "F", "ready").when(F.col("o_orderstatus") == "O", "processing").otherwise("error")
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), status.alias("status"), F.col("o_custkey").cast("string").alias("audio_path"), F.col("o_totalprice").alias("duration_sec"), F.lit(False).alias("was_regenerated"), F.col("o_orderpriority").alias("priority"))
 
@@ -403,14 +403,14 @@ def _entries(spark: SparkSession, sf: str) -> DataFrame:
 )
 def regenerate(spark: SparkSession, sf: str) -> DataFrame:
     """Urgent orders are started anew, unless they are being processed."""
-    entries = _entries(spark, sf)
+    entries = _audio_entries(spark, sf)
     started, _ = H.regenerate(entries, entries.where("priority = '1-URGENT'"))
     return started.drop("priority")
 
 
 @query(f"SELECT o_orderkey AS id, 'synthesis_error' AS type, 'already processing' AS message FROM orders WHERE o_orderpriority = '1-URGENT' AND {_STATUS_SQL} = 'processing'")
 def regenerate_errors(spark: SparkSession, sf: str) -> DataFrame:
-    entries = _entries(spark, sf)
+    entries = _audio_entries(spark, sf)
     return H.regenerate(entries, entries.where("priority = '1-URGENT'"))[1]
 
 
