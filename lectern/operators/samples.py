@@ -37,6 +37,11 @@ def resample(samples: Column, rate_in: int, rate_out: int) -> Column:
     return F.when(n == 0, F.array().cast("array<double>")).otherwise(F.transform(F.sequence(F.lit(0), count - 1), at))
 
 
+def rounded(samples: Column, digits: int) -> Column:
+    """Samples to so many decimals, each with its sign: small negative ones are negative zeros, as IEEE rounding has it."""
+    return F.transform(samples, lambda x: F.signum(x) * F.abs(F.round(x, digits)))
+
+
 def nearest_rate(rate: Column, rates: tuple[int, ...] = RATES) -> Column:
     """The rate with the least difference, the smaller on a tie."""
     return F.array_min(F.transform(F.array(*map(F.lit, rates)), lambda r: F.struct(F.abs(r - rate).alias("apart"), r.alias("rate"))))["rate"]

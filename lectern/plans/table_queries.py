@@ -336,7 +336,7 @@ def seek_suppress(spark: SparkSession, sf: str) -> DataFrame:
     FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"""
 )
 def resample(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "embeddings").select("vec_id", F.transform(A.resample(F.col("embedding").cast("array<double>"), 16000, 24000), lambda x: F.round(x, 6)).alias("samples"))
+    return table(spark, sf, "embeddings").select("vec_id", A.rounded(A.resample(F.col("embedding").cast("array<double>"), 16000, 24000), 6).alias("samples"))
 
 
 @query("SELECT vec_id, list_transform(embedding, lambda x: CAST(round(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, CAST(x AS DOUBLE))) * 32767) AS SMALLINT)) AS samples FROM embeddings")

@@ -2,6 +2,10 @@
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
 from lectern.operators import samples as A
 
 
@@ -20,3 +24,24 @@ def test_clips_are_joined_in_segments(spark):
         assert got == {k: v for k, v in want.items() if v}
     assert {x.entry: (x.n_samples, x.seconds) for x in A.durations(df, "entry", "clip", 10).collect()} == {k: (len(v), len(v) / 10) for k, v in want.items()}
     assert A.join_clips(df.limit(0), "entry", "idx", "clip", 5).count() == 0
+
+
+def test_rounded_samples_keep_their_sign(spark):
+    values = [-3e-7, 3e-7, -0.0, 0.0, -1.2345674, 1.2345676, None, float("nan")]
+    got = spark.createDataFrame([(values,), ([],), (None,)], "x array<double>").select(A.rounded(F.col("x"), 6).alias("y")).collect()
+    assert [repr(x) for x in got[0].y] == ["-0.0", "0.0", "-0.0", "0.0", "-1.234567", "1.234568", "None", "nan"]
+    assert [r.y for r in got[1:]] == [[], None]
+
+
+def test_resampled_zeros_like_sql(spark, tmp_path):
+    rows = [(1, [-0.0000003, 0.0000001, -0.0000001, 0.25]), (2, [-0.0, 0.0, -0.5])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    like_sql(spark, "resample", tmp_path)
+
+
+def like_sql(spark, name, folder):
+    db = pytest.importorskip("duckdb").connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet/*.parquet'")
+    want = {k: list(map(repr, v)) for k, v in db.execute(entry.oracle_sql()[name]).fetchall()}
+    assert {r.vec_id: list(map(repr, r.samples)) for r in entry.queries()[name](spark, str(folder)).collect()} == want
+    assert any("-0.0" in v for v in want.values())
