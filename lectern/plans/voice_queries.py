@@ -132,4 +132,4 @@ _BAND = A.band_filter(*A.BANDS[24000])[0].tolist()
 )
 def lowest_band(spark: SparkSession, sf: str) -> DataFrame:
     """Components are below one half, so no band exceeds one."""
-    return table(spark, sf, "embeddings").select("vec_id", F.transform(A.to_lowest_band(F.col("embedding").cast("array<double>"), 24000), lambda x: F.round(x, 6)).alias("samples"))
+    return table(spark, sf, "embeddings").select("vec_id", A.rounded(A.to_lowest_band(F.col("embedding").cast("array<double>"), 24000), 6).alias("samples"))

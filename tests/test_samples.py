@@ -39,6 +39,12 @@ def test_resampled_zeros_like_sql(spark, tmp_path):
     like_sql(spark, "resample", tmp_path)
 
 
+def test_lowest_band_zeros_like_sql(spark, tmp_path):
+    rows = [(1, [-1e-7, 1e-7, -2e-7, 1e-7] * 16), (2, [0.25, -0.5] * 32), (3, [1e-6, 2e-6, -3e-6] * 20)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    like_sql(spark, "lowest_band", tmp_path)
+
+
 def like_sql(spark, name, folder):
     db = pytest.importorskip("duckdb").connect()
     db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet/*.parquet'")
