@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from pyspark.sql import Window
 
 from lectern.session import spread
 
-_WORD, _SPACED = re.compile(r"\w+"), re.compile("[^ ]+")
+_WORD, _SPACED = r"\w+", "[^ ]+"  # runs of signs of one kind
 
 
 def spans(docs: DataFrame, keep: list[str], text_col: str, cut: Callable[[str], list[tuple[int, int, int]]], text_name: str = "word") -> DataFrame:
@@ -58,9 +59,65 @@ def spans(docs: DataFrame, keep: list[str], text_col: str, cut: Callable[[str],
     return spread(docs.select(*keep, F.col(text_col).alias("text to cut"))).mapInArrow(run, schema)
 
 
+@lru_cache
+def _signs(pattern: str):
+    """Whether each code point is in the runs that a pattern finds."""
+    import numpy as np
+
+    found = np.zeros(0x110000, bool)
+    for m in re.finditer(pattern, "".join(map(chr, range(0x110000)))):
+        found[m.start() : m.end()] = True
+    return found
+
+
+def runs(docs: DataFrame, keep: list[str], text_col: str, pattern: str, by_place: bool = False) -> DataFrame:
+    """As spans(), of the runs of signs that a pattern of one kind of sign finds; no sign is looked at by itself.
+
+    idx counts the runs before each in its text, or by_place the other signs before it.
+    """
+    names = [*keep, "idx", "word", "start", "end_pos", "before", "total"]
+    kinds = [T.IntegerType(), T.StringType(), *[T.LongType()] * 4]
+    schema = T.StructType([*(docs.schema[c] for c in keep), *[T.StructField(n, k) for n, k in zip(names[len(keep) :], kinds)]])
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for low in range(0, batch.num_rows, 200):
+                part = batch.slice(low, 200)
+                texts = part.column(len(keep)).cast(pa.large_string()).fill_null("")
+                ends_of = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+                data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends_of[0] : ends_of[-1]]
+                if not len(data):
+                    continue
+                first = np.flatnonzero((data & 0xC0) != 0x80)  # where each sign's bytes begin
+                width = np.diff(first, append=len(data))
+                edge = np.searchsorted(first, ends_of - ends_of[0])  # the first sign of each text, and their number
+                inside = _signs(pattern)[np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)]
+                before, after = np.roll(inside, 1), np.roll(inside, -1)
+                before[edge[edge < len(inside)]] = False
+                after[edge[edge > 0] - 1] = False
+                start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+                of = np.searchsorted(edge, start, "right") - 1
+                size = end - start
+                upto = np.concatenate(([0], np.cumsum(size)))
+                lowest = np.searchsorted(of, np.arange(len(texts) + 1))  # the first run of each text, and their number
+                letters = upto[:-1] - upto[lowest[of]]
+                total = upto[lowest[1:]] - upto[lowest[:-1]]
+                start, end = start - edge[of], end - edge[of]
+                idx = start - letters if by_place else np.arange(len(of)) - lowest[of]
+                bytes_of = np.concatenate(([0], np.cumsum(width * inside)))[np.concatenate(([0], end + edge[of]))].astype(np.int32)
+                pieces = pa.StringArray.from_buffers(len(of), pa.py_buffer(bytes_of), pa.py_buffer(data[np.repeat(inside, width)]))
+                at = pa.array(of, pa.int32())
+                yield pa.RecordBatch.from_arrays([*[part.column(k).take(at) for k in range(len(keep))], pa.array(idx, pa.int32()), pieces, pa.array(start), pa.array(end), pa.array(letters), pa.array(total[of])], names)
+
+    return spread(docs.select(*keep, F.col(text_col).alias("text to cut"))).mapInArrow(run, schema)
+
+
 def word_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, keep..., idx, word, start, end_pos, before, total): words of any script, end exclusive; before and total as in spans()."""
-    return spans(docs, [id_col, *keep], text_col, lambda t: [(i, *m.span()) for i, m in enumerate(_WORD.finditer(t))])
+    return runs(docs, [id_col, *keep], text_col, _WORD)
 
 
 def word_times(words: DataFrame, duration_ms: Column) -> DataFrame:
@@ -94,15 +151,6 @@ def line_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return found.select(id_col, F.col("idx").alias("line"), F.col("line text").alias("text"), "start")
 
 
-def _between_spaces(text: str) -> list[tuple[int, int, int]]:
-    out, idx, at = [], 0, 0
-    for m in _SPACED.finditer(text):
-        idx += m.start() - at
-        out.append((idx, *m.span()))
-        at = m.end()
-    return out
-
-
 def space_word_spans(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """(keys..., idx, word, start, end_pos) of words between spaces; idx counts the spaces before a word."""
-    return spans(docs, keys, text_col, _between_spaces).drop("before", "total")
+    return runs(docs, keys, text_col, _SPACED, True).drop("before", "total")

@@ -1,3 +1,6 @@
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from lectern.operators import words as W
@@ -28,3 +31,26 @@ def test_lines_and_words_between_spaces(spark):
     assert [r[1:] for r in rows if r[0] == 2] == [(0, "", 0)] and not [r for r in rows if r[0] == 3]
     rows = W.space_word_spans(table(spark), ["doc_id"]).where("doc_id IS NULL").distinct().orderBy("start").collect()
     assert [(r.idx, r.word, r.start, r.end_pos) for r in rows] == [(0, "a", 0, 1), (2, "b", 3, 4)]
+
+
+def test_runs_like_a_loop_over_matches(spark):
+    r = random.Random(4)
+    texts = [None, "", "a", " ", "  ж", "мир\n", *("".join(r.choices("ab_é你😀 \u2003\n.́9\0", k=r.randint(0, 60))) for _ in range(700))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string").repartition(3)
+    got = {}
+    for x in W.word_spans(df).orderBy("doc_id", "idx").collect():
+        got.setdefault(x.doc_id, []).append(tuple(x)[1:])
+    spaced = {}
+    for x in W.space_word_spans(df, ["doc_id"]).orderBy("doc_id", "start").collect():
+        spaced.setdefault(x.doc_id, []).append(tuple(x)[1:])
+    for i, t in enumerate(texts):
+        found = list(re.finditer(r"\w+", t or ""))
+        sizes = [len(m[0]) for m in found]
+        assert got.get(i, []) == [(k, m[0], m.start(), m.end(), sum(sizes[:k]), sum(sizes)) for k, m in enumerate(found)]
+        assert spaced.get(i, []) == [(t[: m.start()].count(" "), m[0], m.start(), m.end()) for m in re.finditer("[^ ]+", t or "")]
+
+
+def test_signs_are_those_of_the_pattern():
+    for pattern in (W._WORD, W._SPACED):
+        signs = W._signs(pattern)
+        assert all(bool(re.fullmatch(pattern, chr(c))) == signs[c] for c in [*range(3000), *random.Random(1).sample(range(0x110000), 3000)])
