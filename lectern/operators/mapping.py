@@ -7,6 +7,8 @@ made up of a few cells of a tree, about as many as the tree has levels, and not
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -35,7 +37,7 @@ def _cover(start: Column, stop: Column) -> Column:
             nodes = F.when(first(k + 1) <= last(k + 1), edges).otherwise(nodes)
         parts.append(_at_level(nodes, k))
     short = F.array(F.struct(F.lit(0).alias("level"), low.alias("node")))
-    return F.when(low == high, short).otherwise(F.flatten(F.array(*parts)))
+    return F.when(low == high, short).when(first(1) > last(1), _at_level(F.sequence(low, high), 0)).otherwise(F.flatten(F.array(*parts)))
 
 
 def _at_level(nodes: Column, level: int) -> Column:
@@ -64,22 +66,30 @@ def map_via_spans(ranges: DataFrame, spans: DataFrame, keys: list[str]) -> DataF
     """
     s = spans.select(*keys, F.col("norm_start").alias("ss"), F.col("norm_end").alias("se"), F.col("orig_start").alias("os"), F.col("orig_end").alias("oe"))
     s = _celled(s, _cover(F.col("ss"), F.col("se")), "spans")
-    r = _celled(ranges.select(*keys, "norm_start", "norm_end").distinct(), _cover(F.col("norm_start"), F.col("norm_end")), "ranges")
+    r = _celled(ranges.select(*keys, "norm_start", "norm_end"), _cover(F.col("norm_start"), F.col("norm_end")), "ranges")
     span_levels, range_levels = _used(s), _used(r)
     hit = (F.col("se") > F.col("norm_start")) & (F.col("ss") < F.col("norm_end"))
 
     def meet(left: DataFrame, right: DataFrame) -> DataFrame:
-        return left.join(right, [*keys, "level", "node"]).where(hit).select(*keys, "norm_start", "norm_end", "os", "oe")
+        return _met(left, right, keys, hit).groupBy(*keys, "level", "node", "norm_start", "norm_end").agg(F.min("os").alias("os"), F.max("oe").alias("oe"))
 
     raised = lambda df, levels, own: df.withColumn("above", F.explode(_above(F.col("level"), F.col("node"), levels, own))).drop("level", "node").select("*", "above.level", "above.node").drop("above")
     found = meet(r if span_levels in ([], [0]) and range_levels in ([], [0]) else raised(r, span_levels, True), s)
-    if range_levels and span_levels and range_levels[-1] > span_levels[0]:
+    if range_levels and span_levels and range_levels[-1] > span_levels[0]:  # else each range has a row above
         found = found.unionByName(meet(r, raised(s, range_levels, False)))
-    own = r.select(*keys, "norm_start", "norm_end", F.lit(None).cast(s.schema["os"].dataType).alias("os"), F.lit(None).cast(s.schema["oe"].dataType).alias("oe"))
-    hull = found.unionByName(own).groupBy(*keys, "norm_start", "norm_end").agg(F.min("os").alias("lo"), F.max("oe").alias("hi"))
+    hull = found.groupBy(*keys, "norm_start", "norm_end").agg(F.min("os").alias("lo"), F.max("oe").alias("hi"))
     return hull.select(*keys, "norm_start", "norm_end", F.coalesce("lo", "norm_start").alias("orig_start"), F.coalesce("hi", "norm_end").alias("orig_end"))
 
 
+def _met(rows: DataFrame, spans: DataFrame, keys: list[str], hit: Column) -> DataFrame:
+    """Different rows with each span of their cell that is hit, or with nulls: a cell is dealt once, so what is grouped by it stays there."""
+    cell = [*keys, "level", "node"]
+    rows = rows.repartition(*cell).distinct()
+    spans = spans.select(*[F.col(c).alias(f"{c} of span") for c in cell], *[c for c in spans.columns if c not in cell])
+    same = reduce(Column.__and__, [F.col(c) == F.col(f"{c} of span") for c in cell])
+    return rows.join(spans, same & hit, "left")
+
+
 def map_positional(char_map: Column, start: Column, end: Column) -> Column:
     """struct<start, end> by position: the first element's start and the last one's end, positions cut to the map."""
     last = F.size(char_map) - 1
@@ -133,11 +143,15 @@ def tightest_span(words: DataFrame, spans: DataFrame, keys: list[str]) -> DataFr
     """words (keys, s, e) with the rendered span that shows each: the same range, else the smallest around it, the first on a tie."""
     s = spans.select(*keys, "span", F.col("start").alias("ss"), F.col("end").alias("se"))
     s = _celled(s, _cover(F.col("ss"), F.col("se")), "spans")
-    above = _above(F.lit(0), F.floor(F.col("s") / CELL), _used(s) or [0])
-    joined = words.select(*keys, "s", "e", F.explode(above).alias("cell")).select(*keys, "s", "e", "cell.level", "cell.node").join(s, [*keys, "level", "node"], "left")
-    fits = (F.col("ss") <= F.col("s")) & (F.col("se") >= F.col("e"))
+    levels = _used(s) or [0]
+    above = _above(F.lit(0), F.floor(F.col("s") / CELL), levels)
+    cells = words.select(*keys, "s", "e", F.explode(above).alias("cell")).select(*keys, "s", "e", "cell.level", "cell.node")
+    joined = _met(cells, s, keys, (F.col("ss") <= F.col("s")) & (F.col("se") >= F.col("e")))
     order = F.struct(((F.col("ss") != F.col("s")) | (F.col("se") != F.col("e"))).alias("not_exact"), (F.col("se") - F.col("ss")).alias("size"), "span")
-    return joined.groupBy(*keys, "s", "e").agg(F.min(F.when(fits, order))["span"].alias("span"))
+    found = joined.groupBy(*keys, "level", "node", "s", "e").agg(F.min(F.when(F.col("ss").isNotNull(), order)).alias("best"))
+    if len(levels) > 1:
+        found = found.groupBy(*keys, "s", "e").agg(F.min("best").alias("best"))
+    return found.select(*keys, "s", "e", F.col("best.span").alias("span"))
 
 
 def edit_offsets(edits: DataFrame, keys: list[str]) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from lectern.operators import mapping as M
+from lectern.plans import table_queries
 
 
 def test_ranges_words_and_spans_like_brute_force(spark):
@@ -91,3 +92,17 @@ def test_ranges_of_maps(spark):
     assert [tuple(r.x) for r in both] == [(1, 4), (3, 4), (1, 2)] and [tuple(r.y) for r in both] == [(3, 2), (3, 4), (1, 2)]
     around = spark.range(1).select(M.word_around(F.lit("ab cde f"), F.lit(4)).alias("x")).first().x
     assert tuple(around) == (3, 6)
+
+
+def test_cells_are_dealt_once(spark, tmp_path):
+    """What is joined by cell is grouped by cell where it lies, and only hits leave a join."""
+    text = " ".join(f"w{i % 37}" for i in range(3000))
+    spark.createDataFrame([(k, text) for k in range(20)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for name, most in (("containment", 2), ("map_via_spans", 3)):
+            plan = table_queries.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning(doc_id") == most and "LeftOuter, ((" in plan, name
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
