@@ -28,17 +28,31 @@ THRESHOLD = 0.5
 _CYRILLIC = re.compile("[а-яёА-ЯЁ+]*[а-яёА-ЯЁ][а-яёА-ЯЁ+]*")
 
 
+_RAWS = rf"[{WHITE}]+|[^{WHITE}-]*-|[^{WHITE}-]+"
+
+
+def _clean(raw: Column) -> Column:
+    return F.regexp_replace(F.lower(raw), "[^а-яё]+", "")
+
+
+def counted_tokens(texts: DataFrame, text_col: str) -> DataFrame:
+    """(raw, clean, placed, n) of the different accent_tokens() of all texts, without stop words."""
+    raws = texts.select(F.explode_outer(F.regexp_extract_all(F.col(text_col), F.lit(_RAWS), F.lit(0))).alias("raw"))  # plain explode would cut texts twice, for a filter
+    counts = raws.where("raw IS NOT NULL").groupBy("raw").agg(F.count("*").alias("n"))
+    return counts.select("raw", _clean(F.col("raw")).alias("clean"), (_clean(F.col("raw")) != "").alias("placed"), "n")
+
+
 def accent_tokens(text: Column, stop_words: tuple[str, ...] = ()) -> Column:
     """array<struct<raw, clean, placed>>: runs of white space and of other signs, cut after hyphens; raws joined give the text.
 
     clean keeps Cyrillic letters, in lower case; placed says whether a mark may be set: not where clean is empty, nor in the last part of
     a hyphenated word that is a stop word.
     """
-    raws = F.regexp_extract_all(text, F.lit(rf"[{WHITE}]+|[^{WHITE}-]*-|[^{WHITE}-]+"), F.lit(0))
+    raws = F.regexp_extract_all(text, F.lit(_RAWS), F.lit(0))
 
     def token(all_raws: Column) -> Column:
         def one(raw: Column, i: Column) -> Column:
-            clean = F.regexp_replace(F.lower(raw), "[^а-яё]+", "")
+            clean = _clean(raw)
             placed = clean != ""
             if stop_words:
                 placed &= ~(raw.isin(*stop_words) & (i > 0) & F.coalesce(F.get(all_raws, i - 1).endswith("-"), F.lit(False)))

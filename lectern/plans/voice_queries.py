@@ -56,8 +56,8 @@ def basic_tokens(spark: SparkSession, sf: str) -> DataFrame:
     SELECT raw, regexp_replace(raw, '[^а-яё]', '', 'g') AS clean, regexp_matches(raw, '[а-яё]') AS placed, count(*) AS n FROM w GROUP BY raw"""
 )
 def accent_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    tokens = _documents(spark, sf).select(F.explode_outer(V.accent_tokens(F.col("text"))).alias("x")).where("x IS NOT NULL").select("x.*")  # plain explode would work the tokens out once more for a filter
-    return tokens.groupBy("raw", "clean", "placed").agg(F.count("*").alias("n"))
+    """Signs are counted before they are cleaned, so each different one is cleaned once."""
+    return V.counted_tokens(_documents(spark, sf), "text")
 
 
 @query(rf"WITH {READ_SQL} SELECT doc_id, regexp_replace(t, '([^{S.WHITE}{V.VOWELS}-]*)([{V.VOWELS}])([^{S.WHITE}-]*-?)', '\1+\2\3', 'g') AS voiced FROM d")

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -103,3 +105,12 @@ def test_inverse_transform_is_exact(spark):
     df = spark.createDataFrame([(size_of.tolist(), unit.real.tolist(), unit.imag.tolist()), (None, None, None)], "m array<array<double>>, x array<array<double>>, y array<array<double>>")
     rows = [r[0] for r in df.select(A.samples_of_spectra(F.col("m"), F.col("x"), F.col("y"), hop)).collect()]
     assert np.allclose(rows[0], clip) and rows[1] == []
+
+
+def test_tokens_are_counted_before_they_are_cleaned(spark):
+    texts = spark.createDataFrame([("Кто-то, где +то", ), ("кто-то 5",), (None,), ("",)], "text string")
+    got = {(r.raw, r.clean, r.placed): r.n for r in V.counted_tokens(texts, "text").collect()}
+    each = texts.select(F.explode(V.accent_tokens(F.col("text"))).alias("x")).select("x.*").groupBy("raw", "clean", "placed").count().collect()
+    assert got == {tuple(r)[:3]: r["count"] for r in each} and got[" ", "", False] == 3
+    plan = V.counted_tokens(texts, "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Aggregate \[raw#\d+L?\], ", plan)  # by raw alone, so only its results are cleaned
