@@ -31,6 +31,8 @@ def local_session(cpus: int | str = 8, partitions: int = 8, memory: str = "20g")
 
 #: Rows of an Arrow batch unless the session says otherwise than Spark's default: texts may be long, and a worker holds a batch or two.
 BATCH_KEY, BATCH_DEFAULT, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
+#: Bytes of an Arrow batch likewise: what Python makes of a text may take many times its room, so batches of long texts are of few rows.
+BYTES_KEY, BYTES_MOST = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -40,9 +42,16 @@ def ready(spark: SparkSession) -> SparkSession:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
     if spark.conf.get(BATCH_KEY) == BATCH_DEFAULT:
         spark.conf.set(BATCH_KEY, BATCH_ROWS)
+    if BYTES_KEY not in _asked(spark):
+        spark.conf.set(BYTES_KEY, str(BYTES_MOST))
     return spark
 
 
+def _asked(spark: SparkSession) -> dict[str, str]:
+    """Settings that were given to the session."""
+    return spark.conf.getAll
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over as many tasks as run at once, if it is too small to fill them by itself: one file of one row group would be one task.
 

@@ -2,10 +2,12 @@
 
 from pathlib import Path
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.session import CLEAN_KEY, _SETTLED, forget, settle, settle_parts
+from lectern.session import BYTES_MOST, CLEAN_KEY, _SETTLED, forget, settle, settle_parts
 
 
 def test_parts_are_tables_of_their_own(spark):
@@ -26,3 +28,15 @@ def test_the_setting_of_the_session_stays(spark, before):
         assert settle(spark.range(5).repartition(2, "id")).count() == 5 and spark.conf.get(CLEAN_KEY, None) == found
     finally:
         spark.conf.unset(CLEAN_KEY) if was is None else spark.conf.set(CLEAN_KEY, was)
+
+
+def test_batches_of_long_texts_are_of_few_rows(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["rows", "bytes"])
+
+    texts = spark.range(0, 400, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("text"))
+    got = texts.mapInArrow(sizes, "rows long, bytes long").collect()
+    assert sum(r.rows for r in got) == 400 and max(r.bytes for r in got) < 2 * BYTES_MOST
+    lengths = texts.select(F.pandas_udf(lambda x: pd.Series([len(x)] * len(x)), "long")("text").alias("n")).collect()
+    assert max(r.n for r in lengths) * 100_000 < 2 * BYTES_MOST
