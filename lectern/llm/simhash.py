@@ -83,6 +83,11 @@ def covering_links(found: DataFrame) -> DataFrame:
     it, among the bits its table doesn't compare. Two fingerprints within two bits share such a point and two that share one are
     within two bits, so linking each with the least at every point it names gives all links in rows linear in a bucket's size.
     """
+    return _links_of_points(settle(_points(found), "points"))
+
+
+def _points(found: DataFrame) -> DataFrame:
+    """(fingerprint, point) of the fingerprints that meet others in a table."""
     masks = covering_masks(RADIUS)
     keys = F.array(*[F.struct(F.lit(k).alias("mask"), F.col("fingerprint").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in enumerate(masks)])
     rows = found.select("fingerprint", F.explode(keys).alias("at")).select("fingerprint", "at.mask", "at.key")
@@ -90,7 +95,11 @@ def covering_links(found: DataFrame) -> DataFrame:
     rows = rows.withColumn("other", F.bitwise_not("key")).join(met, ["mask", "other"], "left_semi")
     free = F.element_at(F.array(*[F.array(*[F.lit(_signed(1 << i)) for i in range(64) if not m >> i & 1]) for m in masks]), F.col("mask") + 1)
     near = F.concat(F.array("fingerprint"), F.transform(free, lambda s: F.col("fingerprint").bitwiseXOR(s)))
-    points = settle(rows.select("fingerprint", F.explode(near).alias("point")).distinct(), "points")
+    return rows.select("fingerprint", F.explode(near).alias("point")).distinct()
+
+
+def _links_of_points(points: DataFrame) -> DataFrame:
+    """Edges (u, v) of fingerprints with the least, other ones at their points, so v is less than u."""
     least = points.groupBy("point").agg(F.min("fingerprint").alias("least"), F.count("*").alias("n")).where("n > 1")
     least = least.select(F.bitwise_not("point").alias("other"), "least")
     joined = points.withColumn("other", F.bitwise_not("point")).join(least, "other").where("fingerprint <> least")
@@ -210,7 +219,7 @@ def _common_shingles(docs: DataFrame, text_col: str):
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
-    """(key, least_id, copies, n, parity, prefix) of every distinct text; n is the number of its different shingles.
+    """(key, least_id, copies, n, fingerprint, parity, prefix) of every distinct text; n is the number of its different shingles.
 
     Copies are counted by their keys; only texts that have copies are shuffled, to take one of each.
     """
@@ -226,12 +235,14 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataF
         import pyarrow as pa
 
         for batch in batches:
-            sets = [shingle_set(x) for x in batch.column(3).cast(pa.binary()).to_pylist()]
+            hashes = [shingle_hashes(x, SHINGLE) for x in batch.column(3).cast(pa.binary()).to_pylist()]
+            prints = pa.array([_signed(majority(x)) for x in hashes], pa.int64())
+            sets = [np.unique(x) for x in hashes]
             first = pa.array([prefix(x, least, common, counts).view(np.int64) for x in sets], pa.list_(pa.int64()))
-            columns = [*batch.columns[:3], pa.array(map(len, sets), pa.int64()), pa.array(map(parity, sets), pa.binary()), first]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "least_id", "copies", "n", "parity", "prefix"])
+            columns = [*batch.columns[:3], pa.array(map(len, sets), pa.int64()), prints, pa.array(map(parity, sets), pa.binary()), first]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "least_id", "copies", "n", "fingerprint", "parity", "prefix"])
 
-    fields = [("key", T.BinaryType()), ("least_id", docs.schema[id_col].dataType), ("copies", T.LongType()), ("n", T.LongType()), ("parity", T.BinaryType()), ("prefix", T.ArrayType(T.LongType()))]
+    fields = [("key", T.BinaryType()), ("least_id", docs.schema[id_col].dataType), ("copies", T.LongType()), ("n", T.LongType()), ("fingerprint", T.LongType()), ("parity", T.BinaryType()), ("prefix", T.ArrayType(T.LongType()))]
     return once.unionByName(many).mapInArrow(run, T.StructType([T.StructField(*x) for x in fields]))
 
 
@@ -318,12 +329,35 @@ def _bound(least: float) -> float:
     return (1 - least) / (1 + least) + 1e-9
 
 
-def _forest_pairs(members: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of the nearest forests of all buckets; a large bucket is cut into blocks, differently from other buckets."""
-    rows = members.select(F.explode("buckets").alias("b"), "node", "n", "parity").select("b.bucket", "b.size", "node", "n", "parity")
+def _fingerprint_pairs(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts whose fingerprints differ in RADIUS bits or fewer, at most two for each text.
+
+    Texts of one fingerprint are paired with the first of them, and first ones with that of the least fingerprint that theirs links to.
+    """
+    firsts = settle(classes.groupBy("fingerprint").agg(F.min("node").alias("first")), "firsts")
+    points = settle(_points(firsts), "points")
+    links = settle(_links_of_points(points).groupBy("u").agg(F.min("v").alias("v")), "fingerprint links")
+    forget(points)
+    same = classes.select("fingerprint", "node").join(firsts, "fingerprint").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    first_of = lambda x, name: firsts.select(F.col("fingerprint").alias(x), F.col("first").alias(name))
+    linked = links.join(first_of("u", "x"), "u").join(first_of("v", "y"), "v").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return same.unionByName(linked)
+
+
+def _rooted(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """members with root, the least node that links reach, in a stored table that replaces theirs; and (node, root) of all linked nodes."""
+    roots = settle(connected_components(links), "roots")
+    rooted = settle(members.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    forget(members)
+    return rooted, roots
+
+
+def _forest_pairs(rooted: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of different roots in the nearest forests of all buckets; a large bucket is cut into blocks, differently from other buckets."""
+    rows = rooted.select(F.explode("buckets").alias("b"), "node", "root", "n", "parity").select("b.bucket", "b.size", "node", "root", "n", "parity")
     block = F.pmod(F.xxhash64("node", "bucket"), F.ceil(F.col("size") / BLOCK_TEXTS).cast("long"))
     bound = _bound(least)
-    return _compared(rows.withColumn("block", block), pairs=lambda node, sets: nearest_forest(sets, bound))
+    return _compared(rows.withColumn("block", block), "root", pairs=lambda node, sets, root: [(i, j) for i, j in nearest_forest(sets, bound) if root[i] != root[j]])
 
 
 def _pairs_of_roots(rooted: DataFrame, least: float) -> DataFrame:
@@ -414,23 +448,25 @@ def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text_col: st
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR) -> DataFrame:
     """(key, least_id, copies, group) for every distinct text: its text_key, the smallest id that has it, how many rows, its group (long).
 
-    Groups join texts whose sets of SHINGLE-word shingles have a Jaccard similarity of at least `least`, all of them: such texts share
-    one of the first shingles (prefix_length) under an order common to all, rare ones first. Of the texts that share one, those of a
-    nearest forest are compared first, then all pairs that this leaves in separate groups. Parities of the sets are compared before the
-    sets; they drop only pairs that can't be similar. Null texts count as empty; texts without words are alike only if equal.
+    Groups join texts whose sets of SHINGLE-word shingles have a Jaccard similarity of at least `least`, all of them. SimHash
+    fingerprints of these shingles link first, and each link is held against the sets. It misses edits that turn more than RADIUS bits,
+    so what it leaves in separate groups is found exactly: similar texts share one of the first shingles (prefix_length) under an order
+    common to all, rare ones first. Of the texts that share one, those of a nearest forest are compared first, then all pairs that are
+    still in separate groups. Parities of the sets are compared before the sets; they drop only pairs that can't be similar. Null texts
+    count as empty; texts without words are alike only if equal.
     """
     classes = settle(_classes(docs, id_col, text_col, least).withColumn("node", F.monotonically_increasing_id()), "classes")
-    members = _members(classes)
-    links = _similar(_forest_pairs(members, least), classes, docs, text_col, least)
-    roots = settle(connected_components(links), "roots")
-    rooted = settle(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-    forget(members)
+    links = _similar(_fingerprint_pairs(classes), classes, docs, text_col, least)
+    rooted, roots = _rooted(_members(classes), links)
+    forget(roots)
+    links = links.unionByName(_similar(_forest_pairs(rooted, least), classes, docs, text_col, least))
+    rooted, roots = _rooted(rooted, links)
     apart = settle(_pairs_of_roots(rooted, least), "apart")
     if not apart.isEmpty():
         links = links.unionByName(_similar(apart, classes, docs, text_col, least))
         roots = settle(connected_components(links), "roots")
     groups = settle(classes.select("key", "least_id", "copies", "node").join(roots, "node", "left").select("key", "least_id", "copies", F.coalesce("root", "node").alias("group")), "groups")
-    forget(classes, rooted, apart, members)
+    forget(classes, rooted, apart)
     return groups
 
 

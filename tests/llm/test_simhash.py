@@ -278,3 +278,19 @@ def test_a_template_of_many_variants_that_are_not_similar(spark):
     ids = {row.node: row.least_id for row in classes.select("node", "least_id").collect()}
     pairs = {tuple(sorted((ids[x.a], ids[x.b]))) for x in found.collect()}
     assert {(50_000, 50_001), (50_000, 50_002), (50_001, 50_002)} <= pairs and len(pairs) <= 2 * len(rows) + 1
+
+
+def test_fingerprints_link_before_the_exact_join(spark, monkeypatch):
+    r = random.Random(8)
+    long = invented(r, 3000)
+    edited = [*long[:-1], "edit"]
+    # one shingle makes most of these two, so their fingerprints agree; their sets don't
+    alike = [" ".join(["same"] * 300 + invented(r, 40)) for _ in range(2)]
+    rows = [(0, " ".join(long)), (1, " ".join(edited)), (2, alike[0]), (3, alike[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = {x.id: x.fingerprint % 2**64 for x in simhash.fingerprints(docs, shingle=simhash.SHINGLE).collect()}
+    assert (prints[0] ^ prints[1]).bit_count() <= simhash.RADIUS and prints[2] == prints[3]
+    none = spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(simhash, "_forest_pairs", lambda *_: none)
+    monkeypatch.setattr(simhash, "_pairs_of_roots", lambda *_: none)
+    assert groups(spark, rows) == [[0, 1], [2], [3]]
