@@ -1,7 +1,7 @@
 """Stress marks and homographs of texts that a voice is to read, with the models' answers given as tables.
 
-Every different word is looked up and marked once, whatever its frequency; words are joined back to their texts by place. Texts are told
-apart by their own digest, so repeated rows and null ids give each row its text.
+Every different word is looked up and marked once, whatever its frequency. Texts are cut into blocks, which ask for each of their words
+once and get the marked ones back; rows stay whole, so repeated rows and null ids give each row its text.
 
 Edge cases (tests/test_voice.py): a null text stays null, an empty one empty; words that no table knows stay as they are, but that a
 single vowel is always stressed; of repeated words in a dictionary or a model's answers, the least row counts; clashing names do no harm.
@@ -9,16 +9,19 @@ single vowel is always stressed; of repeated words in a dictionary or a model's
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.functions.numbers import let
 from lectern.functions.strings import WHITE
 from lectern.operators.words import spans
+from lectern.session import settle, spread
 
 # Fixed values
 VOWELS = "аеёиоуыэюя"
@@ -108,48 +111,43 @@ def mark_word(raw: str, stress_at: int | None, yo_at: int | None, vowel: int | N
     return "".join(letters)
 
 
-def _key(text: Column) -> Column:
-    return F.sha2(text.cast("binary"), 256)
+_TOKEN = re.compile(r"\s+|[^\s-]*-|[^\s-]+")
+#: Signs of the texts of a block, about: the larger, the fewer blocks ask for a word.
+BLOCK_SIGNS = 8 << 20
 
 
-_TOKEN, _OTHER, PIECES = re.compile(r"\s+|[^\s-]*-|[^\s-]+"), re.compile("[^а-яё]+"), 50_000
+def _nullable(schema: T.StructType) -> T.StructType:
+    """A schema as tables that were written have it: nothing in it is required."""
+    return T.StructType.fromJson(json.loads(re.sub(r'("(?:nullable|containsNull|valueContainsNull)": ?)false', r"\1true", schema.json())))
 
 
-def _words(texts: DataFrame, stop_words: tuple[str, ...]) -> DataFrame:
-    """(key, place, before, raw, word) of texts (key, t): the words that may be marked, each with what stands between it and the one before.
-
-    What follows a text's last word has no raw and no word.
-    """
+def _blocks(texts: DataFrame, text_col: str) -> DataFrame:
+    """(block, row, raws): every row of texts as a struct, without raws, and for each block a row of the different signs runs of its texts."""
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("row", _nullable(texts.schema)), T.StructField("raws", T.ArrayType(T.StringType()))])
 
     def run(batches: Iterator) -> Iterator:
-        rows: list[tuple] = []
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        block, size, raws, kind = TaskContext.get().partitionId() << 32, 0, set(), None
+
+        def asked():
+            return pa.RecordBatch.from_arrays([pa.array([block]), pa.nulls(1, kind), pa.array([sorted(raws)], pa.list_(pa.string()))], schema.names)
+
         for batch in batches:
-            for key, text in zip(*(c.to_pylist() for c in batch.columns)):
-                before, cut = [], False
-                for place, m in enumerate(_TOKEN.finditer(text)):
-                    word = _OTHER.sub("", m[0].lower())
-                    if word and not (cut and m[0] in stop_words):
-                        rows.append((key, place, "".join(before), m[0], word))
-                        before = []
-                    else:
-                        before.append(m[0])
-                    cut = m[0].endswith("-")
-                    if len(rows) >= PIECES:
-                        yield _batch(rows)
-                        rows = []
-                if before:
-                    rows.append((key, len(text), "".join(before), None, None))
-        if rows:
-            yield _batch(rows)
-
-    return texts.mapInArrow(run, "key string, place int, before string, raw string, word string")
-
-
-def _batch(rows: list[tuple]):
-    import pyarrow as pa
-
-    kinds = {"key": pa.string(), "place": pa.int32(), "before": pa.string(), "raw": pa.string(), "word": pa.string()}
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds.values())], list(kinds))
+            rows, kind = batch.column(0), batch.column(0).type
+            for text in rows.field(text_col).to_pylist():
+                if text:
+                    size += len(text)
+                    raws.update(_TOKEN.findall(text))
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), rows, pa.nulls(len(rows), pa.list_(pa.string()))], schema.names)
+            if size >= BLOCK_SIGNS:
+                yield asked()
+                block, size, raws = block + 1, 0, set()
+        if raws:
+            yield asked()
+
+    return spread(texts).select(F.struct("*").alias("row")).mapInArrow(run, schema)
 
 
 def accentuate(texts: DataFrame, exceptions: DataFrame, predictions: DataFrame, text_col: str = "text", stop_words: tuple[str, ...] = (), vowels: str = VOWELS, least: float = THRESHOLD, least_yo: float = THRESHOLD) -> DataFrame:
@@ -157,11 +155,12 @@ def accentuate(texts: DataFrame, exceptions: DataFrame, predictions: DataFrame,
 
     exceptions: (word, stress, yo) by letters, yo -1 for none. predictions: (word, vowel, chance, yo, yo_chance), a model's answers.
     """
-    distinct = texts.select(F.col(text_col).alias("t")).where("t IS NOT NULL").distinct()
-    words = _words(distinct.select(_key(F.col("t")).alias("key"), "t"), stop_words)
+    texts = texts.select(*[F.col(f"`{c}`") for c in texts.columns if c != "voiced" or c == text_col])
+    blocks = settle(_blocks(texts, text_col), "blocks")
     known = exceptions.groupBy("word").agg(F.min(F.struct("stress", "yo")).alias("known"))
     guessed = predictions.groupBy("word").agg(F.min(F.struct("vowel", "chance", F.col("yo").alias("yo_vowel"), "yo_chance")).alias("guessed"))
-    each = words.where("word IS NOT NULL").select("raw", "word").distinct().join(known, "word", "left").join(guessed, "word", "left")
+    asked = blocks.where("row IS NULL").select("block", F.explode("raws").alias("raw")).groupBy("raw").agg(F.collect_list("block").alias("blocks"))
+    each = asked.withColumn("word", _clean(F.col("raw"))).where("word <> ''").join(known, "word", "left").join(guessed, "word", "left")
 
     @F.pandas_udf("string")
     def mark(raw: pd.Series, stress: pd.Series, yo_at: pd.Series, vowel: pd.Series, chance: pd.Series, yo: pd.Series, yo_chance: pd.Series) -> pd.Series:
@@ -171,11 +170,29 @@ def accentuate(texts: DataFrame, exceptions: DataFrame, predictions: DataFrame,
         return pd.Series([mark_word(r, number(s), number(y), number(v), share(c), number(u), share(d), vowels, least, least_yo) for r, s, y, v, c, u, d in rows], dtype=object)
 
     said = mark(F.col("raw"), F.col("known.stress"), F.col("known.yo"), F.col("guessed.vowel"), F.col("guessed.chance"), F.col("guessed.yo_vowel"), F.col("guessed.yo_chance"))
-    pieces = words.join(each.select("raw", "word", said.alias("said")), ["raw", "word"], "left").withColumn("piece", F.concat("before", F.coalesce("said", F.lit(""))))
-    voiced = pieces.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("place", "piece"))).alias("pieces"))
-    voiced = voiced.select(F.col("key").alias("key of voiced"), F.array_join(F.col("pieces.piece"), "").alias("said of voiced"))
-    joined = texts.withColumn("key of text", _key(F.col(text_col))).join(voiced, F.col("key of text") == F.col("key of voiced"), "left")
-    return joined.select(*[F.col(f"`{c}`") for c in texts.columns if c != "voiced"], F.coalesce("said of voiced", text_col).alias("voiced"))
+    marked = each.select("raw", "blocks", said.alias("said")).where("said <> raw").select(F.explode("blocks").alias("block"), "raw", "said")
+
+    def voice(text: str | None, said: dict[str, str]) -> str | None:
+        if text is None:
+            return None
+        out, cut = _TOKEN.findall(text), False
+        for i, raw in enumerate(out):
+            if not (cut and raw in stop_words):
+                out[i] = said.get(raw, raw)
+            cut = raw.endswith("-")
+        return "".join(out)
+
+    def joined(own, answers):
+        import pyarrow as pa
+
+        said = dict(zip(answers.column("raw").to_pylist(), answers.column("said").to_pylist()))
+        row = own.column("row").combine_chunks()
+        voiced = [voice(x, said) for x in row.field(text_col).to_pylist()]
+        return pa.table([own.column("row"), pa.array(voiced, pa.string())], ["row", "voiced"])
+
+    schema = T.StructType([T.StructField("row", _nullable(texts.schema)), T.StructField("voiced", T.StringType())])
+    done = blocks.where("row IS NOT NULL").select("block", "row").groupBy("block").cogroup(marked.groupBy("block")).applyInArrow(joined, schema)
+    return done.select(*[F.col(f"row.`{c}`") for c in texts.columns if c != "voiced"], "voiced")
 
 
 def ngram_ids(words: DataFrame, ngrams: DataFrame, unknown: int, word_col: str = "word") -> DataFrame:

@@ -114,3 +114,15 @@ def test_tokens_are_counted_before_they_are_cleaned(spark):
     assert got == {tuple(r)[:3]: r["count"] for r in each} and got[" ", "", False] == 3
     plan = V.counted_tokens(texts, "text")._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"Aggregate \[raw#\d+L?\], ", plan)  # by raw alone, so only its results are cleaned
+
+
+def test_a_block_asks_for_a_word_once(spark):
+    df = texts(spark, "мама мыла раму. " * 50, "мама и-и мыла", None, "").withColumn("voiced", F.lit("old")).coalesce(1)
+    blocks = V._blocks(df, "t")
+    assert blocks.where("row IS NOT NULL").count() == 4
+    asked = [raw for r in blocks.where("row IS NULL").collect() for raw in r.raws]
+    assert len(asked) < 30, asked
+    answers = spark.createDataFrame([("мама", 0, 0.9, 0, 0.1), ("и", 0, 0.9, 0, 0.1)], "word string, vowel int, chance double, yo int, yo_chance double")
+    none = spark.createDataFrame([], "word string, stress int, yo int")
+    rows = V.accentuate(df, none, answers, "t", stop_words=("и",)).orderBy("doc_id").collect()
+    assert [r.voiced for r in rows] == ["м+ама мыла раму. " * 50, "м+ама +и-и мыла", None, ""]
