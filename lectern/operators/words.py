@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,7 +47,7 @@ def spans(docs: DataFrame, keep: list[str], text_col: str, cut: Callable[[str],
                     found += spans
                     pieces += [text[a:z] for _, a, z in spans]
                     total.append(sum(z - a for _, a, z in spans))
-                table = np.array(found, np.int64).reshape(-1, 3)
+                table = np.fromiter(chain.from_iterable(found), np.int64, 3 * len(found)).reshape(-1, 3)
                 size, of = table[:, 2] - table[:, 1], np.repeat(np.arange(len(rows)), rows)
                 upto = np.cumsum(size)
                 base = np.concatenate(([0], np.cumsum(total)))[:-1][of] if len(rows) else size

@@ -194,9 +194,10 @@ def html_word_spans(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def markdown_words(spark: SparkSession, sf: str) -> DataFrame:
     from lectern.operators import markdown
+    from lectern.operators.words import spans
 
-    each = table(spark, sf, "documents").select("doc_id", F.posexplode(markdown.markdown_words(F.col("text"))).alias("idx", "w"))
-    return each.select("doc_id", "idx", "w.word", "w.start", F.col("w.end").alias("end_pos"))
+    each = spans(table(spark, sf, "documents"), ["doc_id"], "text", markdown.word_spans)
+    return each.select("doc_id", "idx", "word", F.col("start").cast("int").alias("start"), F.col("end_pos").cast("int").alias("end_pos"))
 
 
 PHRASES_SQL = r"""WITH

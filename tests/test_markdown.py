@@ -108,3 +108,13 @@ def test_query(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     rows = markdown_words(spark, "/root/testdata/sf0.001").collect()
     assert len(rows) > 10_000 and all(texts[r.doc_id][r.start : r.end_pos] == r.word for r in rows)
+
+
+def test_words_come_as_rows_from_arrow(spark):
+    from lectern.plans.text_queries import markdown_words
+
+    plan = markdown_words(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan and "Repartition" in plan  # no arrays of structs, and small tables are spread
+    source = "# One *two*\n\ntwo  &amp; three"
+    assert [source[a:z] for _, a, z in M.word_spans(source)] == [w for w, _, _ in M.place_tokens(source, [t for t, _ in M.text_tokens(source)])]
+    assert [i for i, _, _ in M.word_spans(source)] == list(range(len(M.word_spans(source)))) and M.word_spans("") == []
