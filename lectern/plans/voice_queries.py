@@ -5,6 +5,8 @@ The texts of documents are Latin, so a letter of the Cyrillic alphabet stands fo
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from lectern.functions import strings as S
 from lectern.operators import extraction as X
 from lectern.operators import samples as A
 from lectern.operators import voice as V
+from lectern.operators.words import spans
 from lectern.sources.tables import table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -118,8 +121,8 @@ _TOKENS = "[A-Za-z]+"
 )
 def rendered_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """Runs of Latin letters stand for the text tokens of a rendered page; each is found again in its source."""
-    docs = table(spark, sf, "documents").select("doc_id", "text", F.regexp_extract_all("text", F.lit(_TOKENS), F.lit(0)).alias("tokens"))
-    return docs.select("doc_id", F.explode(X.token_places(F.col("text"), F.col("tokens"))).alias("x")).select("doc_id", "x.*")
+    each = spans(table(spark, sf, "documents"), ["doc_id"], "text", lambda t: X.place_spans(t, re.findall(_TOKENS, t)))
+    return each.select("doc_id", "word", F.col("start").cast("int").alias("start"), F.col("end_pos").cast("int").alias("end"))
 
 
 _BAND = A.band_filter(*A.BANDS[24000])[0].tolist()

@@ -126,3 +126,12 @@ def test_a_block_asks_for_a_word_once(spark):
     none = spark.createDataFrame([], "word string, stress int, yo int")
     rows = V.accentuate(df, none, answers, "t", stop_words=("и",)).orderBy("doc_id").collect()
     assert [r.voiced for r in rows] == ["м+ама мыла раму. " * 50, "м+ама +и-и мыла", None, ""]
+
+
+def test_rendered_tokens_come_as_rows_from_arrow(spark):
+    from lectern.plans.voice_queries import rendered_tokens
+
+    df = rendered_tokens(spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan and "Repartition" in plan  # no arrays of structs, and small tables are spread
+    assert df.dtypes == [("doc_id", "bigint"), ("word", "string"), ("start", "int"), ("end", "int")]
