@@ -2,9 +2,10 @@
 
 1. An Arrow function cuts each document: an ordered list of patterns finds what is to be read, and each part of the source is taken by
    one pattern at most (lectern/operators/tracked.py). A part is a literal change or a question: a kind and a text to be read.
-2. The different questions of all documents are read once, by Column expressions of each kind, and joined to the documents that ask
-   them; only these short rows are shuffled by what they ask, and adaptive execution splits what everyone asks.
-3. Each document is put together in its row from its free text, its literals and the readings.
+   Documents lie in blocks, whose parts name their literals and questions by number: a block holds each of these once.
+2. The different questions of all blocks are read once, by Column expressions of each kind, and joined to the blocks that ask them; only
+   these short rows, one for each question of a block, are shuffled by what they ask.
+3. The documents of a block meet its readings, where each is put together from its free text, its literals and the readings.
 
 Edge cases (tests/test_normalize.py): null and empty texts, and texts of white space, give an empty text without parts; rows are told
 apart even if ids are null or repeat; texts of several megabytes are cut in time linear in their length; an empty table gives no rows;
@@ -17,6 +18,7 @@ import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -26,7 +28,7 @@ from lectern.functions import lexicon as L
 from lectern.functions import numbers as N
 from lectern.functions import strings as S
 from lectern.functions import urls as U
-from lectern.operators.tracked import Tracked
+from lectern.operators.tracked import Notes, Tracked
 from lectern.session import forget, settle, spread
 
 # The patterns, which decide what is read as what.
@@ -40,11 +42,11 @@ EMAIL = re.compile(r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}")
 BARE_URL = re.compile(r"""\b(?:[a-zA-Z0-9-]++\.)+[a-zA-Z0-9-]++(?:/[^\s<>"')]*)?""")
 IP = re.compile(r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b")
 PATH = re.compile(r"[~/][a-zA-Z0-9_./ \-]+\.[a-zA-Z0-9]+|[~/][a-zA-Z0-9_./\-]+")
-SIZE = re.compile(r"(?i)\b(\d+(?:\.\d+)?)\s*(KB|MB|GB|TB|ms|sec|min|hr|px|em|rem|vh|vw|кб|мб|гб|тб)\b")
+SIZE = re.compile(r"(?i)(\d(?<!\w\d)\d*(?:\.\d+)?)\s*(KB|MB|GB|TB|ms|sec|min|hr|px|em|rem|vh|vw|кб|мб|гб|тб)\b")
 DATES = re.compile(r"\b(\d{4})-(\d{2})-(\d{2})\b"), re.compile(r"\b(\d{1,2})\.(\d{1,2})\.(\d{4})\b")
 TIME = re.compile(r"\b(\d{1,2}):(\d{2})(?::(\d{2}))?\b")
 PERCENT_RANGE, PERCENT = re.compile(r"\b(\d+)\s*-\s*(\d+)\s*%"), re.compile(r"\b(\d+(?:\.\d+)?)\s*%")
-RANGE = re.compile(r"\b(\d+)\s*-\s*(\d+)\b")
+RANGE = re.compile(r"(\d(?<!\w\d)\d*)\s*-\s*(\d+)\b")
 VERSION = re.compile(r"(?i)\bv?\d+\.\d+(?:\.\d+)?(?:-(?:alpha|beta|rc|dev|stable|release)\d*)?\b")
 FRACTION = re.compile(r"(^|[^\w./\\])\.(\d+)")
 SIGNS = re.compile("|".join(re.escape(x) for x in sorted(L.OPERATORS, key=len, reverse=True)) + "|[" + "".join(L.SYMBOLS) + "]")
@@ -53,13 +55,20 @@ CAMEL = re.compile(r"\b[a-z]+(?:[A-Z][a-z]*)+\b"), re.compile(r"\b[A-Z][a-z]+(?:
 SNAKE, KEBAB = re.compile(r"\b[a-zA-Z_][a-zA-Z0-9]*(?:_[a-zA-Z0-9]+)+\b"), re.compile(r"\b[a-zA-Z][a-zA-Z0-9]*(?:-[a-zA-Z0-9]+)+\b")
 LANGUAGES = {"C++": "си плюс плюс", "c++": "си плюс плюс", "C#": "си шарп", "c#": "си шарп", "F#": "эф шарп", "f#": "эф шарп"}
 LANGUAGE = re.compile(r"[Cc]\+\+|[CcFf]#")
-WORD, NUMBER = re.compile(r"\b[A-Za-z]+\b"), re.compile(r"\b\d+\b")
+WORD, NUMBER = re.compile(r"([A-Za-z](?<!\w[A-Za-z])[A-Za-z]*\b)"), re.compile(r"\d(?<!\w\d)\d*\b")
 QUOTES = {"«": '"', "»": '"', "“": '"', "”": '"', "‘": "'", "’": "'", "—": "-", "–": "-"}
-QUOTE, NEWLINES, BLANKS = re.compile("[" + "".join(QUOTES) + "]"), re.compile(r"\n{3,}"), re.compile(r"[ \t]+")
-SPACES, BEFORE_SIGN, AFTER_LINE, BEFORE_LINE = re.compile(" +"), re.compile(" +([.,!?;:])"), re.compile("\n +"), re.compile(" +\n")
+QUOTE, NEWLINES, BLANKS = re.compile("[" + "".join(QUOTES) + "]"), re.compile(r"\n{3,}"), re.compile(r"[ \t]{2,}|\t")
+SPACES, BEFORE_SIGN, AFTER_LINE, BEFORE_LINE = re.compile(" {2,}"), re.compile(" +([.,!?;:])"), re.compile("\n +"), re.compile(" +\n")
 DIAGRAM, NO_LANGUAGE, SOME_LANGUAGE = "Тут мермэйд диаграмма", "далее следует блок кода", "далее следует пример кода на "
 # End of fixed values
 
+#: What a text must hold for a pattern to match anywhere in it; where it is not there, the pattern is not tried.
+DOTTED = re.compile(r"\.(?<=[a-zA-Z0-9-]\.)[a-zA-Z0-9-]")
+DOT_DIGIT, DASH_DIGIT, COLON_DIGIT, DIGIT = re.compile(r"\.\d"), re.compile(r"-\s*\d"), re.compile(r":\d"), re.compile(r"\d")
+HUMP, DASHED = re.compile("[a-z][A-Z]"), re.compile("-(?<=[a-zA-Z0-9]-)[a-zA-Z0-9]")
+
+#: White space at the ends of what is said.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: What stands in the text for a reading while patterns run: a word, as readings begin and end with letters.
 STAND = "жж"
 MAX_LONG = 2**63 - 1
@@ -145,56 +154,92 @@ def _number(m: re.Match):
     return asked("number", m[0]) if apart and _whole(m[0]) else None
 
 
-def cut(source: str, brief: bool = False) -> Tracked:
+def _word(text: str):
+    return "word", text, "", ""
+
+
+def cut(source: str, brief: bool = False, notes: Notes | None = None) -> Tracked:
     """A text cut by all patterns; notes of its parts are new texts, or (kind, text, before, after) for what is to be read."""
-    t = Tracked(source)
+    t = Tracked(source, notes)
     if source.startswith("﻿"):
         t.replace("﻿", "")
-    modes = [(m.start(), m[1] == "brief") for m in DIRECTIVE.finditer(t.text)]
     blocks = []
-    for m in FENCED.finditer(t.text):
-        mode = next((x for at, x in reversed(modes) if at < m.start()), brief)
-        new = _block(m, mode)
-        blocks.append((m.start(), m.end(), *((new, None) if isinstance(new, str) else new)))
+    if "```" in t.text:
+        modes = [(m.start(), m[1] == "brief") for m in DIRECTIVE.finditer(t.text)]
+        for m in FENCED.finditer(t.text):
+            mode = next((x for at, x in reversed(modes) if at < m.start()), brief)
+            new = _block(m, mode)
+            blocks.append((m.start(), m.end(), *((new, None) if isinstance(new, str) else new)))
     t.rewrite(blocks)
     t.sub(DIRECTIVE, lambda m: "")
     t.sub(QUOTE, lambda m: QUOTES[m[0]])
-    t.sub(NEWLINES, lambda m: "\n\n")
-    t.sub(BLANKS, lambda m: " ")
+    if "\n\n\n" in t.text:
+        t.sub(NEWLINES, lambda m: "\n\n")
+    if "  " in t.text or "\t" in t.text:
+        t.sub(BLANKS, lambda m: " ")
     t.sub(INLINE, _inline)
-    t.sub(HEADING, lambda m: "")
+    if "#" in t.text:
+        t.sub(HEADING, lambda m: "")
     t.rewrite(_links(t.text))
-    t.sub(LIST_NUMBER, _numbered)
-    t.sub(URL, lambda m: _url("url", m[0]))
-    t.sub(EMAIL, lambda m: asked("email", m[0]))
-    t.sub(BARE_URL, _bare_url)
-    t.sub(IP, lambda m: asked("ip", m[0]))
-    t.sub(PATH, lambda m: asked("path", m[0]) if "/" in m[0] else None)
-    t.sub(SIZE, lambda m: asked("size", m[0]) if m[1].isascii() and ("." in m[1] or _whole(m[1])) else None)
-    t.sub(DATES[0], lambda m: _date(m[1], m[2], m[3], m[0]))
-    t.sub(DATES[1], lambda m: _date(m[3], m[2], m[1], m[0]))
-    t.sub(TIME, _time)
-    t.sub(PERCENT_RANGE, lambda m: asked("range", f"{m[1]}-{m[2]}", "", " процентов") if _whole(m[1]) and _whole(m[2]) else None)
-    t.sub(PERCENT, lambda m: asked("percent", m[0]) if "." in m[1] or _whole(m[1]) else None)
-    t.sub(RANGE, lambda m: asked("range", m[0]) if _whole(m[1]) and _whole(m[2]) else None)
-    t.sub(VERSION, lambda m: asked("version", m[0]))
-    t.sub(FRACTION, lambda m: asked("float", "0." + m[2], m[1]))
+    digits = DIGIT.search(t.text)  # no later change adds one
+    if digits:
+        t.sub(LIST_NUMBER, _numbered)
+    if "://" in t.text:
+        t.sub(URL, lambda m: _url("url", m[0]))
+    if "@" in t.text:
+        t.sub(EMAIL, lambda m: asked("email", m[0]))
+    if DOTTED.search(t.text):
+        t.sub(BARE_URL, _bare_url)
+    if digits and DOT_DIGIT.search(t.text):
+        t.sub(IP, lambda m: asked("ip", m[0]))
+    if "/" in t.text:
+        t.sub(PATH, lambda m: asked("path", m[0]) if "/" in m[0] else None)
+    if digits:
+        _cut_numbers(t)
     t.sub(SIGNS, lambda m: f" {L.OPERATORS.get(m[0]) or L.SYMBOLS[m[0]]} ")
-    t.sub(ABOUT, lambda m: "около " + m[1])
-    for pattern in CAMEL:
-        t.sub(pattern, lambda m: asked("camel", m[0]))
-    t.sub(SNAKE, lambda m: asked("snake", m[0]))
-    t.sub(KEBAB, lambda m: asked("kebab", m[0]))
-    t.sub(LANGUAGE, lambda m: LANGUAGES[m[0]])
-    t.sub(WORD, lambda m: asked("word", m[0]))
-    t.sub(NUMBER, _number)
-    t.sub(SPACES, lambda m: " ")
+    if digits and "~" in t.text:
+        t.sub(ABOUT, lambda m: "около " + m[1])
+    if HUMP.search(t.text):
+        for pattern in CAMEL:
+            t.sub(pattern, lambda m: asked("camel", m[0]))
+    if "_" in t.text:
+        t.sub(SNAKE, lambda m: asked("snake", m[0]))
+    if DASHED.search(t.text):
+        t.sub(KEBAB, lambda m: asked("kebab", m[0]))
+    if "+" in t.text or "#" in t.text:
+        t.sub(LANGUAGE, lambda m: LANGUAGES[m[0]])
+    t.sub_texts(WORD, STAND, _word)
+    if digits:
+        t.sub(NUMBER, _number)
+    if "  " in t.text:
+        t.sub(SPACES, lambda m: " ")
     t.sub(BEFORE_SIGN, lambda m: m[1])
-    t.sub(AFTER_LINE, lambda m: "\n")
-    t.sub(BEFORE_LINE, lambda m: "\n")
+    if "\n " in t.text:
+        t.sub(AFTER_LINE, lambda m: "\n")
+    if " \n" in t.text:
+        t.sub(BEFORE_LINE, lambda m: "\n")
     return t
 
 
+def _cut_numbers(t: Tracked) -> None:
+    """The patterns of sizes, dates, times and numbers with signs, of a text that has digits."""
+    t.sub(SIZE, lambda m: asked("size", m[0]) if m[1].isascii() and ("." in m[1] or _whole(m[1])) else None)
+    if DASH_DIGIT.search(t.text):
+        t.sub(DATES[0], lambda m: _date(m[1], m[2], m[3], m[0]))
+    if DOT_DIGIT.search(t.text):
+        t.sub(DATES[1], lambda m: _date(m[3], m[2], m[1], m[0]))
+    if COLON_DIGIT.search(t.text):
+        t.sub(TIME, _time)
+    if "%" in t.text:
+        t.sub(PERCENT_RANGE, lambda m: asked("range", f"{m[1]}-{m[2]}", "", " процентов") if _whole(m[1]) and _whole(m[2]) else None)
+        t.sub(PERCENT, lambda m: asked("percent", m[0]) if "." in m[1] or _whole(m[1]) else None)
+    if DASH_DIGIT.search(t.text):
+        t.sub(RANGE, lambda m: asked("range", m[0]) if _whole(m[1]) and _whole(m[2]) else None)
+    if DOT_DIGIT.search(t.text):
+        t.sub(VERSION, lambda m: asked("version", m[0]))
+        t.sub(FRACTION, lambda m: asked("float", "0." + m[2], m[1]))
+
+
 Terms = dict[str, str] | None
 
 
@@ -211,41 +256,70 @@ def readings(terms: Terms = None, code_terms: Terms = None) -> dict[str, Callabl
     }
 
 
+#: Signs of the texts of a block, about: the larger, the fewer blocks ask for a word.
+BLOCK_SIGNS = 4 << 20
+
+
 @lru_cache(1)
 def _part_type() -> T.ArrayType:
-    fields = [("free", "string"), ("start", "int"), ("stop", "int"), ("before", "string"), ("asks", "int"), ("after", "string")]
+    fields = [("free", "string"), ("start", "int"), ("stop", "int"), ("out", "string")]
     return T.ArrayType(T.StructType([T.StructField(x, T.StringType() if y == "string" else T.IntegerType()) for x, y in fields]))
 
 
+def packed(t: Tracked) -> bytes:
+    """The parts of a text: free characters before each, its characters in the source and the number of its note, in as few bytes as they fit."""
+    gaps = t.source_start - np.concatenate(([0], t.source_stop[:-1])) if len(t.source_stop) else t.source_start
+    columns = (gaps, t.source_stop - t.source_start, t.numbers)
+    width = [next(w for w in (1, 2, 4) if x.max(initial=0) < 256**w) for x in columns]
+    return bytes(width) + b"".join(x.astype(f"<u{w}").tobytes() for x, w in zip(columns, width))
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, stop, number) of the parts in the source."""
+    width, at, columns = tuple(data[:3]), 3, []
+    n = (len(data) - 3) // sum(width)
+    for w in width:
+        columns.append(np.frombuffer(data, f"<u{w}", n, at).astype(np.int64))
+        at += n * w
+    stop = np.cumsum(columns[0] + columns[1])
+    return stop - columns[1], stop, columns[2]
+
+
 def cut_documents(docs: DataFrame, id_col: str, text_col: str, brief: bool = False) -> DataFrame:
-    """(row, id, parts, tail, kinds, texts): parts array<struct<free, start, stop, before, asks, after>> of every row of docs.
+    """(block, id, text, parts, notes): every row of docs with its packed parts, and for each block of rows one row of their different notes.
 
-    free is the source before a part, and asks the number of what it asks in kinds and texts; null for a literal, which is `before`.
+    notes: array<struct<kind, text, before, after>>, by number; the kind of a literal, which is `before`, is null.
     """
-    fields = [docs.schema[id_col].dataType, _part_type(), T.StringType(), T.ArrayType(T.StringType()), T.ArrayType(T.StringType())]
-    schema = T.StructType([T.StructField("row", T.LongType()), *[T.StructField(x, y) for x, y in zip(("id", "parts", "tail", "kinds", "texts"), fields)]])
+    note_type = T.ArrayType(T.StructType([T.StructField(x, T.StringType()) for x in ("kind", "text", "before", "after")]))
+    fields = [T.LongType(), docs.schema[id_col].dataType, T.StringType(), T.BinaryType(), note_type]
+    schema = T.StructType([T.StructField(x, y) for x, y in zip(("block", "id", "text", "parts", "notes"), fields)])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        from pyspark import TaskContext
+
+        listed = pa.list_(pa.struct([(x, pa.string()) for x in ("kind", "text", "before", "after")]))
+        block, signs, notes, kind = TaskContext.get().partitionId() << 32, 0, Notes(), None
+
+        def noted():
+            each = [{"before": x} if isinstance(x, str) else dict(zip(("kind", "text", "before", "after"), x)) for x in notes]
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.nulls(1, kind), pa.nulls(1, pa.string()), pa.nulls(1, pa.binary()), pa.array([each], listed)], schema.names)
 
-        kind = pa.list_(pa.struct([("free", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("before", pa.string()), ("asks", pa.int32()), ("after", pa.string())]))
         for batch in batches:
-            columns: tuple[list, ...] = ([], [], [], [])
-            for source in batch.column(2).to_pylist():
-                source, done, parts, asks = source or "", 0, [], {}
-                for a, z, note in cut(source, brief).parts():
-                    before, number, after = note, None, ""
-                    if not isinstance(note, str):
-                        number = asks.setdefault(note[:2], len(asks))
-                        before, after = note[2:]
-                    parts.append({"free": source[done:a], "start": a, "stop": z, "before": before, "asks": number, "after": after})
-                    done = z
-                for column, value in zip(columns, (parts, source[done:], [k for k, _ in asks], [x for _, x in asks])):
-                    column.append(value)
-            strings = pa.list_(pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, columns, (kind, pa.string(), strings, strings))], schema.names)
-
-    return spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select(F.monotonically_increasing_id().alias("row"), "id", "text").mapInArrow(run, schema)
+            kind, parts = batch.column(0).type, []
+            for source in batch.column(1).to_pylist():
+                parts.append(packed(cut(source or "", brief, notes)))
+                signs += len(source or "")
+            n = len(parts)
+            yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), batch.column(0), batch.column(1), pa.array(parts, pa.binary()), pa.nulls(n, listed)], schema.names)
+            if signs >= BLOCK_SIGNS:
+                if notes:
+                    yield noted()
+                block, signs, notes = block + 1, 0, Notes()
+        if notes:
+            yield noted()
+
+    return spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, schema)
 
 
 def read_all(questions: DataFrame, terms: Terms = None, code_terms: Terms = None) -> DataFrame:
@@ -257,28 +331,72 @@ def read_all(questions: DataFrame, terms: Terms = None, code_terms: Terms = None
 
 
 def normalize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", terms: Terms = None, code_terms: Terms = None, brief: bool = False, dictionary: DataFrame | None = None) -> DataFrame:
-    """(id, normalized, parts) for every row of docs; id has id_col's name.
+    """(id, normalized, parts, tail) for every row of docs; id has id_col's name.
 
-    parts: array<struct<free, start, stop, out>>, the source before a part, the part's range in the source, and what it has become.
-    terms add to, or replace, the readings of prose and URLs, code_terms those of identifiers; brief names blocks of code instead of
-    reading them, where no directive in the text says otherwise. A dictionary, a table (term, said) of any size, comes before all other
-    readings of words of prose, whatever their case; of equal terms the least reading counts.
+    parts: array<struct<free, start, stop, out>>, the source before a part, the part's range in the source, and what it has become; tail
+    is the source behind them. terms add to, or replace, the readings of prose and URLs, code_terms those of identifiers; brief names
+    blocks of code instead of reading them, where no directive in the text says otherwise. A dictionary, a table (term, said) of any
+    size, comes before all other readings of words of prose, whatever their case; of equal terms the least reading counts.
     """
-    documents = settle(cut_documents(docs, id_col, text_col, brief), "cut")
-    asks = documents.select("row", F.posexplode(F.arrays_zip("kinds", "texts")).alias("number", "ask")).select("row", "number", F.col("ask.kinds").alias("kind"), F.col("ask.texts").alias("text"))
-    questions = settle(asks.select("kind", "text").distinct(), "questions")
+    return _put_together(*_cut_and_read(docs, id_col, text_col, terms, code_terms, brief, dictionary), id_col, True)
+
+
+def spoken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", terms: Terms = None, code_terms: Terms = None, brief: bool = False, dictionary: DataFrame | None = None) -> DataFrame:
+    """(id, normalized, rewritten) for every row of docs: as normalize(), with the number of the parts alone."""
+    return _put_together(*_cut_and_read(docs, id_col, text_col, terms, code_terms, brief, dictionary), id_col, False)
+
+
+def _cut_and_read(docs: DataFrame, id_col: str, text_col: str, terms: Terms, code_terms: Terms, brief: bool, dictionary: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(block, id, text, parts) of the documents, and (asking, number, out) of the notes of each block."""
+    cuts = settle(cut_documents(docs, id_col, text_col, brief), "cut")
+    notes = cuts.where("notes IS NOT NULL").select(F.col("block").alias("asking"), F.posexplode("notes").alias("number", "note")).select("asking", "number", "note.*")
+    questions = settle(notes.where("kind IS NOT NULL").select("kind", "text").distinct(), "questions")
     said = read_all(questions, terms, code_terms)
     if dictionary is not None:
         one = dictionary.where("said IS NOT NULL").groupBy(F.lower("term").alias("term")).agg(F.min("said").alias("own"))
         said = said.join(one, (F.col("kind") == "word") & (F.lower("text") == F.col("term")), "left").select("kind", "text", F.coalesce("own", "said").alias("said"))
     said = settle(said, "said")
     forget(questions)
-    answers = asks.join(said, ["kind", "text"]).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("number", "said"))).alias("answers"))
-    full = documents.join(answers.select("row", F.transform("answers", lambda a: a["said"]).alias("said")), "row", "left")
-    out = lambda p: F.concat(p["before"], F.when(p["asks"].isNull(), "").otherwise(F.coalesce(F.get(F.col("said"), p["asks"]), F.lit(""))), p["after"])
-    full = full.select("id", F.transform("parts", lambda p: F.struct(p["free"].alias("free"), p["start"].alias("start"), p["stop"].alias("stop"), out(p).alias("out"))).alias("parts"), "tail")
-    text = F.concat(F.array_join(F.transform("parts", lambda p: F.concat(p["free"], p["out"])), ""), F.col("tail"))
-    return full.select(F.col("id").alias(id_col), F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "").alias("normalized"), "parts", "tail")
+    read = notes.join(said, ["kind", "text"]).select("asking", "number", F.concat("before", F.coalesce("said", F.lit("")), "after").alias("out"))
+    literals = notes.where("kind IS NULL").select("asking", "number", F.col("before").alias("out"))
+    return cuts.where("notes IS NULL").drop("notes"), read.unionByName(literals)
+
+
+def _put_together(documents: DataFrame, answers: DataFrame, id_col: str, with_parts: bool) -> DataFrame:
+    """Every document from its free text and what its block's notes have become."""
+
+    def run(own, said):
+        import pyarrow as pa
+
+        out = [""] * said.num_rows
+        for k, x in zip(said.column("number").to_pylist(), said.column("out").to_pylist()):
+            out[k] = x
+        texts, sizes, tails, free, each, places = [], [], [], [], [], []
+        for source, data in zip(own.column("text").to_pylist(), own.column("parts").to_pylist()):
+            source, (start, stop, number) = source or "", unpacked(data)
+            ends = stop.tolist()
+            pieces = [""] * (2 * len(ends) + 1)
+            pieces[::2] = [source[a:z] for a, z in zip([0, *ends], [*start.tolist(), len(source)])]
+            pieces[1::2] = map(out.__getitem__, number.tolist())
+            texts.append("".join(pieces).strip(WHITE))
+            sizes.append(len(ends))
+            if with_parts:
+                tails.append(pieces[-1])
+                free += pieces[:-1:2]
+                each += pieces[1::2]
+                places.append((start, stop))
+        columns = [own.column("id"), pa.array(texts, pa.string())]
+        if not with_parts:
+            return pa.table([*columns, pa.array(sizes, pa.int32())], schema.names)
+        start, stop = (pa.array(np.concatenate(x), pa.int32()) for x in zip(*places))
+        struct = pa.StructArray.from_arrays([pa.array(free, pa.string()), start, stop, pa.array(each, pa.string())], ["free", "start", "stop", "out"])
+        parts = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), struct)
+        return pa.table([*columns, parts, pa.array(tails, pa.string())], schema.names)
+
+    more = [T.StructField("parts", _part_type()), T.StructField("tail", T.StringType())] if with_parts else [T.StructField("rewritten", T.IntegerType())]
+    schema = T.StructType([T.StructField("id", documents.schema["id"].dataType), T.StructField("normalized", T.StringType()), *more])
+    done = documents.groupBy("block").cogroup(answers.groupBy("asking")).applyInArrow(run, schema)
+    return done.withColumnRenamed("id", id_col)
 
 
 def char_map(normalized: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -177,10 +177,9 @@ def voice_input(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def normalize(spark: SparkSession, sf: str) -> DataFrame:
     """Speakable text of every document, with how much of it was rewritten."""
-    from lectern.plans.normalize import normalize as run
+    from lectern.plans.normalize import spoken
 
-    found = run(table(spark, sf, "documents"))
-    return found.select("doc_id", "normalized", F.size("parts").alias("rewritten"))
+    return spoken(table(spark, sf, "documents"))
 
 
 @query()

@@ -1,8 +1,10 @@
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.plans.normalize import char_map, cut, normalize, provenance
+from lectern.plans import normalize as plan
 from tests.golden_texts import CHAR_MAPS, GOLDEN
 
 MORE = [
@@ -82,3 +84,45 @@ def test_cutting_takes_linear_time():
         began = time.process_time()
         cut(hard)
         assert time.process_time() - began < 20
+
+
+def test_a_block_asks_once_for_what_its_texts_repeat(spark):
+    docs = spark.range(1000).selectExpr("id AS doc_id", "concat('Take getUserData at 12:30 — ', id % 2, ' times') AS text")
+    notes = plan.cut_documents(docs, "doc_id", "text").where("notes IS NOT NULL").select("block", F.explode("notes").alias("note")).collect()
+    blocks = {r.block for r in notes}
+    assert 0 < len(blocks) <= spark.sparkContext.defaultParallelism
+    assert len(notes) <= 8 * len(blocks) and len(set(notes)) == len(notes)
+
+
+def test_blocks_change_no_text(spark, monkeypatch):
+    texts = [x for _, x, _ in GOLDEN] * 3 + [None, ""]
+    docs = spark.createDataFrame([(i % 50, x) for i, x in enumerate(texts)], "doc_id long, text string").repartition(2)
+    monkeypatch.setattr(plan, "BLOCK_SIGNS", 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert plan.cut_documents(docs, "doc_id", "text").where("notes IS NOT NULL").count() > 10
+        small = sorted(plan.spoken(docs).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    monkeypatch.undo()
+    whole = normalize(docs).select("doc_id", "normalized", F.size("parts").alias("rewritten")).collect()
+    assert small == sorted(whole) and len(small) == len(texts)
+
+
+def test_packed_parts_are_the_parts():
+    for text in ("", "ж" * 300 + " a " + "ж" * 70_000 + " `" + "b " * 200 + "`", " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600))):
+        t = cut(text)
+        start, stop, number = plan.unpacked(plan.packed(t))
+        notes = list(t.notes)
+        assert [(a, z, notes[k]) for a, z, k in zip(start.tolist(), stop.tolist(), number.tolist())] == t.parts()
+
+
+def test_cutting_is_not_slowed_by_single_spaces_and_words_without_signs():
+    text, calls = "plain words ж " * 2000, []
+    counted = plan.Tracked.sub
+    plan.Tracked.sub = lambda self, pattern, change: counted(self, pattern, lambda m: calls.append(m) or change(m))
+    try:
+        t = cut(text)
+    finally:
+        plan.Tracked.sub = counted
+    assert len(t.parts()) == 4000 and not calls

@@ -57,3 +57,15 @@ def test_free_characters_keep_their_place(source, steps):
         at = a
         if not any(s <= a < e for s, e, _ in t.parts()):
             assert source[a:z] == c
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab -", max_size=40), st.lists(st.sampled_from(["a ", " b", "-", "bb"]), max_size=3))
+def test_matches_at_once_are_matches_one_by_one(source, steps):
+    one, all_ = Tracked(source), Tracked(source)
+    for t in (one, all_):
+        for old in steps:
+            t.replace(old, "b")
+    one.sub(re.compile(r"\b[ab]+\b"), lambda m: ("жж", ("word", m[0])))
+    all_.sub_texts(re.compile(r"(\b[ab]+\b)"), "жж", lambda x: ("word", x))
+    assert one.text == all_.text and one.parts() == all_.parts() and one.char_map() == all_.char_map()
