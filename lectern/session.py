@@ -22,7 +22,7 @@ def local_session(cpus: int | str = 8, partitions: int = 8, memory: str = "20g")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.maxPlanStringLength", "100000")  # the normaliser's plan is large, and described before it runs
+        .config(PLAN_KEY, str(PLAN_SIGNS))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -33,6 +33,8 @@ def local_session(cpus: int | str = 8, partitions: int = 8, memory: str = "20g")
 BATCH_KEY, BATCH_DEFAULT, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
 #: Bytes of an Arrow batch likewise: what Python makes of a text may take many times its room, so batches of long texts are of few rows.
 BYTES_KEY, BYTES_MOST = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20
+#: Signs of a plan's description, likewise: tables of words are literals, and the driver describes a plan anew at each of its stages.
+PLAN_KEY, PLAN_SIGNS = "spark.sql.maxPlanStringLength", 100_000
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -44,6 +46,8 @@ def ready(spark: SparkSession) -> SparkSession:
         spark.conf.set(BATCH_KEY, BATCH_ROWS)
     if BYTES_KEY not in _asked(spark):
         spark.conf.set(BYTES_KEY, str(BYTES_MOST))
+    if PLAN_KEY not in _asked(spark):
+        spark.conf.set(PLAN_KEY, str(PLAN_SIGNS))
     return spark
 
 

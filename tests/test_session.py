@@ -7,6 +7,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lectern import session
+from lectern.functions.numbers import int_words
 from lectern.session import BYTES_MOST, CLEAN_KEY, _SETTLED, forget, settle, settle_parts
 
 
@@ -40,3 +42,17 @@ def test_batches_of_long_texts_are_of_few_rows(spark):
     assert sum(r.rows for r in got) == 400 and max(r.bytes for r in got) < 2 * BYTES_MOST
     lengths = texts.select(F.pandas_udf(lambda x: pd.Series([len(x)] * len(x)), "long")("text").alias("n")).collect()
     assert max(r.n for r in lengths) * 100_000 < 2 * BYTES_MOST
+
+
+def test_tables_of_words_do_not_fill_the_driver_with_descriptions(spark, monkeypatch):
+    key, was = "spark.sql.maxPlanStringLength", spark.conf.get("spark.sql.maxPlanStringLength")
+    try:
+        spark.conf.set(key, "2147483632")  # Spark's own
+        monkeypatch.setattr(session, "_asked", lambda spark: {})
+        session.ready(spark)
+        assert len(spark.range(3).select(int_words(F.col("id")))._jdf.queryExecution().toString()) < 500_000
+        spark.conf.set(key, "7000")
+        monkeypatch.setattr(session, "_asked", lambda spark: {key: "7000"})
+        assert session.ready(spark).conf.get(key) == "7000"
+    finally:
+        spark.conf.set(key, was)
