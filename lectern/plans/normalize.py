@@ -286,13 +286,13 @@ def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def cut_documents(docs: DataFrame, id_col: str, text_col: str, brief: bool = False) -> DataFrame:
-    """(block, id, text, parts, notes): every row of docs with its packed parts, and for each block of rows one row of their different notes.
+    """(block, id, free, parts, notes): every row of docs with what its packed parts leave of its text, and for each block of rows one row of their different notes.
 
     notes: array<struct<kind, text, before, after>>, by number; the kind of a literal, which is `before`, is null.
     """
     note_type = T.ArrayType(T.StructType([T.StructField(x, T.StringType()) for x in ("kind", "text", "before", "after")]))
     fields = [T.LongType(), docs.schema[id_col].dataType, T.StringType(), T.BinaryType(), note_type]
-    schema = T.StructType([T.StructField(x, y) for x, y in zip(("block", "id", "text", "parts", "notes"), fields)])
+    schema = T.StructType([T.StructField(x, y) for x, y in zip(("block", "id", "free", "parts", "notes"), fields)])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -306,12 +306,15 @@ def cut_documents(docs: DataFrame, id_col: str, text_col: str, brief: bool = Fal
             return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.nulls(1, kind), pa.nulls(1, pa.string()), pa.nulls(1, pa.binary()), pa.array([each], listed)], schema.names)
 
         for batch in batches:
-            kind, parts = batch.column(0).type, []
+            kind, free, parts = batch.column(0).type, [], []
             for source in batch.column(1).to_pylist():
-                parts.append(packed(cut(source or "", brief, notes)))
-                signs += len(source or "")
+                source = source or ""
+                t = cut(source, brief, notes)
+                free.append("".join([source[a:z] for a, z in zip([0, *t.source_stop.tolist()], [*t.source_start.tolist(), len(source)])]))
+                parts.append(packed(t))
+                signs += len(source)
             n = len(parts)
-            yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), batch.column(0), batch.column(1), pa.array(parts, pa.binary()), pa.nulls(n, listed)], schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), batch.column(0), pa.array(free, pa.string()), pa.array(parts, pa.binary()), pa.nulls(n, listed)], schema.names)
             if signs >= BLOCK_SIGNS:
                 if notes:
                     yield noted()
@@ -347,7 +350,7 @@ def spoken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", term
 
 
 def _cut_and_read(docs: DataFrame, id_col: str, text_col: str, terms: Terms, code_terms: Terms, brief: bool, dictionary: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(block, id, text, parts) of the documents, and (asking, number, out) of the notes of each block."""
+    """(block, id, free, parts) of the documents, and (asking, number, out) of the notes of each block."""
     cuts = settle(cut_documents(docs, id_col, text_col, brief), "cut")
     notes = cuts.where("notes IS NOT NULL").select(F.col("block").alias("asking"), F.posexplode("notes").alias("number", "note")).select("asking", "number", "note.*")
     questions = settle(notes.where("kind IS NOT NULL").select("kind", "text").distinct(), "questions")
@@ -372,11 +375,11 @@ def _put_together(documents: DataFrame, answers: DataFrame, id_col: str, with_pa
         for k, x in zip(said.column("number").to_pylist(), said.column("out").to_pylist()):
             out[k] = x
         texts, sizes, tails, free, each, places = [], [], [], [], [], []
-        for source, data in zip(own.column("text").to_pylist(), own.column("parts").to_pylist()):
-            source, (start, stop, number) = source or "", unpacked(data)
-            ends = stop.tolist()
+        for kept, data in zip(own.column("free").to_pylist(), own.column("parts").to_pylist()):
+            start, stop, number = unpacked(data)
+            ends = (start - np.cumsum(stop - start) + (stop - start)).tolist()  # of the free text before each part, among all of it
             pieces = [""] * (2 * len(ends) + 1)
-            pieces[::2] = [source[a:z] for a, z in zip([0, *ends], [*start.tolist(), len(source)])]
+            pieces[::2] = [kept[a:z] for a, z in zip([0, *ends], [*ends, len(kept)])]
             pieces[1::2] = map(out.__getitem__, number.tolist())
             texts.append("".join(pieces).strip(WHITE))
             sizes.append(len(ends))
