@@ -326,10 +326,13 @@ def cut_documents(docs: DataFrame, id_col: str, text_col: str, brief: bool = Fal
 
 
 def read_all(questions: DataFrame, terms: Terms = None, code_terms: Terms = None) -> DataFrame:
-    """(kind, text, said) of a stored table of different questions (kind, text)."""
+    """(kind, text, said) of a stored table of different questions (kind, text), stored.
+
+    Kinds are read one after another: each has tables of words as literals in its plan, and the driver holds those of one kind at a time.
+    """
     known = readings(terms, code_terms)
     kinds = sorted(r.kind for r in questions.select("kind").distinct().collect())  # at most as many as there are readings
-    each = [questions.where(F.col("kind") == k).select("kind", "text", known[k](F.col("text")).alias("said")) for k in kinds]
+    each = [settle(questions.where(F.col("kind") == k).select("kind", "text", known[k](F.col("text")).alias("said")), "said") for k in kinds]
     return reduce(DataFrame.unionByName, each) if each else questions.withColumn("said", F.lit(None).cast("string"))
 
 
@@ -357,8 +360,7 @@ def _cut_and_read(docs: DataFrame, id_col: str, text_col: str, terms: Terms, cod
     said = read_all(questions, terms, code_terms)
     if dictionary is not None:
         one = dictionary.where("said IS NOT NULL").groupBy(F.lower("term").alias("term")).agg(F.min("said").alias("own"))
-        said = said.join(one, (F.col("kind") == "word") & (F.lower("text") == F.col("term")), "left").select("kind", "text", F.coalesce("own", "said").alias("said"))
-    said = settle(said, "said")
+        said = settle(said.join(one, (F.col("kind") == "word") & (F.lower("text") == F.col("term")), "left").select("kind", "text", F.coalesce("own", "said").alias("said")), "said")
     forget(questions)
     read = notes.join(said, ["kind", "text"]).select("asking", "number", F.concat("before", F.coalesce("said", F.lit("")), "after").alias("out"))
     literals = notes.where("kind IS NULL").select("asking", "number", F.col("before").alias("out"))
