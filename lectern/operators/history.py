@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import TimestampType
 
 from lectern.session import settle
 
@@ -108,6 +109,17 @@ def bytes_of_entries(entries: DataFrame, files: DataFrame) -> DataFrame:
     return paths.join(files.select("path", "length"), "path", "left").groupBy("id").agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
 
 
+def _second(entries: DataFrame) -> Column:
+    """created_at in seconds since 1970, in its own order whatever the session's time zone; without a date it is before all others."""
+    at = F.col("created_at")
+    if entries.schema["created_at"].dataType == TimestampType():
+        second = F.unix_seconds(at)
+    else:  # as the clock shows it: a zone's clock skips hours, so what has none is not put into one
+        at = at.cast("timestamp_ntz")
+        second = F.unix_date(at.cast("date")).cast("long") * 86400 + F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at)
+    return F.coalesce(second, F.lit(-(1 << 62)))
+
+
 def evict_to_size(entries: DataFrame, target: int) -> DataFrame:
     """Rows (id, created_at, bytes, status) to evict, oldest first until the total of all is at most target; none for target 0.
 
@@ -117,16 +129,16 @@ def evict_to_size(entries: DataFrame, target: int) -> DataFrame:
     if target <= 0:
         return entries.limit(0)
     total = entries.agg(F.coalesce(F.sum("bytes"), F.lit(0)).cast("long")).first()[0]
-    at = F.coalesce(F.col("created_at").cast("timestamp"), F.lit("1900-01-01").cast("timestamp"))
+    at = _second(entries)
     rest, evicted = entries.where("status <> 'processing' AND bytes IS NOT NULL"), []
-    for size in ("day", "minute"):
-        cells = rest.groupBy(F.date_trunc(size, at).alias("cell")).agg(F.sum("bytes").alias("cell_bytes"))
+    for size in (86400, 60):
+        cell = at - F.pmod(at, F.lit(size))
+        cells = rest.groupBy(cell.alias("cell")).agg(F.sum("bytes").alias("cell_bytes"))
         before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # a row for each day, or each minute of one day
         left = cells.withColumn("left_over", F.lit(total) - F.coalesce(F.sum("cell_bytes").over(before), F.lit(0)))
         crossed = left.where((F.col("left_over") > target) & (F.col("left_over") - F.col("cell_bytes") <= target)).orderBy("cell").first()
         if crossed is None:  # all of it goes, or nothing
             return reduce(DataFrame.unionByName, [*evicted, rest if total > target else rest.limit(0)])
-        cell = F.date_trunc(size, at)
         evicted.append(rest.where(cell < F.lit(crossed.cell)))
         rest, total = rest.where(cell == F.lit(crossed.cell)), int(crossed.left_over)
     order = Window.orderBy(F.asc_nulls_first("created_at"), "id").rowsBetween(Window.unboundedPreceding, -1)

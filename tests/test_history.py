@@ -23,6 +23,25 @@ def test_eviction_to_size_like_a_running_sum(spark):
     assert H.evict_to_size(entries.limit(0), 5).count() == 0
 
 
+def test_eviction_to_size_whatever_the_time_zone(spark):
+    """Clocks skip 02:00 to 03:00 on 10 March 2024 in New York, and show 01:00 to 02:00 twice on 3 November."""
+    minutes = [0, 90, 119, 120, 150, 179, 180, 190, None]
+    plain = [(i, None if m is None else datetime.datetime(2024, 3, 10) + datetime.timedelta(minutes=m), 10, "ready") for i, m in enumerate(minutes * 3)]
+    instants = [(i, 1730610000 + 600 * (i * 7 % 24), 10, "ready") for i in range(24)]  # from 05:00 UTC, 01:00 there, in steps of ten minutes
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        local = spark.createDataFrame(plain, "id long, created_at timestamp_ntz, bytes long, status string")
+        exact = spark.createDataFrame(instants, "id long, s long, bytes long, status string").select("id", F.timestamp_seconds("s").alias("created_at"), "bytes", "status")
+        for entries, rows, first in ((local, plain, datetime.datetime.min), (exact, instants, 0)):
+            oldest = [x[0] for x in sorted(rows, key=lambda x: (x[1] or first, x[0]))]
+            for kept in (1, 7, 13, 20):
+                gone = H.evict_to_size(entries, 10 * kept).collect()
+                assert sorted(x.id for x in gone) == sorted(oldest[: len(rows) - kept]), (entries.schema, kept)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def entries(spark):
     rows = [("a", "ready", "a.opus", None, "plain"), ("b", "ready", "b.wav", "b.json", "plain"), ("c", "processing", None, None, "html"), ("d", "ready", "gone.wav", None, None)]
     return spark.createDataFrame(rows, "id string, status string, audio_path string, timestamps_path string, format string")
