@@ -82,6 +82,20 @@ def test_clearing(spark):
     assert tuple(H.startup_cleanup(listed, used, rows, now, 5 << 20).first()) == (1, 5, 0, 0)
 
 
+def test_clearing_to_a_size_whatever_the_time_zone(spark):
+    """02:30 of a day whose clocks skip from 02:00 to 03:00 is still before 03:10."""
+    now = F.lit("2024-04-01 00:00:00").cast("timestamp")
+    listed = spark.createDataFrame([], "name string, modified timestamp, length long")
+    rows = spark.createDataFrame([(i, datetime.datetime(2024, 3, 10, h, m), n << 20, "ready") for i, h, m, n in (("a", 2, 30, 5), ("b", 3, 10, 7))], "id string, created_at timestamp_ntz, bytes long, status string")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert tuple(H.startup_cleanup(listed, listed.select("name"), rows, now, 8 << 20).first()) == (0, 0, 1, 5 << 20)
+        assert tuple(H.clear_cache(listed, listed.select("name"), rows, now, 8).first()) == (0, 0, 1, 5 << 20)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_ingest_search_and_order(spark):
     texts = spark.createDataFrame([("﻿Привет", "piper"), ("  ", "piper"), ("x" * 100_001, "piper"), ("x" * 100_001, "silero"), (None, "silero")], "text string, engine string")
     new, errors = H.ingest(texts, F.col("engine"))
