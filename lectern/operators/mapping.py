@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from lectern.operators import packed as P
 from lectern.session import settle
 
 
@@ -44,9 +45,9 @@ def _at_level(nodes: Column, level: int) -> Column:
     return F.transform(nodes, lambda n: F.struct(F.lit(level).alias("level"), n.alias("node")))
 
 
-def _above(level: Column, node: Column, levels: list[int], own: bool = True) -> Column:
+def _above(level: Column, node: Column, levels: list[int]) -> Column:
     """array<struct<level, node>>: a cell, and those of the given levels that hold it."""
-    at = [F.when((level <= k) if own else (level < k), F.struct(F.lit(k).alias("level"), F.call_function("shiftright", node, ((F.lit(k) - level) * FAN_BITS).cast("int")).alias("node"))) for k in levels]
+    at = [F.when(level <= k, F.struct(F.lit(k).alias("level"), F.call_function("shiftright", node, ((F.lit(k) - level) * FAN_BITS).cast("int")).alias("node"))) for k in levels]
     return F.array_compact(F.array(*at)) if at else F.array().cast("array<struct<level:int,node:bigint>>")
 
 
@@ -62,23 +63,31 @@ def _used(celled: DataFrame) -> list[int]:
 def map_via_spans(ranges: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
     """ranges (keys, norm_start, norm_end) with orig_start, orig_end: the hull of the spans that overlap, itself where none does.
 
-    Two ranges overlap if a cell of one is a cell of the other, or lies in one.
+    Two ranges overlap if a cell of one is a cell of the other, or lies in one. Cells are dealt packed (operators/packed.py), and nothing is
+    stored: what the tallest cells are is asked first.
     """
-    s = spans.select(*keys, F.col("norm_start").alias("ss"), F.col("norm_end").alias("se"), F.col("orig_start").alias("os"), F.col("orig_end").alias("oe"))
-    s = _celled(s, _cover(F.col("ss"), F.col("se")), "spans")
-    r = _celled(ranges.select(*keys, "norm_start", "norm_end"), _cover(F.col("norm_start"), F.col("norm_end")), "ranges")
-    span_levels, range_levels = _used(s), _used(r)
-    hit = (F.col("se") > F.col("norm_start")) & (F.col("ss") < F.col("norm_end"))
-
-    def meet(left: DataFrame, right: DataFrame) -> DataFrame:
-        return _met(left, right, keys, hit).groupBy(*keys, "level", "node", "norm_start", "norm_end").agg(F.min("os").alias("os"), F.max("oe").alias("oe"))
-
-    raised = lambda df, levels, own: df.withColumn("above", F.explode(_above(F.col("level"), F.col("node"), levels, own))).drop("level", "node").select("*", "above.level", "above.node").drop("above")
-    found = meet(r if span_levels in ([], [0]) and range_levels in ([], [0]) else raised(r, span_levels, True), s)
-    if range_levels and span_levels and range_levels[-1] > span_levels[0]:  # else each range has a row above
-        found = found.unionByName(meet(r, raised(s, range_levels, False)))
-    hull = found.groupBy(*keys, "norm_start", "norm_end").agg(F.min("os").alias("lo"), F.max("oe").alias("hi"))
-    return hull.select(*keys, "norm_start", "norm_end", F.coalesce("lo", "norm_start").alias("orig_start"), F.coalesce("hi", "norm_end").alias("orig_end"))
+    names = ["start", "stop", "least", "most"]
+    as_long = lambda df, *columns: df.select(*keys, *[F.col(c).cast("long").alias(n) for c, n in zip(columns, names)])
+    r = as_long(ranges, "norm_start", "norm_end").where("start is not null").fillna(P.NO_MOST, ["stop"])
+    s = as_long(spans, "norm_start", "norm_end", "orig_start", "orig_end").where("start is not null and stop is not null").fillna(P.NO_LEAST, ["least"]).fillna(P.NO_MOST, ["most"])
+    tops = [P.top_level(df, "norm_start", "norm_end") for df in (ranges, spans)]
+    cell = [*keys, "level", "node"]
+
+    def dealt(df: DataFrame, above: int, name: str) -> DataFrame:
+        ends = [F.min("least").alias(f"least of {name}"), F.max("most").alias(f"most of {name}")]
+        return P.by_cell(df, keys, above).repartition(*cell).groupBy(*cell).agg(*ends, F.collect_list("part").alias(name))
+
+    r, s = dealt(r, tops[1], "ranges"), dealt(s, tops[0], "spans")
+    s = s.withColumnsRenamed({c: f"{c} of span" for c in cell})
+    same = reduce(Column.__and__, [F.col(c) == F.col(f"{c} of span") for c in cell])
+    met = r.join(s, same & (F.col("most of spans") > F.col("least of ranges")) & (F.col("least of spans") < F.col("most of ranges")), "left")
+    homes = P.hulls(met, keys).repartition(*keys, "home").groupBy(*keys, "home").agg(F.collect_list("part").alias("parts"))
+    kind = lambda df, c: df.schema[c].dataType
+    found = P.unpacked(homes, keys).select(
+        *keys, F.col("start").cast(kind(ranges, "norm_start")).alias("norm_start"), F.col("stop").cast(kind(ranges, "norm_end")).alias("norm_end"),
+        F.col("least").cast(kind(spans, "orig_start")).alias("lo"), F.col("most").cast(kind(spans, "orig_end")).alias("hi"),
+    )
+    return found.select(*keys, "norm_start", "norm_end", F.coalesce("lo", "norm_start").alias("orig_start"), F.coalesce("hi", "norm_end").alias("orig_end"))
 
 
 def _met(rows: DataFrame, spans: DataFrame, keys: list[str], hit: Column) -> DataFrame:

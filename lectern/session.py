@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import uuid
 import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -110,13 +112,19 @@ def settle_parts(df: DataFrame, column: str, values: list[str], name: str = "tab
 
 
 def _write(df: DataFrame, path: str, *by: str) -> None:
-    conf = df.sparkSession.conf
-    before = conf.get(CLEAN_KEY, None)
-    conf.set(CLEAN_KEY, "true")
-    try:
+    with clearing(df.sparkSession):
         df.write.partitionBy(*by).parquet(path)
+
+
+@contextmanager
+def clearing(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries that run meanwhile go when each ends."""
+    before = spark.conf.get(CLEAN_KEY, None)
+    spark.conf.set(CLEAN_KEY, "true")
+    try:
+        yield
     finally:
-        conf.unset(CLEAN_KEY) if before is None else conf.set(CLEAN_KEY, before)
+        spark.conf.unset(CLEAN_KEY) if before is None else spark.conf.set(CLEAN_KEY, before)
 
 
 def _stored(df: DataFrame, path: str) -> DataFrame:

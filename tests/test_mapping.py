@@ -106,3 +106,42 @@ def test_cells_are_dealt_once(spark, tmp_path):
             assert plan.count("Exchange hashpartitioning(doc_id") == most and "LeftOuter, ((" in plan, name
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_odd_ranges_and_spans_like_brute_force(spark):
+    """Ranges and spans of all lengths, empty, ending before they start or at the edges of cells, with nulls and repeated rows."""
+    r = random.Random(11)
+    edge = lambda top: r.choice([r.randrange(-top // 10, top), 4096 * r.randrange(top // 4096 + 1) + r.choice([-1, 0, 1])])
+    size = lambda top: r.choice([0, 0, 1, 2, 10, 4096, r.randrange(top), -r.randrange(1, 50), -r.randrange(top)])
+    null = lambda x: None if r.random() < 0.02 else x
+    spans, ranges = [], []
+    for doc, top in enumerate((300, 20_000, 400_000)):
+        spans += [(null(doc), null(a), null(a + size(top)), null(r.randrange(10**6)), null(r.randrange(10**6))) for a in (edge(top) for _ in range(120))]
+        ranges += [(null(doc), null(a), null(a + size(top))) for a in (edge(top) for _ in range(200))]
+    ranges += [(9, 0, 5), *ranges[:30]]
+    spans_df = spark.createDataFrame(spans, "doc int, norm_start long, norm_end long, orig_start int, orig_end long").repartition(3)
+    found = M.map_via_spans(spark.createDataFrame(ranges, "doc int, norm_start int, norm_end long").repartition(3), spans_df, ["doc"])
+    assert [f.dataType.simpleString() for f in found.schema] == ["int", "int", "bigint", "int", "bigint"]
+    want = set()
+    for d, a, z in ranges:
+        hit = [s for s in spans if None not in (d, z, s[1], s[2]) and s[0] == d and a is not None and s[2] > a and s[1] < z]
+        if a is not None:
+            want.add((d, a, z, min((s[3] for s in hit if s[3] is not None), default=a), max((s[4] for s in hit if s[4] is not None), default=z)))
+    got = [tuple(x) for x in found.collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_ranges_and_spans_are_dealt_packed(spark):
+    """A few bytes are shuffled for each range and span, and none are stored."""
+    spans = spark.range(0, 150_000, 1, 4).selectExpr("id div 500 as doc", "id % 500 * 12 as norm_start", "id % 500 * 12 + 4 + pmod(hash(id), 14) as norm_end", "id % 500 * 6 as orig_start", "id % 500 * 6 + 2 + pmod(hash(id), 7) as orig_end")
+    ranges = spark.range(0, 150_000, 1, 4).selectExpr("id div 500 as doc", "id % 500 * 14 as norm_start", "id % 500 * 14 + 10 as norm_end")
+
+    def stages():
+        found = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return [found.apply(i) for i in range(found.size())]
+
+    before = {x.stageId() for x in stages()}
+    M.map_via_spans(ranges, spans, ["doc"]).write.format("noop").mode("overwrite").save()
+    ran = [x for x in stages() if x.stageId() not in before]
+    assert sum(x.outputBytes() for x in ran) == 0
+    assert sum(x.shuffleWriteBytes() for x in ran) < 8 * 300_000
