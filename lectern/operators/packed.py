@@ -53,7 +53,7 @@ def by_cell(df: DataFrame, keys: list[str], above: int) -> DataFrame:
             start, stop, *others = (np.asarray(c) for c in columns[len(keys) :])
             row, level, node, own = _cells(start, np.where(stop == NO_MOST, start, stop), above)
             group = _groups(columns[: len(keys)])[row]
-            order = np.lexsort((start[row], node, level, group))
+            order = _order(group, level, node, start[row])
             row, level, node, group, own = row[order], level[order], node[order], group[order], own[order]
             values = [start[row], stop[row], *([(own & (start[row] >> CELL_BITS >> FAN_BITS * level == node)).astype(np.int64)] if mark else [x[row] for x in others])]
             new = _changes(group, level, node)
@@ -81,9 +81,9 @@ def hulls(cells: DataFrame, keys: list[str]) -> DataFrame:
         width = np.left_shift(1, CELL_BITS + FAN_BITS * level)
         least, most = _hull((at, a, a + size), (of, s, s + length), low, low + wide, node * width, width)
         home = a >> CELL_BITS
-        order = np.lexsort((size, a, home, at))
-        order = order[((begins != 0) | (least != NO_LEAST) | (most != NO_MOST))[order]]
-        at, a, size, home, least, most = (x[order] for x in (at, a, size, home, least, most))
+        told = np.flatnonzero((begins != 0) | (least != NO_LEAST) | (most != NO_MOST))
+        told = told[_order(at[told], home[told], a[told], size[told])]
+        at, a, size, home, least, most = (x[told] for x in (at, a, size, home, least, most))
         known = (least != NO_LEAST) + 2 * (most != NO_MOST)
         least, most = _filled(least, known & 1, a), _filled(most, known & 2, a)
         first = np.flatnonzero(_changes(at, home))
@@ -103,7 +103,7 @@ def unpacked(homes: DataFrame, keys: list[str]) -> DataFrame:
         at, a, size, known, least, wide = _decoded(batch.column(len(keys)), 5)
         stop, most = a + size, np.where(known & 2, least + wide, NO_MOST)
         least = np.where(known & 1, least, NO_LEAST)
-        order = np.lexsort((stop, a, at))
+        order = _order(at, a, stop)
         at, a, stop, least, most = (x[order] for x in (at, a, stop, least, most))
         first = np.flatnonzero(_changes(at, a, stop))
         at, a, stop = at[first], a[first], stop[first]
@@ -167,6 +167,17 @@ def _changes(*columns):
     return new
 
 
+def _order(*columns):
+    """The places of rows in order of the columns; most lie so already."""
+    import numpy as np
+
+    tied, back = True, False
+    for c in columns:
+        back = back | (tied & (c[1:] < c[:-1]))
+        tied = tied & (c[1:] == c[:-1])
+    return np.lexsort(columns[::-1]) if np.any(back) else slice(None)
+
+
 def _cells(start, stop, above: int):
     """(row, level, node, own): the fewest cells that make up all lowest ones that each range touches, one at least, and those above them."""
     import numpy as np
@@ -295,18 +306,18 @@ def _hull(ranges: tuple, spans: tuple, low, high, floor, width) -> tuple:
     room = np.cumsum(width + 4) - width - 4  # cells lie apart, and what is outside of a cell by one position
     place = lambda cell, x: room[cell] + 1 + np.clip(x - floor[cell], -1, width[cell] + 1)
     usual, whole, empty = np.flatnonzero(b >= a), np.flatnonzero(e > s), np.flatnonzero(e == s)
-    usual = usual[np.lexsort((a[usual], at[usual]))]
+    usual = usual[_order(at[usual], a[usual])]
     begin, end = place(at[usual], a[usual]), place(at[usual], b[usual])
     out = [least[usual], most[usual]]
     for some, side in ((whole, "left"), (empty, "right")):
-        starts = place(of[some], s[some])
-        order = np.argsort(starts, kind="stable")
-        first, stop = np.searchsorted(starts[order], begin, side), np.searchsorted(starts[order], end, "left")
-        for f, values, into in ((np.minimum, low, out[0]), (np.maximum, high, out[1])):
-            _fold(f, values[some][order], first, stop, into)
-    first, stop = np.searchsorted(begin, place(of[whole], s[whole]), "right"), np.searchsorted(begin, place(of[whole], e[whole]), "left")
-    for f, values, into in ((np.minimum, low, out[0]), (np.maximum, high, out[1])):
-        _paint(f, values[whole], first, stop, into)
+        if len(some):
+            starts = place(of[some], s[some])
+            order = _order(starts)
+            starts, some = starts[order], some[order]
+            _fold([low[some], high[some]], np.searchsorted(starts, begin, side), np.searchsorted(starts, end, "left"), out)
+    if len(whole):
+        first, stop = np.searchsorted(begin, place(of[whole], s[whole]), "right"), np.searchsorted(begin, place(of[whole], e[whole]), "left")
+        _paint([low[whole], high[whole]], first, stop, out)
     least[usual], most[usual] = out
     for i in np.flatnonzero((b < a) & (b != NO_MOST)):
         hit = (of == at[i]) & (e > a[i]) & (s < b[i])
@@ -317,37 +328,37 @@ def _hull(ranges: tuple, spans: tuple, low, high, floor, width) -> tuple:
     return least, most
 
 
-def _powers(first, stop):
-    """The power of two that is no more than each length, -1 for none."""
+def _powers(first, stop) -> list:
+    """For each power of two, which lengths it is the greatest one of that is no more than them."""
     import numpy as np
 
-    return np.frexp(np.maximum(stop - first, 0))[1] - 1
+    some = np.flatnonzero(stop > first)
+    powers = np.frexp(stop[some] - first[some])[1] - 1
+    return [some[powers == k] for k in range(powers.max(initial=-1) + 1)]
 
 
-def _fold(f, values, first, stop, into) -> None:
-    """into with f over values[first:stop]: two stretches of the power of two that is no more than the length."""
+def _fold(values: list, first, stop, into: list) -> None:
+    """into with the least and the greatest of values[first:stop]: of two stretches of the power of two that is no more than the length."""
     import numpy as np
 
-    powers = _powers(first, stop)
-    for k in range(powers.max(initial=-1) + 1):
-        if k:
-            values = f(values[: -(1 << k - 1)], values[1 << k - 1 :])
-        mine = np.flatnonzero(powers == k)
-        into[mine] = f(into[mine], f(values[first[mine]], values[stop[mine] - (1 << k)]))
+    for k, mine in enumerate(_powers(first, stop)):
+        low, high = first[mine], stop[mine] - (1 << k)
+        for i, f in enumerate((np.minimum, np.maximum)):
+            if k:
+                values[i] = f(values[i][: -(1 << k - 1)], values[i][1 << k - 1 :])
+            into[i][mine] = f(into[i][mine], f(values[i][low], values[i][high]) if k else values[i][low])
 
 
-def _paint(f, values, first, stop, into) -> None:
-    """into with f over the values of all [first, stop) that hold each place: likewise, from long stretches to their halves."""
+def _paint(values: list, first, stop, into: list) -> None:
+    """into with the least and the greatest values of all [first, stop) that hold each place: likewise, from long stretches to their halves."""
     import numpy as np
 
-    powers = _powers(first, stop)
-    top = powers.max(initial=-1)
-    held = np.full(len(into), NO_LEAST if f is np.minimum else NO_MOST)
-    for k in range(top, -1, -1):
-        mine = np.flatnonzero(powers == k)
-        f.at(held, first[mine], values[mine])
-        f.at(held, stop[mine] - (1 << k), values[mine])
-        if k:
-            half = 1 << k - 1
-            held[half:] = f(held[half:], held[:-half])
-    f(into, held, out=into)
+    held = [np.full(len(into[0]), none) for none in (NO_LEAST, NO_MOST)]
+    for k, mine in reversed([*enumerate(_powers(first, stop))]):
+        for i, f in enumerate((np.minimum, np.maximum)):
+            f.at(held[i], first[mine], values[i][mine])
+            if k:
+                f.at(held[i], stop[mine] - (1 << k), values[i][mine])
+                held[i][1 << k - 1 :] = f(held[i][1 << k - 1 :], held[i][: -(1 << k - 1)])
+    for i, f in enumerate((np.minimum, np.maximum)):
+        f(into[i], held[i], out=into[i])

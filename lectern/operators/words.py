@@ -71,14 +71,14 @@ def _signs(pattern: str):
     return found
 
 
-def runs(docs: DataFrame, keep: list[str], text_col: str, pattern: str, by_place: bool = False) -> DataFrame:
+def runs(docs: DataFrame, keep: list[str], text_col: str, pattern: str, by_place: bool = False, only: tuple[str, ...] = ("idx", "word", "start", "end_pos", "before", "total")) -> DataFrame:
     """As spans(), of the runs of signs that a pattern of one kind of sign finds; no sign is looked at by itself.
 
-    idx counts the runs before each in its text, or by_place the other signs before it.
+    idx counts the runs before each in its text, or by_place the other signs before it; `only` names the columns that are made.
     """
-    names = [*keep, "idx", "word", "start", "end_pos", "before", "total"]
-    kinds = [T.IntegerType(), T.StringType(), *[T.LongType()] * 4]
-    schema = T.StructType([*(docs.schema[c] for c in keep), *[T.StructField(n, k) for n, k in zip(names[len(keep) :], kinds)]])
+    names = [*keep, *only]
+    kinds = {"idx": T.IntegerType(), "word": T.StringType()}
+    schema = T.StructType([*(docs.schema[c] for c in keep), *[T.StructField(n, kinds.get(n, T.LongType())) for n in only]])
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -107,11 +107,17 @@ def runs(docs: DataFrame, keep: list[str], text_col: str, pattern: str, by_place
                 letters = upto[:-1] - upto[lowest[of]]
                 total = upto[lowest[1:]] - upto[lowest[:-1]]
                 start, end = start - edge[of], end - edge[of]
-                idx = start - letters if by_place else np.arange(len(of)) - lowest[of]
-                bytes_of = np.concatenate(([0], np.cumsum(width * inside)))[np.concatenate(([0], end + edge[of]))].astype(np.int32)
-                pieces = pa.StringArray.from_buffers(len(of), pa.py_buffer(bytes_of), pa.py_buffer(data[np.repeat(inside, width)]))
+
+                def word():
+                    bytes_of = np.concatenate(([0], np.cumsum(width * inside)))[np.concatenate(([0], end + edge[of]))].astype(np.int32)
+                    return pa.StringArray.from_buffers(len(of), pa.py_buffer(bytes_of), pa.py_buffer(data[np.repeat(inside, width)]))
+
+                made = {
+                    "idx": lambda: pa.array(start - letters if by_place else np.arange(len(of)) - lowest[of], pa.int32()), "word": word, "start": lambda: pa.array(start), "end_pos": lambda: pa.array(end),
+                    "before": lambda: pa.array(letters), "total": lambda: pa.array(total[of]),
+                }
                 at = pa.array(of, pa.int32())
-                yield pa.RecordBatch.from_arrays([*[part.column(k).take(at) for k in range(len(keep))], pa.array(idx, pa.int32()), pieces, pa.array(start), pa.array(end), pa.array(letters), pa.array(total[of])], names)
+                yield pa.RecordBatch.from_arrays([*[part.column(k).take(at) for k in range(len(keep))], *[made[n]() for n in only]], names)
 
     return spread(docs.select(*keep, F.col(text_col).alias("text to cut"))).mapInArrow(run, schema)
 
@@ -152,6 +158,6 @@ def line_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return found.select(id_col, F.col("idx").alias("line"), F.col("line text").alias("text"), "start")
 
 
-def space_word_spans(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """(keys..., idx, word, start, end_pos) of words between spaces; idx counts the spaces before a word."""
-    return runs(docs, keys, text_col, _SPACED, True).drop("before", "total")
+def space_word_spans(docs: DataFrame, keys: list[str], text_col: str = "text", only: tuple[str, ...] = ("idx", "word", "start", "end_pos")) -> DataFrame:
+    """(keys..., idx, word, start, end_pos) of words between spaces, or `only` some of these; idx counts the spaces before a word."""
+    return runs(docs, keys, text_col, _SPACED, True, only)

@@ -46,7 +46,8 @@ def _positions(spark: SparkSession, sf: str) -> DataFrame:
     FROM ra r LEFT JOIN wa w ON r.doc_id = w.doc_id AND r.c = w.c AND 2 * e > a AND 2 * s < b GROUP BY r.doc_id, a, b"""
 )
 def map_via_spans(spark: SparkSession, sf: str) -> DataFrame:
-    spans = _words(spark, sf).select(*KEYS, (F.col("start") * 2).alias("norm_start"), (F.col("end_pos") * 2).alias("norm_end"), F.col("start").alias("orig_start"), F.col("end_pos").alias("orig_end"))
+    words = W.space_word_spans(table(spark, sf, "documents"), KEYS, only=("start", "end_pos"))
+    spans = words.select(*KEYS, (F.col("start") * 2).alias("norm_start"), (F.col("end_pos") * 2).alias("norm_end"), F.col("start").alias("orig_start"), F.col("end_pos").alias("orig_end"))
     ranges = _positions(spark, sf).select(*KEYS, (F.col("t") * 2).alias("norm_start"), (F.col("t") * 2 + 10).alias("norm_end"))
     return M.map_via_spans(ranges, spans, KEYS)
 
